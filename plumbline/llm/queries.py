@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import packing
+from plumbline.llm import ann, chat, langid, packing, quality
 
 
 def tokenizer_path() -> str:
@@ -25,8 +26,34 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(docs, tokenizer_path(), 2048), 2048)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring conversations as chosen and rejected."""
+    return chat.format_preferences(chat.neighbours(table(spark, sf_dir, "conversations")))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest rows of every fiftieth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_preference_formatting": op6_preference_formatting,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_preference_formatting": chat.SQL,
+}
