@@ -95,19 +95,22 @@ with np.errstate(over="ignore"):
     _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
-def ascii_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each row: starts, ends and the row of each word."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.zeros(len(data) + 1, bool)
+def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true bytes within rows: starts, ends and the row of each."""
+    edge = np.zeros(len(inside) + 1, bool)
     edge[off] = True
-    first = ~space
-    first[1:] &= space[:-1] | edge[1 : len(data)]
-    last = ~space
-    last[:-1] &= space[1:] | edge[1 : len(data)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1 : len(inside)]
+    last[:-1] &= ~inside[1:] | edge[1 : len(inside)]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+def not_blank(data: np.ndarray) -> np.ndarray:
+    """Bytes of words [^\\x20\\x09-\\x0D]+."""
+    return (data != 32) & ((data < 9) | (data > 13))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -116,18 +119,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of word shingles, row by row, and the row bounds within them.
+def shingles(data: np.ndarray, off: np.ndarray, size: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of word shingles, row by row, the row bounds within them, and the words of each row.
 
-    Words are those of ascii_words on lower-cased A-Z.  A row with fewer words than `size` has its
-    whole sequence as one shingle; a row without words has none.
+    Words are runs of true bytes.  A row with fewer words than `size` has its whole sequence as one
+    shingle; a row without words has none.
     """
-    data = lower_ascii(data)
-    starts, ends, rows = ascii_words(data, off)
+    starts, ends, rows = spans(inside, off)
     n = len(off) - 1
     count = np.bincount(rows, minlength=n)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), count
     word = range_hashes(data, starts, ends)
     base = np.concatenate(([0], np.cumsum(count)))
     kept = np.where(count >= size, count - size + 1, np.minimum(count, 1))
@@ -139,7 +141,7 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
         for k in range(size):
             use = k < length
             out[use] = mix(out[use] * U(0xE7037ED1A0B428DB) + word[at[use] + k])
-    return out, bounds
+    return out, bounds, count
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, components, materialize, mix, n_shuffle, shingles, slices
+from plumbline.llm._common import U, components, lower_ascii, materialize, mix, n_shuffle, not_blank, shingles, slices
 
 SALT_FROM, SALTS, SMALL, LEVELS = 32, 64, 48, 3
 
@@ -70,7 +70,8 @@ def signatures(features: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
 
 
 def _sets(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, size: int):
-    h, bounds = shingles(data, off, size)
+    data = lower_ascii(data)
+    h, bounds, _ = shingles(data, off, size, not_blank(data))
     for i in range(rows.num_rows):
         yield i, np.unique(h[bounds[i] : bounds[i + 1]])
 
