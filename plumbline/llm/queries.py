@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, jaccard, langid, linededup, packing, quality
+from plumbline.llm import ann, chat, decontam, jaccard, langid, linededup, lmscore, packing, quality
 
 
 def tokenizer_path() -> str:
@@ -32,6 +32,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"), "removed_chunks", "removed_lines")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents held against the language of conversations."""
+    return lmscore.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -58,8 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_preference_formatting": op6_preference_formatting,
     "op7_nearest_neighbours": op7_nearest_neighbours,
