@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, decontam, jaccard, langid, linededup, lmscore, packing, quality
+from plumbline.llm import ann, chat, decontam, jaccard, langid, linededup, lmscore, packing, quality, suffixdedup
 
 
 def tokenizer_path() -> str:
@@ -62,6 +62,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), 3, 90)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes repeated from smaller ids."""
+    return suffixdedup.dedup_bytes(table(spark, sf_dir, "documents"), 50)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_preference_formatting": op6_preference_formatting,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
 }
 
