@@ -164,11 +164,11 @@ def fit(learning: DataFrame, per_language: int = 500, holdout: float = 0.2) -> d
     return {"langs": langs, "idf": idf, "w": w / t}
 
 
-def _predict(batches, model: dict | None):
+def _predict(batches, model: dict | None, text: str, names: list[str]):
     for batch in batches:
         langs, scores = [], []
-        for text in batch.column(1):
-            found = ngram_counts(text.as_py() or "") if model else None
+        for value in batch.column(text):
+            found = ngram_counts(value.as_py() or "") if model else None
             if not found:
                 langs.append("und")
                 scores.append(0.0)
@@ -178,12 +178,14 @@ def _predict(batches, model: dict | None):
             k = int(p.argmax())
             langs.append(model["langs"][k])
             scores.append(float(p[k] / p.sum()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, lang_pred, score of every row.  The model has a fixed number of features."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(partial(_predict, model=model), "doc_id long, lang_pred string, score double")
+def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
+    """Columns `keep` of every row with lang_pred and score.  The model has a fixed number of features."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text of the row"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "lang_pred string, score double"])
+    return rows.mapInArrow(partial(_predict, model=model, text="text of the row", names=keep), schema)
 
 
 def held_out(doc_id) -> F.Column:
@@ -194,4 +196,11 @@ def held_out(doc_id) -> F.Column:
 def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
     """Learn from the documents that are not held out and predict all."""
     model = fit(docs.where(~held_out(F.col("doc_id"))), per_language)
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return predict(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Rows of docs with a language: those that are `und` or score less than `least` go."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return predict(docs, fit(docs), names).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in names])
