@@ -1 +1 @@
-"""operators"""
+"""DataFrame operators: splits, joins, metrics, regression, windows, reshaping, tests and gates."""

@@ -1 +1 @@
-"""sources"""
+"""Sources and sinks of batches and result tables."""
