@@ -26,15 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, mix, n_shuffle, slices
+from plumbline.llm._common import U, mix, n_shuffle, range_hashes, slices
 
-GRAM, PIECE, END = 16, 256, 255
+GRAM, PIECE, END, BLOCK = 16, 256, 255, 1 << 15
 
 
-def window_keys(data: np.ndarray, least: int) -> np.ndarray:
-    """Smallest gram hash of each window of `least` bytes."""
-    if len(data) < least:
-        return np.zeros(0, np.uint64)
+def _keys_of(data: np.ndarray, least: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x, step, factor = data.astype(np.uint64) + U(1), 1, U(0x9E3779B97F4A7C15)
         while step < GRAM:
@@ -49,23 +46,43 @@ def window_keys(data: np.ndarray, least: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
+def window_keys(data: np.ndarray, least: int) -> np.ndarray:
+    """Smallest gram hash of each window of `least` bytes, in blocks that stay in a processor's cache."""
+    n = len(data) - least + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        out[a:b] = _keys_of(data[a : b + least - 1], least)
+    return out
+
+
 def runs(data: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of windows with one key: row, first window, windows (PIECE at most), key."""
     key = window_keys(data, least)
     if not len(key):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    row = np.searchsorted(off, np.arange(len(key)), "right") - 1
-    inside = np.arange(len(key)) + least <= off[row + 1]
-    new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1])
-    head = np.flatnonzero(new & inside)
-    every = np.flatnonzero(new | ~inside)
-    size = np.append(every, len(key))[np.searchsorted(every, head, "right")] - head
+    # windows that reach over the end of their row are none
+    outside = np.zeros(len(key) + 1, bool)
+    stop = np.zeros(len(key) + 1, bool)
+    for a, b in zip(np.maximum(off[1:] - least + 1, off[:-1]).tolist(), off[1:].tolist(), strict=True):
+        outside[a:b] = True
+        if a <= len(key):
+            stop[a] = True
+    stop[off[off < len(key)]] = True
+    stop[1:-1] |= key[1:] != key[:-1]
+    stop[-1] = True
+    every = np.flatnonzero(stop)
+    head, size = every[:-1], np.diff(every)
+    if len(every) and every[0]:
+        head, size = np.append(0, head), np.append(every[0], size)
+    inside = ~outside[head]
+    head, size = head[inside], size[inside]
     parts = -(-size // PIECE)
     again = np.repeat(np.arange(len(head)), parts)
     nth = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
     start = head[again] + nth * PIECE
-    return row[start], start, np.minimum(PIECE, head[again] + size[again] - start), key[start]
+    return np.searchsorted(off, start, "right") - 1, start, np.minimum(PIECE, head[again] + size[again] - start), key[start]
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -82,13 +99,18 @@ def _by_bucket(bucket: np.ndarray):
 def _keys(batches, least: int, buckets: int):
     """Keys of a slice, once each, marked where several of its documents have them."""
     for batch in batches:
-        for rows, data, off in slices(batch, "text"):
+        for rows, data, off in slices(batch, "text", 16 << 20):
             deals = rows.column("deal").to_numpy()
             row, _, _, key = runs(data, off, least)
             for deal in np.unique(deals):
                 own = deals[row] == deal
-                pair = np.unique(np.stack((key[own], row[own].astype(np.uint64))), axis=1) if own.any() else np.zeros((2, 0), np.uint64)
-                k, n = np.unique(pair[0], return_counts=True)
+                k, r = key[own], row[own]
+                order = np.argsort(k, kind="stable")
+                k, r = k[order], r[order]
+                new = np.append(True, k[1:] != k[:-1])[: len(k)]
+                other = np.append(False, r[1:] != r[:-1])[: len(k)] & ~new
+                n = 1 + (np.add.reduceat(other, np.flatnonzero(new)) if len(k) else np.zeros(0, int))
+                k = k[new]
                 out = [(b, int(deal), k[i].tobytes(), (n[i] > 1).tobytes()) for b, i in _by_bucket(_bucket(k, buckets))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "deal", "keys", "many"])
@@ -246,6 +268,24 @@ def window_classes(text: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _may_share(strings: list[tuple[int, bytes]], which: np.ndarray, least: int) -> np.ndarray:
+    """Of the stretches, those with a window whose hash occurs again: the others can't share one."""
+    if not len(which):
+        return which
+    raw = np.frombuffer(b"".join(strings[c][1] for c in which.tolist()), np.uint8)
+    length = np.array([len(strings[c][1]) for c in which.tolist()])
+    windows = length - least + 1
+    owner = np.repeat(np.arange(len(which)), windows)
+    start = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(np.cumsum(length) - length, windows)
+    h = range_hashes(raw, start, start + least)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    found = np.zeros(len(which), bool)
+    found[owner[order[1:][same]]] = True
+    found[owner[order[:-1][same]]] = True
+    return which[found]
+
+
 def _resolve(parts: list[dict], least: int) -> list[tuple[int, bytes]]:
     """Spans to remove from the stretches of one bucket: (deal, row, start, end) arrays."""
     get = lambda n, t: np.concatenate([np.frombuffer(p[n], t) for p in parts])
@@ -263,8 +303,9 @@ def _resolve(parts: list[dict], least: int) -> list[tuple[int, bytes]]:
     content_key = np.array([k for k, _ in content], np.uint64)
     _, at, n = np.unique(content_key, return_inverse=True, return_counts=True)
     differ = np.flatnonzero(n[at] > 1)
+    strings = list(content)
+    differ = _may_share(strings, differ, least)
     if len(differ):
-        strings = list(content)
         raw = np.frombuffer(b"".join(strings[c][1] + b"\xff" for c in differ.tolist()), np.uint8)
         length = np.array([len(strings[c][1]) for c in differ.tolist()])
         begin = np.cumsum(length + 1) - length - 1
@@ -351,7 +392,8 @@ def dedup_bytes(docs: DataFrame, least: int = 50, with_text: bool = False) -> Da
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)).cast("int").alias("deal"), "text")
     dealt = texts.repartition(n, "deal")
-    keys = dealt.select("deal", "text").mapInArrow(partial(_keys, least=least, buckets=buckets), "bucket int, deal int, keys binary, many binary")
+    # all columns go in: with fewer, Spark would deal the texts once more for this pass
+    keys = dealt.mapInArrow(partial(_keys, least=least, buckets=buckets), "bucket int, deal int, keys binary, many binary")
     again = keys.repartition(n, "bucket").sortWithinPartitions("bucket", "deal").mapInArrow(_repeated, "deal int, keys binary")
 
     def stretches(docs: pa.Table, keys: pa.Table) -> pa.Table:
