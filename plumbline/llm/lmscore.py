@@ -45,7 +45,7 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _vocabulary(batches, target: bool):
     """Words of a slice with how often each is a context."""
     for batch in batches:
-        for _, data, off in slices(batch, "text", 16 << 20):
+        for _, data, off in slices(batch, "text"):
             v, w, _ = _tokens(data, off)
             word, at = np.unique(np.concatenate((v, w)), return_inverse=True)
             n = np.bincount(at[: len(v)], minlength=len(word))
@@ -65,7 +65,7 @@ def _send(batches, hot: np.ndarray, buckets: int, target: bool):
     """Bigrams of a slice by bucket.  kind: 0 contexts in runs, 1 hot contexts, 2 the slice's documents."""
     task, count = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for rows, data, off in slices(batch, "text", 16 << 20):
+        for rows, data, off in slices(batch, "text"):
             out: list[tuple] = []
             uid = -1 if target else task << 24 | count
             count += 1
