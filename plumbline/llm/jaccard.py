@@ -6,9 +6,11 @@ them the two differ little, each partition into second-level ones of which every
 free of differences is enumerated.  The features of a subset are one signature: similar sets share one.
 
 Sets equal in all features are one class.  Signatures that several classes share give candidate pairs
-in two steps: first every class with the smallest of its signature, then, once these links are
-verified, only classes of different components.  A signature with many classes is split again by a second
-set of partitions; so no group's pairs are all made, and yet every link between components is found.
+in two steps.  First every class meets its signature's hub, the member that shares most signatures; this
+links the bulk of a group.  Then only classes of different components meet, and of these only such as the
+triangle inequality of the Jaccard distance, through their distances from the hub, doesn't rule out.  A
+signature with very many classes left is split again by a second set of partitions.  So no group's pairs
+are all made, and yet every link between components is found.
 
 Defined cases: a null text or one without words has no shingle, links with nothing and is its own
 component; a text with fewer words than a shingle is one shingle; repeated rows are in one class; equal
@@ -19,8 +21,7 @@ ignored.
 from __future__ import annotations
 
 from functools import lru_cache, partial
-from itertools import combinations
-from math import floor, log
+from math import ceil, exp, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import U, components, lower_ascii, materialize, mix, n_shuffle, not_blank, shingles, slices
 
-SALT_FROM, SALTS, SMALL, LEVELS = 32, 64, 48, 3
+SALT_FROM, SALTS, SMALL, LEVELS = 256, 64, 2000, 3
 
 
 @lru_cache(4096)
@@ -42,30 +43,40 @@ def _band(size: int, percent: int) -> tuple[tuple[int, int], ...]:
     return tuple((b, floor(np.exp(step * (b + 1)) * (1 - g) / g + 1e-9)) for b in bands)
 
 
-@lru_cache(256)
-def _layout(k: int, second: int = 2) -> tuple[int, int, list[tuple[int, ...]]]:
-    """First-level partitions, second-level ones in each, and the subsets free of differences."""
+@lru_cache(4096)
+def _layout(k: int, size: float) -> tuple[int, int]:
+    """First-level partitions, each of two second-level cells, and how many cells a set may leave empty.
+
+    Two sets that differ in k elements agree in all but k cells.  With `spare` cells more than k + 1, a pair
+    agrees in a cell that isn't empty unless both sets have more than `spare` empty ones; so only sets
+    with more need signatures of empty cells, which else would join strangers.
+    """
     if k < 1:
-        return 1, 1, [(0,)]
-    return -(-(k + 1) // 2), second, list(combinations(range(second), second - 1))
+        return 1, 0
+    spare = 0
+    for _ in range(4):
+        cells = k + 1 + spare
+        spare = ceil(1.5 * cells * exp(-size / cells)) + 2
+    return -(-(k + 1 + spare) // 2), spare
 
 
 def signatures(features: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
-    """Signatures of a sorted set of feature hashes."""
+    """Signatures of a sorted set of feature hashes: of each first-level partition, the subsets of one of its
+    two second-level cells."""
     out = []
     with np.errstate(over="ignore"):
         if seed:
             features = np.sort(mix(features * U(2 * seed + 1) + U(seed)))
         total = np.append(U(0), np.cumsum(mix(features + U(0x9E3779B97F4A7C15))))
         for band, k in _band(len(features), percent):
-            first, second, subsets = _layout(k)
-            cells = first * second
+            first, spare = _layout(k, exp(-2 * log(percent / 100) * band))
+            cells = 2 * first if k else 1
             edges = (np.arange(1, cells, dtype=np.float64) * (2.0**64 / cells)).astype(np.uint64)
             at = np.concatenate(([0], np.searchsorted(features, edges), [len(features)]))
-            cell = mix((total[at[1:]] - total[at[:-1]]) + np.arange(cells, dtype=np.uint64) * U(0xD1B54A32D192ED03)).reshape(first, second)
-            for s in subsets:
-                tag = (np.arange(first, dtype=np.uint64) * U(64) + U(sum(1 << j for j in s))) * U(0xA0761D6478BD642F)
-                out.append(mix(cell[:, list(s)].sum(1, dtype=np.uint64) + tag + U((band + 1) * 0xE7037ED1A0B428DB % (1 << 64))))
+            tag = np.arange(1, cells + 1, dtype=np.uint64) * U(0xD1B54A32D192ED03) + U((band + 1) * 0xE7037ED1A0B428DB % (1 << 64))
+            cell = mix(mix(total[at[1:]] - total[at[:-1]]) + tag)
+            full = at[1:] > at[:-1]
+            out.append(cell[full] if k and cells - int(full.sum()) <= spare else cell)
     return np.concatenate(out)
 
 
@@ -103,7 +114,7 @@ def _salted(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
 def _sign(batches, size: int, percent: int):
     seen: set[int] = set()
     for batch in batches:
-        for rows, data, off in slices(batch, "text", 16 << 20):
+        for rows, data, off in slices(batch, "text"):
             sig, cls = [], []
             for _, f in _sets(rows, data, off, size):
                 if len(f) and (c := _class(f)) not in seen:
@@ -136,21 +147,27 @@ def _features(batches, size: int):
             yield pa.RecordBatch.from_arrays([rows.column("cls"), pa.array(found, pa.binary())], ["cls", "features"])
 
 
-def _similar(batches, percent: int):
+def _similar(batches):
+    """Exact Jaccard distance of pairs."""
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
+        size, both = np.zeros((2, batch.num_rows))
         for i, (x, y) in enumerate(zip(batch.column("fa"), batch.column("fb"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep)) for n in ("a", "b")], ["a", "b"])
+            short, long_ = (x, y) if len(x) < len(y) else (y, x)
+            both[i] = (long_[np.minimum(np.searchsorted(long_, short), len(long_) - 1)] == short).sum()
+            size[i] = len(x) + len(y) - both[i]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both.astype(np.int64)), pa.array(size.astype(np.int64))], ["a", "b", "both", "size"])
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """Members of signatures with several classes: sig, salt, cls, low.  One exchange serves both sides."""
+    """Members of signatures with several classes, with the signature's hub: sig, salt, cls, hub.  One
+    exchange serves both sides of the first join."""
     dealt = signed.repartition(n_shuffle(signed.sparkSession), "sig", "salt")
-    several = dealt.groupBy("sig", "salt").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").drop("high")
-    return dealt.join(several, ["sig", "salt"])
+    several = dealt.groupBy("sig", "salt").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").drop("low", "high")
+    members = materialize(dealt.join(several, ["sig", "salt"]))
+    degree = members.groupBy("cls").agg(F.sum(F.col("n") - 1).alias("degree"))
+    hubs = members.join(degree, "cls").groupBy("sig", "salt").agg(F.max(F.struct("degree", "cls")).alias("top")).select("sig", "salt", F.col("top.cls").alias("hub"))
+    return members.join(hubs, ["sig", "salt"]).select("sig", "salt", "cls", "hub")
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -168,29 +185,39 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     features = materialize(found.dropDuplicates(["cls"]))
     sizes = features.select("cls", (F.octet_length("features") / 8).cast("long").alias("n"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-        full = near.join(features.toDF("a", "fa"), "a").join(features.toDF("b", "fb"), "b")
-        return materialize(full.mapInArrow(partial(_similar, percent=percent), "a long, b long"))
+    def compared(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(features.toDF("a", "fa"), "a").join(features.toDF("b", "fb"), "b")
+        found = full.mapInArrow(_similar, "a long, b long, both long, size long")
+        return materialize(found.select("a", "b", (100 * F.col("both") >= percent * F.col("size")).alias("linked"), (1 - F.col("both") / F.col("size")).alias("d")))
+
+    def star(members: DataFrame) -> DataFrame:
+        return compared(members.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
 
-    edges = verified(members.where("low <> cls").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct())
-    part = materialize(components(edges))
+    from_hub = star(members)
+    edges = from_hub.where("linked").select("a", "b")
     seed = 0
     while True:
-        named = members.select("sig", "cls").distinct().join(part.toDF("cls", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        part = materialize(components(edges)).toDF("cls", "part")
+        named = members.join(part, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        named = named.join(from_hub.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "d"), ["hub", "cls"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
         mixed = named.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q").select("sig", "m")
         open_ = materialize(named.join(mixed, "sig"))
         last = seed == LEVELS
         few = open_ if last else open_.where(F.col("m") <= SMALL)
-        pairs = few.alias("x").join(few.alias("y"), "sig").where("x.part < y.part").select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        edges = edges.union(verified(pairs))
-        many = open_.where(F.col("m") > SMALL).select("sig", "cls")
+        x, y = few.alias("x"), few.alias("y")
+        may = (F.col("x.part") < F.col("y.part")) & ((F.col("x.hub") != F.col("y.hub")) | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9))
+        pairs = x.join(y, "sig").where(may).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        edges = edges.union(compared(near(pairs)).where("linked").select("a", "b"))
+        many = open_.where(F.col("m") > SMALL).select("sig", "cls").distinct()
         if last or not many.take(1):
             return described, components(edges).toDF("cls", "component")
         seed += 1
         members = materialize(_shared(many.join(features, "cls").mapInArrow(partial(_resign, percent=percent, seed=seed), "sig long, salt int, cls long")))
-        edges = edges.union(verified(members.where("low <> cls").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()))
-        part = materialize(components(edges))
+        from_hub = star(members)
+        edges = edges.union(from_hub.where("linked").select("a", "b"))
 
 
 def join_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
