@@ -216,7 +216,7 @@ def calibrate_scale(df: DataFrame, g: list[str], base: str, discrepancy: str, y:
 
 
 # weakly supervised fit ---------------------------------------------------------------------------
-def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: list[list[int]], group_weight: float, ridge: float = 0.0, steps: int = 3000, tol: float = 1e-11) -> np.ndarray:
+def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: list[list[int]], group_weight: float, ridge: float = 0.0, steps: int = 60, tol: float = 1e-9) -> np.ndarray:
     """Minimum of x'qx/2 - c'x + l1 |x| + group_weight sum |x_g| + ridge x'x/2 by accelerated proximal steps."""
     q = q + ridge * np.eye(len(q))
     if not l1 and not group_weight:
@@ -238,7 +238,7 @@ def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: lis
     return x
 
 
-def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], basis: int, box: tuple[float, float], theta: float, weak: float, l1: float, group: float, ridge: float, fixed: bool = False, sweeps: int = 60, tol: float = 1e-8) -> dict:
+def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], basis: int, box: tuple[float, float], theta: float, weak: float, l1: float, group: float, ridge: float, fixed: bool = False, sweeps: int = 60, tol: float = 1e-6) -> dict:
     """Alternate g, d and theta on Grams over [shape columns, basis columns, y].
 
     H(theta) = [shape, theta * shape[theta_of]]; labeled rows see H g + B d, weak rows H g only.  The loss
@@ -279,7 +279,7 @@ def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], ba
         new = np.concatenate((g, d, [theta]))
         moved = np.abs(new - old).max() / max(1.0, np.abs(old).max())
         history.append(float(value))
-        if change < tol and moved < 1e-6:
+        if change < tol and moved < 1e-3:
             converged = True
             break
     return {"g": g.tolist(), "d": d.tolist(), "theta": float(theta), "objective": history[-1], "history": history, "sweeps": len(history), "converged": converged}
@@ -343,8 +343,9 @@ def choose_refit(trained: DataFrame, refitted: DataFrame, g: list[str]) -> DataF
 
 
 def predict(df: DataFrame, models: DataFrame, g: list[str], shape: list[str], theta_of: list[str], basis: list[str], name: str = "pred") -> DataFrame:
-    """H(theta) g + B d with each group's model."""
-    j = df.join(models.select(*g, F.col("g").alias("_g"), F.col("d").alias("_d"), F.col("theta").alias("_t")), g)
+    """H(theta) g + B d with each group's model; the models' other columns come along."""
+    more = [c for c in models.columns if c not in (*g, "g", "d", "theta")]
+    j = df.join(models.select(*g, *more, F.col("g").alias("_g"), F.col("d").alias("_d"), F.col("theta").alias("_t")), g)
     at = lambda c, i: F.element_at(c, i + 1)
     terms = [at("_g", i) * F.col(c) for i, c in enumerate(shape)]
     terms += [at("_g", len(shape) + i) * F.col("_t") * F.col(c) for i, c in enumerate(theta_of)]

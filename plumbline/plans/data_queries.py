@@ -173,7 +173,9 @@ obs_query(
     "prj07_poly2", named(X.poly2(["price", "qty", "disc"], {"price"})),
     'qty, disc, price * price AS "price*price", price * qty AS "price*qty", price * disc AS "price*disc", qty * qty AS "qty*qty", qty * disc AS "qty*disc", disc * disc AS "disc*disc"', "price*price price*qty price*disc qty*disc disc*disc",
 )
-obs_query("prj08_power_grid", named(X.power_grid(["qty", "price"], "size", [-1.0, -0.7, 0.5])), "qty * size ** -1.0 AS qty_p0, qty * size ** -0.7 AS qty_p1, qty * size ** 0.5 AS qty_p2, price * size ** -1.0 AS price_p0, price * size ** -0.7 AS price_p1, price * size ** 0.5 AS price_p2", "qty_p0 qty_p1 qty_p2 price_p0 price_p1 price_p2")
+query("prj08_power_grid", "SELECT ord, qty * size ** -0.9 AS qty_p0, qty * size ** -0.7 AS qty_p1, qty * size ** 0.45 AS qty_p2, price * size ** -0.9 AS price_p0, price * size ** -0.7 AS price_p1, price * size ** 0.45 AS price_p2 FROM obs", OBS, "qty_p0 qty_p1 qty_p2 price_p0 price_p1 price_p2")(
+    lambda spark, sf: observations(spark, sf).select("ord", *named(X.power_grid(["qty", "price"], "size", [-0.9, -0.7, 0.45])))
+)
 obs_query("prj09_intercept", [F.lit(1.0).alias("one")], "1.0::DOUBLE AS one", "")
 RATIO = "qty / size AS ratio, size / qty AS inverse, (qty - size) / (qty + size) AS difference"
 obs_query("prj10_ratio_basis", named(X.ratio_basis("qty", "size")), RATIO, "ratio inverse difference")

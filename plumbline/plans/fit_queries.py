@@ -1 +1,298 @@
-"""queries"""
+"""Queries of regression, calibration and weakly supervised fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.expressions import log_grid
+from plumbline.operators import joins
+from plumbline.operators import metrics as M
+from plumbline.operators import regression as R
+from plumbline.operators.splits import by_role
+from plumbline.plans.catalog import query
+from plumbline.plans.stat_queries import GRAM_COLUMNS, gram_rows
+from plumbline.plans.tables import ARMS, OBS, SPLIT, arm_metrics, fits, observations, scored, split
+
+SHAPE, BASIS, Y = ["one", "price", "qty"], ["price_disc", "price_tax"], "y"
+BOX = (0.8, 1.2)
+
+
+def coefficients(df, names, keep):
+    return df.select(*keep, *[F.element_at("coef", i + 1).alias(n) for i, n in enumerate(names)], "mse")
+
+
+@query("reg01_affine_alignment", "SELECT batch_id, n_labeled::INT AS n_labeled, a + 5 * b AS a, b FROM arms WHERE model = 'affine'", ARMS, "a b")
+def reg01(spark, sf):
+    return R.affine_align(split(spark, sf).where("role = 'train'"), ["batch_id", "n_labeled"], "y", "price", 5.0).select("batch_id", "n_labeled", "a", "b")
+
+
+@query(
+    "reg02_two_columns",
+    "SELECT supp, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, (syy - (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) * s1y - (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) * s2y) / n AS mse FROM (SELECT supp, count(*) AS n, sum(x * x) AS s11, sum(x * q) AS s12, sum(q * q) AS s22, sum(x * y) AS s1y, sum(q * y) AS s2y, sum(y * y) AS syy FROM (SELECT supp, price / 50 AS x, qty / 50 AS q, y / 50 AS y FROM obs) GROUP BY supp)",
+    OBS, "b1 b2 mse",
+)
+def reg02(spark, sf):
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], ["price", "qty", "y"])
+    return coefficients(R.ols(g, ["supp"], ["price", "qty", "y"], ["price", "qty"], "y"), ["b1", "b2"], ["supp"])
+
+
+@query("reg02_many_columns")
+def reg02m(spark, sf):
+    """Arms of two to five regressors, fitted from the same Gram rows."""
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], GRAM_COLUMNS)
+    arms = {"M0": ["price"], "M1": ["one", "price"], "M2": ["one", "price", "qty"], "M3": ["one", "price", "qty", *BASIS]}
+    parts = [R.ols(g, ["supp"], GRAM_COLUMNS, x, Y).withColumn("arm", F.lit(n)) for n, x in arms.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("supp", "arm", "n", "coef", "mse")
+
+
+@query("reg03_projection_mse", "SELECT supp, (sum(y * y) - sum(x * y) ** 2 / sum(x * x)) / count(*) AS mse FROM (SELECT supp, price / 50 AS x, y / 50 AS y FROM obs) GROUP BY supp", OBS, "mse")
+def reg03(spark, sf):
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], ["price", "y"])
+    return R.ols(g, ["supp"], ["price", "y"], ["price"], "y").select("supp", "mse")
+
+
+@query("reg04_residualized", "SELECT ord, price_disc - price * w AS price_disc FROM (SELECT ord, supp, price / 50 AS price, price * disc AS price_disc FROM obs) JOIN (SELECT supp, sum(price / 50 * price * disc) / sum(price / 50 * price / 50) AS w FROM obs GROUP BY supp) USING (supp)", OBS, "price_disc")
+def reg04(spark, sf):
+    o = gram_rows(observations(spark, sf))
+    columns = ["price", "price_disc"]
+    p = R.projection(R.gram(o, ["supp"], columns), ["supp"], columns, ["price"], ["price_disc"])
+    return R.residualize(o.select("supp", "ord", *columns), p, ["supp"], ["price"], ["price_disc"]).select("ord", "price_disc")
+
+
+@query("reg05_coverage", "SELECT supp, corr(price, y) ** 2 AS r2_h FROM obs GROUP BY supp", OBS, "r2_h")
+def reg05(spark, sf):
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], GRAM_COLUMNS)
+    return R.coverage(g, ["supp"], GRAM_COLUMNS, ["one", "price"], BASIS, Y).select("supp", "r2_h")
+
+
+@query("reg05_coverage_with_basis")
+def reg05b(spark, sf):
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], GRAM_COLUMNS)
+    return R.coverage(g, ["supp"], GRAM_COLUMNS, ["one", "price"], BASIS, Y)
+
+
+@query("reg06_canonical_correlation", "SELECT supp, abs(corr(price, y)) AS correlation FROM obs GROUP BY supp", OBS, "correlation")
+def reg06(spark, sf):
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], ["one", "price", "y"])
+    return R.canonical_correlation(g, ["supp"], ["one", "price", "y"], ["price"], ["y"])
+
+
+CAL = "SELECT batch_id, min(loss) AS loss, arg_min(theta, loss) AS theta FROM (SELECT batch_id, 0.8 + 0.02 * k AS theta, avg((y - (0.8 + 0.02 * k) * price) ** 2) AS loss FROM obs, range(21) r(k) GROUP BY batch_id, k) GROUP BY batch_id"
+
+
+@query("reg07_calibration", CAL, OBS, "loss theta")
+def reg07(spark, sf):
+    return R.calibrate(observations(spark, sf), ["batch_id"], "y", lambda t: t * F.col("price"), *BOX, points=21)
+
+
+@query("reg07_calibration_rounds")
+def reg07r(spark, sf):
+    return R.calibrate(observations(spark, sf), ["supp"], "y", lambda t: t * F.col("price"), *BOX, points=21, rounds=3)
+
+
+@query("reg08_sensitivity", "SELECT supp, sqrt(avg((0.4 * price) ** 2)) / 3 AS sensitivity FROM obs GROUP BY supp", OBS, "sensitivity")
+def reg08(spark, sf):
+    return R.sensitivity(observations(spark, sf), ["supp"], lambda t: t * F.col("price"), *BOX, 3.0)
+
+
+SCALE = """SELECT batch_id, target, scale, correlation, gap, lowest, highest FROM (
+  SELECT *, abs(correlation - target) AS gap, row_number() OVER (PARTITION BY batch_id, target ORDER BY abs(correlation - target), scale) AS p,
+         min(correlation) OVER (PARTITION BY batch_id, target) AS lowest, max(correlation) OVER (PARTITION BY batch_id, target) AS highest
+  FROM (SELECT batch_id, pow(10::DOUBLE, -1 + 0.25 * k) AS scale, corr(price + pow(10::DOUBLE, -1 + 0.25 * k) * (qty * (20 * disc - 1)), y) AS correlation FROM obs, range(13) r(k) GROUP BY batch_id, k), (VALUES (0.9::DOUBLE), (0.7), (0.5)) t(target)) WHERE p = 1"""
+
+
+@query("reg09_scale_calibration", SCALE, OBS, "scale correlation gap lowest highest")
+def reg09(spark, sf):
+    o = observations(spark, sf).withColumn("shift", F.col("qty") * (20 * F.col("disc") - 1))
+    return R.calibrate_scale(o, ["batch_id"], "price", "shift", "y", [0.9, 0.7, 0.5], log_grid(-1.0, 2.0, 13))
+
+
+def weak_grams(spark, sf):
+    """One row a batch and size with the labeled, weak, validation and refit triangles."""
+    columns = [*SHAPE, *BASIS, Y]
+    s = gram_rows(split(spark, sf))
+    part = lambda rows, n: R.gram(rows, ["batch_id", "n_labeled"], columns).select("batch_id", "n_labeled", F.col("xtx").alias(n), F.col("n").alias("n_validation" if n == "validation" else f"rows_{n}"))
+    train, validation, both = part(s.where("role = 'train'"), "labeled"), part(s.where("role = 'validation'"), "validation"), part(s, "refit")
+    # weak rows carry the reference score at theta 1 instead of the measured y
+    weak = gram_rows(by_role(observations(spark, sf), ["weak"])).withColumn("y", F.col("price"))
+    w = R.gram(weak, ["batch_id"], columns).select("batch_id", F.col("xtx").alias("weak"), F.col("n").alias("n_weak"))
+    return train.join(validation, ["batch_id", "n_labeled"]).join(both, ["batch_id", "n_labeled"]).join(w, "batch_id")
+
+
+def candidates(grams, weak=(0.0, 0.01, 0.1), l1=(0.0, 0.01), group=(0.0, 0.01), starts=(0.9, 1.1)):
+    grid = joins.candidate_grid(grams, weak_weight=list(weak), l1=list(l1), group_weight=list(group), ridge=[1e-3], theta0=list(starts))
+    # candidates run in parallel: one Gram row each, dealt over the cluster
+    return grid.withColumn("weak_weight", F.col("weak_weight") * F.col("n_labeled") / F.col("n_weak")).repartition("batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "theta0")
+
+
+KEEP = ["batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "ridge", "theta0"]
+
+
+def weak_fits(spark, sf, fixed=False):
+    return R.fit_weak(candidates(weak_grams(spark, sf)), KEEP, SHAPE, ["price"], BASIS, BOX, fixed)
+
+
+@query("reg10_weak_fit")
+def reg10(spark, sf):
+    return weak_fits(spark, sf).drop("history")
+
+
+@query("reg11_ridge_block", "SELECT supp, sum(price * disc * (y / 50 - price / 50)) / (sum((price * disc) ** 2) + 0.5) AS d FROM obs GROUP BY supp", OBS, "d")
+def reg11(spark, sf):
+    o = gram_rows(observations(spark, sf))
+    return R.ridge_one(o, ["supp"], "price_disc", F.col("y") - F.col("price"), 0.5)
+
+
+@query("reg12_objective", "SELECT batch_id, labeled_term, weak_term, 0.012::DOUBLE AS l1_term, labeled_term + weak_term + 0.012 AS objective FROM (SELECT batch_id, 0.5 * sum(CASE WHEN role = 'labeled' THEN e * e ELSE 0 END) AS labeled_term, 0.1 * 0.5 * sum(CASE WHEN role = 'labeled' THEN 0 ELSE e * e END) AS weak_term FROM (SELECT batch_id, role, CASE WHEN role = 'labeled' THEN y ELSE price END - (0.2 + price) AS e FROM obs WHERE role <> 'test') GROUP BY batch_id)", OBS, "labeled_term weak_term l1_term objective", 4)
+def reg12(spark, sf):
+    o = observations(spark, sf).where("role <> 'test'")
+    labeled = F.col("role") == "labeled"
+    residual = F.when(labeled, F.col("y")).otherwise(F.col("price")) - (0.2 + F.col("price"))
+    return R.objective_terms(o, ["batch_id"], residual, labeled, 0.1, 0.01, [0.2, 1.0])
+
+
+@query("reg13_weak_refresh", "SELECT batch_id, sum(price / 50 * theta * price / 50) AS xy, max(abs(theta * price - price)) AS drift FROM obs JOIN (SELECT batch_id, regr_slope(y, price) AS theta FROM obs WHERE role = 'labeled' GROUP BY batch_id) USING (batch_id) WHERE role = 'weak' GROUP BY batch_id", OBS, "xy drift", 5)
+def reg13(spark, sf):
+    from plumbline.functions.registry import score_reference
+
+    o = observations(spark, sf)
+    theta = R.affine_align(by_role(o, ["labeled"]), ["batch_id"], "y", "price").select("batch_id", F.col("b").alias("theta"))
+    w = score_reference(joins.attach(by_role(o, ["weak"]), theta, ["batch_id"]), "list_price", F.col("theta"), "y_weak")
+    return w.groupBy("batch_id").agg(F.sum(F.col("price") / 50 * F.col("y_weak") / 50).alias("xy"), F.max(F.abs(F.col("y_weak") - F.col("price"))).alias("drift"))
+
+
+@query("reg14_output_mapping", "SELECT batch_id, n_labeled::INT AS n_labeled, regr_slope(y, 1.1 * price) AS b, regr_intercept(y, 1.1 * price) AS a FROM split WHERE role = 'train' GROUP BY ALL", SPLIT, "a b")
+def reg14(spark, sf):
+    s = split(spark, sf).where("role = 'train'").withColumn("score", 1.1 * F.col("price"))
+    return R.affine_align(s, ["batch_id", "n_labeled"], "y", "score")
+
+
+@query("reg15_fixed_theta")
+def reg15(spark, sf):
+    return weak_fits(spark, sf, fixed=True).drop("history")
+
+
+@query("reg16_grouped_scoring", "SELECT ord, a + b * price AS pred FROM obs JOIN (SELECT batch_id, regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM obs WHERE role = 'labeled' GROUP BY batch_id) USING (batch_id) WHERE role = 'test'", OBS, "pred")
+def reg16(spark, sf):
+    o = observations(spark, sf).withColumn("one", F.lit(1.0))
+    m = R.affine_align(by_role(o, ["labeled"]), ["batch_id"], "y", "price")
+    m = m.select("batch_id", F.array(F.col("a"), F.col("b"), F.lit(0.0)).alias("g"), F.array().cast("array<double>").alias("d"), F.lit(1.0).alias("theta"))
+    return R.predict(by_role(o, ["test"]), m, ["batch_id"], ["one", "price"], ["price"], []).select("ord", "pred")
+
+
+ACTIVE = "SELECT batch_id, n_labeled::INT AS n_labeled, concat_ws(',', CASE WHEN abs(a) > 1 THEN 'a' END, CASE WHEN abs(b) > 1 THEN 'b' END) AS active, concat_ws(',', CASE WHEN abs(a) <= 1 THEN 'a' END, CASE WHEN abs(b) <= 1 THEN 'b' END) AS dropped FROM arms WHERE model = 'affine'"
+
+
+@query("reg17_active_features", ACTIVE, ARMS)
+def reg17(spark, sf):
+    f = fits(split(spark, sf)).where("model = 'affine'").withColumn("coef", F.array("a", "b"))
+    return R.active_features(f, ["batch_id", "n_labeled"], ["a", "b"], "coef", 1.0)
+
+
+@query("reg18_search")
+def reg18(spark, sf):
+    return R.tune(weak_fits(spark, sf), ["batch_id", "n_labeled"]).drop("history")
+
+
+OSE = """SELECT n_labeled::INT AS n_labeled, weak_weight, l1, group_weight, mse FROM (
+  SELECT *, row_number() OVER (PARTITION BY n_labeled ORDER BY weak_weight DESC, l1 DESC, group_weight DESC, mse) AS p FROM (
+    SELECT *, min(mse) OVER (PARTITION BY n_labeled) AS low, arg_min(sd / sqrt(5), mse) OVER (PARTITION BY n_labeled) AS se FROM (
+      SELECT n_labeled, CASE model WHEN 'reference' THEN 1.0::DOUBLE WHEN 'affine' THEN 0.0 WHEN 'ratio' THEN 0.1 ELSE 10.0 END AS weak_weight, 0.0::DOUBLE AS l1, 0.0::DOUBLE AS group_weight, avg(mse) AS mse, stddev_samp(mse) AS sd FROM metrics GROUP BY n_labeled, model)) WHERE mse <= low + se) WHERE p = 1"""
+
+
+@query("reg19_one_standard_error", OSE, ARMS, "mse")
+def reg19(spark, sf):
+    weight = F.when(F.col("model") == "reference", 1.0).when(F.col("model") == "affine", 0.0).when(F.col("model") == "ratio", 0.1).otherwise(10.0)
+    c = arm_metrics(spark, sf).groupBy("n_labeled", weight.alias("weak_weight")).agg(F.avg("mse").alias("mse"), F.stddev_samp("mse").alias("sd"), F.count(F.lit(1)).alias("n"))
+    c = c.withColumn("l1", F.lit(0.0)).withColumn("group_weight", F.lit(0.0))
+    return R.one_standard_error(c, ["n_labeled"], "mse", "sd", "n").select("n_labeled", "weak_weight", "l1", "group_weight", "mse")
+
+
+@query("reg20_refit")
+def reg20(spark, sf):
+    g = weak_grams(spark, sf)
+    best = R.tune(R.fit_weak(candidates(g), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
+    again = g.select("batch_id", "n_labeled", F.col("refit").alias("labeled"), "weak", F.lit(None).cast("array<double>").alias("validation"), F.lit(0).cast("long").alias("n_validation"))
+    again = again.join(best.select(*KEEP), ["batch_id", "n_labeled"])
+    return R.choose_refit(best, R.fit_weak(again, KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
+
+
+RIDGE = ", f AS (SELECT batch_id, n_labeled, alpha, sum(price * y) / (sum(price * price) + any_value(alpha)) AS b FROM split, (VALUES (0.0::DOUBLE), (100.0), (10000.0)) a(alpha) WHERE role = 'train' GROUP BY ALL), v AS (SELECT batch_id, n_labeled, alpha, b, avg((y - b * price) ** 2) AS loss FROM split JOIN f USING (batch_id, n_labeled) WHERE role = 'validation' GROUP BY ALL)"
+
+
+@query("reg21_ridge_baseline", "SELECT batch_id, n_labeled::INT AS n_labeled, alpha, b, loss FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, n_labeled ORDER BY loss, alpha) AS p FROM v) WHERE p = 1", SPLIT + RIDGE, "b loss")
+def reg21(spark, sf):
+    s = joins.candidate_grid(split(spark, sf), alpha=[0.0, 100.0, 10000.0])
+    g = ["batch_id", "n_labeled", "alpha"]
+    f = s.where("role = 'train'").groupBy(*g).agg((F.sum(F.col("price") * F.col("y")) / (F.sum(F.col("price") * F.col("price")) + F.col("alpha"))).alias("b"))
+    v = s.where("role = 'validation'").join(f, g).groupBy(*g, "b").agg(F.avg((F.col("y") - F.col("b") * F.col("price")) ** 2).alias("loss"))
+    best = v.groupBy("batch_id", "n_labeled").agg(F.min(F.struct("loss", "alpha", "b")).alias("x"))
+    return best.select("batch_id", "n_labeled", "x.alpha", "x.b", "x.loss")
+
+
+def tree_metrics(spark, sf, grid, target="y"):
+    o = observations(spark, sf)
+    digit = F.substring("ord", 2, 1) < "c"
+    labeled = by_role(o, ["labeled"])
+    scored = R.ml_baseline(labeled.where(digit), labeled.where(~digit), by_role(o, ["test"]), ["price", "qty", "disc", "tax"], target, grid)
+    return M.regression_metrics(scored, ["batch_id"])
+
+
+@query("reg22_decision_tree")
+def reg22(spark, sf):
+    from pyspark.ml.regression import DecisionTreeRegressor as T
+
+    return tree_metrics(spark, sf, [T(labelCol="y", maxDepth=d, minInstancesPerNode=m, seed=1) for d in (3, 6) for m in (1, 5)])
+
+
+@query("reg23_random_forest")
+def reg23(spark, sf):
+    from pyspark.ml.regression import RandomForestRegressor as T
+
+    return tree_metrics(spark, sf, [T(labelCol="y", numTrees=200, maxDepth=6, seed=1)])
+
+
+@query("reg24_gradient_boosting")
+def reg24(spark, sf):
+    from pyspark.ml.regression import GBTRegressor as T
+
+    return tree_metrics(spark, sf, [T(labelCol="y", maxIter=n, stepSize=s, maxDepth=d, seed=1) for n in (5, 10) for s in (0.1, 0.3) for d in (2, 3)])
+
+
+@query("reg25_two_stage")
+def reg25(spark, sf):
+    """Calibrate theta, then model what the score leaves with a ridge on discount and tax."""
+    o = gram_rows(observations(spark, sf))
+    labeled, test = by_role(o, ["labeled"]), by_role(o, ["test"])
+    theta = R.calibrate(labeled, ["batch_id"], "y", lambda t: t * F.col("price"), *BOX, points=21, rounds=2).select("batch_id", "theta")
+    rest = labeled.join(theta, "batch_id").withColumn("r", F.col("y") - F.col("theta") * F.col("price"))
+    g = R.gram(rest, ["batch_id"], [*BASIS, "r"])
+    d = R.ols(g, ["batch_id"], [*BASIS, "r"], BASIS, "r", ridge=1e-3).select("batch_id", "coef")
+    out = test.join(theta, "batch_id").join(d, "batch_id")
+    pred = F.col("theta") * F.col("price") + F.element_at("coef", 1) * F.col("price_disc") + F.element_at("coef", 2) * F.col("price_tax")
+    return M.regression_metrics(out.withColumn("pred", pred), ["batch_id"])
+
+
+@query("reg26_reference_baseline", "SELECT batch_id, avg((y - price) ** 2) AS mse, sqrt(avg((y - price) ** 2)) AS rmse, avg(abs(y - price)) AS mae FROM obs WHERE role = 'test' GROUP BY batch_id", OBS, "mse rmse mae")
+def reg26(spark, sf):
+    from plumbline.functions.registry import score_reference
+
+    return M.regression_metrics(score_reference(by_role(observations(spark, sf), ["test"]), "list_price", 1.0, "pred"), ["batch_id"])
+
+
+DIAG = """SELECT repeat, n_labeled::INT AS n_labeled, 1 - sum((y - pred) ** 2) / nullif(var_pop(y) * count(y), 0) AS r2, sqrt(sum((b * price_) ** 2)) AS component, sqrt(avg((y - pred) ** 2)) AS residual, bool_or(abs(b - 0.8) < 1e-3 OR abs(b - 1.2) < 1e-3) AS boundary
+FROM (SELECT *, (pred - a) / b AS price_ FROM scored WHERE model = 'affine') GROUP BY ALL"""
+
+
+@query("reg27_diagnostics", DIAG, ARMS, "r2 component residual", 5)
+def reg27(spark, sf):
+    g = ["repeat", "n_labeled"]
+    f = fits(split(spark, sf)).where("model = 'affine'").withColumnRenamed("batch_id", "repeat").drop("model")
+    s = scored(spark, sf).where("model = 'affine'").join(f, g).withColumn("part", F.col("pred") - F.col("a"))
+    at = s.groupBy(*g).agg(F.sqrt(F.avg((F.col("y") - F.col("pred")) ** 2)).alias("residual"), F.bool_or((F.abs(F.col("b") - BOX[0]) < 1e-3) | (F.abs(F.col("b") - BOX[1]) < 1e-3)).alias("boundary"))
+    return M.r_squared(s, g).join(M.magnitudes(s, g, "part").select(*g, F.col("l2").alias("component")), g).join(at, g)
+
+

@@ -1 +1,554 @@
-"""queries"""
+"""Queries of windows, top-k, set operations, reshaping, scalar functions, paired tests, gates, protocols
+and user-defined libraries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions import expressions as X
+from plumbline.functions import registry
+from plumbline.operators import gates as G
+from plumbline.operators import joins, paired, reshape, windows
+from plumbline.operators import metrics as M
+from plumbline.operators import regression as R
+from plumbline.operators.splits import by_role
+from plumbline.plans.catalog import query
+from plumbline.plans.data_queries import BEST, PAIRS
+from plumbline.plans.fit_queries import BASIS, BOX, KEEP, SHAPE, candidates, weak_grams
+from plumbline.plans.stat_queries import gram_rows
+from plumbline.plans.tables import ARMS, OBS, SIZES, arm_metrics, fits, observations, scored, split, table
+
+KEYS = ["repeat", "n_labeled"]
+
+
+def p4(t: str) -> str:
+    """Student's t distribution function for four degrees of freedom, as SQL."""
+    return f"(0.5 + 0.5 * (({t}) / sqrt(4 + ({t}) * ({t}))) * (1 + 2 / (4 + ({t}) * ({t}))))"
+
+
+Q4 = 2.7764451051977987  # the 0.975 quantile for four degrees of freedom
+
+
+def wide(left="affine", right="reference", metric="rmse"):
+    return f"(SELECT repeat, n_labeled, l.{metric} AS left_value, r.{metric} AS right_value FROM (SELECT * FROM metrics WHERE model = '{left}') l JOIN (SELECT * FROM metrics WHERE model = '{right}') r USING (repeat, n_labeled))"
+
+
+def ttest(source: str, g: str, less: bool = True) -> str:
+    p = p4("statistic")
+    return f"SELECT *, {p if less else '1 - ' + p} AS p_value FROM (SELECT {g}{', ' if g else ''}count(*) AS n_pairs, avg(left_value - right_value) AS mean_difference, avg(left_value - right_value) / (stddev_samp(left_value - right_value) / sqrt(count(*))) AS statistic FROM {source} {'GROUP BY ' + g if g else ''})"
+
+
+def holm_sql(source: str, family: str = "") -> str:
+    part = f"PARTITION BY {family}" if family else ""
+    return f"SELECT * EXCLUDE (step), max(step) OVER ({part} ORDER BY p_value ROWS UNBOUNDED PRECEDING) AS p_value_holm FROM (SELECT *, least(1.0, (count(*) OVER ({part}) - row_number() OVER ({part} ORDER BY p_value) + 1) * p_value) AS step FROM ({source}))"
+
+
+# windows -----------------------------------------------------------------------------------------
+@query("win01_holm", holm_sql(ttest("pairs", "n_labeled")).replace("SELECT * EXCLUDE (step)", "SELECT * EXCLUDE (step, n_labeled), n_labeled::INT AS n_labeled"), ARMS + PAIRS, "mean_difference statistic p_value p_value_holm")
+def win01(spark, sf):
+    return windows.holm(paired.paired_t(joins.pair_arms(arm_metrics(spark, sf), "affine", "reference", "rmse", KEYS), ["n_labeled"]), [])
+
+
+@query("win02_rank", "SELECT model, repeat, n_labeled::INT AS n_labeled, rank() OVER (PARTITION BY repeat, n_labeled ORDER BY mse)::INT AS rank FROM metrics", ARMS)
+def win02(spark, sf):
+    return windows.rank_of(arm_metrics(spark, sf), KEYS, "mse").select("model", "repeat", "n_labeled", "rank")
+
+
+@query("win03_stagnation", "SELECT event_id, coalesce(count(value) OVER w = 5 AND (max(value) OVER w - min(value) OVER w) / greatest(1, abs(avg(value) OVER w)) < 1.0, false) AS stagnant FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def win03(spark, sf):
+    return windows.stagnation(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 1.0).select("event_id", F.coalesce("stagnant", F.lit(False)).alias("stagnant"))
+
+
+@query("win04_relative_change", "SELECT event_id, abs(value - lag(value) OVER w) / greatest(1, abs(lag(value) OVER w)) AS change FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", "", "change")
+def win04(spark, sf):
+    return windows.relative_change(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "change")
+
+
+@query("win05_version_drift", "SELECT n_labeled::INT AS n_labeled, max(d) AS drift FROM (SELECT n_labeled, abs(pred - lag(pred) OVER (PARTITION BY repeat, ord ORDER BY n_labeled)) AS d FROM scored WHERE model = 'affine') GROUP BY n_labeled", ARMS, "drift")
+def win05(spark, sf):
+    return windows.version_drift(scored(spark, sf).where("model = 'affine'"), ["repeat", "ord"], "n_labeled", "pred")
+
+
+@query("win06_endpoint_change", "SELECT model, arg_max(m, n_labeled) - arg_min(m, n_labeled) AS change FROM (SELECT model, n_labeled, avg(rmse) AS m FROM metrics GROUP BY ALL) GROUP BY model", ARMS, "change")
+def win06(spark, sf):
+    return windows.endpoint_change(arm_metrics(spark, sf), ["model"], "n_labeled", "rmse")
+
+
+@query("win07_strict_order", "SELECT model, bool_and(coalesce(m > before, true)) AS rising FROM (SELECT model, m, lag(m) OVER (PARTITION BY model ORDER BY n_labeled) AS before FROM (SELECT model, n_labeled, avg(mae) AS m FROM metrics GROUP BY ALL)) GROUP BY model", ARMS)
+def win07(spark, sf):
+    m = arm_metrics(spark, sf).groupBy("model", "n_labeled").agg(F.avg("mae").alias("m"))
+    return windows.strictly_rising(m, ["model"], "n_labeled", "m")
+
+
+# top-k -------------------------------------------------------------------------------------------
+@query("top01_largest_coefficients", "SELECT vec_id, string_agg('e' || (i - 1), ',' ORDER BY p) AS top, bool_or(i IN (1, 2, 3, 4)) AS hit FROM (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY abs(x) DESC, i) AS p FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) WHERE p <= 3 GROUP BY vec_id")
+def top01(spark, sf):
+    names = [f"e{i}" for i in range(64)]
+    return windows.top_named(table(spark, sf, "embeddings"), "embedding", names, 3, names[:4]).select("vec_id", "top", "hit")
+
+
+@query("top02_first_crossover", "SELECT repeat, min(CASE WHEN left_value <= right_value THEN n_labeled END)::INT AS crossover FROM pairs GROUP BY repeat", ARMS + PAIRS)
+def top02(spark, sf):
+    return windows.first_crossover(joins.pair_arms(arm_metrics(spark, sf), "affine", "reference", "rmse", KEYS), ["repeat"], "n_labeled", "left_value", "right_value")
+
+
+@query("top03_representative_sizes", "SELECT CASE WHEN count(DISTINCT n_labeled) FILTER (n_labeled IN (10, 50, 100)) = 3 THEN '10,50,100' ELSE '10,30,120' END AS sizes FROM metrics", ARMS)
+def top03(spark, sf):
+    return windows.representative_sizes(arm_metrics(spark, sf), "n_labeled", [10, 50, 100])
+
+
+@query("top04_ranking", "SELECT nation, value, row_number() OVER (ORDER BY value DESC, nation)::INT AS place FROM (SELECT nation, max(y) AS value FROM obs GROUP BY nation) ORDER BY value DESC, nation LIMIT 5", OBS, "value")
+def top04(spark, sf):
+    m = observations(spark, sf).groupBy("nation").agg(F.max("y").alias("m"))
+    return windows.ranking(m, "nation", F.col("m"), 5)
+
+
+# set operations and reshaping --------------------------------------------------------------------
+@query("set01_artifact_union", "SELECT model, repeat, n_labeled::INT AS n_labeled, mse, NULL::DOUBLE AS best FROM metrics UNION ALL SELECT model, NULL, n_labeled, NULL, mean FROM best", ARMS + BEST, "mse best")
+def set01(spark, sf):
+    m = arm_metrics(spark, sf)
+    return reshape.union_parts([m.select("model", "repeat", "n_labeled", "mse"), M.best_of(m).withColumnRenamed("mean", "best")])
+
+
+@query("set02_fidelity_stack", "SELECT role AS fidelity, count(*) AS n, avg(CASE WHEN role = 'weak' THEN price ELSE y END) AS y FROM obs WHERE role <> 'test' GROUP BY role", OBS, "y")
+def set02(spark, sf):
+    o = observations(spark, sf).select("role", "price", "y")
+    s = reshape.stack_fidelity(by_role(o, ["labeled"]), by_role(o, ["weak"]).withColumn("y", F.col("price")))
+    return s.groupBy("fidelity").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"))
+
+
+@query("set03_common_repeats", "SELECT arm, repeat, n_labeled::INT AS n_labeled, mse FROM (SELECT 'a' AS arm, * FROM metrics WHERE model = 'affine' UNION ALL SELECT 'b', * FROM metrics WHERE model = 'ratio' AND repeat <> 'ASIA') WHERE repeat <> 'ASIA'", ARMS, "mse")
+def set03(spark, sf):
+    m = arm_metrics(spark, sf)
+    arms = {"a": m.where("model = 'affine'"), "b": m.where("model = 'ratio' AND repeat <> 'ASIA'")}
+    return reshape.common_repeats(arms, "repeat").select("arm", "repeat", "n_labeled", "mse")
+
+
+@query("set04_tuple_intersection", "SELECT count(*) AS shared FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A')")
+def set04(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return reshape.shared_tuples(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), ["l_partkey", "l_suppkey"])
+
+
+CELLS = ", ".join(f"avg(rmse) FILTER (n_labeled = {s}) AS n_labeled_{s}" for s in SIZES)
+
+
+@query("piv01_repeat_by_size", f"SELECT *, n_labeled_120 - n_labeled_10 AS difference FROM (SELECT repeat, {CELLS} FROM metrics WHERE model = 'affine' GROUP BY repeat)", ARMS, " ".join(f"n_labeled_{s}" for s in SIZES) + " difference")
+def piv01(spark, sf):
+    return reshape.pivot_difference(arm_metrics(spark, sf).where("model = 'affine'"), ["repeat"], "n_labeled", SIZES, "rmse", 120, 10)
+
+
+MODELS = ["affine", "mean", "ratio", "reference"]
+
+
+@query("piv02_models_wide", "SELECT *, model_affine - model_reference AS difference FROM (SELECT repeat, n_labeled::INT AS n_labeled, " + ", ".join(f"avg(mae) FILTER (model = '{m}') AS model_{m}" for m in MODELS) + " FROM metrics WHERE n_labeled = 60 GROUP BY ALL)", ARMS, " ".join(f"model_{m}" for m in MODELS) + " difference")
+def piv02(spark, sf):
+    return reshape.pivot_difference(arm_metrics(spark, sf), KEYS, "model", MODELS, "mae", "affine", "reference").where("n_labeled = 60")
+
+
+SEGMENTS = {"small": (10, 30), "large": (60, 120)}
+SEG = "(SELECT model, repeat, avg(m) FILTER (n_labeled BETWEEN 10 AND 30) AS small, avg(m) FILTER (n_labeled BETWEEN 60 AND 120) AS large FROM (SELECT model, repeat, n_labeled, avg(rmse) AS m FROM metrics GROUP BY ALL) GROUP BY ALL)"
+
+
+@query("piv03_segment_means", f"SELECT * FROM {SEG}", ARMS, "small large")
+def piv03(spark, sf):
+    return reshape.segment_means(arm_metrics(spark, sf), ["model", "repeat"], "n_labeled", "rmse", SEGMENTS)
+
+
+@query("piv04_vector_rows", "SELECT vec_id, true AS same, 64 AS places FROM embeddings")
+def piv04(spark, sf):
+    e = table(spark, sf, "embeddings")
+    back = reshape.rows_vector(reshape.vector_rows(e, "vec_id", "embedding"), "vec_id")
+    return e.join(back, "vec_id").select("vec_id", (F.col("vec") == F.col("embedding")).alias("same"), F.size("vec").alias("places"))
+
+
+# scalar functions --------------------------------------------------------------------------------
+@query("scl01_math", "SELECT ord, abs(price - y) AS a, sqrt(size) AS s, exp(-disc) AS e, size ** -0.3 AS p, sign(y - price)::DOUBLE AS g FROM obs", OBS, "s e p", 7)
+def scl01(spark, sf):
+    return observations(spark, sf).select("ord", F.abs(F.col("price") - F.col("y")).alias("a"), F.sqrt("size").alias("s"), F.exp(-F.col("disc")).alias("e"), F.pow("size", F.lit(-0.3)).alias("p"), F.signum(F.col("y") - F.col("price")).alias("g"))
+
+
+@query("scl02_guards", "SELECT ord, CASE WHEN abs(y - price) >= 1 THEN y - price WHEN y - price < 0 THEN -1.0 ELSE 1.0 END AS floored, exp(greatest(-2.0::DOUBLE, least(2.0::DOUBLE, qty - 25))) AS saturated FROM obs", OBS, "floored saturated", 10)
+def scl02(spark, sf):
+    return observations(spark, sf).select("ord", X.signed_floor(F.col("y") - F.col("price"), 1.0).alias("floored"), X.saturating_exp(F.col("qty") - 25, 2.0).alias("saturated"))
+
+
+@query("scl03_half_even", "SELECT ord, round_even(qty / 2, 0)::BIGINT AS r FROM obs", OBS)
+def scl03(spark, sf):
+    return observations(spark, sf).select("ord", X.half_even(F.col("qty") / 2).alias("r"))
+
+
+@query("scl04_log_grid", "SELECT l_suppkey, k AS place, max(l_extendedprice) * pow(10::DOUBLE, -2 + 0.5 * k) AS scale FROM lineitem, range(9) r(k) GROUP BY l_suppkey, k", "", "scale", 4)
+def scl04(spark, sf):
+    g = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.max("l_extendedprice").alias("m"))
+    return g.select("l_suppkey", "m", F.posexplode(X.log_grid(-2.0, 2.0, 9)).alias("place", "x")).select("l_suppkey", F.col("place").cast("long").alias("place"), (F.col("m") * F.col("x")).alias("scale"))
+
+
+@query("scl05_json", "SELECT event_id, '{\"type\":\"' || event_type || '\",\"k\":' || CAST(props->>'k' AS INT) || '}' AS payload, coalesce(CAST(props->>'missing' AS INT), -1) AS missing FROM events")
+def scl05(spark, sf):
+    k = F.from_json("props", "k int")["k"]
+    return table(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), k.alias("k"))).alias("payload"), F.coalesce(F.get_json_object("props", "$.missing").cast("int"), F.lit(-1)).alias("missing"))
+
+
+@query("scl06_strings", "SELECT s_suppkey, 'batch_' || lpad(s_suppkey::VARCHAR, 4, '0') AS id, printf('%d-%d', s_nationkey, s_nationkey + 10) AS range, starts_with(s_name, 'S') AS named FROM supplier")
+def scl06(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("batch_"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("id"), F.format_string("%d-%d", F.col("s_nationkey"), F.col("s_nationkey") + 10).alias("range"), F.col("s_name").startswith("S").alias("named"))
+
+
+@query("scl07_arrays", "SELECT vec_id, arg_max(i, (x, -i))::INT AS largest, arg_min(i, (x, i))::INT AS smallest, max(x) FILTER (i = 0) AS first, max(x) FILTER (i = 63) AS last FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY vec_id", "", "first last")
+def scl07(spark, sf):
+    pairs = F.array_sort(F.transform("embedding", lambda x, i: F.struct(x.cast("double").alias("x"), i.alias("i"))))
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    return table(spark, sf, "embeddings").select("vec_id", F.element_at(pairs, -1)["i"].alias("largest"), F.element_at(pairs, 1)["i"].alias("smallest"), at(1).alias("first"), at(-1).alias("last"))
+
+
+# paired tests ------------------------------------------------------------------------------------
+T = "mean_difference statistic p_value"
+
+
+def pairs_of(spark, sf, right="reference", metric="rmse"):
+    return joins.pair_arms(arm_metrics(spark, sf), "affine", right, metric, KEYS)
+
+
+for _side in ("less", "greater"):
+    query(f"tst01_paired_t_{_side}", "SELECT * REPLACE (n_labeled::INT AS n_labeled) FROM (" + ttest("pairs", "n_labeled", _side == "less") + ")", ARMS + PAIRS, T)(lambda spark, sf, side=_side: paired.paired_t(pairs_of(spark, sf), ["n_labeled"], side))
+
+
+@query("tst02_t_distribution", "SELECT event_id, " + p4("(value - 245) / 100") + " AS p FROM events", "", "p")
+def tst02(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.t_cdf((F.col("value") - 245) / 100, F.lit(4)).alias("p"))
+
+
+EFFECT = f"SELECT n_labeled::INT AS n_labeled, n, mean, sd, mean - {Q4} * sd / sqrt(5) AS low, mean + {Q4} * sd / sqrt(5) AS high, mean / sd AS dz, share_negative FROM (SELECT n_labeled, count(*) AS n, avg(left_value - right_value) AS mean, stddev_samp(left_value - right_value) AS sd, avg((left_value < right_value)::INT::DOUBLE) AS share_negative FROM pairs GROUP BY n_labeled)"
+
+
+@query("tst03_effects", EFFECT, ARMS + PAIRS, "mean sd low high dz share_negative")
+def tst03(spark, sf):
+    return paired.effects(pairs_of(spark, sf), ["n_labeled"])
+
+
+VALUES = ["mse", "rmse", "mae"]
+
+
+def family_sql(others, values, g="n_labeled", family=""):
+    parts = [f"SELECT *, 'affine vs {o}' AS comparison, '{v}' AS metric FROM ({ttest(wide('affine', o, v), g)})" for o in others for v in values]
+    return "SELECT * REPLACE (n_labeled::INT AS n_labeled) FROM (" + holm_sql(" UNION ALL ".join(parts), family) + ")"
+
+
+@query("tst04_label_count_family", family_sql(["mean", "ratio", "reference"], VALUES), ARMS, T + " p_value_holm")
+def tst04(spark, sf):
+    return paired.family(arm_metrics(spark, sf), "affine", ["mean", "ratio", "reference"], VALUES, KEYS, ["n_labeled"])
+
+
+def level_sql():
+    src = "(SELECT repeat, l.{v} AS left_value, r.{v} AS right_value FROM (SELECT * FROM metrics WHERE model = 'affine' AND n_labeled = 120) l JOIN (SELECT * FROM metrics WHERE model = '{o}' AND n_labeled = 120) r USING (repeat))"
+    return holm_sql(" UNION ALL ".join(f"SELECT *, 'affine vs {o}' AS comparison, '{v}' AS metric FROM ({ttest(src.format(o=o, v=v), '')})" for o in ("mean", "reference") for v in VALUES))
+
+
+@query("tst05_level_family", level_sql(), ARMS, T + " p_value_holm")
+def tst05(spark, sf):
+    return paired.family(arm_metrics(spark, sf).where("n_labeled = 120"), "affine", ["mean", "reference"], VALUES, ["repeat"], [])
+
+
+TOST = f"SELECT n_labeled::INT AS n_labeled, n_pairs, mean_difference, margin, greatest(1 - {p4('(mean_difference + margin) / se')}, {p4('(mean_difference - margin) / se')}) AS p_value, greatest(1 - {p4('(mean_difference + margin) / se')}, {p4('(mean_difference - margin) / se')}) < 0.05 AS equivalent FROM (SELECT n_labeled, count(*) AS n_pairs, avg(left_value - right_value) AS mean_difference, stddev_samp(left_value - right_value) / sqrt(count(*)) AS se, 0.1 * avg(left_value) AS margin FROM pairs GROUP BY n_labeled)"
+
+
+@query("tst06_equivalence", TOST, ARMS + PAIRS, "mean_difference margin p_value")
+def tst06(spark, sf):
+    return paired.equivalence(pairs_of(spark, sf), ["n_labeled"], 0.1)
+
+
+COMPARISONS = [("affine", "reference"), ("affine", "ratio"), ("affine", "mean"), ("ratio", "reference"), ("ratio", "mean"), ("reference", "mean")]
+
+
+def registered_sql():
+    src = "(SELECT repeat, l.rmse AS left_value, r.rmse AS right_value FROM (SELECT * FROM metrics WHERE model = '{a}' AND n_labeled = 60) l JOIN (SELECT * FROM metrics WHERE model = '{b}' AND n_labeled = 60) r USING (repeat))"
+    return holm_sql(" UNION ALL ".join(f"SELECT *, '{a} vs {b}' AS comparison FROM ({ttest(src.format(a=a, b=b), '')})" for a, b in COMPARISONS))
+
+
+@query("tst07_registered_family", registered_sql(), ARMS, T + " p_value_holm")
+def tst07(spark, sf):
+    m = arm_metrics(spark, sf).where("n_labeled = 60")
+    c = spark.createDataFrame(COMPARISONS, "a string, b string")
+    own = m.select("repeat", F.col("model").alias("a"), F.col("rmse").alias("left_value")).join(F.broadcast(c), "a")
+    both = own.join(m.select("repeat", F.col("model").alias("b"), F.col("rmse").alias("right_value")), ["repeat", "b"])
+    both = both.withColumn("comparison", F.concat_ws(" vs ", "a", "b"))
+    return windows.holm(paired.paired_t(both, ["comparison"]), [])
+
+
+@query("tst08_curve_family", family_sql(["ratio", "reference"], ["rmse"], "n_labeled", "comparison"), ARMS, T + " p_value_holm")
+def tst08(spark, sf):
+    return paired.family(arm_metrics(spark, sf), "affine", ["ratio", "reference"], ["rmse"], KEYS, ["n_labeled"], ["comparison"])
+
+
+SEGTEST = " UNION ALL ".join(f"SELECT *, '{s}' AS segment FROM ({ttest(f'(SELECT repeat, l.{s} AS left_value, r.{s} AS right_value FROM (SELECT * FROM seg WHERE model = {chr(39)}affine{chr(39)}) l JOIN (SELECT * FROM seg WHERE model = {chr(39)}reference{chr(39)}) r USING (repeat))', '')})" for s in ("small", "large"))
+
+
+@query("tst09_segment_tests", SEGTEST, ARMS + f", seg AS {SEG}", T)
+def tst09(spark, sf):
+    m = reshape.segment_means(arm_metrics(spark, sf), ["model", "repeat"], "n_labeled", "rmse", SEGMENTS)
+    return reshape.union_parts([paired.paired_t(joins.pair_arms(m, "affine", "reference", s, ["repeat"]), []).withColumn("segment", F.lit(s)) for s in SEGMENTS])
+
+
+@query(
+    "tst10_verdicts",
+    f"SELECT n_labeled, CASE WHEN mean < 0 AND p_value_holm < 0.05 AND abs(dz) >= 0.5 THEN 'better' WHEN mean < 0 AND p_value_holm < 0.05 THEN 'better, small' WHEN low <= 0 AND high >= 0 THEN 'no difference shown' WHEN mean > 0 THEN 'worse' ELSE 'open' END AS verdict FROM ({EFFECT}) JOIN (SELECT n_labeled, p_value_holm FROM ({holm_sql(ttest('pairs', 'n_labeled'))})) USING (n_labeled)",
+    ARMS + PAIRS,
+)
+def tst10(spark, sf):
+    p = pairs_of(spark, sf)
+    t = windows.holm(paired.paired_t(p, ["n_labeled"]), []).select("n_labeled", "p_value_holm")
+    e = paired.effects(p, ["n_labeled"]).join(t, "n_labeled")
+    return e.select("n_labeled", paired.verdict(F.col("mean"), F.col("p_value_holm"), F.col("low"), F.col("high"), F.col("dz")).alias("verdict"))
+
+
+@query("tst11_identifiability", "SELECT n_labeled::INT AS n_labeled, corr(a, b) AS correlation FROM arms WHERE model = 'affine' GROUP BY n_labeled", ARMS, "correlation")
+def tst11(spark, sf):
+    return M.correlation(fits(split(spark, sf)).where("model = 'affine'"), ["n_labeled"], "a", "b")
+
+
+# gates -------------------------------------------------------------------------------------------
+CURVES = "(SELECT n_labeled, avg(rmse) FILTER (model = 'affine') AS a, avg(rmse) FILTER (model = 'reference') AS r, avg(rmse) FILTER (model = 'mean') AS m FROM metrics GROUP BY n_labeled)"
+
+
+def gate_sql(name, value, ok, threshold, source, otherwise="fail"):
+    return f"SELECT '{name}' AS \"check\", CASE WHEN {ok} THEN 'pass' ELSE '{otherwise}' END AS status, ({value})::DOUBLE AS value, NULL::VARCHAR AS value_text, '{threshold}' AS threshold FROM {source}"
+
+
+@query(
+    "qa01_run_gates",
+    " UNION ALL ".join([
+        gate_sql("finite_metrics", "count(*) FILTER (mse IS NULL)", "count(*) FILTER (mse IS NULL) = 0", "= 0", "metrics"),
+        gate_sql("small_errors", "avg((rmse < 5)::INT::DOUBLE)", "avg((rmse < 5)::INT::DOUBLE) >= 0.95", ">= 0.95", "metrics WHERE model = 'affine'"),
+        gate_sql("large_share", "avg((mae > 2)::INT::DOUBLE)", "avg((mae > 2)::INT::DOUBLE) <= 0.25", "<= 0.25", "metrics WHERE model = 'affine'", "warn"),
+        gate_sql("endpoint_falls", "arg_max(a, n_labeled) - arg_min(a, n_labeled)", "arg_max(a, n_labeled) - arg_min(a, n_labeled) < 0", "< 0", CURVES),
+        gate_sql("level_order", "avg((a < m)::INT::DOUBLE)", "bool_and(a < m)", "every size", CURVES),
+        gate_sql("gap_at_largest", "arg_max(a - r, n_labeled)", "arg_max(a - r, n_labeled) < 0", "< 0", CURVES),
+    ]),
+    ARMS, "value",
+)
+def qa01(spark, sf):
+    m = arm_metrics(spark, sf)
+    a = m.where("model = 'affine'")
+    mean = lambda n: F.avg(F.when(F.col("model") == n, F.col("rmse")))
+    c = m.groupBy("n_labeled").agg(mean("affine").alias("a"), mean("reference").alias("r"), mean("mean").alias("m"))
+    bad, small, large = F.count_if(~X.is_finite("mse")), F.avg((F.col("rmse") < 5).cast("double")), F.avg((F.col("mae") > 2).cast("double"))
+    fall, gap = F.max_by("a", "n_labeled") - F.min_by("a", "n_labeled"), F.max_by(F.col("a") - F.col("r"), "n_labeled")
+    return G.run_gates([
+        G.gate(m, "finite_metrics", bad, bad == 0, "= 0"),
+        G.gate(a, "small_errors", small, small >= 0.95, ">= 0.95"),
+        G.gate(a, "large_share", large, large <= 0.25, "<= 0.25", "warn"),
+        G.gate(c, "endpoint_falls", fall, fall < 0, "< 0"),
+        G.gate(c, "level_order", F.avg((F.col("a") < F.col("m")).cast("double")), F.bool_and(F.col("a") < F.col("m")), "every size"),
+        G.gate(c, "gap_at_largest", gap, gap < 0, "< 0"),
+    ])
+
+
+@query(
+    "qa02_anchors",
+    " UNION ALL ".join([
+        gate_sql("correlation_range", "corr(price, y)", "corr(price, y) BETWEEN 0.9 AND 0.999", "0.9 to 0.999", "obs"),
+        gate_sql("noise_ratio", "stddev_pop(y - price) / 2", "stddev_pop(y - price) / 2 <= 2", "<= 2", "obs", "warn"),
+        gate_sql("sensitivity", "sqrt(avg((0.4 * price) ** 2)) / 3", "sqrt(avg((0.4 * price) ** 2)) / 3 > 1", "> 1", "obs"),
+        gate_sql("theta_effective", "regr_slope(y, price)", "false", "", "obs WHERE role = 'labeled'", "info"),
+        gate_sql("small_size_advantage", "avg(a - m)", "avg(a - m) < 0", "< 0", CURVES + " WHERE n_labeled = 10"),
+        gate_sql("physical_share", "avg(abs(0.9 * price) / abs(y))", "avg(abs(0.9 * price) / abs(y)) > 0.5", "> 0.5", "obs"),
+    ]),
+    ARMS, "value",
+)
+def qa02(spark, sf):
+    o, m = observations(spark, sf), arm_metrics(spark, sf)
+    r, noise, s = F.corr("price", "y"), F.stddev_pop(F.col("y") - F.col("price")) / 2, F.sqrt(F.avg((0.4 * F.col("price")) ** 2)) / 3
+    mean = lambda n: F.avg(F.when(F.col("model") == n, F.col("rmse")))
+    c = m.where("n_labeled = 10").groupBy("n_labeled").agg((mean("affine") - mean("mean")).alias("d"))
+    share = F.avg(F.abs(0.9 * F.col("price")) / F.abs("y"))
+    return G.run_gates([
+        G.gate(o, "correlation_range", r, r.between(0.9, 0.999), "0.9 to 0.999"),
+        G.gate(o, "noise_ratio", noise, noise <= 2, "<= 2", "warn"),
+        G.gate(o, "sensitivity", s, s > 1, "> 1"),
+        G.info(by_role(o, ["labeled"]), "theta_effective", F.regr_slope(F.col("y"), F.col("price"))),
+        G.gate(c, "small_size_advantage", F.avg("d"), F.avg("d") < 0, "< 0"),
+        G.gate(o, "physical_share", share, share > 0.5, "> 0.5"),
+    ])
+
+
+ACCEPT = """SELECT *, finite AND in_range AND noise_ok AND derived_ok AND correlation_ok AND isolated AS accepted FROM (
+SELECT batch_id, count(*) AS n, bool_and(y IS NOT NULL) AS finite, bool_and(price BETWEEN 0.8 AND 110) AS in_range, abs(avg(y - price * (1 - disc))) < 3 AND stddev_pop(y - price) < 5 AS noise_ok,
+       max(abs(y - price * (1 - disc) * (1 + tax))) < 1e-6 AS derived_ok, corr(price, y) BETWEEN 0.9 AND 0.9999 AS correlation_ok FROM obs GROUP BY batch_id)
+JOIN (SELECT batch_id, count(*) FILTER (k > 1) = 0 AS isolated FROM (SELECT batch_id, ord, count(DISTINCT role) AS k FROM obs GROUP BY ALL) GROUP BY batch_id) USING (batch_id)"""
+
+
+@query("qa03_batch_acceptance", ACCEPT, OBS)
+def qa03(spark, sf):
+    o = observations(spark, sf)
+    clean = F.col("price") * (1 - F.col("disc"))
+    e = F.col("y") - clean
+    checks = o.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(X.all_finite(["y", "price"])).alias("finite"), F.bool_and(F.col("price").between(0.8, 110)).alias("in_range"),
+        ((F.abs(F.avg(e)) < 3) & (F.stddev_pop(F.col("y") - F.col("price")) < 5)).alias("noise_ok"), (F.max(F.abs(F.col("y") - clean * (1 + F.col("tax")))) < 1e-6).alias("derived_ok"), F.corr("price", "y").between(0.9, 0.9999).alias("correlation_ok"),
+    )
+    apart = o.groupBy("batch_id", "ord").agg(F.count_distinct("role").alias("k")).groupBy("batch_id").agg((F.count_if(F.col("k") > 1) == 0).alias("isolated"))
+    out = checks.join(apart, "batch_id")
+    every = F.lit(True)
+    for c in ("finite", "in_range", "noise_ok", "derived_ok", "correlation_ok", "isolated"):
+        every = every & F.col(c)
+    return out.withColumn("accepted", every)
+
+
+@query("qa04_coverage_gate", "SELECT direction, quantile_cont(d, 0.95) AS p95, quantile_cont(d, 0.95) < 0.3 AS passed FROM (SELECT 'supplier to customer' AS direction, s_suppkey AS k, min(abs(s_acctbal - c_acctbal)) / 11000 AS d FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey UNION ALL SELECT 'customer to supplier', c_custkey, min(abs(s_acctbal - c_acctbal)) / 11000 FROM supplier JOIN customer ON s_nationkey = c_nationkey GROUP BY c_custkey) GROUP BY direction", "", "p95")
+def qa04(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 11000).alias("bal"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 11000).alias("bal"))
+    both = [joins.nearest(a, b, ["nation"], ["bal"], "id", "id").withColumn("direction", F.lit(n)) for n, a, b in (("supplier to customer", s, c), ("customer to supplier", c, s))]
+    q = M.quantiles(reshape.union_parts(both), ["direction"], F.col("distance"), {"p95": 0.95})
+    return q.withColumn("passed", F.col("p95") < 0.3)
+
+
+@query("qa05_weak_labels", "SELECT batch_id, max(abs(y - price * (1 - disc) * (1 + tax))) < 1e-9 AS consistent FROM obs GROUP BY batch_id", OBS)
+def qa05(spark, sf):
+    again = F.col("price") * (1 - F.col("disc")) * (1 + F.col("tax"))
+    return observations(spark, sf).groupBy("batch_id").agg((F.max(F.abs(F.col("y") - again)) < 1e-9).alias("consistent"))
+
+
+@query("qa06_tolerance_table", "SELECT model, value, expected, value - expected AS difference, CASE WHEN abs(value - expected) <= 1 THEN 'PASS' ELSE 'FAIL' END AS result FROM (SELECT model, avg(rmse) AS value FROM metrics WHERE n_labeled = 120 GROUP BY model) JOIN (VALUES ('affine', 3.0::DOUBLE), ('reference', 2.5)) e(model, expected) USING (model)", ARMS, "value expected difference")
+def qa06(spark, sf):
+    found = arm_metrics(spark, sf).where("n_labeled = 120").groupBy("model").agg(F.avg("rmse").alias("value"))
+    want = spark.createDataFrame([("affine", 3.0), ("reference", 2.5)], "model string, expected double")
+    return G.tolerance_table(found, F.broadcast(want), ["model"], 1.0)
+
+
+@query("qa07_selection_audit", "SELECT n_labeled::INT AS n_labeled, count(*) AS n, count(*) FILTER (model = 'affine') AS chosen_affine, avg((model = 'reference')::INT::DOUBLE) AS reference_rate, avg(mse) AS mean_loss, max(mse) AS max_loss FROM (SELECT *, row_number() OVER (PARTITION BY repeat, n_labeled ORDER BY mse, model) AS p FROM metrics) WHERE p = 1 GROUP BY n_labeled", ARMS, "reference_rate mean_loss max_loss")
+def qa07(spark, sf):
+    best = arm_metrics(spark, sf).groupBy("repeat", "n_labeled").agg(F.min(F.struct("mse", "model")).alias("b")).select("n_labeled", "b.*")
+    return best.groupBy("n_labeled").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("model") == "affine").alias("chosen_affine"), F.avg((F.col("model") == "reference").cast("double")).alias("reference_rate"), F.avg("mse").alias("mean_loss"), F.max("mse").alias("max_loss"))
+
+
+ABLATION = "SELECT model, avg(rmse) FILTER (n_labeled = 10) AS rmse_10, avg(rmse) FILTER (n_labeled = 120) AS rmse_120, avg(rmse) FILTER (n_labeled = 120) - (SELECT avg(rmse) FROM metrics WHERE model = 'reference' AND n_labeled = 120) AS gap, avg((mae < 2)::INT::DOUBLE) AS good_rate FROM metrics GROUP BY model"
+
+
+def ablation(spark, sf):
+    m = arm_metrics(spark, sf)
+    at = lambda n: F.avg(F.when(F.col("n_labeled") == n, F.col("rmse")))
+    arms = m.groupBy("model").agg(at(10).alias("rmse_10"), at(120).alias("rmse_120"), F.avg((F.col("mae") < 2).cast("double")).alias("good_rate"))
+    rival = arms.where("model = 'reference'").select(F.col("rmse_120").alias("rival"))
+    return arms.crossJoin(F.broadcast(rival)).select("model", "rmse_10", "rmse_120", (F.col("rmse_120") - F.col("rival")).alias("gap"), "good_rate")
+
+
+query("qa08_ablation_table", ABLATION, ARMS, "rmse_10 rmse_120 gap good_rate")(ablation)
+
+
+@query("qa09_unattained_targets", "SELECT batch_id, target, gap FROM (SELECT batch_id, target, min(abs(correlation - target)) AS gap FROM (SELECT batch_id, corr(price + pow(10::DOUBLE, -1 + 0.25 * k) * (qty * (20 * disc - 1)), y) AS correlation FROM obs, range(13) r(k) GROUP BY batch_id, k), (VALUES (0.9::DOUBLE), (0.7), (0.5)) t(target) GROUP BY ALL) WHERE gap > 0.02", OBS, "gap")
+def qa09(spark, sf):
+    o = observations(spark, sf).withColumn("shift", F.col("qty") * (20 * F.col("disc") - 1))
+    c = R.calibrate_scale(o, ["batch_id"], "price", "shift", "y", [0.9, 0.7, 0.5], X.log_grid(-1.0, 2.0, 13))
+    return G.unattained(c, 0.02).select("batch_id", "target", "gap")
+
+
+@query("qa10_alignment_audit", "SELECT n_labeled::INT AS n_labeled, avg(a) AS a_mean, stddev_samp(a) AS a_std, avg(b) AS b_mean, stddev_samp(b) AS b_std FROM arms WHERE model = 'affine' GROUP BY n_labeled", ARMS, "a_mean a_std b_mean b_std")
+def qa10(spark, sf):
+    f = fits(split(spark, sf)).where("model = 'affine'").select("n_labeled", F.to_json(F.struct("a", "b")).alias("details"))
+    f = f.withColumn("details", F.from_json("details", "a double, b double")).select("n_labeled", "details.*")
+    return M.summarize(f, ["n_labeled"], ("a", "b"))
+
+
+@query("qa11_box_boundary", "SELECT count(*) AS n, count(*) FILTER (theta > 1.0) AS above, median(theta - slope) AS median_gap, count(*) FILTER (abs(theta - 0.8) < 1e-3 OR abs(theta - 1.2) < 1e-3) AS at_bound FROM (SELECT supp, arg_min(theta, loss) AS theta FROM (SELECT supp, 0.8 + 0.02 * k AS theta, avg((y - (0.8 + 0.02 * k) * price) ** 2) AS loss FROM obs, range(21) r(k) GROUP BY supp, k) GROUP BY supp) JOIN (SELECT supp, sum(price * y) / sum(price * price) AS slope FROM obs GROUP BY supp) USING (supp)", OBS, "median_gap")
+def qa11(spark, sf):
+    o = observations(spark, sf)
+    c = R.calibrate(o, ["supp"], "y", lambda t: t * F.col("price"), *BOX, points=21)
+    true = o.groupBy("supp").agg((F.sum(F.col("price") * F.col("y")) / F.sum(F.col("price") * F.col("price"))).alias("slope"))
+    t = F.col("theta")
+    return c.join(true, "supp").agg(F.count(F.lit(1)).alias("n"), F.count_if(t > 1.0).alias("above"), F.median(t - F.col("slope")).alias("median_gap"), F.count_if((F.abs(t - BOX[0]) < 1e-3) | (F.abs(t - BOX[1]) < 1e-3)).alias("at_bound"))
+
+
+# protocols ---------------------------------------------------------------------------------------
+CURVE = "SELECT * REPLACE (n_labeled::INT AS n_labeled) FROM (" + holm_sql(ttest("pairs", "n_labeled")) + ")"
+
+
+def aligned_vs_reference(spark, sf):
+    """Seeded order, nested split, affine fit, scoring, metrics, paired t over regions, Holm over sizes."""
+    return windows.holm(paired.paired_t(pairs_of(spark, sf), ["n_labeled"]), [])
+
+
+query("entry_aligned_vs_reference", CURVE, ARMS + PAIRS, T + " p_value_holm")(aligned_vs_reference)
+
+
+@query("exp01_label_curve", family_sql(["reference", "ratio", "mean"], ["rmse"]), ARMS, T + " p_value_holm")
+def exp01(spark, sf):
+    return paired.family(arm_metrics(spark, sf), "affine", ["reference", "ratio", "mean"], ["rmse"], KEYS, ["n_labeled"])
+
+
+@query("exp02_accuracy_levels")
+def exp02(spark, sf):
+    """Per batch: reference models of three accuracies for the weak rows, the weak fit at each, test metrics."""
+    o = gram_rows(observations(spark, sf))
+    columns = [*SHAPE, *BASIS, "y"]
+    shift = F.col("price") * (20 * F.col("disc") - 1)
+    scales = R.calibrate_scale(o.withColumn("shift", shift), ["batch_id"], "price", "shift", "y", [0.95, 0.8, 0.6], X.log_grid(-2.0, 1.0, 13))
+    weak = by_role(o, ["weak"]).join(scales.select("batch_id", "target", "scale"), "batch_id").withColumn("y", F.col("price") + F.col("scale") * shift)
+    w = R.gram(weak, ["batch_id", "target"], columns).select("batch_id", "target", F.col("xtx").alias("weak"), F.col("n").alias("n_weak"))
+    g = weak_grams(spark, sf).where("n_labeled = 60").drop("weak", "rows_weak").join(w, "batch_id")
+    c = candidates(g, weak=(0.1,), l1=(0.0,), group=(0.0,), starts=(1.0,))
+    f = R.fit_weak(c, ["target", *KEEP], SHAPE, ["price"], BASIS, BOX).select("batch_id", "target", "g", "d", "theta")
+    test = by_role(o, ["test"]).select("batch_id", *columns)
+    return M.regression_metrics(R.predict(test, f, ["batch_id"], SHAPE, ["price"], BASIS), ["batch_id", "target"])
+
+
+SAVE = ", fixed AS (SELECT repeat, s.end_ AS n_labeled, mse AS left_value FROM metrics, sizes s WHERE model = 'affine' AND n_labeled = 30), sup AS (SELECT repeat, n_labeled, mse AS right_value FROM metrics JOIN best USING (n_labeled, model)), sv AS (SELECT * FROM fixed JOIN sup USING (repeat, n_labeled))"
+BEST_SUP = BEST.replace("FROM metrics GROUP BY n_labeled, model", "FROM metrics WHERE model IN ('ratio', 'mean') GROUP BY n_labeled, model")
+
+
+@query("exp03_label_savings", TOST.replace("FROM pairs", "FROM sv"), ARMS + BEST_SUP + SAVE, "mean_difference margin p_value")
+def exp03(spark, sf):
+    """One arm at 30 labels against the best supervised arm of each size, nothing refitted."""
+    m = arm_metrics(spark, sf)
+    best = M.best_of(m.where(F.col("model").isin("ratio", "mean")))
+    fixed = joins.replicate_arm(m, (F.col("model") == "affine") & (F.col("n_labeled") == 30), SIZES).select("repeat", "n_labeled", F.col("mse").alias("left_value"))
+    sup = joins.winners(m, best).select("repeat", "n_labeled", F.col("mse").alias("right_value"))
+    return paired.equivalence(fixed.join(sup, KEYS), ["n_labeled"], 0.1)
+
+
+@query("exp04_batch_curve", "SELECT model, repeat, n_labeled::INT AS n_labeled, rmse FROM metrics WHERE model IN ('reference', 'affine')", ARMS, "rmse")
+def exp04(spark, sf):
+    """The affine and untrained arms of the batch protocol."""
+    return arm_metrics(spark, sf).where(F.col("model").isin("reference", "affine")).select("model", "repeat", "n_labeled", "rmse")
+
+
+@query("exp04_batch_curve_weak_arm")
+def exp04w(spark, sf):
+    """The weakly supervised arm of the batch protocol, with and without weak rows."""
+    c = candidates(weak_grams(spark, sf), weak=(0.0, 0.1), l1=(0.0,), group=(0.0,), starts=(1.0,))
+    f = R.fit_weak(c, KEEP, SHAPE, ["price"], BASIS, BOX)
+    o = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *SHAPE, *BASIS, "y")
+    m = f.select("batch_id", "n_labeled", (F.col("weak_weight") > 0).alias("with_weak"), "g", "d", "theta")
+    return M.regression_metrics(R.predict(o, m, ["batch_id"], SHAPE, ["price"], BASIS), ["batch_id", "n_labeled", "with_weak"])
+
+
+@query("exp05_variant_sweep", "SELECT variant, status, rmse FROM (SELECT 'plain' AS variant, 'ok' AS status, avg(rmse) FILTER (n_labeled = 120) AS rmse FROM metrics WHERE model = 'affine' UNION ALL SELECT 'one column', 'ok', avg(rmse) FILTER (n_labeled = 120) FROM metrics WHERE model = 'ratio' UNION ALL SELECT 'absent', 'failed', avg(rmse) FROM metrics WHERE model = 'absent')", ARMS, "rmse")
+def exp05(spark, sf):
+    m = arm_metrics(spark, sf)
+    parts = []
+    for variant, model in (("plain", "affine"), ("one column", "ratio"), ("absent", "absent")):
+        v = m.where(F.col("model") == model).agg(F.avg(F.when(F.col("n_labeled") == 120, F.col("rmse"))).alias("rmse"))
+        parts.append(v.select(F.lit(variant).alias("variant"), F.when(F.col("rmse").isNull(), "failed").otherwise("ok").alias("status"), "rmse"))
+    return reshape.union_parts(parts)
+
+
+# user-defined libraries --------------------------------------------------------------------------
+@query("udf01_feature_library", "SELECT ord, 1.0::DOUBLE AS one, price * price AS square, 0.5 * (price * price) AS theta_square FROM obs", OBS, "square theta_square", 8)
+def udf01(spark, sf):
+    registry.register_features(registry.FeatureSpec("squares", {"one": lambda: F.lit(1.0), "square": lambda: F.col("price") * F.col("price")}, ("square",)))
+    return registry.features_h(observations(spark, sf), "squares", 0.5, ["ord"])
+
+
+@query("udf02_reference_model", "SELECT ord, 1.1 * price * (1 - disc) AS score FROM obs", OBS, "score", 10)
+def udf02(spark, sf):
+    registry.register_reference("discounted", lambda theta: theta * F.col("price") * (1 - F.col("disc")))
+    return registry.score_reference(observations(spark, sf), "discounted", 1.1).select("ord", "score")
+
+
+@query("udf03_group_function")
+def udf03(spark, sf):
+    """A fit function over Gram rows, one complete group a row, candidates in parallel."""
+    f = R.fit_weak(candidates(weak_grams(spark, sf), weak=(0.1,), l1=(0.0,), group=(0.0,)), KEEP, SHAPE, ["price"], BASIS, BOX)
+    return f.select("batch_id", "n_labeled", "theta0", "theta", "objective", "converged", "status")
+
