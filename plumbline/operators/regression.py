@@ -216,7 +216,7 @@ def calibrate_scale(df: DataFrame, g: list[str], base: str, discrepancy: str, y:
 
 
 # weakly supervised fit ---------------------------------------------------------------------------
-def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: list[list[int]], group_weight: float, ridge: float = 0.0, steps: int = 60, tol: float = 1e-9) -> np.ndarray:
+def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: list[list[int]], group_weight: float, ridge: float = 0.0, steps: int = 40, tol: float = 1e-9) -> np.ndarray:
     """Minimum of x'qx/2 - c'x + l1 |x| + group_weight sum |x_g| + ridge x'x/2 by accelerated proximal steps."""
     q = q + ridge * np.eye(len(q))
     if not l1 and not group_weight:

@@ -122,10 +122,11 @@ def weak_grams(spark, sf):
     return train.join(validation, ["batch_id", "n_labeled"]).join(both, ["batch_id", "n_labeled"]).join(w, "batch_id")
 
 
-def candidates(grams, weak=(0.0, 0.01, 0.1), l1=(0.0, 0.01), group=(0.0, 0.01), starts=(0.9, 1.1)):
+def candidates(grams, weak=(0.0, 0.1), l1=(0.0, 0.01), group=(0.0, 0.01), starts=(1.0,)):
     grid = joins.candidate_grid(grams, weak_weight=list(weak), l1=list(l1), group_weight=list(group), ridge=[1e-3], theta0=list(starts))
-    # candidates run in parallel: one Gram row each, dealt over the cluster
-    return grid.withColumn("weak_weight", F.col("weak_weight") * F.col("n_labeled") / F.col("n_weak")).repartition("batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "theta0")
+    # candidates run in parallel: one Gram row each, dealt over the cluster; with a fixed number Spark doesn't
+    # join the small partitions again
+    return grid.withColumn("weak_weight", F.col("weak_weight") * F.col("n_labeled") / F.col("n_weak")).repartition(4 * grams.sparkSession.sparkContext.defaultParallelism, "batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "theta0")
 
 
 KEEP = ["batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "ridge", "theta0"]

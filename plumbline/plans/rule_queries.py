@@ -534,7 +534,7 @@ def exp05(spark, sf):
 
 
 # user-defined libraries --------------------------------------------------------------------------
-@query("udf01_feature_library", "SELECT ord, 1.0::DOUBLE AS one, price * price AS square, 0.5 * (price * price) AS theta_square FROM obs", OBS, "square theta_square", 8)
+@query("udf01_feature_library", "SELECT ord, 1.0::DOUBLE AS one, price * price AS square, 0.5 * (price * price) AS theta_square FROM obs", OBS)
 def udf01(spark, sf):
     registry.register_features(registry.FeatureSpec("squares", {"one": lambda: F.lit(1.0), "square": lambda: F.col("price") * F.col("price")}, ("square",)))
     return registry.features_h(observations(spark, sf), "squares", 0.5, ["ord"])
