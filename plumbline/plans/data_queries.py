@@ -140,7 +140,7 @@ def snk03(spark, sf):
 
 # projections -------------------------------------------------------------------------------------
 def obs_query(name, columns, sql, doubles):
-    return query(name, f"SELECT ord, {sql} FROM obs", OBS, doubles, 10)(lambda spark, sf: observations(spark, sf).select("ord", *columns))
+    return query(name, f"SELECT ord, {sql} FROM obs", OBS, doubles, 10)(lambda spark, sf: observations(spark, sf).select("ord", *columns()))
 
 
 @query("prj01_reference_score", "SELECT ord, 1.1 * price AS score, y - 1.1 * price AS gap FROM obs", OBS, "score gap")
@@ -148,7 +148,7 @@ def prj01(spark, sf):
     return registry.score_reference(observations(spark, sf), "list_price", 1.1).select("ord", "score", (F.col("y") - F.col("score")).alias("gap"))
 
 
-obs_query("prj02_mechanism_column", [(F.col("price") * F.col("disc") / (1 + F.col("tax"))).alias("flux")], "price * disc / (1 + tax) AS flux", "flux")
+obs_query("prj02_mechanism_column", lambda: [(F.col("price") * F.col("disc") / (1 + F.col("tax"))).alias("flux")], "price * disc / (1 + tax) AS flux", "flux")
 
 
 @query("prj03_biased_reference", "SELECT ord, role, CASE WHEN role = 'weak' THEN price + 0.5 * (price * tax - price * disc) END AS y_weak FROM obs", OBS, "y_weak", 10)
@@ -167,20 +167,20 @@ def named(columns: dict) -> list:
     return [c.alias(n) for n, c in columns.items()]
 
 
-obs_query("prj05_inverse_powers", named(X.inverse_powers("qty", "size")), "size, 1 / size AS inv_size, size ** -0.5 AS root_size, qty / size AS qty_inv_size, qty * size ** -0.5 AS qty_root_size", "inv_size root_size qty_inv_size qty_root_size")
-obs_query("prj06_mechanism_product", named(X.mechanism_product("price", "size")), "price * size ** -0.7 AS price_pow, price * size ** -0.7 * (1 + 1 / size) AS price_mod", "price_pow price_mod")
+obs_query("prj05_inverse_powers", lambda: named(X.inverse_powers("qty", "size")), "size, 1 / size AS inv_size, size ** -0.5 AS root_size, qty / size AS qty_inv_size, qty * size ** -0.5 AS qty_root_size", "inv_size root_size qty_inv_size qty_root_size")
+obs_query("prj06_mechanism_product", lambda: named(X.mechanism_product("price", "size")), "price * size ** -0.7 AS price_pow, price * size ** -0.7 * (1 + 1 / size) AS price_mod", "price_pow price_mod")
 obs_query(
-    "prj07_poly2", named(X.poly2(["price", "qty", "disc"], {"price"})),
+    "prj07_poly2", lambda: named(X.poly2(["price", "qty", "disc"], {"price"})),
     'qty, disc, price * price AS "price*price", price * qty AS "price*qty", price * disc AS "price*disc", qty * qty AS "qty*qty", qty * disc AS "qty*disc", disc * disc AS "disc*disc"', "price*price price*qty price*disc qty*disc disc*disc",
 )
 query("prj08_power_grid", "SELECT ord, qty * size ** -0.9 AS qty_p0, qty * size ** -0.7 AS qty_p1, qty * size ** 0.45 AS qty_p2, price * size ** -0.9 AS price_p0, price * size ** -0.7 AS price_p1, price * size ** 0.45 AS price_p2 FROM obs", OBS, "qty_p0 qty_p1 qty_p2 price_p0 price_p1 price_p2")(
     lambda spark, sf: observations(spark, sf).select("ord", *named(X.power_grid(["qty", "price"], "size", [-0.9, -0.7, 0.45])))
 )
-obs_query("prj09_intercept", [F.lit(1.0).alias("one")], "1.0::DOUBLE AS one", "")
+obs_query("prj09_intercept", lambda: [F.lit(1.0).alias("one")], "1.0::DOUBLE AS one", "")
 RATIO = "qty / size AS ratio, size / qty AS inverse, (qty - size) / (qty + size) AS difference"
-obs_query("prj10_ratio_basis", named(X.ratio_basis("qty", "size")), RATIO, "ratio inverse difference")
+obs_query("prj10_ratio_basis", lambda: named(X.ratio_basis("qty", "size")), RATIO, "ratio inverse difference")
 obs_query(
-    "prj10_ratio_basis_expanded", named(X.ratio_basis("qty", "size", True)),
+    "prj10_ratio_basis_expanded", lambda: named(X.ratio_basis("qty", "size", True)),
     RATIO + ", (qty / size) ** 2 AS ratio2, (size / qty) ** 2 AS inverse2, ((qty - size) / (qty + size)) ** 2 AS difference2, qty / size * qty AS ratio_a, qty / size * size AS ratio_b, size / qty * qty AS inverse_a, size / qty * size AS inverse_b, (qty - size) / (qty + size) * qty AS difference_a, (qty - size) / (qty + size) * size AS difference_b",
     "ratio inverse difference ratio2 inverse2 difference2 ratio_a ratio_b inverse_a inverse_b difference_a difference_b",
 )
@@ -211,30 +211,34 @@ def prj13(spark, sf):
     return back.select("ord", "scaled", (F.abs(F.col("y") - F.col("given")) < 1e-9).alias("restored"))
 
 
-obs_query("prj14_unit_cube", [X.unit_cube("qty", 1, 50).alias("qty"), X.unit_cube("size", 1, 50).alias("size")], "(qty - 1) / 49 AS qty, (size - 1) / 49 AS size", "qty size")
+obs_query("prj14_unit_cube", lambda: [X.unit_cube("qty", 1, 50).alias("qty"), X.unit_cube("size", 1, 50).alias("size")], "(qty - 1) / 49 AS qty, (size - 1) / 49 AS size", "qty size")
+
+
+def rules() -> dict:
+    return {
+        "price_range": F.col("price").between(1.0, 100.0),
+        "quantity_range": F.col("qty") >= 2,
+        "discount_range": F.col("disc") <= 0.09,
+        "tax_range": F.col("tax") <= 0.07,
+        "positive_charge": F.col("y") > 0,
+        "size_range": F.col("size") < 50,
+        # the denominator must stay away from zero for every parameter of the box
+        "denominator": F.least(F.lit(0.8) - 4 * F.col("disc"), F.lit(1.2) - 4 * F.col("disc")) > 0.42,
+    }
+
 
-RULES = {
-    "price_range": F.col("price").between(1.0, 100.0),
-    "quantity_range": F.col("qty") >= 2,
-    "discount_range": F.col("disc") <= 0.09,
-    "tax_range": F.col("tax") <= 0.07,
-    "positive_charge": F.col("y") > 0,
-    "size_range": F.col("size") < 50,
-    # the denominator must stay away from zero for every parameter of the box
-    "denominator": F.least(F.lit(0.8) - 4 * F.col("disc"), F.lit(1.2) - 4 * F.col("disc")) > 0.42,
-}
 RULES_SQL = {"price_range": "price BETWEEN 1.0 AND 100.0", "quantity_range": "qty >= 2", "discount_range": "disc <= 0.09", "tax_range": "tax <= 0.07", "positive_charge": "y > 0", "size_range": "size < 50", "denominator": "least(0.8::DOUBLE - 4 * disc, 1.2::DOUBLE - 4 * disc) > 0.42::DOUBLE"}
 ALL_SQL = " AND ".join(f"({v})" for v in RULES_SQL.values())
 
 
 def accepted():
     out = F.lit(True)
-    for c in RULES.values():
+    for c in rules().values():
         out = out & c
     return out
 
 
-obs_query("prj15_validity_masks", [*named(RULES), accepted().alias("accepted")], ", ".join(f"{v} AS {k}" for k, v in RULES_SQL.items()) + f", {ALL_SQL} AS accepted", "")
+obs_query("prj15_validity_masks", lambda: [*named(rules()), accepted().alias("accepted")], ", ".join(f"{v} AS {k}" for k, v in RULES_SQL.items()) + f", {ALL_SQL} AS accepted", "")
 
 
 @query("prj16_predictions", "SELECT 'curve' AS experiment, model, repeat, n_labeled, ord AS row_id, y AS y_true, pred AS y_pred FROM scored", ARMS, "y_pred", 7)
@@ -261,7 +265,7 @@ query("prj17_reference_gap", GAP_SQL, ARMS, "value gap relative_gap")(against_ex
 query("jn11_reference_values", GAP_SQL, ARMS, "value gap relative_gap")(against_expected)
 
 # filters -----------------------------------------------------------------------------------------
-obs_query("flt01_box", [X.clip("price", 10.0, 60.0).alias("clipped"), X.in_box("price", 10.0, 60.0).alias("inside")], "greatest(10.0::DOUBLE, least(60.0::DOUBLE, price)) AS clipped, price BETWEEN 10 AND 60 AS inside", "clipped")
+obs_query("flt01_box", lambda: [X.clip("price", 10.0, 60.0).alias("clipped"), X.in_box("price", 10.0, 60.0).alias("inside")], "greatest(10.0::DOUBLE, least(60.0::DOUBLE, price)) AS clipped, price BETWEEN 10 AND 60 AS inside", "clipped")
 
 
 @query("flt02_finite", "SELECT event_type, count(*) FILTER (100 / (CAST(props->>'k' AS DOUBLE) % 3) < 'inf'::DOUBLE AND CAST(props->>'k' AS DOUBLE) % 3 <> 0) AS finite, count(*) AS n FROM events GROUP BY event_type")

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 from plumbline.operators import metrics as M
 from plumbline.operators import regression as R
 from plumbline.plans.catalog import query
-from plumbline.plans.data_queries import BEST, RULES, RULES_SQL
+from plumbline.plans.data_queries import BEST, RULES_SQL, rules
 from plumbline.plans.tables import ARMS, OBS, SPLIT, arm_metrics, observations, scored, split, table
 
-DISC = F.col("price") * (1 - F.col("disc"))
-
-
 @query("agg01_regression_metrics", "SELECT model, repeat, n_labeled::INT AS n_labeled, mse, rmse, mae FROM metrics", ARMS, "mse rmse mae")
 def agg01(spark, sf):
     return arm_metrics(spark, sf)
@@ -66,7 +63,7 @@ def agg08(spark, sf):
 
 @query("agg09_residuals", "SELECT batch_id, count(*) AS n, avg(y - price * (1 - disc)) AS mean, stddev_pop(y - price * (1 - disc)) AS std, avg((y - price * (1 - disc)) ** 2) AS mse FROM obs GROUP BY batch_id", OBS, "mean std mse")
 def agg09(spark, sf):
-    return M.residual_statistics(observations(spark, sf).withColumn("clean", DISC), ["batch_id"], "y", "clean")
+    return M.residual_statistics(observations(spark, sf).withColumn("clean", F.col("price") * (1 - F.col("disc"))), ["batch_id"], "y", "clean")
 
 
 @query("agg10_quantiles", "SELECT batch_id, quantile_cont(abs(y - price), 0.95) AS p95, quantile_cont(abs(y - price), 0.99) AS q99 FROM obs GROUP BY batch_id", OBS, "p95 q99")
@@ -122,9 +119,9 @@ def agg18(spark, sf):
 EVERY = " AND ".join(f"({v})" for v in RULES_SQL.values())
 
 
-@query("agg19_rejection_audit", f"SELECT batch_id, count(*) AS drawn, count(*) FILTER ({EVERY}) AS accepted, avg(({EVERY})::INT::DOUBLE) AS acceptance, " + ", ".join(f"avg((NOT ({v}))::INT::DOUBLE) AS rejected_{k}" for k, v in RULES_SQL.items()) + " FROM obs GROUP BY batch_id", OBS, "acceptance " + " ".join(f"rejected_{k}" for k in RULES))
+@query("agg19_rejection_audit", f"SELECT batch_id, count(*) AS drawn, count(*) FILTER ({EVERY}) AS accepted, avg(({EVERY})::INT::DOUBLE) AS acceptance, " + ", ".join(f"avg((NOT ({v}))::INT::DOUBLE) AS rejected_{k}" for k, v in RULES_SQL.items()) + " FROM obs GROUP BY batch_id", OBS, "acceptance " + " ".join(f"rejected_{k}" for k in RULES_SQL))
 def agg19(spark, sf):
-    return M.rejection_audit(observations(spark, sf), ["batch_id"], RULES)
+    return M.rejection_audit(observations(spark, sf), ["batch_id"], rules())
 
 
 @query("agg20_normalized", "SELECT model, n_labeled::INT AS n_labeled, mse / 9 AS mse_noise, rmse / 3 AS rmse_noise, mse / max(CASE WHEN n_labeled = 120 THEN mse END) OVER (PARTITION BY model) AS mse_largest FROM (SELECT model, n_labeled, avg(mse) AS mse, avg(rmse) AS rmse FROM metrics GROUP BY ALL)", ARMS, "mse_noise rmse_noise mse_largest")
