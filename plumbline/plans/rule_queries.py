@@ -486,7 +486,7 @@ def exp02(spark, sf):
     scales = R.calibrate_scale(o.withColumn("shift", shift), ["batch_id"], "price", "shift", "y", [0.95, 0.8, 0.6], X.log_grid(-2.0, 1.0, 13))
     weak = by_role(o, ["weak"]).join(scales.select("batch_id", "target", "scale"), "batch_id").withColumn("y", F.col("price") + F.col("scale") * shift)
     w = R.gram(weak, ["batch_id", "target"], columns).select("batch_id", "target", F.col("xtx").alias("weak"), F.col("n").alias("n_weak"))
-    g = weak_grams(spark, sf).where("n_labeled = 60").drop("weak", "rows_weak").join(w, "batch_id")
+    g = weak_grams(spark, sf).where("n_labeled = 60").drop("weak", "n_weak").join(w, "batch_id")
     c = candidates(g, weak=(0.1,), l1=(0.0,), group=(0.0,), starts=(1.0,))
     f = R.fit_weak(c, ["target", *KEEP], SHAPE, ["price"], BASIS, BOX).select("batch_id", "target", "g", "d", "theta")
     test = by_role(o, ["test"]).select("batch_id", *columns)
