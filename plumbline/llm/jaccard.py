@@ -7,10 +7,11 @@ free of differences is enumerated.  The features of a subset are one signature:
 
 Sets equal in all features are one class.  Signatures that several classes share give candidate pairs
 in two steps.  First every class meets its signature's hub, the member that shares most signatures; this
-links the bulk of a group.  Then only classes of different components meet, and of these only such as the
-triangle inequality of the Jaccard distance, through their distances from the hub, doesn't rule out.  A
-signature with very many classes left is split again by a second set of partitions.  So no group's pairs
-are all made, and yet every link between components is found.
+links the bulk of a group.  Then only classes of different components meet, in runs of bounded length.
+Of either, only pairs go on that a sketch doesn't rule out: parities of the features of 1024 cells, whose
+differing bits are never more than the features in which the sets differ.  The rest is compared exactly.
+A signature with very many classes left is split again by a second set of partitions.  So no group's pairs
+are all written, and yet every link between components is found.
 
 Defined cases: a null text or one without words has no shingle, links with nothing and is its own
 component; a text with fewer words than a shingle is one shingle; repeated rows are in one class; equal
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._common import U, components, lower_ascii, materialize, mix, n_shuffle, not_blank, shingles, slices
 
 SALT_FROM, SALTS, SMALL, LEVELS = 256, 64, 2000, 3
+KEYED = ["key", "cls", "part", "block", "blocks"]
 
 
 @lru_cache(4096)
@@ -95,8 +97,9 @@ def _class(features: np.ndarray) -> int:
 def _describe(batches, size: int):
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
-            found = [(len(f), _class(f)) for _, f in _sets(rows, data, off, size)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] if f[0] else None for f in found], pa.int64())], ["doc_id", "n", "cls"])
+            found = [(len(f), _class(f), _sketch(f)) if len(f) else (0, None, None) for _, f in _sets(rows, data, off, size)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n", "cls", "sketch"])
 
 
 def _salted(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
@@ -139,6 +142,88 @@ def _resign(batches, percent: int, seed: int):
             yield _salted(np.concatenate(sig).view(np.int64), np.concatenate(cls))
 
 
+def _sketch(features: np.ndarray) -> bytes:
+    """Parities of the features of each of 1024 cells.  Two sets differ in at least as many features as their
+    sketches do in bits."""
+    with np.errstate(over="ignore"):
+        at = (mix(features * U(0xD6E8FEB86659FD93)) >> U(54)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=1024).astype(np.uint8) & 1).tobytes()
+
+
+def _may(differ: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many features are similar enough.
+
+    With D the difference, 100 I >= percent U is D (100 + percent) <= (100 - percent) (na + nb).
+    """
+    return np.maximum(differ, np.abs(na - nb)) * (100 + percent) <= (100 - percent) * (na + nb)
+
+
+def _words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 16)
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+def _may_pairs(batches, percent: int):
+    """Those of pairs (a, b, na, nb, sa, sb) that their sketches don't rule out."""
+    for batch in batches:
+        kept = _may(_differ(_words(batch.column("sa")), _words(batch.column("sb"))), batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+        yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+
+def _runs(batches):
+    """Batches joined and cut anew so that no run of one key is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key").to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or (held and held[-1].column("key")[0].as_py() != keys[0]):
+            first = int(np.searchsorted(keys, held[-1].column("key")[-1].as_py(), "right")) if held else 0
+            cut = max(first, last)
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+            if done.num_rows:
+                yield done
+            batch = batch.slice(cut)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _within(batches, percent: int):
+    """Pairs of different parts within runs of a key that their sketches don't rule out.
+
+    Rows are sorted by key and a key has a bounded number of rows.  Rows are compared with those `step`
+    places further on in their run, for all steps; rows of the same block of a key with two blocks are not.
+    """
+    for table in _runs(batches):
+        key, cls, part, n, block, of = (table.column(c).to_numpy() for c in ("key", "cls", "part", "n", "block", "blocks"))
+        words = _words(table.column("sketch"))
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        end = np.repeat(np.append(new[1:], len(key)), np.diff(np.append(new, len(key))))
+        at, step, out = np.arange(len(key)), 1, []
+        while True:
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            to = at + step
+            ok = (part[at] != part[to]) & ((of[at] == 1) | (block[at] != block[to]))
+            x, y = at[ok], to[ok]
+            ok = _may(0 * x, n[x], n[y], percent)
+            x, y = x[ok], y[ok]
+            ok = _may(_differ(words[x], words[y]), n[x], n[y], percent)
+            out.append(np.column_stack((cls[x[ok]], cls[y[ok]])))
+            step += 1
+        if out:
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
 def _features(batches, size: int):
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
@@ -147,16 +232,16 @@ def _features(batches, size: int):
             yield pa.RecordBatch.from_arrays([rows.column("cls"), pa.array(found, pa.binary())], ["cls", "features"])
 
 
-def _similar(batches):
-    """Exact Jaccard distance of pairs."""
+def _similar(batches, percent: int):
+    """Those of pairs (a, b, fa, fb) whose sets are similar enough."""
     for batch in batches:
-        size, both = np.zeros((2, batch.num_rows))
+        kept = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(batch.column("fa"), batch.column("fb"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             short, long_ = (x, y) if len(x) < len(y) else (y, x)
-            both[i] = (long_[np.minimum(np.searchsorted(long_, short), len(long_) - 1)] == short).sum()
-            size[i] = len(x) + len(y) - both[i]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both.astype(np.int64)), pa.array(size.astype(np.int64))], ["a", "b", "both", "size"])
+            both = int((long_[np.minimum(np.searchsorted(long_, short), len(long_) - 1)] == short).sum())
+            kept[i] = 100 * both >= percent * (len(x) + len(y) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(kept))
 
 
 def _shared(signed: DataFrame) -> DataFrame:
@@ -176,48 +261,57 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     A component is named by one of its classes.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = materialize(texts.mapInArrow(partial(_describe, size=size), "doc_id long, n long, cls long"))
+    described = materialize(texts.mapInArrow(partial(_describe, size=size), "doc_id long, n long, cls long, sketch binary"))
     members = materialize(_shared(texts.mapInArrow(partial(_sign, size=size, percent=percent), "sig long, salt int, cls long")))
-    wanted = members.select("cls").distinct().join(described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "cls")
-    text_of = texts.join(wanted, "doc_id").select("cls", "text")
-    # of rows that share an id, the one that has this class
-    found = text_of.mapInArrow(partial(_features, size=size), "cls long, features binary").where("features is not null")
-    features = materialize(found.dropDuplicates(["cls"]))
-    sizes = features.select("cls", (F.octet_length("features") / 8).cast("long").alias("n"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(features.toDF("a", "fa"), "a").join(features.toDF("b", "fb"), "b")
-        found = full.mapInArrow(_similar, "a long, b long, both long, size long")
-        return materialize(found.select("a", "b", (100 * F.col("both") >= percent * F.col("size")).alias("linked"), (1 - F.col("both") / F.col("size")).alias("d")))
+    wanted = members.select("cls").distinct().join(described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls")
+    sketches = materialize(described.join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]))
+
+    def features(pairs: DataFrame) -> DataFrame:
+        """Sets of the classes of pairs; of rows that share an id, those of the one that has the class."""
+        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "doc_id"), "cls")
+        found = texts.join(needed, "doc_id").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary")
+        return materialize(found.where("features is not null").dropDuplicates(["cls"]))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of pairs whose sets are similar enough."""
+        pairs = materialize(pairs)
+        sets = features(pairs)
+        full = pairs.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
+        return materialize(full.mapInArrow(partial(_similar, percent=percent), "a long, b long"))
 
     def star(members: DataFrame) -> DataFrame:
-        return compared(members.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
-
-    def near(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    from_hub = star(members)
-    edges = from_hub.where("linked").select("a", "b")
-    seed = 0
+        pairs = members.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+        known = sketches.select("cls", "n", "sketch")
+        sized = pairs.join(known.toDF("a", "na", "sa"), "a").join(known.toDF("b", "nb", "sb"), "b")
+        return linked(sized.mapInArrow(partial(_may_pairs, percent=percent), "a long, b long"))
+
+    def across(rows: DataFrame) -> DataFrame:
+        """Pairs of different parts that share a signature; one of m members has its rows in blocks of about
+        SMALL, of which any two meet under a key."""
+        rows = rows.withColumn("blocks", F.ceil(F.col("m") / SMALL).cast("int")).withColumn("block", F.pmod("cls", "blocks").cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        split = rows.where("blocks > 1").select("*", other).withColumn("key", F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")))
+        split = split.withColumn("blocks", F.when(F.col("block") == F.col("other"), 1).otherwise(2))
+        keyed = rows.where("blocks = 1").withColumn("key", F.col("sig")).select(*KEYED).union(split.select(*KEYED))
+        keyed = keyed.join(sketches.select("cls", "n", "sketch"), "cls")
+        dealt = keyed.repartition(n_shuffle(docs.sparkSession), "key").sortWithinPartitions("key")
+        return dealt.mapInArrow(partial(_within, percent=percent), "a long, b long").distinct()
+
+    edges, seed = star(members), 0
     while True:
         part = materialize(components(edges)).toDF("cls", "part")
-        named = members.join(part, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-        named = named.join(from_hub.select(F.col("a").alias("hub"), F.col("b").alias("cls"), "d"), ["hub", "cls"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+        named = members.join(part, "cls", "left").select("sig", "cls", F.coalesce("part", "cls").alias("part"))
         mixed = named.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m")).where("p <> q").select("sig", "m")
         open_ = materialize(named.join(mixed, "sig"))
         last = seed == LEVELS
-        few = open_ if last else open_.where(F.col("m") <= SMALL)
-        x, y = few.alias("x"), few.alias("y")
-        may = (F.col("x.part") < F.col("y.part")) & ((F.col("x.hub") != F.col("y.hub")) | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9))
-        pairs = x.join(y, "sig").where(may).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        edges = edges.union(compared(near(pairs)).where("linked").select("a", "b"))
+        edges = edges.union(linked(across(open_.distinct() if last else open_.where(F.col("m") <= SMALL))))
         many = open_.where(F.col("m") > SMALL).select("sig", "cls").distinct()
         if last or not many.take(1):
             return described, components(edges).toDF("cls", "component")
         seed += 1
-        members = materialize(_shared(many.join(features, "cls").mapInArrow(partial(_resign, percent=percent, seed=seed), "sig long, salt int, cls long")))
-        from_hub = star(members)
-        edges = edges.union(from_hub.where("linked").select("a", "b"))
+        sets = features(many.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
+        members = materialize(_shared(many.join(sets, "cls").mapInArrow(partial(_resign, percent=percent, seed=seed), "sig long, salt int, cls long")))
+        edges = edges.union(star(members))
 
 
 def join_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
