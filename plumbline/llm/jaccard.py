@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, components, lower_ascii, materialize, mix, n_shuffle, not_blank, shingles, slices
+from plumbline.llm._common import U, components, lower_ascii, materialize, mix, n_shuffle, not_blank, release, shingles, slices
 
 SALT_FROM, SALTS, SMALL, LEVELS = 256, 64, 2000, 3
 KEYED = ["key", "cls", "part", "block", "blocks"]
@@ -263,21 +263,28 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = materialize(texts.mapInArrow(partial(_describe, size=size), "doc_id long, n long, cls long, sketch binary"))
     members = materialize(_shared(texts.mapInArrow(partial(_sign, size=size, percent=percent), "sig long, salt int, cls long")))
+    release(docs.sparkSession)
     wanted = members.select("cls").distinct().join(described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls")
     sketches = materialize(described.join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]))
 
     def features(pairs: DataFrame) -> DataFrame:
-        """Sets of the classes of pairs; of rows that share an id, those of the one that has the class."""
+        """Sets of the classes of pairs; of rows that share an id, those of the one that has the class.
+
+        The classes grow with the input, so they are not broadcast at any size.
+        """
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "doc_id"), "cls")
-        found = texts.join(needed, "doc_id").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary")
+        found = texts.join(needed.hint("shuffle_hash"), "doc_id").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary")
         return materialize(found.where("features is not null").dropDuplicates(["cls"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of pairs whose sets are similar enough."""
         pairs = materialize(pairs)
         sets = features(pairs)
-        full = pairs.join(sets.toDF("a", "fa"), "a").join(sets.toDF("b", "fb"), "b")
-        return materialize(full.mapInArrow(partial(_similar, percent=percent), "a long, b long"))
+        full = pairs.join(sets.toDF("a", "fa").hint("merge"), "a").join(sets.toDF("b", "fb").hint("merge"), "b")
+        found = materialize(full.mapInArrow(partial(_similar, percent=percent), "a long, b long"))
+        del sets, full
+        release(docs.sparkSession)
+        return found
 
     def star(members: DataFrame) -> DataFrame:
         pairs = members.where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
