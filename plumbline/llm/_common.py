@@ -35,6 +35,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table of a frame that materialize returned and nothing reads any more."""
+    jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver collect its garbage: only then does Spark remove the files of shuffles nothing refers to."""
     gc.collect()

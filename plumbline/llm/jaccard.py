@@ -9,7 +9,8 @@ Sets equal in all features are one class.  Signatures that several classes share
 in two steps.  First every class meets its signature's hub, the member that shares most signatures; this
 links the bulk of a group.  Then only classes of different components meet, in runs of bounded length.
 Of either, only pairs go on that a sketch doesn't rule out: parities of the features of 1024 cells, whose
-differing bits are never more than the features in which the sets differ.  The rest is compared exactly.
+differing bits are never more than the features in which the sets differ.  Of these pairs, wider sketches rule
+out most that are not similar enough, and the rest is compared exactly.
 A signature with very many classes left is split again by a second set of partitions.  So no group's pairs
 are all written, and yet every link between components is found.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, components, lower_ascii, materialize, mix, n_shuffle, not_blank, release, shingles, slices
+from plumbline.llm._common import U, components, drop, lower_ascii, materialize, mix, n_shuffle, not_blank, release, shingles, slices
 
 SALT_FROM, SALTS, SMALL, LEVELS = 256, 64, 2000, 3
 KEYED = ["key", "cls", "part", "block", "blocks"]
@@ -142,12 +143,22 @@ def _resign(batches, percent: int, seed: int):
             yield _salted(np.concatenate(sig).view(np.int64), np.concatenate(cls))
 
 
-def _sketch(features: np.ndarray) -> bytes:
-    """Parities of the features of each of 1024 cells.  Two sets differ in at least as many features as their
-    sketches do in bits."""
+def _sketch(features: np.ndarray, bits: int = 10) -> bytes:
+    """Parities of the features of each of 2**bits cells.  Two sets differ in at least as many features as
+    their sketches do in bits."""
     with np.errstate(over="ignore"):
-        at = (mix(features * U(0xD6E8FEB86659FD93)) >> U(54)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=1024).astype(np.uint8) & 1).tobytes()
+        at = (mix(features * U(0xD6E8FEB86659FD93)) & U((1 << bits) - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=1 << bits).astype(np.uint8) & 1).tobytes()
+
+
+def _wide(features: np.ndarray) -> bytes:
+    """A sketch with four to eight cells a feature."""
+    return _sketch(features, max(10, int(4 * len(features)).bit_length()))
+
+
+def _fold(x: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of fewer cells: a cell's number is its old one's low bits."""
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
 
 def _may(differ: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -228,8 +239,20 @@ def _features(batches, size: int):
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
             cls = rows.column("cls").to_pylist()
-            found = [f.tobytes() if len(f) and _class(f) == cls[i] else None for i, f in _sets(rows, data, off, size)]
-            yield pa.RecordBatch.from_arrays([rows.column("cls"), pa.array(found, pa.binary())], ["cls", "features"])
+            found = [(f.tobytes(), len(f), _wide(f)) if len(f) and _class(f) == cls[i] else (None, 0, None) for i, f in _sets(rows, data, off, size)]
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([rows.column("cls"), *columns], ["cls", "features", "n", "wide"])
+
+
+def _may_wide(batches, percent: int):
+    """Those of pairs (a, b, na, nb, wa, wb) that their wide sketches don't rule out."""
+    for batch in batches:
+        differ = np.zeros(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column("wa"), batch.column("wb"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            words = min(len(x), len(y))
+            differ[i] = np.bitwise_count(_fold(x, words) ^ _fold(y, words)).sum(dtype=np.int64)
+        yield batch.select(["a", "b"]).filter(pa.array(_may(differ, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)))
 
 
 def _similar(batches, percent: int):
@@ -273,16 +296,27 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         The classes grow with the input, so they are not broadcast at any size.
         """
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "doc_id"), "cls")
-        found = texts.join(needed.hint("shuffle_hash"), "doc_id").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary")
+        found = texts.join(needed.hint("shuffle_hash"), "doc_id").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary, n long, wide binary")
         return materialize(found.where("features is not null").dropDuplicates(["cls"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of pairs whose sets are similar enough."""
         pairs = materialize(pairs)
         sets = features(pairs)
-        full = pairs.join(sets.toDF("a", "fa").hint("merge"), "a").join(sets.toDF("b", "fb").hint("merge"), "b")
+
+        def each(*columns: str) -> DataFrame:
+            """Columns of the sets of either class of a pair, their names with an a or b."""
+            out = pairs
+            for side in "ab":
+                out = out.join(sets.select(F.col("cls").alias(side), *[F.col(c).alias(c[0] + side) for c in columns]).hint("merge"), side)
+            return out
+
+        pairs = materialize(each("n", "wide").mapInArrow(partial(_may_wide, percent=percent), "a long, b long"))
+        release(docs.sparkSession)
+        full = each("features")
         found = materialize(full.mapInArrow(partial(_similar, percent=percent), "a long, b long"))
-        del sets, full
+        del full
+        drop(sets)
         release(docs.sparkSession)
         return found
 
@@ -317,7 +351,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
             return described, components(edges).toDF("cls", "component")
         seed += 1
         sets = features(many.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-        members = materialize(_shared(many.join(sets, "cls").mapInArrow(partial(_resign, percent=percent, seed=seed), "sig long, salt int, cls long")))
+        members = materialize(_shared(many.join(sets.select("cls", "features"), "cls").mapInArrow(partial(_resign, percent=percent, seed=seed), "sig long, salt int, cls long")))
         edges = edges.union(star(members))
 
 
