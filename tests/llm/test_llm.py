@@ -134,3 +134,40 @@ def test_empty_tables(spark, docs):
     assert suffixdedup.dedup_bytes(none).count() == 0 and linededup.dedup_lines(none).count() == 0
     assert jaccard.join_components(none).count() == 0 and langid.identify(none).count() == 0
     assert lmscore.score(none, spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_jaccard_blocks_and_runs(spark, monkeypatch):
+    """Signatures with many classes, dealt in blocks, give the same components; runs are never cut."""
+    import random
+
+    import pyarrow as pa
+
+    from plumbline.llm import jaccard
+
+    draw = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(draw.choice([0, 1, 2, 4, 6])):
+            words[draw.randrange(60)] = f"x{draw.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in rows}
+    low = {i: i for i in sets}
+    for _ in range(len(rows)):
+        new = {i: min(low[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+        if new == low:
+            break
+        low = new
+    for small, levels in ((4, 0), (4, 1), (2000, 3)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        monkeypatch.setattr(jaccard, "LEVELS", levels)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(docs, 3, 80).collect()}
+        assert got == low
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5, 6]
+    for size in (1, 2, 3, 5, 12):
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[k : k + size], pa.int64())}) for k in range(0, len(keys), size)]
+        runs = [t.column("key").to_pylist() for t in jaccard._runs(batches)]
+        assert sum(runs, []) == keys
+        assert all(a[-1] != b[0] for a, b in zip(runs, runs[1:], strict=False))
