@@ -1,14 +1,17 @@
 """Line dedup by content-defined chunks (operator 3).
 
-A rolling hash over the hashes of two neighbouring lines chooses chunk boundaries, so that an inserted
-or missing line moves only the boundaries beside it.  Chunks of two lines or more that occur again
-anywhere are removed except for their first occurrence (smallest id, then place), after the bytes of all
-occurrences have been compared.
-
-Defined cases: a null or empty text has no chunk and stays as it is (null becomes empty); chunks of one
-line are never removed; rows that share an id are compared by content and place, so repeated rows of one
+A rolling hash over two neighbouring lines names the chunk of both, and every line may open one: the chunks
+of all boundary families, of either parity, are united, so a repeated run of two lines or more is covered by
+chunks of its own lines alone, whatever stands beside it.  A line of `LONE` bytes or more is a chunk by
+itself too.  Chunks that occur again anywhere are removed except for their first occurrence (smallest id,
+then place), after the bytes of all occurrences have been compared.  A line goes if any chunk over it does;
+since an equal line then stands at an earlier place, one copy of every line stays.
+
+Defined cases: a null or empty text has no chunk and stays as it is (null becomes empty); a shorter line
+is never removed by itself; rows that share an id are compared by content and place, so repeated rows of one
 id keep their first chunks alike; an empty table gives no rows; lines end at \\n only; a group whose bytes
-differ under equal hashes is left alone; other columns are ignored.
+differ under equal hashes is left alone; removed_chunks counts the runs of removed lines; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import U, materialize, mix, n_shuffle, range_hashes, slices
 
-DIVISOR = 2
+LONE = 200
 
 
-def chunk(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """Chunks of rows of text: row, index in its row, byte start and end (without the last newline),
-    lines, hash and second hash."""
+def chunk(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Lines of rows of text: row, index in its row, byte start and end (without the newline).  Their chunks:
+    row, first line (of all, and its index in its row), number of lines, byte start and end, hash and second hash."""
     row_start, row_end = off[:-1], off[1:]
     # a line starts at the start of a text and after each newline, also after one that ends the text
     newline = np.flatnonzero(data == 10)
@@ -41,78 +44,71 @@ def chunk(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(first[1:], True)[: len(starts)]
     ends = np.append(starts[1:] - 1, 0)[: len(starts)]
     ends[last] = row_end[rows[last]]
-    h = range_hashes(data, starts, ends)
-    with np.errstate(over="ignore"):
-        before = np.append(U(0), h[:-1])[: len(h)]
-        before[first] = U(0)
-        wanted = mix(before * U(0x9E3779B97F4A7C15) + h) % U(DIVISOR) == 0
-    # of neighbouring boundaries every second one holds, so that a chunk has two lines; a text's start is a boundary
-    place = np.arange(len(h))
-    run = wanted & ~first
-    opened = np.where(run & ~np.append(False, run[:-1])[: len(h)], place, -1)
-    opened = np.maximum.accumulate(opened) if len(h) else opened
-    holds = (run & ((place - opened) % 2 == 0)) | last
-    close = np.flatnonzero(holds)
-    lines = np.diff(np.append(-1, close))
-    open_ = close - lines + 1
-    a, b = starts[open_], ends[close]
-    row = rows[close]
-    head = np.searchsorted(row, row, "left")
+    idx = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    pair, lone = np.flatnonzero(~last), np.flatnonzero(ends - starts >= LONE)
+    at, n = np.concatenate((pair, lone)), np.repeat([2, 1], [len(pair), len(lone)])
+    order = np.argsort(at, kind="stable")
+    at, n = at[order], n[order]
+    a, b = starts[at], ends[at + n - 1]
     with np.errstate(over="ignore"):
-        total = np.append(U(0), np.cumsum(mix(h * U(3) + U(1))))
-        return {"row": row, "idx": np.arange(len(close)) - head, "start": a, "end": b, "lines": lines, "h": range_hashes(data, a, b), "h2": total[close + 1] - total[open_]}
+        total = np.append(U(0), np.cumsum(mix(range_hashes(data, starts, ends) * U(3) + U(1))))
+        h2 = total[at + n] - total[at]
+    lines = {"row": rows, "idx": idx, "start": starts, "end": ends}
+    return lines, {"row": rows[at], "at": at, "idx": idx[at], "n": n, "start": a, "end": b, "h": range_hashes(data, a, b).view(np.int64), "h2": h2.view(np.int64)}
 
 
 def _chunks(batches):
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
-            c = chunk(data, off)
-            keep = c["lines"] > 1
-            ids = rows.column("doc_id").take(pa.array(c["row"][keep]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(c["idx"][keep].astype(np.int32)), pa.array(c["h"][keep].view(np.int64)), pa.array(c["h2"][keep].view(np.int64))], ["doc_id", "idx", "h", "h2"])
+            _, c = chunk(data, off)
+            ids = rows.column("doc_id").take(pa.array(c["row"]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(c["idx"].astype(np.int32)), pa.array(c["h"]), pa.array(c["h2"])], ["doc_id", "idx", "h", "h2"])
 
 
-def _listed(rows: pa.RecordBatch, i: int) -> set[tuple[int, int]]:
-    return {(m["idx"], m["h"]) for m in rows.column("marks")[i].as_py() or ()}
+def _named(rows: pa.RecordBatch, c: dict[str, np.ndarray]):
+    """(row, its chunks that its marks name) of each row with marks."""
+    bounds = np.searchsorted(c["row"], np.arange(rows.num_rows + 1))
+    for i in np.flatnonzero(rows.column("marks").is_valid().to_numpy(zero_copy_only=False)).tolist():
+        marks = {(m["idx"], m["h"]) for m in rows.column("marks")[i].as_py()}
+        own = range(bounds[i], bounds[i + 1])
+        places = zip(own, c["idx"][own.start : own.stop].tolist(), c["h"][own.start : own.stop].tolist(), strict=True)
+        yield i, [k for k, *place in places if tuple(place) in marks]
 
 
 def _bytes(batches):
     """The text of the chunks that a row's marks name."""
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
-            c = chunk(data, off)
-            bounds = np.searchsorted(c["row"], np.arange(rows.num_rows + 1))
-            found: list[tuple[int, int, bytes]] = []
-            for i in np.flatnonzero(rows.column("marks").is_valid().to_numpy(zero_copy_only=False)):
-                marks = _listed(rows, int(i))
-                for k in range(bounds[i], bounds[i + 1]):
-                    if (int(c["idx"][k]), int(c["h"][k : k + 1].view(np.int64)[0])) in marks:
-                        found.append((int(c["h"][k : k + 1].view(np.int64)[0]), int(c["h2"][k : k + 1].view(np.int64)[0]), data[c["start"][k] : c["end"][k]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["h", "h2", "content"])
+            _, c = chunk(data, off)
+            k = np.array([k for _, named in _named(rows, c) for k in named], np.int64)
+            content = [data[a:b].tobytes() for a, b in zip(c["start"][k].tolist(), c["end"][k].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c["h"][k]), pa.array(c["h2"][k]), pa.array(content, pa.binary())], ["h", "h2", "content"])
 
 
 def _apply(batches, names: list[str]):
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
-            c = chunk(data, off)
-            bounds = np.searchsorted(c["row"], np.arange(rows.num_rows + 1))
-            marked = rows.column("marks").is_valid().to_numpy(zero_copy_only=False)
-            texts, cut, lines = [], [], []
+            lines, c = chunk(data, off)
+            bounds = np.searchsorted(lines["row"], np.arange(rows.num_rows + 1))
+            gone = np.zeros(len(lines["row"]), bool)
+            for _, named in _named(rows, c):
+                gone[c["at"][named]] = True
+                gone[c["at"][named] + c["n"][named] - 1] = True
+            texts, cut, removed = [], [], []
             for i in range(rows.num_rows):
-                lo, hi, gone = bounds[i], bounds[i + 1], np.zeros(0, bool)
-                if marked[i]:
-                    marks, h = _listed(rows, i), c["h"][lo:hi].view(np.int64).tolist()
-                    gone = np.array([(int(k), x) in marks for k, x in zip(c["idx"][lo:hi], h, strict=True)], bool)
-                if gone.any():
-                    kept = [data[c["start"][k] : c["end"][k]].tobytes() for k in range(lo, hi) if not gone[k - lo]]
-                    texts.append(b"\n".join(kept).decode("utf-8"))
-                    cut.append(int(gone.sum()))
-                    lines.append(int(c["lines"][lo:hi][gone].sum()))
+                lo, hi = bounds[i], bounds[i + 1]
+                out = gone[lo:hi]
+                if out.any():
+                    kept = np.flatnonzero(~out) + lo
+                    pieces = [data[a:b].tobytes() for a, b in zip(lines["start"][kept].tolist(), lines["end"][kept].tolist(), strict=True)]
+                    texts.append(b"\n".join(pieces).decode("utf-8"))
+                    cut.append(int((out & ~np.append(False, out[:-1])).sum()))
+                    removed.append(int(out.sum()))
                 else:
                     texts.append(data[off[i] : off[i + 1]].tobytes().decode("utf-8"))
                     cut.append(0)
-                    lines.append(0)
-            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(texts, pa.string()), pa.array(cut, pa.int64()), pa.array(lines, pa.int64())], [*names, "text", "removed_chunks", "removed_lines"])
+                    removed.append(0)
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(texts, pa.string()), pa.array(cut, pa.int64()), pa.array(removed, pa.int64())], [*names, "text", "removed_chunks", "removed_lines"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

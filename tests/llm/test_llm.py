@@ -171,3 +171,26 @@ def test_jaccard_blocks_and_runs(spark, monkeypatch):
         runs = [t.column("key").to_pylist() for t in jaccard._runs(batches)]
         assert sum(runs, []) == keys
         assert all(a[-1] != b[0] for a, b in zip(runs, runs[1:], strict=False))
+
+
+def test_line_recall(spark):
+    """Every run of two lines or more, and every long line, that stands at an earlier place goes; nothing else does."""
+    draw = random.Random(11)
+    line = lambda n=9: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(n))
+    runs = [[line(60 if n == 1 else 9) for _ in range(n)] for n in (1, 2, 3, 4, 5) for _ in range(8)]
+    texts = ["\n".join([line(), *run, line()]) for run in runs for _ in range(2)] + ["a\na\na\na", "short\nb", "short\nc", "", None]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        gone = [False] * len(lines)
+        for k in range(len(lines)):
+            for n in (1, 2):
+                part = tuple(lines[k : k + n])
+                if len(part) == n and (n == 2 or len(part[0].encode()) >= linededup.LONE):
+                    if part in seen:
+                        gone[k : k + n] = [True] * n
+                    seen.add(part)
+        want[i] = ("\n".join(x for x, g in zip(lines, gone, strict=True) if not g), sum(gone))
+    got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+    assert all(want[2 * k + 1][1] == len(run) for k, run in enumerate(runs)) and want[80] == ("a", 3)
