@@ -1,8 +1,8 @@
 """Benchmark decontamination (operator 1).
 
 Every item has a SimHash of its weighted word shingles (five words; the weight is how often one occurs).
-Windows of an item's size are laid over each text wherever the text shares a shingle with an item, so
-that the shared shingle stands where the item has it; a window without one has similarity 0.  The
+A window of an item's size is laid at every start of a text where it holds as many shingles of items of
+this size, in any order, as the least similarity needs; no other window of the size can reach it.  The
 windows' SimHashes are looked up in a multi-index of Hamming blocks, which yields every item whose
 fingerprint is within the radius; the exact weighted Jaccard similarity of the shingles decides.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from functools import partial
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import U, mix, shingles, slices
 
-ITEMS, BITS, RADIUS = 20_000, 128, 40
+ITEMS, BITS, RADIUS, STARTS = 20_000, 128, 40, 4096
 PUNCTUATION = "[\u00a0-\u00bf\u2000-\u206f\u3000-\u3003]"
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -52,12 +53,29 @@ def bags(batch: pa.RecordBatch, column: str, size: int):
         at += rows.num_rows
 
 
-def simhash(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Signs of the weighted sum of the hashes' bits, as BITS booleans."""
+def _signs(h: np.ndarray) -> np.ndarray:
+    """BITS bits of each hash, as 1 and -1."""
     with np.errstate(over="ignore"):
         raw = np.stack([mix(h + U(k + 1) * U(0x9E3779B97F4A7C15)) for k in range(BITS // 64)], 1)
-    bits = np.unpackbits(raw.view(np.uint8).reshape(len(h), -1), axis=1)
-    return (weight @ (2 * bits.astype(np.int32) - 1)) > 0
+    return 2 * np.unpackbits(raw.view(np.uint8).reshape(len(h), -1), axis=1).astype(np.int32) - 1
+
+
+def simhash(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Signs of the weighted sum of the hashes' bits, as BITS booleans."""
+    return (weight @ _signs(h)) > 0
+
+
+def window_prints(h: np.ndarray, starts: np.ndarray, m: int):
+    """(start, SimHash) of the windows of m shingles at sorted starts, from running sums of the bits."""
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = int(np.searchsorted(starts, base + STARTS))
+        total = np.zeros((starts[to - 1] - base + m + 1, BITS), np.int32)
+        np.cumsum(_signs(h[base : starts[to - 1] + m]), axis=0, out=total[1:])
+        own = starts[at:to] - base
+        yield from zip(starts[at:to].tolist(), (total[own + m] - total[own]) > 0, strict=True)
+        at = to
 
 
 class Index:
@@ -65,19 +83,18 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], size: int):
         self.size, self.ids, self.bags, prints = size, [], [], []
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.lengths: dict[int, set[int]] = defaultdict(set)
         table = pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], ["text"])
         for i, n, h in bags(table, "text", size):
             if not n:
                 continue
-            for at, x in enumerate(h.tolist()):
-                self.places[x].append((n, at))
+            for x in h.tolist():
+                self.lengths[x].add(n)
             bag = Counter(h.tolist())
             self.ids.append(items[i][0])
             self.bags.append(bag)
             prints.append(simhash(np.fromiter(bag, np.uint64), np.fromiter(bag.values(), np.int64)))
-        self.places = {x: sorted(set(p)) for x, p in self.places.items()}
-        self.known = np.array(sorted(self.places), np.uint64)
+        self.known = np.array(sorted(self.lengths), np.uint64)
         self.prints = np.array(prints, bool).reshape(-1, BITS)
         edges = np.linspace(0, BITS, RADIUS + 2).astype(int)
         self.blocks = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
@@ -96,28 +113,44 @@ class Index:
         near = np.unique(np.concatenate(found))
         return near[(self.prints[near] != fingerprint).sum(1) <= RADIUS]
 
+    def _starts(self, h: np.ndarray, p: np.ndarray, length: int, least: float) -> tuple[np.ndarray, int]:
+        """Starts of the windows for items of so many words that hold enough of the shared places p, and their
+        number of shingles.  With c of m + n shingles known, the similarity is at most c / (m + n - c)."""
+        n = max(length - self.size + 1, 1)
+        m = min(n, len(h))
+        need = max(ceil(least * (m + n) / (1 + least) - 1e-9), 1)
+        if len(p) < need:
+            return np.zeros(0, np.int64), m
+        lo, hi = np.maximum(p[need - 1 :] - m + 1, 0), np.minimum(p[: len(p) - need + 1], len(h) - m)
+        edge = np.zeros(len(h) + 2, np.int64)
+        np.add.at(edge, lo[lo <= hi], 1)
+        np.add.at(edge, hi[lo <= hi] + 1, -1)
+        inside = np.cumsum(edge) > 0
+        starts = np.flatnonzero(inside)
+        # a window that loses the shingle it gains is the one before it again
+        again = (starts > 0) & inside[starts - 1] & (h[starts - 1] == h[starts + m - 1])
+        return starts[~again], m
+
     def hits(self, h: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity): the best window of each item that is similar enough."""
         if not len(h) or not len(self.known):
             return []
         at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        shared = np.flatnonzero(self.known[at] == h)
-        if not len(shared):
-            return []
-        windows = set()
-        for p in shared.tolist():
-            for length, place in self.places[int(h[p])]:
-                m = max(length - self.size + 1, 1)
-                start = min(max(p - place, 0), max(len(h) - m, 0))
-                windows.add((start, min(m, len(h) - start), length))
+        shared: dict[int, list[int]] = defaultdict(list)
+        for p in np.flatnonzero(self.known[at] == h).tolist():
+            for length in self.lengths[int(h[p])]:
+                shared[length].append(p)
         best: dict[int, tuple[float, int, int]] = {}
-        for start, m, length in sorted(windows):
-            bag = Counter(h[start : start + m].tolist())
-            for k in self.within(simhash(np.fromiter(bag, np.uint64), np.fromiter(bag.values(), np.int64))):
-                both = sum((bag & self.bags[k]).values())
-                score = both / (sum(bag.values()) + sum(self.bags[k].values()) - both)
-                if score >= least and (k not in best or score > best[k][0]):
-                    best[k] = (score, start, length)
+        for length in sorted(shared):
+            starts, m = self._starts(h, np.array(shared[length]), length, least)
+            for start, fingerprint in window_prints(h, starts, m):
+                near = self.within(fingerprint)
+                bag = Counter(h[start : start + m].tolist()) if len(near) else Counter()
+                for k in near.tolist():
+                    both = sum((bag & self.bags[k]).values())
+                    score = both / (m + sum(self.bags[k].values()) - both)
+                    if score >= least and (k not in best or (-score, start, length) < (-best[k][0], *best[k][1:])):
+                        best[k] = (score, start, length)
         return sorted((self.ids[k], start, length, score) for k, (score, start, length) in best.items())
 
 

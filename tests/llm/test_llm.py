@@ -194,3 +194,22 @@ def test_line_recall(spark):
     got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
     assert all(want[2 * k + 1][1] == len(run) for k, run in enumerate(runs)) and want[80] == ("a", 3)
+
+
+@pytest.mark.parametrize("n", [43, 60, 100])
+def test_swapped_leaks(n):
+    """An item whose halves are swapped within a longer text is found, and the best window of any start with it."""
+    draw = random.Random(n)
+    words = [f"w{k}" for k in range(n)]
+    foreign = lambda k: [f"x{draw.randrange(9999)}" for _ in range(k)]
+    text = foreign(70) + words[n // 2 :] + words[: n // 2] + foreign(70)
+    index = decontam.Index([(1, " ".join(words)), (2, " ".join(foreign(n)))], 5)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    near = lambda a, b: len(a & b) / len(a | b)
+    scores = [near(grams(text[s : s + n]), grams(words)) for s in range(len(text) - n + 1)]
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_pydict({"text": [" ".join(text)]})
+    (_, _, h), *_ = decontam.bags(table, "text", 5)
+    assert index.hits(h, 0.8) == [(1, scores.index(max(scores)), n, max(scores))] and max(scores) > 0.8
+    assert not index.hits(h[: 70 + n // 2], 0.8)
