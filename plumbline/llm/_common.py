@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+ROW_KEY = "row_key struct<own:string,id:long>"
 U = np.uint64
 MASK = (1 << 64) - 1
 
@@ -35,6 +36,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key() -> Column:
+    """What tells a row of doc_id and text from others, never null: its id; of rows without one, the SHA-256 of
+    the text, so that equal texts are one.  Rows with an id sort first."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.struct(F.when(doc_id.isNull(), F.sha2(text, 256)).alias("own"), doc_id.alias("id"))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table of a frame that materialize returned and nothing reads any more."""
     jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()

@@ -12,7 +12,7 @@ block by block, so what a task holds is bounded.
 Defined cases: words are runs of letters and digits in lower case (every
 non-ASCII character but common punctuation counts as a letter); an item or text with fewer words than
 a shingle is one shingle; null or wordless items match nothing; null or empty texts have no hit; repeated
-rows give repeated hits; ties go to the first window; empty tables give no rows; other columns are ignored.
+rows give repeated hits; rows without an id are told apart by their text, so that their hits drop them too; ties go to the first window; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, mix, shingles, slices
+from plumbline.llm._common import ROW_KEY, U, mix, row_key, shingles, slices
 
 ITEMS, BITS, RADIUS, STARTS = 20_000, 128, 40, 4096
 PUNCTUATION = "[\u00a0-\u00bf\u2000-\u206f\u3000-\u3003]"
@@ -157,17 +157,16 @@ class Index:
 def _hits(batches, items: list[tuple[int, str]], size: int, least: float):
     index = Index(items, size)
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        rows = [(ids[i], *hit) for i, _, h in bags(batch, "text", size) for hit in index.hits(h, least)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+        rows = [(i, *hit) for i, _, h in bags(batch, "text", size) for hit in index.hits(h, least)]
+        of, *columns = (pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())))
+        yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), *columns], ["row_key", "item_id", "first_word", "n_words", "similarity"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """Hits of benchmark items in texts: doc_id, item_id, first_word, n_words, similarity."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _leaks(docs: DataFrame, benchmark: DataFrame, size: int, least: float) -> DataFrame:
+    texts = docs.select(row_key().alias("row_key"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = -(-items.count() // (ITEMS // 2))
-    schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
+    schema = f"{ROW_KEY}, item_id long, first_word long, n_words long, similarity double"
     out = docs.sparkSession.createDataFrame([], schema)
     for b in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).limit(ITEMS + 1).collect()]
@@ -177,7 +176,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: floa
     return out
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """Hits of benchmark items in texts: doc_id, item_id, first_word, n_words, similarity."""
+    return _leaks(docs, benchmark, size, least).select(F.col("row_key.id").alias("doc_id"), "item_id", "first_word", "n_words", "similarity")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs without a hit."""
-    hit = find_leaks(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("hit_id"), "left_anti")
+    hit = _leaks(docs, benchmark, 5, 0.8).select(F.col("row_key").alias("hit_key")).distinct()
+    return docs.join(hit, row_key() == F.col("hit_key"), "left_anti")

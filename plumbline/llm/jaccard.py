@@ -17,7 +17,7 @@ are all written, and yet every link between components is found.
 Defined cases: a null text or one without words has no shingle, links with nothing and is its own
 component; a text with fewer words than a shingle is one shingle; repeated rows are in one class; equal
 ids are one document whose sets are all linked by it; an empty table gives no rows; other columns are
-ignored.
+ignored; a component's smallest id is null where no row of it has one.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def _describe(batches, size: int):
         for rows, data, off in slices(batch, "text"):
             found = [(len(f), _class(f), _sketch(f)) if len(f) else (0, None, None) for _, f in _sets(rows, data, off, size)]
             columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "n", "cls", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), *columns], ["doc_id", "key", "n", "cls", "sketch"])
 
 
 def _salted(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
@@ -279,24 +279,25 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, cls) of every row, and (cls, component) of every class that has links.
+    """(doc_id, key, n, cls) of every row, and (cls, component) of every class that has links.
 
-    A component is named by one of its classes.
+    A component is named by one of its classes.  The key is the id, or a hash of the text where there is none; it
+    only leads to texts, whose class is looked at again.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = materialize(texts.mapInArrow(partial(_describe, size=size), "doc_id long, n long, cls long, sketch binary"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    described = materialize(texts.mapInArrow(partial(_describe, size=size), "doc_id long, key long, n long, cls long, sketch binary"))
     members = materialize(_shared(texts.mapInArrow(partial(_sign, size=size, percent=percent), "sig long, salt int, cls long")))
     release(docs.sparkSession)
-    wanted = members.select("cls").distinct().join(described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls")
-    sketches = materialize(described.join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]))
+    wanted = members.select("cls").distinct().join(described.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key")), "cls")
+    sketches = materialize(described.join(wanted, ["key", "cls"]).dropDuplicates(["key", "cls"]))
 
     def features(pairs: DataFrame) -> DataFrame:
         """Sets of the classes of pairs; of rows that share an id, those of the one that has the class.
 
         The classes grow with the input, so they are not broadcast at any size.
         """
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "doc_id"), "cls")
-        found = texts.join(needed.hint("shuffle_hash"), "doc_id").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary, n long, wide binary")
+        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "key"), "cls")
+        found = texts.join(needed.hint("shuffle_hash"), "key").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary, n long, wide binary")
         return materialize(found.where("features is not null").dropDuplicates(["cls"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -355,15 +356,26 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         edges = edges.union(star(members))
 
 
-def join_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of the component) of every row."""
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows of links() with the smallest id of their component, and the smallest key of its rows without an id."""
     described, linked = links(docs, size, percent)
     named = described.join(linked, "cls", "left").withColumn("group", F.coalesce("component", "cls"))
-    lowest = named.where("cls is not null").groupBy("group").agg(F.min("doc_id").alias("low"))
-    return named.join(lowest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    lowest = named.where("cls is not null").groupBy("group").agg(F.min("doc_id").alias("low"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("low_key"))
+    return named.join(lowest, "group", "left")
+
+
+def join_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id of the component) of every row."""
+    return _grouped(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs whose id is the smallest of its component."""
-    kept = join_components(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
+    """Rows of docs whose id is the smallest of its component.  Of a component without any id one row stays;
+    a row without id or words stays."""
+    grouped = _grouped(docs, size, percent)
+    ids = grouped.where("doc_id = coalesce(low, doc_id)").select(F.col("doc_id").alias("kept_id")).distinct()
+    keys = grouped.where("doc_id is null and low is null and key = low_key").select(F.col("key").alias("kept_key")).distinct()
+    rest = docs.where(F.col("doc_id").cast("long").isNull())
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = rest.where(words).join(keys, F.xxhash64(F.col("text").cast("string")) == F.col("kept_key"), "left_semi").dropDuplicates(["text"])
+    return docs.join(ids, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi").unionByName(once).unionByName(rest.where(~words))

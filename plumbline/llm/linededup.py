@@ -9,7 +9,8 @@ since an equal line then stands at an earlier place, one copy of every line stay
 
 Defined cases: a null or empty text has no chunk and stays as it is (null becomes empty); a shorter line
 is never removed by itself; rows that share an id are compared by content and place, so repeated rows of one
-id keep their first chunks alike; an empty table gives no rows; lines end at \\n only; a group whose bytes
+id keep their first chunks alike; rows without an id come after all others, told apart by their text, and
+equal texts among them count as repeated rows of one id; an empty table gives no rows; lines end at \\n only; a group whose bytes
 differ under equal hashes is left alone; removed_chunks counts the runs of removed lines; other columns
 are ignored.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, materialize, mix, n_shuffle, range_hashes, slices
+from plumbline.llm._common import ROW_KEY, U, materialize, mix, n_shuffle, range_hashes, row_key, slices
 
 LONE = 200
 
@@ -61,8 +62,8 @@ def _chunks(batches):
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
             _, c = chunk(data, off)
-            ids = rows.column("doc_id").take(pa.array(c["row"]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(c["idx"].astype(np.int32)), pa.array(c["h"]), pa.array(c["h2"])], ["doc_id", "idx", "h", "h2"])
+            ids = rows.column("row_key").take(pa.array(c["row"]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(c["idx"].astype(np.int32)), pa.array(c["h"]), pa.array(c["h2"])], ["row_key", "idx", "h", "h2"])
 
 
 def _named(rows: pa.RecordBatch, c: dict[str, np.ndarray]):
@@ -116,17 +117,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     The texts are dealt by id once; both passes over them read that exchange.
     """
-    names = [c for c in docs.columns if c != "text" and c not in ("marks", "removed_chunks", "removed_lines")]
+    names = [c for c in docs.columns if c != "text" and c not in ("marks", "row_key", "removed_chunks", "removed_lines")]
     docs = docs.select(*[F.col(f"`{c}`").alias(c) for c in names], F.col("text").cast("string").alias("text"))
-    ids = docs.select(F.col("doc_id").cast("long"), "text")
-    found = ids.mapInArrow(_chunks, "doc_id long, idx int, h long, h2 long")
-    again = found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "idx")).alias("keep")).where("n > 1").drop("n")
-    hits = materialize(found.join(again, ["h", "h2"]).withColumn("later", (F.struct("doc_id", "idx") != F.col("keep"))))
-    dealt = docs.repartition(n_shuffle(docs.sparkSession), "doc_id")
+    keyed = docs.withColumn("row_key", row_key())
+    found = keyed.select("row_key", "text").mapInArrow(_chunks, f"{ROW_KEY}, idx int, h long, h2 long")
+    again = found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "idx")).alias("keep")).where("n > 1").drop("n")
+    hits = materialize(found.join(again, ["h", "h2"]).withColumn("later", (F.struct("row_key", "idx") != F.col("keep"))))
+    dealt = keyed.repartition(n_shuffle(docs.sparkSession), "row_key")
 
     def marked(rows: DataFrame) -> DataFrame:
-        marks = rows.groupBy("doc_id").agg(F.collect_set(F.struct("idx", "h")).alias("marks"))
-        return dealt.join(marks, "doc_id", "left")
+        marks = rows.groupBy("row_key").agg(F.collect_set(F.struct("idx", "h")).alias("marks"))
+        return dealt.join(marks, "row_key", "left")
 
     content = marked(hits).select("text", "marks").mapInArrow(_bytes, "h long, h2 long, content binary")
     differ = content.groupBy("h", "h2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("h", "h2")

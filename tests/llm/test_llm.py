@@ -213,3 +213,22 @@ def test_swapped_leaks(n):
     (_, _, h), *_ = decontam.bags(table, "text", 5)
     assert index.hits(h, 0.8) == [(1, scores.index(max(scores)), n, max(scores))] and max(scores) > 0.8
     assert not index.hits(h[: 70 + n // 2], 0.8)
+
+
+def test_rows_without_id(spark):
+    """One row of a group stays with or without ids, and hits drop rows without an id."""
+    draw = random.Random(3)
+    text = lambda: "\n".join(" ".join(f"w{draw.randrange(9999)}" for _ in range(12)) for _ in range(4))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " end"), (1, b), (None, b), (None, b + " end"), (None, c), (None, ""), (None, None), (4, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs, 5, 80).collect()]
+    first = [r for r in kept if r[1] and r[1].startswith(a)]
+    assert len(first) == 1 and first[0][1] in (a, a + " end")
+    assert {r for r in kept if r not in first} == {(1, b), (None, c), (None, ""), (None, None), (4, d)} and len(kept) == 6
+    bench = spark.createDataFrame([(1, a.replace("\n", " ")), (2, d)], "item_id long, text string")
+    left = decontam.drop_leaks(docs, bench).collect()
+    assert sorted(r.text or "" for r in left) == sorted([b, b, b + " end", c, "", ""])
+    out = linededup.dedup_lines(docs).collect()
+    lines = [r.text for r in out if r.doc_id is None and r.removed_lines]
+    assert {r.text for r in out if r.doc_id == 1} == {b} and "" in lines and b.split("\n")[-1] + " end" in lines and b not in {r.text for r in out if r.doc_id is None}
