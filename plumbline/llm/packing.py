@@ -14,89 +14,138 @@ an empty table gives no rows; columns other than the id and text are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import materialize, n_shuffle
+from plumbline.llm._common import materialize, n_shuffle, not_blank, slices, spans
 
-CACHE_WORDS = 700_000
+CACHE_PARTS = 500_000
+# parts of words in lower case: endings, letters, a digit, signs; ASCII and Latin letters with marks only
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+| ")
+OTHER = re.compile("[^ -~À-ſ]|İ|<\\|")
 _STATE: dict = {}
 
 
-def _encoder(path: str):
-    """Text to little-endian ids; words met before are looked up, new ones are encoded together."""
+def _encoder(path: str) -> dict:
+    """The tokenizer and, for parts met before, their places in one array of ids.  Part 0 is a blank, without ids."""
     if _STATE.get("path") != path:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         suffix = getattr(t.model, "end_of_word_suffix", None) or "\0"
-        ends = np.zeros(t.get_vocab_size() + 1, bool)
+        ends = np.zeros(max(t.get_vocab().values()) + 1, bool)
         for token, i in t.get_vocab().items():
             ends[i] = token.endswith(suffix)
-        _STATE.update(path=path, tokenizer=t, ends=ends, words={})
+        _STATE.update(path=path, tokenizer=t, ends=ends)
+        _forget(_STATE)
     return _STATE
 
 
-def _learn(state: dict, words: list[str]) -> None:
-    """Encode new words.  A word of letters only ends with the one end-of-word token it has."""
-    plain = [w for w in words if w.isalpha() and w.isascii()]
-    other = [w for w in words if not (w.isalpha() and w.isascii())]
-    known, t = state["words"], state["tokenizer"]
-    if plain:
-        ids = np.array(t.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+def _forget(state: dict) -> None:
+    state.update(parts={" ": 0}, ids=np.zeros(0, np.uint32), begin=np.zeros(2, np.int64))
+
+
+def _gather(ids: np.ndarray, begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of parts one after the other, and where each part's begin."""
+    length = begin[which + 1] - begin[which]
+    bounds = np.append(0, np.cumsum(length))
+    return ids[np.repeat(begin[which] - bounds[:-1], length) + np.arange(bounds[-1])], bounds
+
+
+def _learn(state: dict, parts: list[str], other: list[str]) -> None:
+    """Encode new parts, all in one call: each ends with the one end-of-word token it has.  Words of other
+    characters are encoded one by one."""
+    t, lengths, found = state["tokenizer"], np.zeros(0, np.int64), []
+    if parts:
+        ids = np.array(t.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(state["ends"][ids]) + 1
-        if len(cuts) == len(plain) and cuts[-1] == len(ids):
-            raw, at = ids.tobytes(), 0
-            for w, to in zip(plain, (cuts * 4).tolist(), strict=True):
-                known[w] = raw[at:to]
-                at = to
+        if len(cuts) == len(parts) and cuts[-1] == len(ids):
+            lengths, found = np.diff(np.append(0, cuts)), [ids]
         else:
-            other += plain
-    for w, e in zip(other, t.encode_batch_fast(other, add_special_tokens=False) if other else [], strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-
-
-def encode(text: str, path: str, end_id: int) -> bytes:
-    """Ids of a text and its end token.  Only blanks and newlines part the words looked up, which the
-    tokenizer drops in any case and never joins over."""
-    state = _encoder(path)
-    words = text.replace("\n", " ").split(" ")
-    known = state["words"]
-    new = [w for w in dict.fromkeys(words) if w not in known]
-    if new:
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        _learn(state, new)
-    return b"".join(map(known.__getitem__, words)) + int(end_id).to_bytes(4, "little")
+            found = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+            lengths = np.array([len(f) for f in found])
+    if other:
+        more = [np.array(e.ids, np.uint32) for e in t.encode_batch_fast(other, add_special_tokens=False)]
+        found, lengths = found + more, np.append(lengths, [len(m) for m in more]).astype(np.int64)
+    first = len(state["parts"])
+    state["parts"].update(zip(chain(parts, ("\0" + w for w in other)), range(first, first + len(lengths)), strict=True))
+    state["begin"] = np.append(state["begin"], state["begin"][-1] + np.cumsum(lengths))
+    state["ids"] = np.concatenate([state["ids"], *found])
+
+
+def _words(words: list[bytes], state: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one after the other, and where each word's begin."""
+    joined = b" ".join(words).decode("utf-8", "replace")
+    other: list[str] = []
+    at = np.arange(len(words))
+    if OTHER.search(joined):
+        each = joined.split(" ")
+        odd = np.fromiter(map(bool, map(OTHER.search, each)), bool, len(each))
+        other = [each[i] for i in np.flatnonzero(odd).tolist()]
+        joined = " ".join([each[i] for i in np.flatnonzero(~odd).tolist()])
+        at = np.empty(len(words), np.int64)
+        at[~odd], at[odd] = np.arange(len(words) - len(other)), np.arange(len(words) - len(other), len(words))
+    parts = PARTS.findall(joined.lower())
+    new = [p for p in dict.fromkeys(parts) if p not in state["parts"]]
+    odd_new = [w for w in dict.fromkeys(other) if "\0" + w not in state["parts"]]
+    if len(state["parts"]) + len(new) + len(odd_new) > CACHE_PARTS:
+        _forget(state)
+        new, odd_new = [p for p in dict.fromkeys(parts) if p != " "], list(dict.fromkeys(other))
+    _learn(state, new, odd_new)
+    known = state["parts"]
+    which = np.fromiter(chain(map(known.__getitem__, parts), (known["\0" + w] for w in other)), np.int64)
+    ids, bounds = _gather(state["ids"], state["begin"], which)
+    # a word's parts end at a blank, where the joined words end, and after each other word
+    ends = np.append(np.flatnonzero(which[: len(parts)] == 0), [len(parts)] if len(other) < len(words) else []).astype(np.int64)
+    ends = np.append(ends, np.arange(len(parts) + 1, len(which) + 1))
+    begin = np.append(0, bounds[ends])
+    return _gather(ids, begin, at)
+
+
+def encode(data: np.ndarray, off: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of rows of text, each followed by the end token, and where each row's begin.
+
+    Blanks part words, which the tokenizer drops in any case and never joins over.  Each distinct word is looked
+    at once, so the work in Python follows their number; the rest is done on arrays.
+    """
+    state, n = _encoder(path), len(off) - 1
+    starts, _, rows = spans(not_blank(data), off)
+    # a word with the blanks after it
+    cells = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = cells.dictionary_encode()
+    ids, begin = _words([w.rstrip(b" \t\n\v\f\r") for w in coded.dictionary.to_pylist()], state) if len(starts) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
+    # the end token is one more word, after the last of each row
+    last = np.cumsum(np.bincount(rows, minlength=n))
+    which = np.insert(coded.indices.to_numpy().astype(np.int64), last, len(begin) - 1)
+    out, bounds = _gather(np.append(ids, np.uint32(end_id)), np.append(begin, len(ids) + 1), which)
+    return out, np.append(0, bounds[last + np.arange(1, n + 1)])
 
 
 def _pieces(batches, path: str, capacity: int, end_id: int, with_ids: bool):
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
     for batch in batches:
-        rows: list[tuple] = []
-        held = 0
-        texts = batch.column(1)
-        for i, doc in enumerate(batch.column(0).to_pylist()):
-            raw = encode(texts[i].as_py() or "", path, end_id)
-            for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[at : at + 4 * capacity]
-                rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
-            held += len(raw)
-            if held > 16 << 20 and with_ids:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for rows, data, off in slices(batch, "text"):
+            ids, bounds = encode(data, off, path, end_id)
+            length = np.diff(bounds)
+            count = -(-length // capacity)
+            row = np.repeat(np.arange(len(length)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            size = np.minimum(capacity, length[row] - start)
+            raw, at = memoryview(ids.astype("<u4").tobytes()), 4 * (bounds[row] + start)
+            parts = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * size).tolist(), strict=True)]
+            crc = pa.array([zlib.crc32(p) for p in parts], pa.int64())
+            columns = [rows.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), crc]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([bytes(p) for p in parts], pa.binary())] * with_ids], names)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
