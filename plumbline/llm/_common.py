@@ -14,17 +14,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+HOT, SALTS, STAR = 1000, 64, 16
 ROW_KEY = "row_key struct<own:string,id:long>"
 U = np.uint64
 MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir).  Only a local session without one gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="plumbline-")
+        if held.isDefined():
+            named = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="plumbline-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -167,23 +173,76 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int, inside: np.ndarray) -
     return out, bounds, count
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ..., so that no name of theirs clashes with an operator's."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def frequent(counts: DataFrame) -> DataFrame:
+    """Of rows (keys, n), those with more than one part in HOT of the sum of n: fewer than HOT, without n."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") * HOT > F.lit(total)).drop("n")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame, how: str, by: list[str]) -> DataFrame:
+    """rows.join(table, keys, how) where rows of hot keys (fewer than HOT, which are broadcast) and of null ones are
+    spread over SALTS tasks by a hash of the columns `by`; the table's hot rows go to each."""
+    mark = F.broadcast(hot.select(*keys, F.lit(True).alias("is hot")))
+    spread = F.col("is hot")
+    for k in keys:
+        spread = spread | F.col(k).isNull()
+    salt = F.when(spread, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = rows.join(mark, keys, "left").withColumn("salt of the row", salt).drop("is hot")
+    every = F.when(F.col("is hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = table.join(mark, keys, "left").withColumn("salt of the row", F.explode(every)).drop("is hot")
+    return rows.join(table, [*keys, "salt of the row"], how).drop("salt of the row")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of each vertex of an undirected edge table: columns id, component.
 
-    Alternates large-star and small-star contraction; each round is a written table and the number of
-    rounds follows the logarithm of the longest path.
+    Alternates large-star and small-star contraction; each round is a written table, which goes when the next is there,
+    and the number of rounds follows the logarithm of the longest path.  The edges of a vertex are spread over STAR tasks.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     e = materialize(e)
     seen = None
+
+    def lowest(edges: DataFrame, low: DataFrame) -> DataFrame:
+        salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(STAR)))
+        return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STAR - 1).cast("long")))), ["a", "salt"])
+
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = lowest(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small)
+        small = lowest(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        before, e = e, materialize(small)
+        drop(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == tuple(now):
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select("b", "b").distinct().toDF("id", "component"))
         seen = tuple(now)
+
+
+def runs_of(batches, key: str) -> Iterator[pa.Table]:
+    """Batches of rows sorted by a key of integers, joined and cut anew so that no run of one key is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last or (held and held[-1].column(key)[0].as_py() != keys[0]):
+            first = int(np.searchsorted(keys, held[-1].column(key)[-1].as_py(), "right")) if held else 0
+            cut = max(first, last)
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+            if done.num_rows:
+                yield done
+            batch = batch.slice(cut)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
