@@ -3,17 +3,20 @@
 A target and a background model of the same order and smoothing share one vocabulary, the distinct words
 of both corpora.  p(w | v) = (1 - mix) c(v, w) / c(v) + mix / |vocabulary|; a context never seen gives the
 vocabulary's share alone.  A document's score is its mean loss a token under the target model less that
-under the background model: the lower, the closer to the target.
+under the background model: the lower, the closer to the target.  The counts of a document itself are left out of the
+background it is held against.
 
 All bigrams of both corpora meet in buckets by context, where counts are summed and the losses of the
 documents' tokens follow at once, so the corpus is shuffled once and no model is broadcast.  Contexts
 with more than one part in `HOT` of all tokens (at most HOT of them) are known beforehand with their
-totals; their bigrams are bucketed by both words, so no word's followers meet in one task.
+totals; their bigrams are bucketed by both words, so no word's followers meet in one task.  A bigram that a
+document repeats is one entry with its count.  Words of a context are told apart by 48 bits of their hashes.
 
 Defined cases: words are runs of non-blank bytes, A-Z lower-cased; the first word's context is a start
 mark; null texts and texts without words have no tokens and null losses and score; repeated rows count
-and are scored each; an empty background gives no rows, with an empty target its model is uniform; other
-columns are ignored.
+and are scored each, against one another too; a very long text is read whole, as a slice of its own; there are no
+ties; ids may be null; an empty background gives no rows, with an empty target its model is uniform; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -58,11 +61,21 @@ def _spread(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets)) >> U(32)
 
 
-SENT = "bucket int, batch long, kind int, ctx binary, runs binary, word binary, row binary"
+SENT = "bucket int, batch long, kind int, ctx binary, runs binary, word binary, row binary, times binary"
+
+
+def _distinct(v: np.ndarray, w: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A token of each bigram of each row, and how often it occurs there."""
+    with np.errstate(over="ignore"):
+        key = mix(v + mix(w + mix(row.astype(np.uint64) + U(1))))
+    order = np.argsort(key)
+    new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+    return order[new], np.diff(np.append(new, len(key)))
 
 
 def _send(batches, hot: np.ndarray, buckets: int, target: bool):
-    """Bigrams of a slice by bucket.  kind: 0 contexts in runs, 1 hot contexts, 2 the slice's documents."""
+    """Bigrams of a slice by bucket.  kind: 0 contexts in runs, 1 hot contexts (ctx: which; runs: how often it is one in
+    the row), 2 the slice's documents."""
     task, count = TaskContext.get().partitionId(), 0
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
@@ -73,8 +86,9 @@ def _send(batches, hot: np.ndarray, buckets: int, target: bool):
             if not target:
                 n = np.bincount(row, minlength=rows.num_rows).astype(np.int64)
                 ids = rows.column("doc_id")
-                out.append((uid % buckets, uid, 2, ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), n.tobytes(), b""))
-            short, row = (w >> U(32)).astype(np.uint32), row.astype(np.uint32)
+                out.append((uid % buckets, uid, 2, ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), n.tobytes(), b"", b""))
+            keep, times = _distinct(v, w, row)
+            v, w, row = v[keep], w[keep], row[keep]
             at = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0))
             is_hot = hot[at] == v if len(hot) else np.zeros(len(v), bool)
             with np.errstate(over="ignore"):
@@ -91,50 +105,77 @@ def _send(batches, hot: np.ndarray, buckets: int, target: bool):
                 head = np.flatnonzero(new[s])
                 run = np.diff(np.append(head, cut[b + 1] - cut[b])).astype(np.uint32)
                 i = cold[s]
-                out.append((b, uid, 0, v[i[head]].tobytes(), run.tobytes(), short[i].tobytes(), b"" if target else _narrow(row[i])))
+                out.append((b, uid, 0, v[i[head]].tobytes(), run.tobytes(), _short(w[i]), b"" if target else _narrow(row[i]), _counts(times[i])))
             cut = np.searchsorted(_spread(both, buckets), edges)
+            pair, of = np.unique(row[warm] * max(len(hot), 1) + at[warm], return_inverse=True)
+            own = np.bincount(of, times[warm], minlength=len(pair)).astype(np.int64)[of]
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 i = warm[cut[b] : cut[b + 1]]
-                out.append((b, uid, 1, at[i].astype(np.uint16).tobytes(), b"", short[i].tobytes(), b"" if target else _narrow(row[i])))
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                out.append((b, uid, 1, at[i].astype(np.uint16).tobytes(), b"" if target else _narrow(own[cut[b] : cut[b + 1]]), _short(w[i]), b"" if target else _narrow(row[i]), _counts(times[i])))
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], [x.split()[0] for x in SENT.split(", ")])
 
 
 def _narrow(row: np.ndarray) -> bytes:
-    """Row numbers in two bytes each where they fit, else in four, told apart by a leading byte."""
-    return b"\2" + row.astype(np.uint16).tobytes() if not len(row) or row.max() < 65536 else b"\4" + row.tobytes()
+    """Numbers in one, two or four bytes each, told apart by a leading byte."""
+    most = row.max() if len(row) else 0
+    size = 1 if most < 256 else 2 if most < 65536 else 4
+    return bytes([size]) + row.astype(f"u{size}").tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.uint32, offset=1).astype(np.int64)
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _counts(times: np.ndarray) -> bytes:
+    """Counts, or nothing where all are 1."""
+    return _narrow(times) if len(times) and times.max() > 1 else b""
+
+
+def _short(w: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash."""
+    return (w >> U(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(raw: list[bytes]) -> np.ndarray:
+    own = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    return np.pad(own, ((0, 0), (0, 2))).view(np.uint64).ravel()
 
 
 def _losses(parts: list[dict], hot_totals: np.ndarray, vocabulary: int, share: float):
     """Sums of losses by slice and row for the bigrams of one bucket and kind."""
-    word = np.concatenate([np.frombuffer(p["word"], np.uint32) for p in parts]).astype(np.uint64)
-    size = [len(p["word"]) // 4 for p in parts]
+    word = _long([p["word"] for p in parts])
+    size = [len(p["word"]) // 6 for p in parts]
+    times = np.concatenate([_wide(p["times"]) if p["times"] else np.ones(n, np.int64) for p, n in zip(parts, size, strict=True)])
     target = np.repeat([p["batch"] < 0 for p in parts], size)
+    row = np.concatenate([_wide(p["row"]) if p["row"] else np.zeros(n, np.int64) for p, n in zip(parts, size, strict=True)])
     if parts[0]["kind"] == 0:
         ctx = np.concatenate([np.repeat(np.frombuffer(p["ctx"], np.uint64), np.frombuffer(p["runs"], np.uint32)) for p in parts])
         seen, ctx = np.unique(ctx, return_inverse=True)
-        total = np.stack([np.bincount(ctx[target == t], minlength=len(seen)) for t in (False, True)])
+        total = np.stack([np.bincount(ctx, times * (target == t), minlength=len(seen)) for t in (False, True)])
+        # how often a row itself has the context
+        base = np.cumsum([0] + [int(row[a:b].max(initial=0)) + 1 for a, b in zip(np.cumsum([0, *size[:-1]]).tolist(), np.cumsum(size).tolist(), strict=True)])
+        at = np.unique((np.repeat(base[:-1], size) + row) * len(seen) + ctx, return_inverse=True)[1]
+        own = np.bincount(at, times)[at]
     else:
         ctx = np.concatenate([np.frombuffer(p["ctx"], np.uint16) for p in parts]).astype(np.int64)
         total = hot_totals
-    pair, at = np.unique((ctx.astype(np.uint64) << U(32)) | word, return_inverse=True)
-    of = (pair >> U(32)).astype(np.int64)
+        own = np.concatenate([_wide(p["runs"]) if p["runs"] else np.zeros(n, np.int64) for p, n in zip(parts, size, strict=True)])
+    order = np.lexsort((word, ctx))
+    new = np.append(True, (ctx[order][1:] != ctx[order][:-1]) | (word[order][1:] != word[order][:-1]))[: len(order)]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
     loss = []
-    for t in (False, True):
-        n = np.bincount(at[target == t], minlength=len(pair))
-        c = total[int(t)][of]
-        loss.append(-np.log(np.where(c > 0, (1 - share) * n / np.maximum(c, 1) + share / vocabulary, 1 / vocabulary)))
+    for t, less_pair, less in ((False, times, own), (True, 0, 0)):
+        n, c = np.bincount(at, times * (target == t))[at] - less_pair, total[int(t)][ctx] - less
+        with np.errstate(invalid="ignore", divide="ignore"):
+            loss.append(-times * np.log(np.where(c > 0, (1 - share) * n / np.maximum(c, 1) + share / vocabulary, 1 / vocabulary)))
     begin = 0
     for p, n in zip(parts, size, strict=True):
         if p["batch"] >= 0:
-            row, k = _wide(p["row"]), at[begin : begin + n]
-            found = np.unique(row)
-            place = np.searchsorted(found, row)
-            yield p["batch"], found, np.bincount(place, loss[0][k]), np.bincount(place, loss[1][k])
+            s = slice(begin, begin + n)
+            found, place = np.unique(row[s], return_inverse=True)
+            yield p["batch"], found, np.bincount(place, loss[0][s]), np.bincount(place, loss[1][s])
         begin += n
 
 
@@ -148,7 +189,7 @@ def _meet(batches, hot_totals: np.ndarray, vocabulary: int, share: float):
     held: list[dict] = []
 
     def close():
-        rows = [(b, 0, r.astype(np.uint32).tobytes(), b"", bg.tobytes(), tg.tobytes()) for b, r, bg, tg in _losses(held, hot_totals, vocabulary, share)]
+        rows = [(b, 0, _narrow(r), b"", bg.astype(np.float32).tobytes(), tg.astype(np.float32).tobytes()) for b, r, bg, tg in _losses(held, hot_totals, vocabulary, share)]
         held.clear()
         return [make(rows)] if rows else []
 
@@ -171,9 +212,9 @@ def _finish(group: pa.Table) -> pa.Table:
     ids, valid, n = np.frombuffer(head["rows"], np.int64), np.frombuffer(head["valid"], bool), np.frombuffer(head["bg"], np.int64)
     sums = np.zeros((2, len(ids)))
     for r in sorted((r for r in rows if r["kind"] == 0), key=lambda r: (len(r["rows"]), r["rows"], r["bg"])):
-        at = np.frombuffer(r["rows"], np.uint32)
-        sums[0, at] += np.frombuffer(r["bg"])
-        sums[1, at] += np.frombuffer(r["tg"])
+        at = _wide(r["rows"])
+        sums[0, at] += np.frombuffer(r["bg"], np.float32)
+        sums[1, at] += np.frombuffer(r["tg"], np.float32)
     none = n == 0
     mean = sums / np.maximum(n, 1)
     return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_tokens": pa.array(n), "loss_target": pa.array(mean[1], mask=none), "loss_background": pa.array(mean[0], mask=none), "score": pa.array(mean[1] - mean[0], mask=none)})
