@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.expressions import t_cdf, t_quantile
-from plumbline.operators.joins import pair_arms
-from plumbline.operators.reshape import union_parts
 from plumbline.operators.windows import holm
 
 
@@ -32,11 +30,17 @@ def effects(pairs: DataFrame, g: list[str], left: str = "left_value", right: str
 
 
 def family(metrics: DataFrame, arm: str, others: list[str], values: list[str], keys: list[str], g: list[str], correct: list[str] | None = None) -> DataFrame:
-    """One arm against others on several metrics, Holm over the whole family or within given columns."""
-    parts = [
-        paired_t(pair_arms(metrics, arm, o, v, keys), g).withColumn("comparison", F.lit(f"{arm} vs {o}")).withColumn("metric", F.lit(v)) for o in others for v in values
-    ]
-    return holm(union_parts(parts), correct if correct is not None else [])
+    """One arm against others on several metrics, Holm over the whole family or within given columns.
+
+    The metrics, a row for each arm and keys, are read once: arms become columns, comparisons rows.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]))
+    long = metrics.where(F.col("model").isin(arm, *others)).select(*keys, "model", each.alias("m")).select(*keys, "model", "m.*")
+    of = lambda n: F.max(F.when(F.col("model") == n, F.col("value")))
+    wide = long.groupBy(*keys, "metric").agg(of(arm).alias("left_value"), *[of(o).alias(f"other {i}") for i, o in enumerate(others)])
+    compared = F.explode(F.array(*[F.struct(F.lit(f"{arm} vs {o}").alias("comparison"), F.col(f"other {i}").alias("right_value")) for i, o in enumerate(others)]))
+    pairs = wide.select(*keys, "metric", "left_value", compared.alias("c")).select(*keys, "metric", "left_value", "c.*").where("left_value is not null and right_value is not null")
+    return holm(paired_t(pairs, [*g, "comparison", "metric"]), correct if correct is not None else [])
 
 
 def equivalence(pairs: DataFrame, g: list[str], fraction: float) -> DataFrame:

@@ -238,13 +238,24 @@ def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: lis
     return x
 
 
-def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], basis: int, box: tuple[float, float], theta: float, weak: float, l1: float, group: float, ridge: float, fixed: bool = False, sweeps: int = 60, tol: float = 1e-6) -> dict:
+def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], basis: int, box: tuple[float, float], theta: float, weak: float, l1: float, group: float, ridge: float, fixed: bool = False, sweeps: int = 60, tol: float = 1e-6, score: int | None = None, mapped: bool = False) -> dict:
     """Alternate g, d and theta on Grams over [shape columns, basis columns, y].
 
     H(theta) = [shape, theta * shape[theta_of]]; labeled rows see H g + B d, weak rows H g only.  The loss
     is half the labeled sum of squares plus half `weak` times the weak one, plus the penalties.
+
+    With a score column, weak labels are theta times it: they are scored anew at the current theta before every sweep,
+    which on Grams is a product with their cross products; `drift` is the change of theta times the slope of the
+    labels, by sweep, to be multiplied by the largest score.  With `mapped`, labels go through a + b label, the least
+    squares of the labeled y on the label at the first theta (shape column 0 is the intercept), frozen from then on.
     """
     p, y = shape, shape + basis
+    gw, phi, drift, scored_at = gw.copy(), (0.0, 1.0), [], None
+    if score is not None and mapped:
+        n, x, xx, xy, sy = gl[0, 0], theta * gl[0, score], theta * theta * gl[score, score], theta * gl[score, y], gl[0, y]
+        spread = n * xx - x * x
+        slope = (n * xy - x * sy) / spread if spread > SMALL * max(n * xx, SMALL) else 1.0
+        phi = ((sy - slope * x) / n, slope) if n > 0 else phi
     nb, h = list(range(p, p + basis)), shape + len(theta_of)
     g, d, history, converged = np.zeros(h), np.zeros(basis), [], False
 
@@ -261,6 +272,13 @@ def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], ba
 
     for sweep in range(sweeps):
         old = np.concatenate((g, d, [theta]))
+        if score is not None:
+            label = np.zeros(p)
+            label[0], label[score] = phi[0], label[score] + phi[1] * theta
+            gw[y, :y] = gw[:y, y] = gw[:y, :p] @ label
+            gw[y, y] = label @ gw[:p, :p] @ label
+            drift.append(abs(phi[1] * (theta - scored_at)) if scored_at is not None else 0.0)
+            scored_at = theta
         m = lift(theta)
         q = m.T @ (gl[:p, :p] + weak * gw[:p, :p]) @ m
         c = m.T @ (gl[:p, y] - gl[:p, nb] @ d + weak * gw[:p, y])
@@ -282,16 +300,19 @@ def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], ba
         if change < tol and moved < 1e-3:
             converged = True
             break
-    return {"g": g.tolist(), "d": d.tolist(), "theta": float(theta), "objective": history[-1], "history": history, "sweeps": len(history), "converged": converged}
+    return {"g": g.tolist(), "d": d.tolist(), "theta": float(theta), "objective": history[-1], "history": history, "sweeps": len(history), "converged": converged, "phi": list(phi), "drift": drift}
 
 
-FIT = "g array<double>; d array<double>; theta double; objective double; history array<double>; sweeps int; converged boolean; validation_mse double; status string"
+FIT = "g array<double>; d array<double>; theta double; objective double; history array<double>; sweeps int; converged boolean; phi array<double>; drift array<double>; validation_mse double; status string"
 
 
-def fit_weak(grams: DataFrame, keep: list[str], shape: list[str], theta_of: list[str], basis: list[str], box: tuple[float, float], fixed: bool = False) -> DataFrame:
+def fit_weak(grams: DataFrame, keep: list[str], shape: list[str], theta_of: list[str], basis: list[str], box: tuple[float, float], fixed: bool = False, score: str | None = None, mapped: bool = False) -> DataFrame:
     """Weakly supervised fits of Gram rows: columns labeled, weak and validation hold triangles over
     [shape, basis, y]; weak_weight, l1, group_weight, ridge and theta0 are the candidate.  A failed fit has
-    a status instead of raising."""
+    a status instead of raising.  `score` names the shape column whose multiple by theta the weak labels are: they
+    are then scored anew each sweep (not together with a fixed theta); `mapped` maps them to the labeled y first."""
+    if score is not None and fixed:
+        raise ValueError("weak labels are not scored anew at a fixed theta")
     p, b = len(shape), len(basis)
     at = [shape.index(c) for c in theta_of]
 
@@ -300,9 +321,9 @@ def fit_weak(grams: DataFrame, keep: list[str], shape: list[str], theta_of: list
         none = np.zeros(size * (size + 1) // 2)
         gl, gw = full(r.labeled, size), full(r.weak if r.weak is not None else none, size)
         try:
-            out = weak_fit(gl, gw, p, at, b, box, r.theta0, r.weak_weight, r.l1, r.group_weight, r.ridge, fixed)
+            out = weak_fit(gl, gw, p, at, b, box, r.theta0, r.weak_weight, r.l1, r.group_weight, r.ridge, fixed, score=shape.index(score) if score is not None else None, mapped=mapped)
         except np.linalg.LinAlgError as e:
-            return {"g": None, "d": None, "theta": None, "objective": None, "history": None, "sweeps": 0, "converged": False, "validation_mse": None, "status": str(e)}
+            return {"g": None, "d": None, "theta": None, "objective": None, "history": None, "sweeps": 0, "converged": False, "phi": None, "drift": None, "validation_mse": None, "status": str(e)}
         v = None
         if r.validation is not None and r.n_validation:
             h = np.array(out["g"][:p])

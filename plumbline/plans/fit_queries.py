@@ -13,6 +13,28 @@ from plumbline.plans.catalog import query
 from plumbline.plans.stat_queries import GRAM_COLUMNS, gram_rows
 from plumbline.plans.tables import ARMS, OBS, SPLIT, arm_metrics, fits, observations, scored, split
 
+UNITS = {"one": "1.0::DOUBLE", "price": "price / 50", "qty": "qty / 50", "price_disc": "price * disc", "price_tax": "price * tax", "y": "y / 50"}
+
+
+def solve_sql(name: str, source: str, g: str, x: list[str], y: str = "y", w: str = "1.0::DOUBLE") -> str:
+    """CTEs that solve the weighted normal equations of y on the columns x by group: {name} holds g and b0, b1, ..."""
+    p, cells = len(x), [(i, j) for i in range(len(x)) for j in range(len(x) + 1)]
+    column = lambda j: x[j] if j < p else y
+    out = f"{name}_0 AS (SELECT {g}, " + ", ".join(f"sum({w} * {x[i]} * {column(j)}) AS m{i}_{j}" for i, j in cells) + f" FROM {source} GROUP BY {g})"
+    for k in range(p):
+        row = {(i, j): f"m{k}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k}" for i, j in cells}
+        out += f", {name}_{k + 1} AS (SELECT {g}, " + ", ".join(f"{row[c]} AS m{c[0]}_{c[1]}" for c in cells) + f" FROM {name}_{k})"
+    return out + f", {name} AS (SELECT {g}, " + ", ".join(f"m{i}_{p} AS b{i}" for i in range(p)) + f" FROM {name}_{p})"
+
+
+def units(columns: list[str]) -> str:
+    return ", ".join(f"{UNITS[c]} AS {c}" for c in columns)
+
+
+def line(x: list[str]) -> str:
+    return " + ".join(f"b{i} * {c}" for i, c in enumerate(x))
+
+
 SHAPE, BASIS, Y = ["one", "price", "qty"], ["price_disc", "price_tax"], "y"
 BOX = (0.8, 1.2)
 
@@ -36,6 +58,20 @@ def reg02(spark, sf):
     return coefficients(R.ols(g, ["supp"], ["price", "qty", "y"], ["price", "qty"], "y"), ["b1", "b2"], ["supp"])
 
 
+M_ARMS = {"M0": ["price"], "M1": ["one", "price"], "M2": ["one", "price", "qty"], "M3": ["one", "price", "qty", *BASIS]}
+ALL_UNITS = OBS + f", rows AS (SELECT supp, {units([*SHAPE, *BASIS, Y])} FROM obs)"
+
+
+@query(
+    "reg02_arms_mse",
+    " UNION ALL ".join(f"SELECT supp, '{n}' AS arm, count(*) AS n, avg((y - ({line(x)})) ** 2) AS mse FROM rows JOIN {n} USING (supp) GROUP BY supp" for n, x in M_ARMS.items()),
+    ALL_UNITS + ", " + ", ".join(solve_sql(n, "rows", "supp", x) for n, x in M_ARMS.items()), "mse",
+)
+def reg02a(spark, sf):
+    """Residual mse of arms of one to five regressors."""
+    return reg02m(spark, sf).select("supp", "arm", "n", "mse")
+
+
 @query("reg02_many_columns")
 def reg02m(spark, sf):
     """Arms of two to five regressors, fitted from the same Gram rows."""
@@ -68,6 +104,15 @@ def reg05(spark, sf):
     return R.coverage(g, ["supp"], GRAM_COLUMNS, ["one", "price"], BASIS, Y).select("supp", "r2_h")
 
 
+@query(
+    "reg05_coverage_all",
+    f"SELECT supp, 1 - h / total AS r2_h, 1 - hb / total AS r2_hb, 1 - hb / h AS r2_b FROM (SELECT supp, var_pop(y) * count(*) AS total FROM rows GROUP BY supp) JOIN (SELECT supp, sum((y - ({line(['one', 'price'])})) ** 2) AS h FROM rows JOIN a USING (supp) GROUP BY supp) USING (supp) JOIN (SELECT supp, sum((y - ({line(['one', 'price', *BASIS])})) ** 2) AS hb FROM rows JOIN b USING (supp) GROUP BY supp) USING (supp)",
+    ALL_UNITS + ", " + solve_sql("a", "rows", "supp", ["one", "price"]) + ", " + solve_sql("b", "rows", "supp", ["one", "price", *BASIS]), "r2_h r2_hb r2_b", 5,
+)
+def reg05a(spark, sf):
+    return reg05b(spark, sf)
+
+
 @query("reg05_coverage_with_basis")
 def reg05b(spark, sf):
     g = R.gram(gram_rows(observations(spark, sf)), ["supp"], GRAM_COLUMNS)
@@ -110,9 +155,9 @@ def reg09(spark, sf):
     return R.calibrate_scale(o, ["batch_id"], "price", "shift", "y", [0.9, 0.7, 0.5], log_grid(-1.0, 2.0, 13))
 
 
-def weak_grams(spark, sf):
+def weak_grams(spark, sf, basis=BASIS):
     """One row a batch and size with the labeled, weak, validation and refit triangles."""
-    columns = [*SHAPE, *BASIS, Y]
+    columns = [*SHAPE, *basis, Y]
     s = gram_rows(split(spark, sf))
     part = lambda rows, n: R.gram(rows, ["batch_id", "n_labeled"], columns).select("batch_id", "n_labeled", F.col("xtx").alias(n), F.col("n").alias("n_validation" if n == "validation" else f"rows_{n}"))
     train, validation, both = part(s.where("role = 'train'"), "labeled"), part(s.where("role = 'validation'"), "validation"), part(s, "refit")
@@ -132,6 +177,12 @@ def candidates(grams, weak=(0.0, 0.1), l1=(0.0, 0.01), group=(0.0, 0.01), starts
 KEEP = ["batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "ridge", "theta0"]
 
 
+def refit_rows(grams, best):
+    """Gram rows of train and validation rows together with the chosen candidate of their condition."""
+    again = grams.select("batch_id", "n_labeled", F.col("refit").alias("labeled"), "weak", F.lit(None).cast("array<double>").alias("validation"), F.lit(0).cast("long").alias("n_validation"))
+    return again.join(best.select(*KEEP), ["batch_id", "n_labeled"])
+
+
 def weak_fits(spark, sf, fixed=False):
     return R.fit_weak(candidates(weak_grams(spark, sf)), KEEP, SHAPE, ["price"], BASIS, BOX, fixed)
 
@@ -141,6 +192,83 @@ def reg10(spark, sf):
     return weak_fits(spark, sf).drop("history")
 
 
+@query("reg10_weak_fit_refreshed")
+def reg10r(spark, sf):
+    """Weak labels mapped to the measured scale and scored anew at the current theta in every sweep."""
+    f = R.fit_weak(candidates(weak_grams(spark, sf)), KEEP, SHAPE, ["price"], BASIS, BOX, score="price", mapped=True)
+    return f.drop("history").withColumn("drift", F.array_max("drift"))
+
+
+# without penalties and basis, and with theta fixed at 1, the fit is a linear system: the same in SQL
+WEIGHTS = (0.1, 1.0)
+WEAK_ROWS = (
+    SPLIT
+    + f""", k AS (SELECT * FROM (VALUES {", ".join(f"({w}::DOUBLE)" for w in WEIGHTS)}) v(k)),
+weak AS (SELECT batch_id, price, qty, count(*) OVER (PARTITION BY batch_id) AS n_weak FROM obs WHERE role = 'weak'),
+pooled AS (SELECT batch_id, n_labeled, k AS share, role, 1.0::DOUBLE AS one, price / 50 AS price, qty / 50 AS qty, y / 50 AS y, 1.0::DOUBLE AS w FROM split, k
+         UNION ALL SELECT batch_id, s.end_, k, 'weak', 1.0, price / 50, qty / 50, price / 50, k * s.end_ / n_weak FROM weak, sizes s, k),
+train AS (SELECT * FROM pooled WHERE role <> 'validation'), """
+    + solve_sql("c", "train", "batch_id, n_labeled, share", SHAPE, w="w")
+    + ", "
+    + solve_sql("r", "pooled", "batch_id, n_labeled, share", SHAPE, w="w")
+    + f""", v AS (SELECT batch_id, n_labeled, share, avg((y - ({line(SHAPE)})) ** 2) AS validation_mse FROM pooled JOIN c USING (batch_id, n_labeled, share) WHERE role = 'validation' GROUP BY ALL),
+o AS (SELECT batch_id, n_labeled, share, 0.5 * sum(w * (y - ({line(SHAPE)})) ** 2) AS objective FROM train JOIN c USING (batch_id, n_labeled, share) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, n_labeled ORDER BY validation_mse, share) AS p FROM v) WHERE p = 1)"""
+)
+LINEAR = "c_one c_price c_qty"
+
+
+def linear_grid(grams):
+    return candidates(grams, weak=WEIGHTS, l1=(0.0,), group=(0.0,))
+
+
+def linear_fits(grid):
+    return R.fit_weak(grid, KEEP, SHAPE, ["price"], [], BOX, fixed=True)
+
+
+def effective(f, *more):
+    """Coefficients of the shape columns with theta's share in them, and the weak weight as a share again."""
+    g, price = lambda i: F.element_at("g", i), F.element_at("g", 2) + F.col("theta") * F.element_at("g", 4)
+    return f.select("batch_id", "n_labeled", *more, g(1).alias("c_one"), price.alias("c_price"), g(3).alias("c_qty"))
+
+
+def share_of(grid):
+    """The shares behind the candidates' weak weights."""
+    return grid.select(*KEEP, F.round(F.col("weak_weight") * F.col("n_weak") / F.col("n_labeled"), 6).alias("share"))
+
+
+@query("reg15_fixed_theta_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, share, objective, b0 AS c_one, b1 AS c_price, b2 AS c_qty, true AS converged FROM c JOIN o USING (batch_id, n_labeled, share)", WEAK_ROWS, "objective " + LINEAR, 5)
+def reg15l(spark, sf):
+    grid = linear_grid(weak_grams(spark, sf, []))
+    return effective(linear_fits(grid).join(share_of(grid), KEEP), "share", "objective", "converged")
+
+
+@query("reg10_weak_fit_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, share, validation_mse, b0 AS c_one, b1 AS c_price, b2 AS c_qty, 'ok' AS status FROM c JOIN v USING (batch_id, n_labeled, share)", WEAK_ROWS, "validation_mse " + LINEAR, 5)
+def reg10l(spark, sf):
+    grid = linear_grid(weak_grams(spark, sf, []))
+    return effective(linear_fits(grid).join(share_of(grid), KEEP), "share", "validation_mse", "status")
+
+
+@query("reg18_search_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, share, validation_mse, b0 AS c_one, b1 AS c_price, b2 AS c_qty FROM best JOIN c USING (batch_id, n_labeled, share)", WEAK_ROWS, "validation_mse " + LINEAR, 5)
+def reg18l(spark, sf):
+    grid = linear_grid(weak_grams(spark, sf, []))
+    return effective(R.tune(linear_fits(grid), ["batch_id", "n_labeled"]).join(share_of(grid), KEEP), "share", "validation_mse")
+
+
+@query("reg20_refit_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, b0 AS c_one, b1 AS c_price, b2 AS c_qty, 'refit' AS source FROM best JOIN r USING (batch_id, n_labeled, share)", WEAK_ROWS, LINEAR, 5)
+def reg20l(spark, sf):
+    grams = weak_grams(spark, sf, [])
+    best = R.tune(linear_fits(linear_grid(grams)), ["batch_id", "n_labeled"])
+    return effective(R.choose_refit(best, linear_fits(refit_rows(grams, best)), ["batch_id", "n_labeled"]), "source")
+
+
+@query("udf03_group_function_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, objective, true AS converged, 'ok' AS status FROM o WHERE share = 0.1", WEAK_ROWS, "objective", 5)
+def udf03l(spark, sf):
+    """The fit function over Gram rows, one complete group a row."""
+    f = linear_fits(candidates(weak_grams(spark, sf, []), weak=(0.1,), l1=(0.0,), group=(0.0,)))
+    return f.select("batch_id", "n_labeled", "objective", "converged", "status")
+
+
 @query("reg11_ridge_block", "SELECT supp, sum(price * disc * (y / 50 - price / 50)) / (sum((price * disc) ** 2) + 0.5) AS d FROM obs GROUP BY supp", OBS, "d")
 def reg11(spark, sf):
     o = gram_rows(observations(spark, sf))
@@ -216,9 +344,7 @@ def reg19(spark, sf):
 def reg20(spark, sf):
     g = weak_grams(spark, sf)
     best = R.tune(R.fit_weak(candidates(g), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
-    again = g.select("batch_id", "n_labeled", F.col("refit").alias("labeled"), "weak", F.lit(None).cast("array<double>").alias("validation"), F.lit(0).cast("long").alias("n_validation"))
-    again = again.join(best.select(*KEEP), ["batch_id", "n_labeled"])
-    return R.choose_refit(best, R.fit_weak(again, KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
+    return R.choose_refit(best, R.fit_weak(refit_rows(g, best), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
 
 
 RIDGE = ", f AS (SELECT batch_id, n_labeled, alpha, sum(price * y) / (sum(price * price) + any_value(alpha)) AS b FROM split, (VALUES (0.0::DOUBLE), (100.0), (10000.0)) a(alpha) WHERE role = 'train' GROUP BY ALL), v AS (SELECT batch_id, n_labeled, alpha, b, avg((y - b * price) ** 2) AS loss FROM split JOIN f USING (batch_id, n_labeled) WHERE role = 'validation' GROUP BY ALL)"
@@ -263,7 +389,21 @@ def reg24(spark, sf):
     return tree_metrics(spark, sf, [T(labelCol="y", maxIter=n, stepSize=s, maxDepth=d, seed=1) for n in (5, 10) for s in (0.1, 0.3) for d in (2, 3)])
 
 
-@query("reg25_two_stage")
+TWO_STAGE = (
+    OBS
+    + """, grid AS (SELECT batch_id, k, sum((y - (0.8 + 0.02 * k) * price) ** 2) AS loss FROM obs, range(21) r(k) WHERE role = 'labeled' GROUP BY ALL),
+first AS (SELECT batch_id, arg_min(0.8 + 0.02 * k, loss) AS t FROM grid GROUP BY ALL),
+box AS (SELECT batch_id, greatest(0.8, t - 0.02) AS lo, (least(1.2, t + 0.02) - greatest(0.8, t - 0.02)) / 20 AS step FROM first),
+fine AS (SELECT batch_id, lo + step * k AS theta, sum((y - (lo + step * k) * price) ** 2) AS loss FROM obs JOIN box USING (batch_id), range(21) r(k) WHERE role = 'labeled' GROUP BY ALL),
+best AS (SELECT batch_id, arg_min(theta, loss) AS theta FROM fine GROUP BY ALL),
+rest AS (SELECT batch_id, price * disc AS x1, price * tax AS x2, y / 50 - theta * price / 50 AS r FROM obs JOIN best USING (batch_id) WHERE role = 'labeled'),
+m AS (SELECT batch_id, sum(x1 * x1) + 1e-3 AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) + 1e-3 AS s22, sum(x1 * r) AS r1, sum(x2 * r) AS r2 FROM rest GROUP BY ALL),
+d AS (SELECT batch_id, (r1 * s22 - r2 * s12) / (s11 * s22 - s12 * s12) AS d1, (r2 * s11 - r1 * s12) / (s11 * s22 - s12 * s12) AS d2 FROM m),
+e AS (SELECT batch_id, y / 50 - theta * price / 50 - d1 * price * disc - d2 * price * tax AS e FROM obs JOIN best USING (batch_id) JOIN d USING (batch_id) WHERE role = 'test')"""
+)
+
+
+@query("reg25_two_stage", "SELECT batch_id, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM e GROUP BY batch_id", TWO_STAGE, "mse rmse mae", 5)
 def reg25(spark, sf):
     """Calibrate theta, then model what the score leaves with a ridge on discount and tax."""
     o = gram_rows(observations(spark, sf))

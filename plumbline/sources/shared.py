@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """A new path below spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="plumbline-")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="plumbline-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

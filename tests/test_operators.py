@@ -105,3 +105,30 @@ def test_query_matches_sql(spark, name):
     assert list(a.columns) == list(b.columns)
     text = lambda d: sorted(tuple(repr(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in d.astype(object).itertuples(index=False))
     assert text(a) == text(b)
+
+
+def test_refreshed_labels_equal_rows():
+    """The fit on Grams with mapped labels scored anew each sweep takes the steps of one on rows."""
+    rng = np.random.default_rng(4)
+    n, m, box, ridge, weight = 60, 300, (0.5, 2.0), 1e-3, 0.05
+    x, w = (np.column_stack([np.ones(k), rng.uniform(0.2, 2, k), rng.uniform(0, 1, k)]) for k in (n, m))
+    b = (x[:, 1] * x[:, 2])[:, None]
+    y = 0.3 + 1.4 * x[:, 1] - 0.2 * x[:, 2] + 0.1 * b[:, 0] + rng.normal(0, 0.05, n)
+    zl, zw = np.column_stack([x, b, y]), np.column_stack([w, np.zeros(m), np.zeros(m)])
+    out = R.weak_fit(zl.T @ zl, zw.T @ zw, 3, [1], 1, box, 1.0, weight, 0.0, 0.0, ridge, sweeps=6, tol=0.0, score=1, mapped=True)
+    slope, shift = np.polyfit(x[:, 1], y, 1)
+    assert np.allclose(out["phi"], [shift, slope])
+    theta, d, drift, last = 1.0, np.zeros(1), [], None
+    for _ in range(6):
+        label = shift + slope * theta * w[:, 1]
+        drift.append(0.0 if last is None else np.abs(label - last).max() / w[:, 1].max())
+        last = label
+        h, hw = np.column_stack([x, theta * x[:, 1]]), np.column_stack([w, theta * w[:, 1]])
+        g = R.minimum_norm(h.T @ h + weight * hw.T @ hw, h.T @ (y - b @ d) + weight * hw.T @ label)
+        d = np.linalg.solve(b.T @ b + ridge * np.eye(1), b.T @ (y - h @ g))
+        u, uw = g[3] * x[:, 1], g[3] * w[:, 1]
+        rest, rest_w = y - b @ d - x @ g[:3], label - w @ g[:3]
+        if u @ u + weight * uw @ uw > 1e-12:
+            theta = float(np.clip((u @ rest + weight * uw @ rest_w) / (u @ u + weight * uw @ uw), *box))
+    assert np.allclose(out["g"], g, atol=1e-6) and np.allclose(out["d"], d, atol=1e-6) and abs(out["theta"] - theta) < 1e-6
+    assert np.allclose(out["drift"], drift, atol=1e-6) and max(drift) > 0
