@@ -8,12 +8,13 @@ what differs: breadth-first backward extension over the Burrows-Wheeler transfor
 the common prefixes by increasing length and stops at `least`, which leaves the classes of equal windows.
 The smallest document of a class keeps its bytes.
 
-Texts are dealt once, by a hash of the id, and all passes read that exchange; what goes back to them are
-keys and spans of their own deal.
+Texts are dealt once, by a hash of id and text, into deals of about DEAL bytes, however many partitions there are, and all
+passes read that exchange; what goes back to them are keys and spans of their own deal.
 
 Defined cases: a null text is empty; a text shorter than `least` bytes keeps all; rows that share an id are
-compared with smaller ids only, each row by its own text; null ids come before all others; overlapping
-and nested matches count; an empty table gives no rows; other columns are ignored.
+compared with smaller ids only, each row by its own text, so equal ids (the ties) keep alike; null ids come before all
+others; overlapping and nested matches count; a very long text is read whole, as a slice of its own; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import U, mix, n_shuffle, range_hashes, slices
 
-GRAM, PIECE, END, BLOCK = 16, 256, 255, 1 << 15
+GRAM, PIECE, END, BLOCK, DEAL = 16, 256, 255, 1 << 15, 64 << 20
 
 
 def _keys_of(data: np.ndarray, least: int) -> np.ndarray:
@@ -388,9 +389,12 @@ def dedup_bytes(docs: DataFrame, least: int = 50, with_text: bool = False) -> Da
     cut in two becomes a replacement mark there)."""
     spark = docs.sparkSession
     n = n_shuffle(spark)
-    buckets = 4 * n
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)).cast("int").alias("deal"), "text")
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # what a group holds follows DEAL, not the number of partitions
+    deals, buckets = max(n, -(-size // DEAL)), max(4 * n, -(-4 * size // DEAL))
+    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    texts = texts.select("doc_id", "row", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(deals)).cast("int").alias("deal"), "text")
     dealt = texts.repartition(n, "deal")
     # all columns go in: with fewer, Spark would deal the texts once more for this pass
     keys = dealt.mapInArrow(partial(_keys, least=least, buckets=buckets), "bucket int, deal int, keys binary, many binary")
