@@ -16,8 +16,9 @@ are all written, and yet every link between components is found.
 
 Defined cases: a null text or one without words has no shingle, links with nothing and is its own
 component; a text with fewer words than a shingle is one shingle; repeated rows are in one class; equal
-ids are one document whose sets are all linked by it; an empty table gives no rows; other columns are
-ignored; a component's smallest id is null where no row of it has one.
+ids are one document whose sets are all linked by it; a very long text is read whole, as a slice of its own; sets
+and shingles are told apart by 64-bit hashes; an empty table gives no rows; other columns are ignored; a component's
+smallest id is null where no row of it has one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import U, components, drop, lower_ascii, materialize, mix, n_shuffle, not_blank, release, shingles, slices
+from plumbline.llm._common import U, components, drop, frequent, lower_ascii, materialize, mix, n_shuffle, not_blank, numbered, release, runs_of, salted_join, shingles, slices
 
 SALT_FROM, SALTS, SMALL, LEVELS = 256, 64, 2000, 3
 KEYED = ["key", "cls", "part", "block", "blocks"]
@@ -184,35 +185,13 @@ def _may_pairs(batches, percent: int):
         yield batch.select(["a", "b"]).filter(pa.array(kept))
 
 
-def _runs(batches):
-    """Batches joined and cut anew so that no run of one key is cut."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("key").to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last or (held and held[-1].column("key")[0].as_py() != keys[0]):
-            first = int(np.searchsorted(keys, held[-1].column("key")[-1].as_py(), "right")) if held else 0
-            cut = max(first, last)
-            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-            if done.num_rows:
-                yield done
-            batch = batch.slice(cut)
-        if batch.num_rows:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _within(batches, percent: int):
     """Pairs of different parts within runs of a key that their sketches don't rule out.
 
     Rows are sorted by key and a key has a bounded number of rows.  Rows are compared with those `step`
     places further on in their run, for all steps; rows of the same block of a key with two blocks are not.
     """
-    for table in _runs(batches):
+    for table in runs_of(batches, "key"):
         key, cls, part, n, block, of = (table.column(c).to_numpy() for c in ("key", "cls", "part", "n", "block", "blocks"))
         words = _words(table.column("sketch"))
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -339,7 +318,10 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
         dealt = keyed.repartition(n_shuffle(docs.sparkSession), "key").sortWithinPartitions("key")
         return dealt.mapInArrow(partial(_within, percent=percent), "a long, b long").distinct()
 
-    edges, seed = star(members), 0
+    # sets of one id are linked by it
+    several = described.where("cls is not null and doc_id is not null").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
+    own = described.where("cls is not null").join(several.select("doc_id", "a"), "doc_id").select("a", F.col("cls").alias("b")).where("a <> b").distinct()
+    edges, seed = star(members).union(materialize(own)), 0
     while True:
         part = materialize(components(edges)).toDF("cls", "part")
         named = members.join(part, "cls", "left").select("sig", "cls", F.coalesce("part", "cls").alias("part"))
@@ -357,11 +339,16 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
 
 
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Rows of links() with the smallest id of their component, and the smallest key of its rows without an id."""
+    """Rows of links() with the smallest id of their component, and the smallest key of its rows without an id.
+
+    Classes are summed up before rows of a component meet, and frequent classes and components are spread over tasks.
+    """
     described, linked = links(docs, size, percent)
-    named = described.join(linked, "cls", "left").withColumn("group", F.coalesce("component", "cls"))
-    lowest = named.where("cls is not null").groupBy("group").agg(F.min("doc_id").alias("low"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("low_key"))
-    return named.join(lowest, "group", "left")
+    sizes = described.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("low_key"))
+    classes = materialize(sizes.join(linked, "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component"))
+    groups = materialize(classes.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.min("low_key").alias("low_key")))
+    named = salted_join(classes.select("cls", "group"), groups.drop("n"), ["group"], frequent(groups.select("group", "n")), "inner", ["cls"])
+    return salted_join(described, named.drop("group"), ["cls"], frequent(classes.select("cls", "n")), "left", ["doc_id", "key"])
 
 
 def join_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -370,12 +357,14 @@ def join_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs whose id is the smallest of its component.  Of a component without any id one row stays;
-    a row without id or words stays."""
-    grouped = _grouped(docs, size, percent)
-    ids = grouped.where("doc_id = coalesce(low, doc_id)").select(F.col("doc_id").alias("kept_id")).distinct()
-    keys = grouped.where("doc_id is null and low is null and key = low_key").select(F.col("key").alias("kept_key")).distinct()
-    rest = docs.where(F.col("doc_id").cast("long").isNull())
-    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    once = rest.where(words).join(keys, F.xxhash64(F.col("text").cast("string")) == F.col("kept_key"), "left_semi").dropDuplicates(["text"])
-    return docs.join(ids, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi").unionByName(once).unionByName(rest.where(~words))
+    """Rows of docs whose id is the smallest of its component; all rows of that id stay, as one document.  Of a component
+    without any id one row stays; a row without id or words stays.  Columns stay as they are, whatever their names."""
+    grouped = _grouped(docs.select("doc_id", "text"), size, percent)
+    ids = grouped.where("doc_id = coalesce(low, doc_id)").select(F.col("doc_id").alias("kept")).distinct()
+    keys = grouped.where("doc_id is null and low is null and key = low_key").select(F.col("key").alias("kept")).distinct()
+    own = numbered(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(c)}").cast(t) for c, t in (("doc_id", "long"), ("text", "string")))
+    rest = own.where(doc_id.isNull())
+    words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = rest.where(words).join(keys, F.xxhash64(text) == F.col("kept"), "left_semi").dropDuplicates([f"c{docs.columns.index('text')}"])
+    return own.join(ids, doc_id == F.col("kept"), "left_semi").unionByName(once).unionByName(rest.where(~words)).toDF(*docs.columns)

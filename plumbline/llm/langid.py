@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._common import numbered
+
 BITS = 15
 ORDERS = (1, 2, 3)
 _LETTER: list = []
@@ -201,6 +203,7 @@ def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of docs with a language: those that are `und` or score less than `least` go."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return predict(docs, fit(docs), names).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in names])
+    """Rows of docs with a language, all columns as they are: those that are `und` or score less than `least` go."""
+    own = numbered(docs)
+    out = predict(own.withColumn("text", own[own.columns[docs.columns.index("text")]]), fit(docs), own.columns)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*own.columns).toDF(*docs.columns)

@@ -11,8 +11,8 @@ Defined cases: a null or empty text has no chunk and stays as it is (null become
 is never removed by itself; rows that share an id are compared by content and place, so repeated rows of one
 id keep their first chunks alike; rows without an id come after all others, told apart by their text, and
 equal texts among them count as repeated rows of one id; an empty table gives no rows; lines end at \\n only; a group whose bytes
-differ under equal hashes is left alone; removed_chunks counts the runs of removed lines; other columns
-are ignored.
+differ under equal hashes is left alone; removed_chunks counts the runs of removed lines; a very long text is
+read whole, as a slice of its own; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import ROW_KEY, U, materialize, mix, n_shuffle, range_hashes, row_key, slices
+from plumbline.llm._common import ROW_KEY, U, frequent, materialize, mix, n_shuffle, numbered, range_hashes, row_key, salted_join, slices
 
 LONE = 200
 
@@ -112,25 +112,47 @@ def _apply(batches, names: list[str]):
             yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(texts, pa.string()), pa.array(cut, pa.int64()), pa.array(removed, pa.int64())], [*names, "text", "removed_chunks", "removed_lines"])
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of docs with the text that stays, and removed_chunks, removed_lines.
+def _deduped(docs: DataFrame) -> DataFrame:
+    """Columns c0, c1, ... of docs but the text, then text, removed_chunks and removed_lines.
 
-    The texts are dealt by id once; both passes over them read that exchange.
+    The texts are dealt by id once; both passes over them read that exchange.  The occurrences of a frequent chunk
+    are spread over tasks.
     """
-    names = [c for c in docs.columns if c != "text" and c not in ("marks", "row_key", "removed_chunks", "removed_lines")]
-    docs = docs.select(*[F.col(f"`{c}`").alias(c) for c in names], F.col("text").cast("string").alias("text"))
-    keyed = docs.withColumn("row_key", row_key())
-    found = keyed.select("row_key", "text").mapInArrow(_chunks, f"{ROW_KEY}, idx int, h long, h2 long")
-    again = found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "idx")).alias("keep")).where("n > 1").drop("n")
-    hits = materialize(found.join(again, ["h", "h2"]).withColumn("later", (F.struct("row_key", "idx") != F.col("keep"))))
-    dealt = keyed.repartition(n_shuffle(docs.sparkSession), "row_key")
-
-    def marked(rows: DataFrame) -> DataFrame:
-        marks = rows.groupBy("row_key").agg(F.collect_set(F.struct("idx", "h")).alias("marks"))
+    own = numbered(docs)
+    names = [n for n, c in zip(own.columns, docs.columns, strict=True) if c != "text"]
+    doc_id, text = (own[own.columns[docs.columns.index(c)]] for c in ("doc_id", "text"))
+    rows = own.select(*names, text.cast("string").alias("text"), doc_id.cast("long").alias("doc_id")).withColumn("row_key", row_key()).drop("doc_id")
+    found = rows.select("row_key", "text").mapInArrow(_chunks, f"{ROW_KEY}, idx int, h long, h2 long")
+    again = materialize(found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "idx")).alias("keep")).where("n > 1"))
+    hot = materialize(frequent(again.select("h", "h2", "n")))
+    hits = salted_join(found, again.drop("n"), ["h", "h2"], hot, "inner", ["row_key", "idx"])
+    hits = materialize(hits.select("h", "h2", "row_key", "idx", (F.struct("row_key", "idx") != F.col("keep")).alias("later")))
+    dealt = rows.repartition(n_shuffle(docs.sparkSession), "row_key")
+
+    def marked(chosen: DataFrame) -> DataFrame:
+        marks = chosen.groupBy("row_key").agg(F.collect_set(F.struct("idx", "h")).alias("marks"))
         return dealt.join(marks, "row_key", "left")
 
     content = marked(hits).select("text", "marks").mapInArrow(_bytes, "h long, h2 long, content binary")
     differ = content.groupBy("h", "h2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("h", "h2")
-    gone = hits.where("later").join(differ, ["h", "h2"], "left_anti")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string, removed_chunks long, removed_lines long"
+    gone = salted_join(hits.where("later"), differ, ["h", "h2"], hot, "left_anti", ["row_key", "idx"])
+    schema = ", ".join([*(f"{n} {own.schema[n].dataType.simpleString()}" for n in names), "text string, removed_chunks long, removed_lines long"])
     return marked(gone).select(*names, "text", "marks").mapInArrow(partial(_apply, names=names), schema)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of docs with the text that stays, and removed_chunks, removed_lines, which take the place of columns of
+    docs with these names."""
+    out, at = _deduped(docs), {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    names = [c for c in docs.columns if c not in ("text", "removed_chunks", "removed_lines")]
+    return out.select(*[F.col(at[c]).alias(c) for c in names], "text", "removed_chunks", "removed_lines")
+
+
+def keep_lines(docs: DataFrame) -> DataFrame:
+    """The columns of docs as they are, with the text that stays (and its n_chars, if there is such a column).  Rows of
+    which nothing stays go."""
+    out = _deduped(docs).where(F.length(F.trim("text")) > 0)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)])
