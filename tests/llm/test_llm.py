@@ -47,7 +47,9 @@ def test_packing(spark, docs):
         assert at <= 256
 
 
-def test_bytes(docs):
+@pytest.mark.parametrize("deal", [64 << 20, 3000])
+def test_bytes(docs, monkeypatch, deal):
+    monkeypatch.setattr(suffixdedup, "DEAL", deal)
     rows, seen = {}, set()
     for i, t in sorted((i, t or "") for i, t, *_ in set(corpus())):
         b, gone, own = t.encode(), np.zeros(len((t or "").encode()), bool), set()
@@ -142,7 +144,7 @@ def test_jaccard_blocks_and_runs(spark, monkeypatch):
 
     import pyarrow as pa
 
-    from plumbline.llm import jaccard
+    from plumbline.llm import _common, jaccard
 
     draw = random.Random(5)
     base = [f"w{k}" for k in range(60)]
@@ -168,7 +170,7 @@ def test_jaccard_blocks_and_runs(spark, monkeypatch):
     keys = [1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5, 6]
     for size in (1, 2, 3, 5, 12):
         batches = [pa.RecordBatch.from_pydict({"key": pa.array(keys[k : k + size], pa.int64())}) for k in range(0, len(keys), size)]
-        runs = [t.column("key").to_pylist() for t in jaccard._runs(batches)]
+        runs = [t.column("key").to_pylist() for t in _common.runs_of(batches, "key")]
         assert sum(runs, []) == keys
         assert all(a[-1] != b[0] for a, b in zip(runs, runs[1:], strict=False))
 
@@ -203,16 +205,17 @@ def test_swapped_leaks(n):
     words = [f"w{k}" for k in range(n)]
     foreign = lambda k: [f"x{draw.randrange(9999)}" for _ in range(k)]
     text = foreign(70) + words[n // 2 :] + words[: n // 2] + foreign(70)
-    index = decontam.Index([(1, " ".join(words)), (2, " ".join(foreign(n)))], 5)
     grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     near = lambda a, b: len(a & b) / len(a | b)
     scores = [near(grams(text[s : s + n]), grams(words)) for s in range(len(text) - n + 1)]
     import pyarrow as pa
 
     table = pa.RecordBatch.from_pydict({"text": [" ".join(text)]})
-    (_, _, h), *_ = decontam.bags(table, "text", 5)
-    assert index.hits(h, 0.8) == [(1, scores.index(max(scores)), n, max(scores))] and max(scores) > 0.8
-    assert not index.hits(h[: 70 + n // 2], 0.8)
+    bench = pa.RecordBatch.from_pydict({"name": ["1", "2"], "text": [" ".join(words), " ".join(foreign(n))]})
+    index = decontam._index([(r["name"], r["size"], r["bag"]) for b in decontam._described([bench], 5) for r in b.to_pylist()])
+    assert list(decontam._found(table, index, 0.8)) == [(0, index.names.index("1"), scores.index(max(scores)), n, max(scores))] and max(scores) > 0.8
+    half = pa.RecordBatch.from_pydict({"text": [" ".join(text[: 70 + n // 2])]})
+    assert not list(decontam._found(half, index, 0.8))
 
 
 def test_rows_without_id(spark):
@@ -232,3 +235,196 @@ def test_rows_without_id(spark):
     out = linededup.dedup_lines(docs).collect()
     lines = [r.text for r in out if r.doc_id is None and r.removed_lines]
     assert {r.text for r in out if r.doc_id == 1} == {b} and "" in lines and b.split("\n")[-1] + " end" in lines and b not in {r.text for r in out if r.doc_id is None}
+
+
+def test_pieces_and_bound(spark, docs):
+    """Start, length and checksum of every piece as the plain tokenizer gives them; few sequences more than the bound."""
+    import zlib
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    hard = ["Don't 'sure I'LL\tgo\r\nNOW", "a<|endoftext|>b", "é ́x é É", "İstanbul ΣΑΣ ÀÉ×÷ 12½³ x²", "   ", "日本語 テスト", "\x00 \x1f\x85a\xa0b", "!!!$$$ a-b_c '' 'tis", " lead", "trail \n\n", None]
+    rows = [(i, x[1]) for i, x in enumerate(corpus())] + [(1000 + i, x) for i, x in enumerate(hard)]
+    want = set()
+    for i, x in rows:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        want |= {(i, k // 256, k, len(ids[k : k + 256]), zlib.crc32(np.array(ids[k : k + 256], "<u4").tobytes())) for k in range(0, len(ids), 256)}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(packing.cut(table, path, 256), 256).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    bound = max(-(-sum(r.length for r in got) // 256), sum(2 * r.length > 256 for r in got))
+    assert len({r.sequence_id for r in got}) <= 1.02 * bound + 1
+    assert packing.pack(packing.cut(table.limit(0), path, 256), 256).count() == 0
+
+
+def test_leaks_against_all_windows(spark):
+    """All windows of the items' sizes by brute force: at least 0.9 of the pairs are found, none else, a few per cent nominated."""
+    draw = random.Random(8)
+    word = lambda: f"w{draw.randrange(3000)}"
+    items = [[word() for _ in range(draw.randint(12, 60))] for _ in range(150)]
+    texts = []
+    for k in range(300):
+        part = list(items[k % 150])
+        for _ in range(draw.choice([0, 0, 1, 2])):
+            part.insert(draw.choice([0, len(part), draw.randrange(len(part))]), word())
+        texts.append([word() for _ in range(draw.randint(0, 80))] + part + [word() for _ in range(draw.randint(0, 80))])
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+    want = set()
+    for i, t in enumerate(texts):
+        g = grams(t)
+        for j, item in enumerate(items):
+            own = set(grams(item))
+            n = len(own)
+            if any(len(own & set(g[s : s + n])) >= 0.8 * len(own | set(g[s : s + n])) for s in range(max(len(g) - n, 0) + 1)):
+                want.add((i, j))
+    rows = [(j, " ".join(w)) for j, w in enumerate(items)]
+    table = spark.createDataFrame([(i, " ".join(t), "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, hit_id string, name string")
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(table, bench).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 200
+    clean = decontam.drop_leaks(table, bench)
+    assert clean.columns == table.columns and {r.doc_id for r in clean.collect()} == set(range(300)) - {i for i, _ in got}
+    rng = np.random.default_rng(2)
+    index = decontam.Index([(str(k), 5, rng.integers(0, 2**63, 30).astype(np.uint64)) for k in range(400)])
+    prints = rng.integers(0, 2**16, (4000, 4)).astype(np.uint16)
+    named = sum(int(np.bitwise_count(np.bitwise_or.reduce([table[b][prints[:, b]] for b in range(4)])).sum()) for own, table in index.tables[5, decontam.window_size(30)])
+    assert named < 0.05 * 4000 * 400
+
+
+def test_short_and_repeated_items(spark):
+    """Items of fewer than five words are found within texts; very many equal items are one."""
+    texts = [(0, "so open the red door now please friend"), (1, "the door red"), (2, None), (None, "open the red door"), (3, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "The red door!"), (2, None), (3, "..."), (None, "no such words here at all")], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id, r.first_word) for r in decontam.find_leaks(docs, bench).collect()), key=str) == sorted([(0, 1, 2), (None, 1, 1)], key=str)
+    many = spark.range(30_000).select(F.col("id").alias("item_id"), F.lit("open the red door now").alias("text"))
+    assert decontam.find_leaks(docs, many).count() == 30_000 and decontam.drop_leaks(docs, many).count() == 4
+    assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.drop_leaks(docs, bench.limit(0)).count() == 5
+
+
+@pytest.mark.parametrize("n", [8000, 30_000])
+def test_neighbour_selection(n):
+    """Recall of the hashes alone on unit vectors without any structure, and the share of pairs they yield."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    axes = ann.layout(n, 64)
+    index, probes = ann.buckets(x, 24, axes, 1)[:, :, 0], ann.buckets(x[:60], 24, axes, ann.n_probes(axes))
+    seen = np.zeros((60, n), bool)
+    for q in range(60):
+        for t in range(24):
+            seen[q] |= np.isin(index[:, t], probes[q, t])
+    score = x[:60] @ x.T
+    score[np.arange(60), np.arange(60)] = -9
+    top = np.argsort(-score, 1)[:, :5]
+    assert np.take_along_axis(seen, top, 1).mean() >= 0.9 and seen.mean() < (0.16 if n < 10_000 else 0.1)
+
+
+def test_neighbour_cases(spark):
+    """Magnitudes, dimensions, copies, ids and blocks."""
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [1e-200, 0.0]), (3, [1.0, 0.5]), (4, [0.0, 1e-300]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 0.1, 0.0]), (None, [1.0, 1.0]), (5, [float("inf"), 1.0]), (6, []), (7, [None, 1.0]), (0, [1e200, 1.0])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()]
+    assert sorted(g[:3] for g in got if g[0] == 50) == [(50, 1, 51)]
+    own = sorted({g for g in got if g[0] == 0})
+    assert [g[2] for g in own] == [1, 2, 3, 4] and abs(own[2][3] - 0.894427191) < 1e-9 and own[0][3] == own[1][3] == 1.0 and abs(own[3][3]) < 1e-9
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.nearest(none, F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_neighbour_blocks(spark, monkeypatch):
+    """One direction that most rows share is met in blocks, with the same rows."""
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    x[:200] = x[0] + 0.01 * rng.normal(size=(200, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q in range(0, 300, 20):
+        s = u @ u[q]
+        s[q] = -9
+        hit += len(set(got[q]) & set(np.argsort(-s)[:5].tolist()))
+    assert len(got) == 15 and hit >= 0.9 * 75
+
+
+def test_losses_against_counts(spark, docs, monkeypatch):
+    """Both losses of every document from plain counts, with and without hot contexts."""
+    from collections import Counter
+
+    target = ["a b a b", None, " ".join(corpus()[9][1].split()[:30])]
+    words = lambda t: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    pairs = lambda t: list(zip(["<s>", *words(t)], words(t), strict=False))
+    rows = [(x[0], x[1]) for x in corpus()]
+    tg, bg = Counter(p for t in target for p in pairs(t)), Counter(p for _, t in rows for p in pairs(t))
+    size = len({w for t in [*target, *(t for _, t in rows)] for w in words(t)})
+
+    def loss(t, counts, less):
+        n, own = counts - Counter(), Counter(pairs(t)) if less else Counter()
+        c, o = Counter(), Counter()
+        for (v, _), k in n.items():
+            c[v] += k
+        for (v, _), k in own.items():
+            o[v] += k
+        p = [0.8 * (n[x] - own[x]) / (c[x[0]] - o[x[0]]) + 0.2 / size if c[x[0]] > o[x[0]] else 1 / size for x in pairs(t)]
+        return float(-np.mean(np.log(p)))
+
+    for hot in (2000, 10):
+        monkeypatch.setattr(lmscore, "HOT", hot)
+        got = lmscore.score(docs, spark.createDataFrame([(t,) for t in target], "text string")).collect()
+        assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+        texts = dict(rows)
+        for r in got:
+            t = texts[r.doc_id]
+            if words(t):
+                assert abs(r.loss_background - loss(t, bg, True)) < 1e-5 and abs(r.loss_target - loss(t, tg, False)) < 1e-5 and abs(r.score - (r.loss_target - r.loss_background)) < 1e-9
+            else:
+                assert r.score is None
+
+
+def test_pipeline_stages_keep_columns(spark):
+    """Each filtering stage keeps the columns of docs, names that operators use too included, and empty tables."""
+    import corpus_pipeline
+
+    draw = random.Random(4)
+    text = lambda: "\n".join(" ".join(f"w{draw.randrange(9999)}" for _ in range(30)) for _ in range(4))
+    a, b, c = text(), text(), text()
+    extra = ["marks", "score", "lang_pred", "removed_chunks", "removed_lines", "hit_id", "kept_id", "row_key", "n", "cls"]
+    rows = [(i, t, "en", "s", len(t or ""), *["own"] * len(extra)) for i, t in enumerate([a, b, a, c, None, "", b + " more", a + "\n" + c])]
+    docs = spark.createDataFrame([*rows, (None, c, None, None, None, *[None] * len(extra))], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in extra))
+    bench = spark.createDataFrame([(0, c)], "item_id long, text string")
+    stages = {
+        "language_id": lambda d: langid.keep_known(d),
+        "line_dedup": lambda d: linededup.keep_lines(d),
+        "jaccard_join": lambda d: jaccard.keep_one(d, 5, 80),
+        "decontamination": lambda d: decontam.drop_leaks(d, bench),
+    }
+    assert [name for name, _ in corpus_pipeline.STAGES] == [*stages, "best_fit_packing"]
+    want = {
+        "language_id": {0, 1, 2, 3, 6, 7, None},
+        "line_dedup": {0, 1, 3, 6},
+        "jaccard_join": {0, 1, 3, 4, 5, 7},
+        "decontamination": {0, 1, 2, 4, 5, 6},
+    }
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        kept = out.collect()
+        assert {r.doc_id for r in kept} == want[name], name
+        assert all(r[n] == "own" for r in kept if r.doc_id is not None for n in extra), name
+        assert all(r.n_chars == len(r.text or "") for r in kept if r.doc_id is not None), name
+        assert stage(docs.limit(0)).count() == 0, name
+
+
+def test_repeated_ids_link(spark):
+    """Rows of one id are one document: what either of its texts is close to is linked."""
+    draw = random.Random(9)
+    text = lambda: " ".join(f"w{draw.randrange(9999)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a), (4, b), (5, a), (5, b), (6, c)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {(3, 3), (4, 3), (5, 3), (6, 6)}
