@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -18,6 +19,7 @@ HOT, SALTS, STAR = 1000, 64, 16
 ROW_KEY = "row_key struct<own:string,id:long>"
 U = np.uint64
 MASK = (1 << 64) - 1
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,6 +83,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
+    trim()
+
+
+def trim() -> None:
+    """Give memory that Arrow and the C library hold, but nothing uses, back to the system: workers live on."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

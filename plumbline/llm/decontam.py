@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import materialize, shingles, slices
+from plumbline.llm._common import materialize, numbered, shingles, slices
 
 ITEMS, BYTES, RADIUS, STEP = 2000, 8 << 20, 15, 1 << 14
 BLOCKS, BLOCK_BITS, NEAR = 4, 16, 3
@@ -174,10 +174,10 @@ def _described(batches, size: int):
         yield pa.RecordBatch.from_arrays(columns, ["name", "size", "m", "bag"])
 
 
-def _found(batch: pa.RecordBatch, index: Index, least: float):
-    """Hits in a batch whose last column is the text: (row of the batch, item, first word, words, similarity)."""
-    texts, at = lowered(batch.select([batch.num_columns - 1]), batch.schema.names[-1]), 0
-    for rows, data, off in slices(texts, texts.schema.names[0]):
+def _found(batch: pa.RecordBatch, index: Index, least: float, column: str = "text"):
+    """Hits in a batch: (row of the batch, item, first word, words, similarity)."""
+    texts, at = lowered(batch.select([column]), column), 0
+    for rows, data, off in slices(texts, column):
         inside = _INSIDE[data]
         for size in index.sizes:
             h, bounds, count = shingles(data, off, size, inside)
@@ -202,11 +202,11 @@ def _hits(batches, block: list[tuple], least: float):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), names, *columns], ["doc_id", "name", "first_word", "n_words", "similarity"])
 
 
-def _clean(batches, block: list[tuple], least: float):
+def _clean(batches, block: list[tuple], least: float, column: str):
     index = _index(block)
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
-        for row, *_ in _found(batch, index, least):
+        for row, *_ in _found(batch, index, least, column):
             keep[row] = False
         yield batch.filter(pa.array(keep))
 
@@ -254,10 +254,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: floa
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Rows of docs without a hit.  No row leaves its partition."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    out = docs.toDF(*names)
-    text = names[docs.columns.index("text")]
-    out = out.withColumn(TEXT, F.col(text).cast("string"))
+    out = numbered(docs)
+    text = f"c{docs.columns.index('text')}"
+    if docs.schema["text"].dataType.simpleString() != "string":
+        out, text = out.withColumn(TEXT, F.col(text).cast("string")), TEXT
     for block in item_blocks(_items(benchmark), size):
-        out = out.mapInArrow(partial(_clean, block=block, least=least), out.schema)
+        out = out.mapInArrow(partial(_clean, block=block, least=least, column=text), out.schema)
     return out.drop(TEXT).toDF(*docs.columns)

@@ -185,9 +185,13 @@ def _predict(batches, model: dict | None, text: str, names: list[str]):
 
 def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """Columns `keep` of every row with lang_pred and score.  The model has a fixed number of features."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("text of the row"))
+    again = "text of the row"
+    if "text" in keep and docs.schema["text"].dataType.simpleString() == "string":
+        again, rows = "text", docs.select(*[F.col(f"`{c}`") for c in keep])
+    else:
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(again))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "lang_pred string, score double"])
-    return rows.mapInArrow(partial(_predict, model=model, text="text of the row", names=keep), schema)
+    return rows.mapInArrow(partial(_predict, model=model, text=again, names=keep), schema)
 
 
 def held_out(doc_id) -> F.Column:
@@ -204,6 +208,7 @@ def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of docs with a language, all columns as they are: those that are `und` or score less than `least` go."""
-    own = numbered(docs)
-    out = predict(own.withColumn("text", own[own.columns[docs.columns.index("text")]]), fit(docs), own.columns)
+    at = docs.columns.index("text")
+    own = numbered(docs).withColumnRenamed(f"c{at}", "text")
+    out = predict(own, fit(docs), own.columns)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*own.columns).toDF(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import ROW_KEY, U, frequent, materialize, mix, n_shuffle, numbered, range_hashes, row_key, salted_join, slices
+from plumbline.llm._common import ROW_KEY, U, frequent, materialize, mix, n_shuffle, numbered, range_hashes, release, row_key, salted_join, slices
 
 LONE = 200
 
@@ -124,6 +124,7 @@ def _deduped(docs: DataFrame) -> DataFrame:
     rows = own.select(*names, text.cast("string").alias("text"), doc_id.cast("long").alias("doc_id")).withColumn("row_key", row_key()).drop("doc_id")
     found = rows.select("row_key", "text").mapInArrow(_chunks, f"{ROW_KEY}, idx int, h long, h2 long")
     again = materialize(found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "idx")).alias("keep")).where("n > 1"))
+    release(docs.sparkSession)
     hot = materialize(frequent(again.select("h", "h2", "n")))
     hits = salted_join(found, again.drop("n"), ["h", "h2"], hot, "inner", ["row_key", "idx"])
     hits = materialize(hits.select("h", "h2", "row_key", "idx", (F.struct("row_key", "idx") != F.col("keep")).alias("later")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import materialize, n_shuffle, not_blank, slices, spans
 
-CACHE_PARTS = 500_000
+CACHE_PARTS = 250_000
 # parts of words in lower case: endings, letters, a digit, signs; ASCII and Latin letters with marks only
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\\sa-zß-öø-ſ0-9]+| ")
 OTHER = re.compile("[^ -~À-ſ]|İ|<\\|")
