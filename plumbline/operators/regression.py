@@ -380,24 +380,86 @@ def active_features(models: DataFrame, g: list[str], names: list[str], vec: str,
     return models.select(*g, pick(True).alias("active"), pick(False).alias("dropped"))
 
 
-def objective_terms(df: DataFrame, g: list[str], residual: Column, labeled: Column, weak_weight: float, l1: float, coefficients: list[float]) -> DataFrame:
-    """Labeled term, weak term, penalty and their sum for given coefficients."""
+def objective_terms(df: DataFrame, g: list[str], residual: Column, labeled: Column, weak_weight: float, l1: float, coefficients: list[float], groups: list[list[int]] = (), group_weight: float = 0.0, basis: list[float] = (), ridge: float = 0.0) -> DataFrame:
+    """Labeled term, weak term, penalty and their sum for given coefficients; with groups of places or basis coefficients
+    also the group term (sum of the groups' norms) and the ridge term (half the squared norm of the basis)."""
     sse = lambda when: 0.5 * F.sum(F.when(when, residual * residual).otherwise(0.0))
-    penalty = l1 * sum(abs(c) for c in coefficients)
-    out = df.groupBy(*g).agg(sse(labeled).alias("labeled_term"), (weak_weight * sse(~labeled)).alias("weak_term"), F.lit(float(penalty)).alias("l1_term"))
-    return out.withColumn("objective", F.col("labeled_term") + F.col("weak_term") + F.col("l1_term"))
+    terms = {"labeled_term": sse(labeled), "weak_term": weak_weight * sse(~labeled), "l1_term": F.lit(float(l1 * sum(abs(c) for c in coefficients)))}
+    if groups:
+        terms["group_term"] = F.lit(float(group_weight * sum(np.linalg.norm([coefficients[i] for i in at]) for at in groups)))
+    if basis:
+        terms["ridge_term"] = F.lit(float(0.5 * ridge * sum(c * c for c in basis)))
+    out = df.groupBy(*g).agg(*[c.alias(n) for n, c in terms.items()])
+    return out.withColumn("objective", reduce(lambda a, b: a + b, [F.col(n) for n in terms]))
+
+
+def diagnostics(fits: DataFrame, keep: list[str], shape: list[str], theta_of: list[str], basis: list[str], box: tuple[float, float]) -> DataFrame:
+    """Diagnostics of fits that carry the triangles labeled, weak and test over [shape, basis, y] (shape column 0 is the
+    intercept): R-squared of the weak labels by H g alone and of the train rows, null where labels don't vary, norms of
+    both components over the test rows, norms of g by group, and whether theta is within 1e-3 of the box's ends."""
+    p, size = len(shape), len(shape) + len(basis) + 1
+    at = [shape.index(c) for c in theta_of]
+
+    def r2(m, a):
+        total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0] if m[0, 0] > 0 else 0.0
+        return float(1 - max(a @ m @ a, 0.0) / total) if total > 0 else None
+
+    def work(r):
+        weak, labeled, test = (full(x, size) if x is not None else np.zeros((size, size)) for x in (r.weak, r.labeled, r.test))
+        h, d = np.array(r.g[:p]), np.array(r.d)
+        h[at] += r.theta * np.array(r.g[p:])
+        own = np.concatenate((h, np.zeros(len(d)), [0.0]))
+        more = np.concatenate((np.zeros(p), d, [0.0]))
+        y = np.append(np.zeros(size - 1), 1.0)
+        norm = lambda a: float(np.sqrt(max(a @ test @ a, 0.0)))
+        edge = min(abs(r.theta - box[0]), abs(r.theta - box[1])) < 1e-3
+        return {
+            "weak_r2": r2(weak, own - y), "train_r2": r2(labeled, own + more - y), "shape_norm": norm(own), "basis_norm": norm(more),
+            "g_norm": float(np.linalg.norm(r.g[:p])), "theta_g_norm": float(np.linalg.norm(r.g[p:])), "at_bound": bool(edge),
+        }
+
+    return _map_rows(fits, work, "weak_r2 double; train_r2 double; shape_norm double; basis_norm double; g_norm double; theta_g_norm double; at_bound boolean", keep)
+
+
+def selection_audit(candidates: DataFrame, chosen: DataFrame, condition: list[str], weights: list[str], g: list[str], box: tuple[float, float]) -> DataFrame:
+    """By group g of conditions: how many have a choice, the mean chosen weights, the rate of thetas within 1e-3 of the box's
+    ends, mean and largest excess of the chosen validation mse over the condition's least, and the share of invalid
+    candidates (a status other than ok, or no finite validation mse).  chosen: g and weights; a condition takes the
+    candidate with the weights of its group."""
+    valid = (F.col("status") == "ok") & F.coalesce(F.abs("validation_mse") < float("inf"), F.lit(False))
+    least = candidates.groupBy(*condition).agg(F.min(F.when(valid, F.col("validation_mse"))).alias("least"), F.count(F.lit(1)).alias("tried"), F.count_if(~valid).alias("invalid"))
+    own = candidates.where(valid).join(chosen.select(*g, *weights), [*g, *weights]).select(*condition, "validation_mse", "theta", "converged", *[F.col(w).alias(f"_{w}") for w in weights])
+    gap, theta = F.col("validation_mse") - F.col("least"), F.col("theta")
+    edge = (F.abs(theta - box[0]) < 1e-3) | (F.abs(theta - box[1]) < 1e-3)
+    return least.join(own, condition, "left").groupBy(*g).agg(
+        F.count("validation_mse").alias("n"), *[F.avg(f"_{w}").alias(f"mean_{w}") for w in weights],
+        F.avg(edge.cast("double")).alias("boundary_rate"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"),
+        F.avg(F.col("converged").cast("double")).alias("convergence_rate"), (F.sum("invalid") / F.sum("tried")).alias("invalid_share"),
+    )
 
 
 # baselines of Spark ML ---------------------------------------------------------------------------
 def ml_baseline(train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str], y: str, grid: list) -> DataFrame:
-    """Test rows scored by the estimator of the grid with the least validation mse, refitted on both parts."""
+    """Test rows scored by the estimator of the grid with the least validation mse (the first of equals), refitted on both
+    parts.  Train and validation rows are kept for the fits, so their source is read once and not once a job."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.storagelevel import StorageLevel
 
     make = VectorAssembler(inputCols=features, outputCol="features").transform
-    best, least = None, None
-    for estimator in grid:
-        m = estimator.fit(make(train))
-        loss = m.transform(make(validation)).select(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0]
-        if least is None or loss < least:
-            best, least = estimator, loss
-    return best.fit(make(train.unionByName(validation))).transform(make(test)).drop("features").withColumnRenamed("prediction", "pred")
+    rows = make(train.select(*features, y, F.lit(True).alias("_train")).unionByName(validation.select(*features, y, F.lit(False).alias("_train")))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        own, other = rows.where("_train"), rows.where("not _train")
+
+        def loss(estimator):
+            return estimator.fit(own).transform(other).select(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0]
+
+        # a few fits at a time: Spark shares its tasks out among them
+        with ThreadPoolExecutor(4) as pool:
+            losses = list(pool.map(loss, grid))
+        best = min(range(len(grid)), key=lambda i: (losses[i] is None, losses[i], i))
+        model = grid[best].fit(rows)
+    finally:
+        rows.unpersist()
+    return model.transform(make(test)).drop("features").withColumnRenamed("prediction", "pred")

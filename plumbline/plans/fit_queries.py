@@ -125,6 +125,16 @@ def reg06(spark, sf):
     return R.canonical_correlation(g, ["supp"], ["one", "price", "y"], ["price"], ["y"])
 
 
+@query(
+    "reg06_canonical_columns", f"SELECT supp, sqrt(greatest(0, 1 - sum((y - ({line(SHAPE)})) ** 2) / (var_pop(y) * count(*)))) AS correlation FROM rows JOIN a USING (supp) GROUP BY supp",
+    ALL_UNITS + ", " + solve_sql("a", "rows", "supp", SHAPE), "correlation", 5,
+)
+def reg06c(spark, sf):
+    """Two columns against one: the root of R-squared."""
+    g = R.gram(gram_rows(observations(spark, sf)), ["supp"], [*SHAPE, "y"])
+    return R.canonical_correlation(g, ["supp"], [*SHAPE, "y"], ["price", "qty"], ["y"])
+
+
 CAL = "SELECT batch_id, min(loss) AS loss, arg_min(theta, loss) AS theta FROM (SELECT batch_id, 0.8 + 0.02 * k AS theta, avg((y - (0.8 + 0.02 * k) * price) ** 2) AS loss FROM obs, range(21) r(k) GROUP BY batch_id, k) GROUP BY batch_id"
 
 
@@ -275,6 +285,32 @@ def reg11(spark, sf):
     return R.ridge_one(o, ["supp"], "price_disc", F.col("y") - F.col("price"), 0.5)
 
 
+BLOCK = "SELECT supp, (r1 * s22 - r2 * s12) / (s11 * s22 - s12 * s12) AS d1, (r2 * s11 - r1 * s12) / (s11 * s22 - s12 * s12) AS d2 FROM (SELECT supp, sum(price_disc ** 2) + 0.5 AS s11, sum(price_disc * price_tax) AS s12, sum(price_tax ** 2) + 0.5 AS s22, sum(price_disc * (y - price)) AS r1, sum(price_tax * (y - price)) AS r2 FROM rows GROUP BY supp)"
+
+
+@query("reg11_ridge_two_columns", BLOCK, ALL_UNITS, "d1 d2")
+def reg11b(spark, sf):
+    """The block (B'B + r I) d = B'(y - H g) of two columns, with H g the price."""
+    o = gram_rows(observations(spark, sf)).withColumn("left", F.col("y") - F.col("price"))
+    columns = [*BASIS, "left"]
+    d = R.ols(R.gram(o, ["supp"], columns), ["supp"], columns, BASIS, "left", ridge=0.5)
+    return d.select("supp", F.element_at("coef", 1).alias("d1"), F.element_at("coef", 2).alias("d2"))
+
+
+@query(
+    "reg12_objective_all_terms",
+    "SELECT *, labeled_term + weak_term + l1_term + group_term + ridge_term AS objective FROM (SELECT batch_id, 0.5 * sum(CASE WHEN role = 'labeled' THEN e ** 2 ELSE 0 END) AS labeled_term, 0.1 * 0.5 * sum(CASE WHEN role = 'labeled' THEN 0 ELSE h ** 2 END) AS weak_term, 0.01 * 1.4::DOUBLE AS l1_term, 0.02 * (sqrt(0.2 ** 2 + 0.9 ** 2) + 0.3) AS group_term, 0.5 * 0.3 * (0.5 ** 2 + 0.25 ** 2) AS ridge_term FROM (SELECT batch_id, role, y - (0.2 + 1.2 * price) + 0.5 * price * disc - 0.25 * price * tax AS e, price - (0.2 + 1.2 * price) AS h FROM obs WHERE role <> 'test') GROUP BY batch_id)",
+    OBS, "labeled_term weak_term l1_term group_term ridge_term objective", 4,
+)
+def reg12a(spark, sf):
+    """g = (0.2, 0.9; 0.3 by theta 1) in two groups, d = (-0.5, 0.25); weak rows see H g only."""
+    o = observations(spark, sf).where("role <> 'test'")
+    labeled, h = F.col("role") == "labeled", 0.2 + 1.2 * F.col("price")
+    d = -0.5 * F.col("price") * F.col("disc") + 0.25 * F.col("price") * F.col("tax")
+    residual = F.when(labeled, F.col("y") - h - d).otherwise(F.col("price") - h)
+    return R.objective_terms(o, ["batch_id"], residual, labeled, 0.1, 0.01, [0.2, 0.9, 0.3], [[0, 1], [2]], 0.02, [-0.5, 0.25], 0.3)
+
+
 @query("reg12_objective", "SELECT batch_id, labeled_term, weak_term, 0.012::DOUBLE AS l1_term, labeled_term + weak_term + 0.012 AS objective FROM (SELECT batch_id, 0.5 * sum(CASE WHEN role = 'labeled' THEN e * e ELSE 0 END) AS labeled_term, 0.1 * 0.5 * sum(CASE WHEN role = 'labeled' THEN 0 ELSE e * e END) AS weak_term FROM (SELECT batch_id, role, CASE WHEN role = 'labeled' THEN y ELSE price END - (0.2 + price) AS e FROM obs WHERE role <> 'test') GROUP BY batch_id)", OBS, "labeled_term weak_term l1_term objective", 4)
 def reg12(spark, sf):
     o = observations(spark, sf).where("role <> 'test'")
@@ -368,11 +404,14 @@ def tree_metrics(spark, sf, grid, target="y"):
     return M.regression_metrics(scored, ["batch_id"])
 
 
+DEEPEST = 30  # Spark's deepest tree stands for one without a limit
+
+
 @query("reg22_decision_tree")
 def reg22(spark, sf):
     from pyspark.ml.regression import DecisionTreeRegressor as T
 
-    return tree_metrics(spark, sf, [T(labelCol="y", maxDepth=d, minInstancesPerNode=m, seed=1) for d in (3, 6) for m in (1, 5)])
+    return tree_metrics(spark, sf, [T(labelCol="y", maxDepth=d, minInstancesPerNode=m, seed=1) for d in (DEEPEST, 2, 3, 5) for m in (1, 3)])
 
 
 @query("reg23_random_forest")
@@ -437,3 +476,38 @@ def reg27(spark, sf):
     return M.r_squared(s, g).join(M.magnitudes(s, g, "part").select(*g, F.col("l2").alias("component")), g).join(at, g)
 
 
+def held_grams(spark, sf, basis):
+    columns = [*SHAPE, *basis, Y]
+    return R.gram(gram_rows(by_role(observations(spark, sf), ["test"])), ["batch_id"], columns).select("batch_id", F.col("xtx").alias("test"))
+
+
+def diagnosed(spark, sf, grams, best, basis):
+    full = best.join(grams.select("batch_id", "n_labeled", "labeled", "weak"), ["batch_id", "n_labeled"]).join(held_grams(spark, sf, basis), "batch_id")
+    return R.diagnostics(full, ["batch_id", "n_labeled"], SHAPE, ["price"], basis, BOX)
+
+
+@query("reg27_weak_fit_diagnostics")
+def reg27w(spark, sf):
+    """Diagnostics of the selected weak fit of each condition."""
+    grams = weak_grams(spark, sf)
+    best = R.tune(R.fit_weak(candidates(grams), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
+    return diagnosed(spark, sf, grams, best, BASIS)
+
+
+PARTS = (
+    WEAK_ROWS
+    + f""", chosen AS (SELECT batch_id, n_labeled, b0, b1, b2 FROM best JOIN c USING (batch_id, n_labeled, share)),
+seen AS (SELECT batch_id, n_labeled, role, y, {line(SHAPE)} AS pred FROM pooled JOIN chosen USING (batch_id, n_labeled) WHERE share = 0.1),
+held AS (SELECT batch_id, n_labeled, sqrt(sum(({line(SHAPE)}) ** 2)) AS shape_norm FROM (SELECT batch_id, 1.0::DOUBLE AS one, price / 50 AS price, qty / 50 AS qty FROM obs WHERE role = 'test') JOIN chosen USING (batch_id) GROUP BY ALL)"""
+)
+
+
+@query(
+    "reg27_weak_fit_diagnostics_linear",
+    "SELECT batch_id, n_labeled::INT AS n_labeled, 1 - sum((y - pred) ** 2) FILTER (role = 'weak') / (var_pop(y) FILTER (role = 'weak') * count(*) FILTER (role = 'weak')) AS weak_r2, 1 - sum((y - pred) ** 2) FILTER (role = 'train') / (var_pop(y) FILTER (role = 'train') * count(*) FILTER (role = 'train')) AS train_r2, any_value(shape_norm) AS shape_norm, 0.0::DOUBLE AS basis_norm, false AS at_bound FROM seen JOIN held USING (batch_id, n_labeled) GROUP BY ALL",
+    PARTS, "weak_r2 train_r2 shape_norm basis_norm", 5,
+)
+def reg27l(spark, sf):
+    grams = weak_grams(spark, sf, [])
+    best = R.tune(linear_fits(linear_grid(grams)), ["batch_id", "n_labeled"])
+    return diagnosed(spark, sf, grams, best, []).drop("g_norm", "theta_g_norm")

@@ -14,7 +14,7 @@ from plumbline.operators import regression as R
 from plumbline.operators.splits import by_role
 from plumbline.plans.catalog import query
 from plumbline.plans.data_queries import BEST, PAIRS
-from plumbline.plans.fit_queries import BASIS, BOX, KEEP, SHAPE, candidates, weak_grams
+from plumbline.plans.fit_queries import BASIS, BOX, KEEP, SHAPE, WEAK_ROWS, candidates, linear_fits, linear_grid, share_of, weak_fits, weak_grams
 from plumbline.plans.stat_queries import gram_rows
 from plumbline.plans.tables import ARMS, OBS, SIZES, arm_metrics, fits, observations, scored, split, table
 
@@ -423,6 +423,64 @@ def qa07(spark, sf):
     return best.groupBy("n_labeled").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("model") == "affine").alias("chosen_affine"), F.avg((F.col("model") == "reference").cast("double")).alias("reference_rate"), F.avg("mse").alias("mean_loss"), F.max("mse").alias("max_loss"))
 
 
+def audited(fits, shares):
+    """Choice of one weight triple a size over the batches by one standard error, and its audit."""
+    f = fits.join(shares, KEEP).drop("weak_weight").withColumnRenamed("share", "weak_weight")
+    weights = ["weak_weight", "l1", "group_weight"]
+    c = f.where("status = 'ok'").groupBy("n_labeled", *weights).agg(F.avg("validation_mse").alias("loss"), F.stddev_samp("validation_mse").alias("sd"), F.count("validation_mse").alias("n"))
+    chosen = R.one_standard_error(c, ["n_labeled"], "loss", "sd", "n")
+    return R.selection_audit(f, chosen, ["batch_id", "n_labeled"], weights, ["n_labeled"], BOX)
+
+
+@query("qa07_weak_fit_audit")
+def qa07w(spark, sf):
+    """Selection audit of the weakly supervised arm."""
+    return audited(weak_fits(spark, sf), share_of(candidates(weak_grams(spark, sf))))
+
+
+AUDIT = (
+    WEAK_ROWS
+    + """, means AS (SELECT n_labeled, share, avg(validation_mse) AS loss, stddev_samp(validation_mse) / sqrt(count(*)) AS se FROM v GROUP BY ALL),
+bar AS (SELECT n_labeled, min(loss) + arg_min(se, loss) AS bar FROM means GROUP BY ALL),
+taken AS (SELECT n_labeled, max(share) AS share FROM means JOIN bar USING (n_labeled) WHERE loss <= bar GROUP BY ALL),
+low AS (SELECT batch_id, n_labeled, min(validation_mse) AS least FROM v GROUP BY ALL)"""
+)
+
+
+@query(
+    "qa07_weak_fit_audit_linear",
+    "SELECT n_labeled::INT AS n_labeled, count(*) AS n, avg(share) AS mean_weak_weight, 0.0::DOUBLE AS mean_l1, 0.0::DOUBLE AS mean_group_weight, 0.0::DOUBLE AS boundary_rate, avg(validation_mse - least) AS mean_gap, max(validation_mse - least) AS max_gap, 1.0::DOUBLE AS convergence_rate, 0.0::DOUBLE AS invalid_share FROM v JOIN taken USING (n_labeled, share) JOIN low USING (batch_id, n_labeled) GROUP BY n_labeled",
+    AUDIT, "mean_weak_weight mean_l1 mean_group_weight boundary_rate mean_gap max_gap convergence_rate invalid_share",
+)
+def qa07l(spark, sf):
+    grid = linear_grid(weak_grams(spark, sf, []))
+    return audited(linear_fits(grid), share_of(grid))
+
+
+def fit_gates(selected, tried):
+    """Gates on the convergence rate of the selected fits and on the share of invalid candidates."""
+    rate = F.avg(F.col("converged").cast("double"))
+    invalid = F.avg((~((F.col("status") == "ok") & F.coalesce(F.abs("validation_mse") < float("inf"), F.lit(False)))).cast("double"))
+    return G.run_gates([G.gate(selected, "convergence_rate", rate, rate >= 0.95, ">= 0.95"), G.gate(tried, "invalid_share", invalid, F.coalesce(invalid <= 0.25, F.lit(True)), "<= 0.25", "warn")])
+
+
+@query("qa01_fit_gates")
+def qa01f(spark, sf):
+    grams = weak_grams(spark, sf)
+    tried = R.fit_weak(candidates(grams), KEEP, SHAPE, ["price"], BASIS, BOX)
+    return fit_gates(R.tune(tried, ["batch_id", "n_labeled"]), tried)
+
+
+@query(
+    "qa01_fit_gates_linear",
+    " UNION ALL ".join([gate_sql("convergence_rate", "avg((validation_mse IS NOT NULL)::INT::DOUBLE)", "count(*) > 0", ">= 0.95", "best"), gate_sql("invalid_share", "avg((validation_mse IS NULL)::INT::DOUBLE)", "count(*) FILTER (validation_mse IS NULL) = 0", "<= 0.25", "v", "warn")]),
+    WEAK_ROWS, "value",
+)
+def qa01l(spark, sf):
+    tried = linear_fits(linear_grid(weak_grams(spark, sf, [])))
+    return fit_gates(R.tune(tried, ["batch_id", "n_labeled"]), tried)
+
+
 ABLATION = "SELECT model, avg(rmse) FILTER (n_labeled = 10) AS rmse_10, avg(rmse) FILTER (n_labeled = 120) AS rmse_120, avg(rmse) FILTER (n_labeled = 120) - (SELECT avg(rmse) FROM metrics WHERE model = 'reference' AND n_labeled = 120) AS gap, avg((mae < 2)::INT::DOUBLE) AS good_rate FROM metrics GROUP BY model"
 
 
