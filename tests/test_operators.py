@@ -93,7 +93,7 @@ def test_gram_doesn_t_depend_on_partitions(spark):
     assert np.allclose(a, b, rtol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["entry_aligned_vs_reference", "src07_fingerprint", "prj15_validity_masks", "smp04_manifest", "agg21_gram", "reg02_two_columns", "win03_stagnation", "qa03_batch_acceptance"])
+@pytest.mark.parametrize("name", ["entry_aligned_vs_reference", "src07_fingerprint", "prj15_validity_masks", "smp04_manifest", "agg21_gram", "reg02_two_columns", "win03_stagnation", "qa03_batch_acceptance", "reg12_objective_all_terms", "reg27_weak_fit_diagnostics_linear", "qa07_weak_fit_audit_linear"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
@@ -132,3 +132,39 @@ def test_refreshed_labels_equal_rows():
             theta = float(np.clip((u @ rest + weight * uw @ rest_w) / (u @ u + weight * uw @ uw), *box))
     assert np.allclose(out["g"], g, atol=1e-6) and np.allclose(out["d"], d, atol=1e-6) and abs(out["theta"] - theta) < 1e-6
     assert np.allclose(out["drift"], drift, atol=1e-6) and max(drift) > 0
+
+
+def test_diagnostics_equal_rows(spark):
+    """R-squared, norms and the boundary flag from triangles are those of the rows."""
+    rng = np.random.default_rng(4)
+    rows = {n: np.column_stack([np.ones(40), rng.uniform(0.1, 2, (40, 2)), rng.normal(size=40)]) for n in ("labeled", "weak", "test")}
+    flat = {n: (z.T @ z)[np.triu_indices(4)].tolist() for n, z in rows.items()}
+    flat["weak"] = np.zeros(10).tolist()
+    fit = spark.createDataFrame([(1, [0.2, 0.5, 0.3], [-0.4], 1.2, flat["labeled"], flat["weak"], flat["test"])], "k int, g array<double>, d array<double>, theta double, labeled array<double>, weak array<double>, test array<double>")
+    r = R.diagnostics(fit, ["k"], ["one", "x"], ["x"], ["b"], (0.8, 1.2)).first()
+    h = lambda z: z[:, 0] * 0.2 + z[:, 1] * (0.5 + 1.2 * 0.3)
+    z, t = rows["labeled"], rows["test"]
+    e = z[:, 3] - h(z) + 0.4 * z[:, 2]
+    assert math.isclose(r.train_r2, 1 - e @ e / (40 * z[:, 3].var()), rel_tol=1e-9) and r.weak_r2 is None and r.at_bound
+    assert math.isclose(r.shape_norm, np.linalg.norm(h(t))) and math.isclose(r.basis_norm, 0.4 * np.linalg.norm(t[:, 2]))
+
+
+def test_selection_audit_counts_invalid(spark):
+    """Invalid candidates are counted and never chosen; a condition without its choice stays in the counts."""
+    rows = [("a", 10, 0.1, 2.0, "ok", 0.8), ("a", 10, 1.0, 1.0, "ok", 1.0), ("b", 10, 0.1, 3.0, "ok", 1.0), ("b", 10, 1.0, None, "singular", None), ("c", 10, 0.1, float("nan"), "not finite", 1.0)]
+    c = spark.createDataFrame(rows, "batch string, size int, w double, validation_mse double, status string, theta double").withColumn("converged", F.lit(True))
+    r = R.selection_audit(c, spark.createDataFrame([(10, 0.1)], "size int, w double"), ["batch", "size"], ["w"], ["size"], (0.8, 1.2)).first()
+    assert (r.n, r.mean_w, r.boundary_rate, r.mean_gap, r.max_gap, r.convergence_rate, r.invalid_share) == (2, 0.1, 0.5, 0.5, 1.0, 1.0, 0.4)
+
+
+def test_shorter_series_of_boosted_trees(spark):
+    """The start of a long series has the loss of a short one, and the best size is chosen."""
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(2)
+    table = lambda n: spark.createDataFrame([(float(a), float(a * a + rng.normal() / 20)) for a in rng.uniform(-1, 1, n)], "x double, y double").coalesce(1).cache()
+    train, validation, test = table(60), table(40), table(20)
+    grid = [GBTRegressor(labelCol="y", maxDepth=2, seed=1)]
+    whole = R.ml_baseline(train, validation, test, ["x"], "y", grid, sizes=(2, 6)).select("pred").collect()
+    plain = R.ml_baseline(train, validation, test, ["x"], "y", [grid[0].copy({grid[0].maxIter: n}) for n in (2, 6)]).select("pred").collect()
+    assert whole == plain
