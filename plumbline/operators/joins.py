@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,21 +37,58 @@ def plan_conditions(repeats: DataFrame, sizes: list[int], models: dict[str, list
     return candidate_grid(repeats, n_labeled=sizes, model=list(models)).where(allowed)
 
 
+CELLS = 256
+
+
 def nearest(queries: DataFrame, rows: DataFrame, g: list[str], columns: list[str], query_id: str, row_id: str, salts: int = 16) -> DataFrame:
-    """Nearest row of each query within its group: smallest Euclidean distance, ties to the smaller id.
+    """Nearest row of each query within its group: smallest Euclidean distance, ties to the smaller id.  Queries
+    and rows with a null coordinate take no part.
 
-    The rows of a group are spread over salts and each salt keeps its best, so a large group is compared
-    in many tasks.
+    One column: both sides are sorted and a query looks at its neighbours (nearest_on_line).  More columns: the rows of
+    a group are spread over salts and each salt keeps its best, so a large group is compared in many tasks.
     """
+    if len(columns) == 1:
+        return nearest_on_line(queries, rows, g, columns[0], query_id, row_id)
+    full = lambda d: d.dropna(subset=columns)
     salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    r = rows.select(*g, F.col(row_id).alias("match"), salt.alias("salt"), *[F.col(c).cast("double").alias(f"r_{c}") for c in columns])
-    q = queries.select(*g, F.col(query_id), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).cast("double").alias(f"q_{c}") for c in columns])
+    r = full(rows).select(*g, F.col(row_id).alias("match"), salt.alias("salt"), *[F.col(c).cast("double").alias(f"r_{c}") for c in columns])
+    q = full(queries).select(*g, F.col(query_id), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).cast("double").alias(f"q_{c}") for c in columns])
     d = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"q_{c}") - F.col(f"r_{c}")) ** 2 for c in columns]))
     best = F.min(F.struct(d.alias("d"), F.col("match").alias("m")))
     one = q.join(r, [*g, "salt"]).groupBy(*g, query_id, "salt").agg(best.alias("b"))
     return one.groupBy(*g, query_id).agg(F.min("b").alias("b")).select(*g, query_id, F.col("b.m").alias("match"), F.col("b.d").alias("distance"))
 
 
+def nearest_on_line(queries: DataFrame, rows: DataFrame, g: list[str], column: str, query_id: str, row_id: str) -> DataFrame:
+    """nearest for one column: no pairs are made.
+
+    Rows with equal values count once, by their smallest id.  Approximate quantiles cut a group into CELLS cells of
+    about equal size, which may lie in different tasks; within one, running extremes over the sorted values give the
+    next row on either side, and the ends of other cells close the gaps at the borders.
+    """
+    r = rows.where(F.col(column).isNotNull()).groupBy(*g, F.col(column).cast("double").alias("_x")).agg(F.min(row_id).alias("_m"))
+    q = queries.where(F.col(column).isNotNull()).select(*g, F.col(column).cast("double").alias("_x"), F.col(query_id).alias("_q"))
+    cuts = r.groupBy(*g).agg(F.percentile_approx("_x", [i / CELLS for i in range(1, CELLS)], 20 * CELLS).alias("_cuts"))
+    both = r.select(*g, "_x", "_m", F.lit(None).alias("_q"), F.lit(0).alias("_kind")).unionByName(q.select(*g, "_x", F.lit(None).alias("_m"), "_q", F.lit(1).alias("_kind")))
+    cell = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+    both = both.join(cuts, g).select(*g, cell.alias("_cell"), "_x", "_m", "_q", "_kind")
+    row = F.when(F.col("_kind") == 0, F.struct("_x", "_m"))
+    own = Window.partitionBy(*g, "_cell")
+    up, down = own.orderBy("_x", "_kind"), own.orderBy(F.desc("_x"), "_kind")
+    seen = both.withColumn("_below", F.max(row).over(up)).withColumn("_above", F.min(row).over(down)).where("_kind = 1")
+    ends = both.groupBy(*g, "_cell").agg(F.max(row).alias("_high"), F.min(row).alias("_low"))
+    line = Window.partitionBy(*g)
+    ends = ends.select(
+        *g, "_cell",
+        F.max("_high").over(line.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_low").over(line.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"),
+    )
+    low, high = F.coalesce("_below", "_before"), F.coalesce("_above", "_after")
+    at = lambda s: F.when(s.isNotNull(), F.struct(F.abs(F.col("_x") - s["_x"]).alias("d"), s["_m"].alias("m")))
+    found = seen.join(ends, [*g, "_cell"]).select(*g, F.col("_q").alias(query_id), F.array_min(F.array_compact(F.array(at(low), at(high)))).alias("b"))
+    return found.select(*g, query_id, F.col("b.m").alias("match"), F.col("b.d").alias("distance"))
+
+
 def nearest_grid(targets: DataFrame, grid: DataFrame, target: str, statistic: str, value: str) -> DataFrame:
     """For each target the grid point whose statistic is closest, ties to the smaller value.  Both sides are
     lists of parameters."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +51,49 @@ def residual_statistics(df: DataFrame, g: list[str], observed: str, clean: str)
     return df.groupBy(*g).agg(F.count(e).alias("n"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.avg(e * e).alias("mse"))
 
 
+SKETCH = 10_000  # ranks of the quantile sketch are off by at most one in so many
+WHOLE = 20 * SKETCH  # groups up to this size are sorted whole
+
+
+def same(a: str, b: str, g: list[str]) -> Column:
+    """Equal keys of two aliased frames, null keys included."""
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in g], F.lit(True))
+
+
 def quantiles(df: DataFrame, g: list[str], x: Column, at: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
-    return df.groupBy(*g).agg(*[F.percentile(x, F.lit(p)).alias(n) for n, p in at.items()])
+    """Exact quantiles with linear interpolation; null where a group has no value, and nulls don't count.
+
+    A mergeable sketch brackets each quantile.  Values within brackets are then counted one by one, all others of a group
+    as one count for each gap between brackets, so that ranks are exact while only about 1/2500 of a large group's
+    values a quantile is sorted in one task (where Spark spills).  A bracket that misses its rank raises.
+    """
+    names = sorted(at, key=at.get)
+    rows = df.select(*g, x.cast("double").alias("_x"))
+    probes = [min(max(at[n] + d, 0.0), 1.0) for n in names for d in (-2 / SKETCH, 2 / SKETCH)]
+    edges = rows.groupBy(*g).agg(F.count("_x").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.percentile_approx("_x", probes, SKETCH).alias("_cut"))
+    whole = F.col("_n") <= WHOLE
+    low = [F.when(whole | F.lit(at[n] <= 2 / SKETCH), F.col("_low")).otherwise(F.get("_cut", F.lit(2 * i))).alias(f"_a{i}") for i, n in enumerate(names)]
+    high = [F.when(whole | F.lit(at[n] >= 1 - 2 / SKETCH), F.col("_high")).otherwise(F.get("_cut", F.lit(2 * i + 1))).alias(f"_b{i}") for i, n in enumerate(names)]
+    edges = edges.select(*g, "_n", *low, *high)
+    inside = reduce(lambda p, q: p | q, [F.col("_x").between(F.col(f"_a{i}"), F.col(f"_b{i}")) for i in range(len(names))])
+    # a value between brackets stands under the end of the bracket below it, after all values there
+    below = F.array_max(F.array(*[F.when(F.col(f"_b{i}") < F.col("_x"), F.col(f"_b{i}")) for i in range(len(names))]))
+    held = rows.where("_x is not null").alias("r").join(edges.alias("e"), same("r", "e", g))
+    held = held.select(*[F.col(f"r.{k}") for k in g], F.when(inside, F.col("_x")).otherwise(below).alias("_v"), (~inside).alias("_out"), "_n")
+    counts = held.groupBy(*g, "_v", "_out").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    order = Window.partitionBy(*g).orderBy("_v", "_out").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(order))
+
+    def value(p: float) -> Column:
+        place = F.lit(p) * (F.col("_n") - 1)
+        pick = lambda k: F.min(F.when(F.col("_upto") > k, F.struct("_v", "_out")))
+        a, b = pick(F.floor(place)), pick(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        line = F.when((part == 0) | (a["_v"] == b["_v"]), a["_v"]).otherwise((1 - part) * a["_v"] + part * b["_v"])
+        return F.when(a["_out"] | b["_out"], F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).otherwise(line)
+
+    found = ranked.groupBy(*g).agg(*[value(at[n]).alias(n) for n in at])
+    return edges.alias("e").join(found.alias("f"), same("e", "f", g), "left").select(*[F.col(f"e.{k}") for k in g], *[F.col(f"f.{n}") for n in at])
 
 
 def share_within(df: DataFrame, g: list[str], d: str, thresholds: dict[str, float]) -> DataFrame:
@@ -59,7 +101,7 @@ def share_within(df: DataFrame, g: list[str], d: str, thresholds: dict[str, floa
 
 
 def median_by(df: DataFrame, g: list[str], x: str) -> DataFrame:
-    return df.groupBy(*g).agg(F.median(x).alias("median"))
+    return quantiles(df, g, F.col(x), {"median": 0.5})
 
 
 def value_counts(df: DataFrame, g: list[str]) -> DataFrame:
@@ -112,7 +154,7 @@ def normalized(metrics: DataFrame, noise_variance: float) -> DataFrame:
 
 def box_plot(df: DataFrame, g: list[str], x: str) -> DataFrame:
     """Quartiles and the whisker ends: the extreme values within 1.5 quartile distances."""
-    q = df.groupBy(*g).agg(*[F.percentile(x, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = quantiles(df, g, F.col(x), {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     c, reach = F.col(x), 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q, g)
     low, high = F.min(F.when(c >= F.col("q1") - reach, c)), F.max(F.when(c <= F.col("q3") + reach, c))
@@ -125,7 +167,9 @@ def mean_abs_by_name(coefficients: DataFrame, name: str, value: str) -> DataFram
 
 def target_audit(df: DataFrame, g: list[str], y: str) -> DataFrame:
     a = F.abs(y)
-    return df.groupBy(*g).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.percentile(a, F.lit(0.99)).alias("q99"), F.max(a).alias("max_abs"))
+    moments = df.groupBy(*g).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.max(a).alias("max_abs"))
+    joined = moments.alias("m").join(quantiles(df, g, a, {"q99": 0.99}).alias("q"), same("m", "q", g))
+    return joined.select(*[F.col(f"m.{k}") for k in g], "mean", "std", "q99", "max_abs")
 
 
 def curve(metrics: DataFrame, arm: str, value: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import expressions as X
 from plumbline.functions import registry
+from plumbline.operators import joins
+from plumbline.operators import metrics as M
 from plumbline.operators import regression as R
 from plumbline.operators import splits, windows
 from plumbline.plans import catalog
@@ -168,3 +170,33 @@ def test_shorter_series_of_boosted_trees(spark):
     whole = R.ml_baseline(train, validation, test, ["x"], "y", grid, sizes=(2, 6)).select("pred").collect()
     plain = R.ml_baseline(train, validation, test, ["x"], "y", [grid[0].copy({grid[0].maxIter: n}) for n in (2, 6)]).select("pred").collect()
     assert whole == plain
+
+
+@pytest.mark.parametrize("whole", [None, 0])
+def test_quantiles(spark, monkeypatch, whole):
+    """Brackets give what sorting gives: skewed groups, heavy ties, null keys and groups without a value."""
+    if whole is not None:
+        monkeypatch.setattr(M, "WHOLE", whole)
+        monkeypatch.setattr(M, "SKETCH", 200)
+    rng = np.random.default_rng(3)
+    rows = [("a", float(v)) for v in rng.lognormal(0, 3, 30000)] + [(None, float(v)) for v in rng.integers(0, 4, 9000)] + [("none", None)] * 3
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    at = {"q99": 0.99, "q0": 0.0, "q3": 0.3, "median": 0.5, "q1": 1.0}
+    got = {r.k: r for r in M.quantiles(df, ["k"], F.col("x"), at).collect()}
+    assert set(got) == {"a", None, "none"} and all(got["none"][n] is None for n in at)
+    for k in ("a", None):
+        x = [v for g, v in rows if g == k]
+        assert np.allclose([got[k][n] for n in at], np.quantile(x, list(at.values())), rtol=1e-12)
+    assert M.quantiles(df.where("k = 'a'"), [], F.col("x"), {"m": 0.5}).first().m == pytest.approx(np.median([v for g, v in rows if g == "a"]))
+    assert M.quantiles(df.limit(0), ["k"], F.col("x"), at).count() == 0
+
+
+def test_nearest_on_line(spark):
+    """Sorted neighbours give what all pairs give: ties, equal values, queries beyond both ends, nulls."""
+    rng = np.random.default_rng(5)
+    rows = [(k, i, float(v)) for k, n in (("a", 3000), ("b", 2)) for i, v in enumerate(rng.integers(0, 4000, n))] + [("a", 9999, None)]
+    queries = [(k, i, float(v)) for k in ("a", "b", "c") for i, v in enumerate(rng.integers(-500, 4500, 400) / 2 * 2)] + [("a", 999, None)]
+    r, q = spark.createDataFrame(rows, "k string, r long, x double"), spark.createDataFrame(queries, "k string, q long, x double")
+    got = {(t.k, t.q): (t.distance, t.match) for t in joins.nearest(q, r, ["k"], ["x"], "q", "r").collect()}
+    want = {(k, i): min((abs(x - v), m) for g, m, v in rows if g == k and v is not None) for k, i, x in queries if x is not None and k != "c"}
+    assert got == want
