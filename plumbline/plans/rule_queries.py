@@ -14,9 +14,10 @@ from plumbline.operators import regression as R
 from plumbline.operators.splits import by_role
 from plumbline.plans.catalog import query
 from plumbline.plans.data_queries import BEST, PAIRS
-from plumbline.plans.fit_queries import BASIS, BOX, KEEP, SHAPE, WEAK_ROWS, candidates, linear_fits, linear_grid, share_of, weak_fits, weak_grams
+from plumbline.plans.fit_queries import BASIS, BOX, KEEP, SHAPE, WEAK_ROWS, WEIGHTS, candidates, line, linear_fits, linear_grid, share_of, solve_sql, weak_fits, weak_grams
 from plumbline.plans.stat_queries import gram_rows
-from plumbline.plans.tables import ARMS, OBS, SIZES, arm_metrics, fits, observations, scored, split, table
+from plumbline.plans.tables import ARMS, OBS, SIZES, SPLIT, arm_metrics, fits, observations, scored, split, table
+from plumbline.sources.batches import fingerprint
 
 KEYS = ["repeat", "n_labeled"]
 
@@ -535,20 +536,128 @@ def exp01(spark, sf):
     return paired.family(arm_metrics(spark, sf), "affine", ["reference", "ratio", "mean"], ["rmse"], KEYS, ["n_labeled"])
 
 
-@query("exp02_accuracy_levels")
-def exp02(spark, sf):
-    """Per batch: reference models of three accuracies for the weak rows, the weak fit at each, test metrics."""
-    o = gram_rows(observations(spark, sf))
-    columns = [*SHAPE, *BASIS, "y"]
+UNIT = 50.0  # gram_rows divides y by it
+
+
+def in_units(metrics):
+    """Errors of rows in units of gram_rows, as those of the rows given."""
+    return metrics.withColumns({"mse": F.col("mse") * UNIT**2, "rmse": F.col("rmse") * UNIT, "mae": F.col("mae") * UNIT})
+
+
+def weak_arm(spark, sf, best, basis):
+    """Test metrics of the selected weak fits, as the arm `weak`."""
+    test = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *SHAPE, *basis, "y")
+    m = R.predict(test, best.select("batch_id", "n_labeled", "g", "d", "theta"), ["batch_id"], SHAPE, ["price"], basis)
+    return in_units(M.regression_metrics(m, ["batch_id", "n_labeled"])).select(F.lit("weak").alias("model"), F.col("batch_id").alias("repeat"), "n_labeled", "mse", "rmse", "mae")
+
+
+OTHERS = ["affine", "mean", "ratio", "reference"]
+
+
+def weak_curve(spark, sf, best, basis):
+    m = reshape.union_parts([arm_metrics(spark, sf), weak_arm(spark, sf, best, basis)])
+    return paired.family(m, "weak", OTHERS, VALUES, KEYS, ["n_labeled"])
+
+
+@query("exp01_label_curve_weak_arm")
+def exp01w(spark, sf):
+    """The weakly supervised arm, selected at each size, against all closed-form arms by three metrics."""
+    return weak_curve(spark, sf, R.tune(weak_fits(spark, sf), ["batch_id", "n_labeled"]), BASIS)
+
+
+def weak_tests(source: str, others: list[str], g: str) -> str:
+    pairs = lambda o, v: f"(SELECT l.*, l.{v} AS left_value, r.{v} AS right_value FROM {source} l JOIN (SELECT * FROM metrics WHERE model = '{o}') r USING (repeat, n_labeled))"
+    return holm_sql(" UNION ALL ".join(f"SELECT *, 'weak vs {o}' AS comparison, '{v}' AS metric FROM ({ttest(pairs(o, v), g)})" for o in others for v in VALUES))
+
+
+FITTED = f"b0 + b1 * price / {UNIT} + b2 * qty / {UNIT}"
+CURVE_WEAK = (
+    WEAK_ROWS
+    + ARMS.removeprefix(SPLIT)
+    + f""", scored_weak AS (SELECT batch_id AS repeat, n_labeled, y - {UNIT} * ({FITTED}) AS e FROM best JOIN c USING (batch_id, n_labeled, share) JOIN (SELECT * FROM obs WHERE role = 'test') t USING (batch_id)),
+arm AS (SELECT repeat, n_labeled, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM scored_weak GROUP BY ALL)"""
+)
+
+
+@query("exp01_label_curve_weak_arm_linear", "SELECT * REPLACE (n_labeled::INT AS n_labeled) FROM (" + weak_tests("arm", OTHERS, "n_labeled") + ")", CURVE_WEAK, T + " p_value_holm", 5)
+def exp01l(spark, sf):
+    best = R.tune(linear_fits(linear_grid(weak_grams(spark, sf, []))), ["batch_id", "n_labeled"])
+    return weak_curve(spark, sf, best, [])
+
+
+LEVELS, SUPERVISED, LEVEL_SIZE = [0.95, 0.8, 0.6], ["affine", "mean", "ratio"], 60
+
+
+def accuracy_levels(spark, sf, basis, weights, penalties, fixed):
+    """Per batch: reference models of three accuracies label the weak rows, a weak fit is selected at each, and the
+    supervised arms stand beside them once.  `shared` says that all levels had the same measured rows."""
+    o, columns = gram_rows(observations(spark, sf)), [*SHAPE, *basis, "y"]
     shift = F.col("price") * (20 * F.col("disc") - 1)
-    scales = R.calibrate_scale(o.withColumn("shift", shift), ["batch_id"], "price", "shift", "y", [0.95, 0.8, 0.6], X.log_grid(-2.0, 1.0, 13))
+    scales = R.calibrate_scale(o.withColumn("shift", shift), ["batch_id"], "price", "shift", "y", LEVELS, X.log_grid(-2.0, 1.0, 13))
     weak = by_role(o, ["weak"]).join(scales.select("batch_id", "target", "scale"), "batch_id").withColumn("y", F.col("price") + F.col("scale") * shift)
     w = R.gram(weak, ["batch_id", "target"], columns).select("batch_id", "target", F.col("xtx").alias("weak"), F.col("n").alias("n_weak"))
-    g = weak_grams(spark, sf).where("n_labeled = 60").drop("weak", "n_weak").join(w, "batch_id")
-    c = candidates(g, weak=(0.1,), l1=(0.0,), group=(0.0,), starts=(1.0,))
-    f = R.fit_weak(c, ["target", *KEEP], SHAPE, ["price"], BASIS, BOX).select("batch_id", "target", "g", "d", "theta")
-    test = by_role(o, ["test"]).select("batch_id", *columns)
-    return M.regression_metrics(R.predict(test, f, ["batch_id"], SHAPE, ["price"], BASIS), ["batch_id", "target"])
+    g = weak_grams(spark, sf, basis).where(F.col("n_labeled") == LEVEL_SIZE).drop("weak", "n_weak").join(w, "batch_id")
+    c = candidates(g, weak=weights, l1=penalties, group=penalties)
+    c = c.withColumn("labeled_id", F.md5(F.to_json(F.array("labeled", "validation")).cast("binary")))
+    f = R.tune(R.fit_weak(c, ["target", "labeled_id", *KEEP], SHAPE, ["price"], basis, BOX, fixed), ["batch_id", "target"])
+    test = by_role(o, ["test"]).select("batch_id", "ord", *columns)
+    pred = R.predict(test, f.select("batch_id", "target", "labeled_id", "g", "d", "theta"), ["batch_id"], SHAPE, ["price"], basis)
+    level = ["batch_id", "target", "labeled_id"]
+    ids = fingerprint(pred, level, [F.col("ord"), F.col("y").cast("string")]).withColumn("data_id", F.concat_ws("-", "labeled_id", "dataset_id"))
+    m = in_units(M.regression_metrics(pred, ["batch_id", "target"]))
+    name = F.when(F.col("target") == min(LEVELS), "weak").otherwise(F.concat(F.lit("weak at "), F.col("target").cast("string")))
+    arms = arm_metrics(spark, sf).where((F.col("n_labeled") == LEVEL_SIZE) & F.col("model").isin(*SUPERVISED)).withColumnRenamed("repeat", "batch_id")
+    both = reshape.union_parts([m.select("batch_id", name.alias("model"), "target", "mse", "rmse", "mae"), arms.select("batch_id", "model", "mse", "rmse", "mae")])
+    return both.join(M.one_dataset(ids, ["batch_id"], "data_id"), "batch_id")
+
+
+def level_tests(levels):
+    """The least accurate level against every supervised arm by three metrics, Holm over all."""
+    return paired.family(levels, "weak", SUPERVISED, VALUES, ["batch_id"], [])
+
+
+def searched_levels(spark, sf):
+    return accuracy_levels(spark, sf, BASIS, (0.0, 0.1), (0.0, 0.01), False)
+
+
+def linear_levels(spark, sf):
+    return accuracy_levels(spark, sf, [], WEIGHTS, (0.0,), True)
+
+
+query("exp02_accuracy_levels")(searched_levels)
+
+
+@query("exp02_level_tests")
+def exp02t(spark, sf):
+    return level_tests(searched_levels(spark, sf))
+
+
+GROUP = "batch_id, target, share"
+LEVELS_SQL = (
+    ARMS
+    + f""", k AS (SELECT * FROM (VALUES {", ".join(f"({w}::DOUBLE)" for w in WEIGHTS)}) v(share)), t AS (SELECT * FROM (VALUES {", ".join(f"({t}::DOUBLE)" for t in LEVELS)}) v(target)),
+grid AS (SELECT batch_id, pow(10::DOUBLE, -2 + 0.25 * k) AS scale, corr(price + pow(10::DOUBLE, -2 + 0.25 * k) * price * (20 * disc - 1), y) AS correlation FROM obs, range(13) r(k) GROUP BY batch_id, k),
+scale AS (SELECT batch_id, target, scale FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, target ORDER BY abs(correlation - target), scale) AS p FROM grid, t) WHERE p = 1),
+weak AS (SELECT batch_id, target, price, qty, price + scale * price * (20 * disc - 1) AS y, count(*) OVER (PARTITION BY batch_id, target) AS n_weak FROM obs JOIN scale USING (batch_id) WHERE role = 'weak'),
+pooled AS (SELECT {GROUP}, role, 1.0::DOUBLE AS one, price / {UNIT} AS price, qty / {UNIT} AS qty, y / {UNIT} AS y, 1.0::DOUBLE AS w FROM split, k, t WHERE n_labeled = {LEVEL_SIZE}
+         UNION ALL SELECT {GROUP}, 'weak', 1.0, price / {UNIT}, qty / {UNIT}, y / {UNIT}, share * {LEVEL_SIZE} / n_weak FROM weak, k),
+train AS (SELECT * FROM pooled WHERE role <> 'validation'), """
+    + solve_sql("c", "train", GROUP, SHAPE, w="w")
+    + f""", v AS (SELECT {GROUP}, avg((y - ({line(SHAPE)})) ** 2) AS loss FROM pooled JOIN c USING ({GROUP}) WHERE role = 'validation' GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, target ORDER BY loss, share) AS p FROM v) WHERE p = 1),
+level AS (SELECT batch_id AS repeat, {LEVEL_SIZE} AS n_labeled, target, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM (SELECT batch_id, target, y - {UNIT} * ({FITTED}) AS e FROM best JOIN c USING ({GROUP}) JOIN (SELECT * FROM obs WHERE role = 'test') USING (batch_id)) GROUP BY ALL)"""
+)
+NAMED = f"CASE WHEN target = {min(LEVELS)} THEN 'weak' ELSE 'weak at ' || target END"
+
+
+@query("exp02_accuracy_levels_linear", f"SELECT repeat AS batch_id, {NAMED} AS model, target, mse, rmse, mae, true AS shared FROM level UNION ALL SELECT repeat, model, NULL, mse, rmse, mae, true FROM metrics WHERE n_labeled = {LEVEL_SIZE} AND model <> 'reference'", LEVELS_SQL, "mse rmse mae", 5)
+def exp02l(spark, sf):
+    return linear_levels(spark, sf)
+
+
+@query("exp02_level_tests_linear", weak_tests(f"(SELECT * FROM level WHERE target = {min(LEVELS)})", SUPERVISED, ""), LEVELS_SQL, T + " p_value_holm", 5)
+def exp02tl(spark, sf):
+    return level_tests(linear_levels(spark, sf))
 
 
 SAVE = ", fixed AS (SELECT repeat, s.end_ AS n_labeled, mse AS left_value FROM metrics, sizes s WHERE model = 'affine' AND n_labeled = 30), sup AS (SELECT repeat, n_labeled, mse AS right_value FROM metrics JOIN best USING (n_labeled, model)), sv AS (SELECT * FROM fixed JOIN sup USING (repeat, n_labeled))"

@@ -95,7 +95,7 @@ def test_gram_doesn_t_depend_on_partitions(spark):
     assert np.allclose(a, b, rtol=1e-12)
 
 
-@pytest.mark.parametrize("name", ["entry_aligned_vs_reference", "src07_fingerprint", "prj15_validity_masks", "smp04_manifest", "agg21_gram", "reg02_two_columns", "win03_stagnation", "qa03_batch_acceptance", "reg12_objective_all_terms", "reg27_weak_fit_diagnostics_linear", "qa07_weak_fit_audit_linear"])
+@pytest.mark.parametrize("name", ["entry_aligned_vs_reference", "src07_fingerprint", "prj15_validity_masks", "smp04_manifest", "agg21_gram", "reg02_two_columns", "win03_stagnation", "qa03_batch_acceptance", "reg12_objective_all_terms", "reg27_weak_fit_diagnostics_linear", "qa07_weak_fit_audit_linear", "exp02_level_tests_linear", "agg10_quantiles", "jn06_nearest"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
