@@ -22,6 +22,7 @@ from plumbline.llm._common import materialize
 from plumbline.llm.langid import held_out
 
 BINS = 4096
+FOLDS = 4
 NAMES = (
     "log_bytes log_words log_lines word_length upper lower digit punctuation odd_symbols high_bytes blanks "
     "words_a_line distinct_words distinct_lines capital_words title_words numeric_words symbol_words long_words short_words "
@@ -80,12 +81,14 @@ def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def _normal(batches, model: dict):
-    """Normal equations of a partition: one row."""
+    """Normal equations of a partition, one block a fold: one row."""
     d = model["w"].shape[1] + len(NAMES) + 1
-    a = np.zeros((d, d + 1))
+    a = np.zeros((FOLDS, d, d + 1))
     for batch in batches:
-        z, y = expand(_matrix(batch, "x"), model), batch.column("y").to_numpy().astype(float)
-        a += z.T @ np.column_stack((z, y))
+        z, y, fold = expand(_matrix(batch, "x"), model), batch.column("y").to_numpy().astype(float), batch.column("fold").to_numpy()
+        for f in np.unique(fold):
+            own = z[fold == f]
+            a[f] += own.T @ np.column_stack((own, y[fold == f]))
     yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["sums"])
 
 
@@ -101,7 +104,9 @@ def _add(batches):
 
 def _score(batches, model: dict, names: list[str]):
     for batch in batches:
-        z = expand(_matrix(batch, "x"), model) @ model["beta"] if batch.num_rows else np.zeros(0)
+        x = expand(_matrix(batch, "x"), model) if batch.num_rows else np.zeros((0, len(model["beta"])))
+        # a row that was learned from is placed by the model that left its fold out
+        z = x @ model["beta"] if "table" in model else np.einsum("ij,ij->i", x, model["rest"][batch.column("fold").to_numpy()])
         k = np.clip(((z + 0.5) * (BINS / 2)).astype(np.int64), 0, BINS - 1)
         if "table" in model:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.clip(model["table"][k] + 1e-6 * np.clip(z, 0, 1), 0, 1))], [*names, "score"])
@@ -123,7 +128,11 @@ def isotonic(n: np.ndarray, positive: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, features: int = 256, width: float = 6.0, ridge: float = 1e-3) -> dict | None:
-    """Fit on rows (x, y).  Every partition sends one matrix of fixed size; eight sums reach the driver."""
+    """Fit on rows (x, y, fold).  Every partition sends one matrix a fold of fixed size; eight sums reach the driver.
+
+    The score is fitted on all rows.  Its calibration counts each row where the ridge of the other folds puts it, for
+    their normal equations are the total less the row's own fold; where other folds have no rows, the total's does.
+    """
     at = range(len(NAMES))
     moments = rows.select(*[F.avg(F.col("x")[k]) for k in at], *[F.stddev_pop(F.col("x")[k]) for k in at], F.count(F.lit(1))).first()
     if not moments[-1]:
@@ -131,11 +140,18 @@ def fit(rows: DataFrame, features: int = 256, width: float = 6.0, ridge: float =
     mean, scale = np.array(moments[: len(NAMES)]), np.array(moments[len(NAMES) : -1])
     w, b = fourier(features, width)
     model = {"mean": mean, "scale": np.where(scale < 1e-9, 1.0, scale), "w": w, "b": b}
-    sums = rows.mapInArrow(partial(_normal, model=model), "sums binary").repartition(8).mapInArrow(_add, "sums binary").collect()
+    sums = rows.select("x", "y", "fold").mapInArrow(partial(_normal, model=model), "sums binary").repartition(8).mapInArrow(_add, "sums binary").collect()
     d = features + len(NAMES) + 1
-    a = sum(np.frombuffer(r[0]) for r in sums).reshape(d, d + 1)
-    model["beta"] = np.linalg.solve(a[:, :d] + ridge * moments[-1] * np.eye(d) / d, a[:, d])
-    bins = rows.mapInArrow(partial(_score, model=model, names=["y"]), "y int, bin long").groupBy("bin").agg(F.count(F.lit(1)), F.sum("y")).collect()  # BINS rows at most
+    folds = sum(np.frombuffer(r[0]) for r in sums).reshape(FOLDS, d, d + 1)
+    total = folds.sum(0)
+
+    def solve(a):
+        n = a[d - 1, d - 1]  # the last feature is 1
+        return np.linalg.solve(a[:, :d] + ridge * n * np.eye(d) / d, a[:, d])
+
+    model["beta"] = solve(total)
+    model["rest"] = np.array([solve(total - a) if total[d - 1, d - 1] - a[d - 1, d - 1] > 0.5 else model["beta"] for a in folds])
+    bins = rows.select("x", "y", "fold").mapInArrow(partial(_score, model=model, names=["y"]), "y int, bin long").groupBy("bin").agg(F.count(F.lit(1)), F.sum("y")).collect()  # BINS rows at most
     n, positive = np.zeros(BINS), np.zeros(BINS)
     for k, m, p in bins:
         n[k], positive[k] = m, p
@@ -147,6 +163,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3)
     found = materialize(document_statistics(docs))
     known = labels.where("quality is not null").select(F.col("doc_id").cast("long"), (F.col("quality") > 0).cast("int").alias("y"))
     known = known.where(~held_out(F.col("doc_id")))
-    model = fit(found.join(known, "doc_id").select("x", "y"))
+    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 - 1).cast("int")  # held-out rows would be -1
+    model = fit(found.join(known, "doc_id").select("x", "y", fold.alias("fold")))
     scored = found.mapInArrow(partial(_score, model=model, names=["doc_id"]), "doc_id long, score double") if model else found.select("doc_id", F.lit(0.5).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

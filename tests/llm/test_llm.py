@@ -428,3 +428,65 @@ def test_repeated_ids_link(spark):
     rows = [(3, a), (4, b), (5, a), (5, b), (6, c)]
     got = {(r.doc_id, r.component_id) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert got == {(3, 3), (4, 3), (5, 3), (6, 6)}
+
+
+def test_ridge_and_calibration(spark):
+    """Normal equations of partitions and folds against the whole matrix; the table against min-max means."""
+    rng = np.random.default_rng(8)
+    d = len(quality.NAMES)
+    x, y, fold = rng.normal(size=(240, d)), rng.integers(0, 2, 240), rng.integers(0, 4, 240)
+    x[:, 0] += y
+    rows = spark.createDataFrame([(a.tolist(), int(b), int(f)) for a, b, f in zip(x, y, fold)], "x array<double>, y int, fold int").repartition(5)
+    model = quality.fit(rows, features=32)
+    z = quality.expand(x, model)
+    solve = lambda at: np.linalg.solve(z[at].T @ z[at] + 1e-3 * at.sum() * np.eye(z.shape[1]) / z.shape[1], z[at].T @ y[at])
+    assert np.allclose(model["beta"], solve(fold >= 0)) and all(np.allclose(model["rest"][f], solve(fold != f)) for f in range(4))
+    k = np.clip(((np.einsum("ij,ij->i", z, model["rest"][fold]) + 0.5) * (quality.BINS / 2)).astype(int), 0, quality.BINS - 1)
+    n, positive = np.bincount(k, minlength=quality.BINS).astype(float), np.bincount(k, y, minlength=quality.BINS)
+    assert np.array_equal(model["table"], quality.isotonic(n, positive)) and (np.diff(model["table"]) >= 0).all()
+    at = np.flatnonzero(n)
+    mean = lambda i, j: positive[at[i : j + 1]].sum() / n[at[i : j + 1]].sum()
+    level = np.array([max(min(mean(i, j) for j in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))])
+    for v in np.unique(level):
+        own = at[np.isclose(level, v)]
+        assert np.allclose(model["table"][own], (positive[own].sum() + 0.5) / (n[own].sum() + 1))
+    one = quality.fit(rows.withColumn("fold", F.lit(2)), features=32)
+    assert np.allclose(one["rest"], one["beta"])
+
+
+def test_temperature_and_regression():
+    """The temperature has the least loss on a grid; without penalties the sparse regression separates what can be."""
+    rng = np.random.default_rng(3)
+    logits, y = rng.normal(size=(400, 3)) * 6, rng.integers(0, 3, 400)
+    logits[np.arange(400), y] += 4
+
+    def loss(t):
+        s = logits / t
+        return float(np.mean(np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(400), y]))
+
+    t = langid.temperature(logits, y)
+    assert loss(t) <= min(loss(v) for v in np.exp(np.linspace(np.log(0.2), np.log(20), 400))) + 1e-6
+    examples = [(np.array([k, 3 + i % 4], np.int32), np.array([0.8, 0.6]), k) for i, k in enumerate(rng.integers(0, 3, 90))]
+    w = langid.ftrl(examples, 3, 9)
+    assert all(int((v @ w[at]).argmax()) == k for at, v, k in examples) and not w[7:].any()
+
+
+@pytest.mark.parametrize("name, least", [("lang", 0.98), ("quality", 0.95)])
+def test_held_out_accuracy(spark, name, least):
+    """Documents nothing was learned from are told apart: languages by text, labels at the threshold."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    if name == "lang":
+        out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").select((F.col("lang") == F.col("lang_pred")).alias("right"))
+    else:
+        out = quality.score_documents(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").select((F.col("predicted") == F.col("quality")).alias("right"))
+    n, right = out.agg(F.count(F.lit(1)), F.avg(F.col("right").cast("int"))).first()
+    assert n >= 50 and right >= least
+
+
+def test_classifiers_on_empty_tables(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score_documents(docs.limit(0), labels).count() == 0
+    assert decontam.find_leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).count() == 0
+    assert chat.format_preferences(chat.neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
