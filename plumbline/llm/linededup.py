@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import ROW_KEY, U, frequent, materialize, mix, n_shuffle, numbered, range_hashes, release, row_key, salted_join, slices
+from plumbline.llm._common import ROW_KEY, U, drop, frequent, materialize, mix, n_shuffle, numbered, range_hashes, release, row_key, salted_join, slices
 
 LONE = 200
 
@@ -128,6 +128,8 @@ def _deduped(docs: DataFrame) -> DataFrame:
     hot = materialize(frequent(again.select("h", "h2", "n")))
     hits = salted_join(found, again.drop("n"), ["h", "h2"], hot, "inner", ["row_key", "idx"])
     hits = materialize(hits.select("h", "h2", "row_key", "idx", (F.struct("row_key", "idx") != F.col("keep")).alias("later")))
+    drop(again)
+    release(docs.sparkSession)
     dealt = rows.repartition(n_shuffle(docs.sparkSession), "row_key")
 
     def marked(chosen: DataFrame) -> DataFrame:
