@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, decontam, jaccard, langid, linededup, lmscore, packing, quality, suffixdedup
+from plumbline.llm import ann, chat, convrepair, decontam, jaccard, langid, linededup, lmscore, packing, quality, substringdedup, suffixdedup, whitening
 
 
 def tokenizer_path() -> str:
@@ -72,6 +72,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, what is wrong with them and their cheapest repair."""
+    return convrepair.repair(convrepair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 13 words that a smaller id has."""
+    return substringdedup.dedup_words(table(spark, sf_dir, "documents"), 13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -83,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
