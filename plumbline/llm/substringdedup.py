@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import U, mix, n_shuffle, not_blank, range_hashes, slices, spans, trim
 
-DEAL, BUCKET, SPREAD = 32 << 20, 128 << 20, 16
+DEAL, BUCKET, LEAST, SPREAD = 32 << 20, 128 << 20, 2 << 20, 16
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -62,7 +62,7 @@ class Deal:
     def __init__(self, docs: pa.Table, size: int):
         h, g, ids, at, base = [], [], [], [], 0
         for batch in docs.combine_chunks().to_batches():
-            for rows, data, off in slices(batch, "text", 16 << 20):
+            for rows, data, off in slices(batch, "text"):
                 row, place, h1, h2 = windows(data, off, size)
                 own = ids_of(rows.column("doc_id"))
                 h.append(h1), g.append(h2), ids.append(own[row]), at.append(np.stack((row + base, place)))
@@ -260,8 +260,9 @@ def dedup_words(docs: DataFrame, size: int = 13, with_text: bool = False) -> Dat
     n = n_shuffle(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.input_file_block_start().alias("block"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    # what a group holds follows DEAL and BUCKET, not the number of partitions
-    deals, buckets = max(n, -(-total // DEAL)), max(4 * n, -(-total // BUCKET))
+    # what a group holds follows DEAL and BUCKET; with more partitions than that, they get LEAST each, so that a deal's hashes
+    # are not cut into more pieces than they are worth
+    deals, buckets = (max(-(-total // most), min(k * n, total // LEAST), 1) for most, k in ((DEAL, 1), (BUCKET, 4)))
     # equal rows of one id are spread by the part of the file they stand in
     deal = F.pmod(F.xxhash64("doc_id", "text", F.pmod(F.xxhash64("block"), F.lit(SPREAD))), F.lit(deals)).cast("int")
     dealt = texts.select("doc_id", deal.alias("deal"), "text").repartition(n, "deal")

@@ -156,6 +156,7 @@ def kept_by_hand(rows, size):
 def test_words(spark, monkeypatch, size, deal):
     monkeypatch.setattr(substringdedup, "DEAL", deal)
     monkeypatch.setattr(substringdedup, "BUCKET", 3 * deal)
+    monkeypatch.setattr(substringdedup, "LEAST", deal)
     rows = texts()
     df = spark.createDataFrame(rows, "doc_id long, text string, deal int").repartition(3)
     got = substringdedup.dedup_words(df, size, True).collect()
