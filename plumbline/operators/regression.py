@@ -215,135 +215,7 @@ def calibrate_scale(df: DataFrame, g: list[str], base: str, discrepancy: str, y:
     return one.select(*g, "lowest", "highest", rows.alias("r")).select(*g, "r.target", "r.b.scale", "r.b.correlation", "r.b.gap", "lowest", "highest")
 
 
-# weakly supervised fit ---------------------------------------------------------------------------
-def proximal(q: np.ndarray, c: np.ndarray, x: np.ndarray, l1: float, groups: list[list[int]], group_weight: float, ridge: float = 0.0, steps: int = 40, tol: float = 1e-9) -> np.ndarray:
-    """Minimum of x'qx/2 - c'x + l1 |x| + group_weight sum |x_g| + ridge x'x/2 by accelerated proximal steps."""
-    q = q + ridge * np.eye(len(q))
-    if not l1 and not group_weight:
-        return minimum_norm(q, c)
-    size = max(float(np.linalg.eigvalsh(q)[-1]), SMALL)
-    z, t = x.copy(), 1.0
-    for _ in range(steps):
-        v = z - (q @ z - c) / size
-        v = np.sign(v) * np.maximum(np.abs(v) - l1 / size, 0)
-        for at in groups if group_weight else ():
-            norm = np.linalg.norm(v[at])
-            v[at] *= max(1 - group_weight / size / norm, 0) if norm > 0 else 0
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = v + (t - 1) / t2 * (v - x)
-        moved = np.abs(v - x).max(initial=0)
-        x, t = v, t2
-        if moved <= tol * max(1.0, np.abs(x).max(initial=0)):
-            break
-    return x
-
-
-def weak_fit(gl: np.ndarray, gw: np.ndarray, shape: int, theta_of: list[int], basis: int, box: tuple[float, float], theta: float, weak: float, l1: float, group: float, ridge: float, fixed: bool = False, sweeps: int = 60, tol: float = 1e-6, score: int | None = None, mapped: bool = False) -> dict:
-    """Alternate g, d and theta on Grams over [shape columns, basis columns, y].
-
-    H(theta) = [shape, theta * shape[theta_of]]; labeled rows see H g + B d, weak rows H g only.  The loss
-    is half the labeled sum of squares plus half `weak` times the weak one, plus the penalties.
-
-    With a score column, weak labels are theta times it: they are scored anew at the current theta before every sweep,
-    which on Grams is a product with their cross products; `drift` is the change of theta times the slope of the
-    labels, by sweep, to be multiplied by the largest score.  With `mapped`, labels go through a + b label, the least
-    squares of the labeled y on the label at the first theta (shape column 0 is the intercept), frozen from then on.
-    """
-    p, y = shape, shape + basis
-    gw, phi, drift, scored_at = gw.copy(), (0.0, 1.0), [], None
-    if score is not None and mapped:
-        n, x, xx, xy, sy = gl[0, 0], theta * gl[0, score], theta * theta * gl[score, score], theta * gl[score, y], gl[0, y]
-        spread = n * xx - x * x
-        slope = (n * xy - x * sy) / spread if spread > SMALL * max(n * xx, SMALL) else 1.0
-        phi = ((sy - slope * x) / n, slope) if n > 0 else phi
-    nb, h = list(range(p, p + basis)), shape + len(theta_of)
-    g, d, history, converged = np.zeros(h), np.zeros(basis), [], False
-
-    def lift(t):
-        m = np.zeros((p, h))
-        m[np.arange(p), np.arange(p)] = 1
-        m[theta_of, p + np.arange(len(theta_of))] = t
-        return m
-
-    def objective(t, g, d):
-        a = np.concatenate((lift(t) @ g, d, [-1.0]))
-        b = np.concatenate((lift(t) @ g, np.zeros(basis), [-1.0]))
-        return 0.5 * a @ gl @ a + 0.5 * weak * (b @ gw @ b) + l1 * np.abs(g).sum() + group * (np.linalg.norm(g[:p]) + np.linalg.norm(g[p:])) + 0.5 * ridge * d @ d
-
-    for sweep in range(sweeps):
-        old = np.concatenate((g, d, [theta]))
-        if score is not None:
-            label = np.zeros(p)
-            label[0], label[score] = phi[0], label[score] + phi[1] * theta
-            gw[y, :y] = gw[:y, y] = gw[:y, :p] @ label
-            gw[y, y] = label @ gw[:p, :p] @ label
-            drift.append(abs(phi[1] * (theta - scored_at)) if scored_at is not None else 0.0)
-            scored_at = theta
-        m = lift(theta)
-        q = m.T @ (gl[:p, :p] + weak * gw[:p, :p]) @ m
-        c = m.T @ (gl[:p, y] - gl[:p, nb] @ d + weak * gw[:p, y])
-        g = proximal(q, c, g, l1, [list(range(p)), list(range(p, h))], group)
-        if basis:
-            d = minimum_norm(gl[np.ix_(nb, nb)], gl[nb, y] - gl[nb, :p] @ (m @ g), ridge)
-        if theta_of and not fixed:
-            u = np.zeros(p)
-            u[theta_of] = g[p:]
-            rest = gl[:p, y] - gl[:p, nb] @ d - gl[:p, :p] @ np.append(g[:p], [])[:p] + weak * (gw[:p, y] - gw[:p, :p] @ g[:p])
-            curve = u @ (gl[:p, :p] + weak * gw[:p, :p]) @ u
-            if curve > SMALL:
-                theta = float(np.clip(u @ rest / curve, *box))
-        value = objective(theta, g, d)
-        change = abs(value - history[-1]) / max(1.0, abs(history[-1])) if history else np.inf
-        new = np.concatenate((g, d, [theta]))
-        moved = np.abs(new - old).max() / max(1.0, np.abs(old).max())
-        history.append(float(value))
-        if change < tol and moved < 1e-3:
-            converged = True
-            break
-    return {"g": g.tolist(), "d": d.tolist(), "theta": float(theta), "objective": history[-1], "history": history, "sweeps": len(history), "converged": converged, "phi": list(phi), "drift": drift}
-
-
-FIT = "g array<double>; d array<double>; theta double; objective double; history array<double>; sweeps int; converged boolean; phi array<double>; drift array<double>; validation_mse double; status string"
-
-
-def fit_weak(grams: DataFrame, keep: list[str], shape: list[str], theta_of: list[str], basis: list[str], box: tuple[float, float], fixed: bool = False, score: str | None = None, mapped: bool = False) -> DataFrame:
-    """Weakly supervised fits of Gram rows: columns labeled, weak and validation hold triangles over
-    [shape, basis, y]; weak_weight, l1, group_weight, ridge and theta0 are the candidate.  A failed fit has
-    a status instead of raising.  `score` names the shape column whose multiple by theta the weak labels are: they
-    are then scored anew each sweep (not together with a fixed theta); `mapped` maps them to the labeled y first."""
-    if score is not None and fixed:
-        raise ValueError("weak labels are not scored anew at a fixed theta")
-    p, b = len(shape), len(basis)
-    at = [shape.index(c) for c in theta_of]
-
-    def work(r):
-        size = p + b + 1
-        none = np.zeros(size * (size + 1) // 2)
-        gl, gw = full(r.labeled, size), full(r.weak if r.weak is not None else none, size)
-        try:
-            out = weak_fit(gl, gw, p, at, b, box, r.theta0, r.weak_weight, r.l1, r.group_weight, r.ridge, fixed, score=shape.index(score) if score is not None else None, mapped=mapped)
-        except np.linalg.LinAlgError as e:
-            return {"g": None, "d": None, "theta": None, "objective": None, "history": None, "sweeps": 0, "converged": False, "phi": None, "drift": None, "validation_mse": None, "status": str(e)}
-        v = None
-        if r.validation is not None and r.n_validation:
-            h = np.array(out["g"][:p])
-            h[at] += out["theta"] * np.array(out["g"][p:])
-            a = np.concatenate((h, out["d"], [-1.0]))
-            v = float(max(a @ full(r.validation, size) @ a, 0) / r.n_validation)
-        ok = np.isfinite(out["objective"])
-        return {**out, "validation_mse": v, "status": "ok" if ok else "not finite"}
-
-    return _map_rows(grams, work, FIT, keep)
-
-
-def tune(fits: DataFrame, g: list[str], limit: float = 1e12) -> DataFrame:
-    """The valid candidate of each condition with the least validation mse; ties to the smaller weights."""
-    valid = (F.col("status") == "ok") & F.col("converged") & (F.col("validation_mse") < limit)
-    order = F.struct("validation_mse", "weak_weight", "l1", "group_weight", "theta0")
-    rest = [c for c in fits.columns if c not in g]
-    return fits.where(valid).groupBy(*g).agg(F.min_by(F.struct(*rest), order).alias("best")).select(*g, "best.*")
-
-
+# selection and scoring ----------------------------------------------------------------------------
 def one_standard_error(candidates: DataFrame, g: list[str], loss: str, deviation: str, n: str) -> DataFrame:
     """Among candidates within one standard error of the least loss, the largest (weak weight, l1, group
     weight), then the lowest loss."""
@@ -353,16 +225,6 @@ def one_standard_error(candidates: DataFrame, g: list[str], loss: str, deviation
     return near.groupBy(*g).agg(F.max_by(F.struct(*rest), F.struct("weak_weight", "l1", "group_weight", -F.col(loss))).alias("c")).select(*g, "c.*")
 
 
-def choose_refit(trained: DataFrame, refitted: DataFrame, g: list[str]) -> DataFrame:
-    """The refit where it converged or stagnates, else the fit on train rows; which one is recorded."""
-    last5 = F.slice("history", -5, 5)
-    spread = (F.array_max(last5) - F.array_min(last5)) / F.greatest(F.lit(1.0), F.abs(F.aggregate(last5, F.lit(0.0), lambda a, x: a + x) / F.size(last5)))
-    r = refitted.select(*g, F.struct("g", "d", "theta").alias("refit"), F.col("converged").alias("refit_converged"), ((F.size("history") >= 5) & (spread < 1e-4)).alias("stagnant"), F.col("status").alias("refit_status"))
-    j = trained.select(*g, F.struct("g", "d", "theta").alias("train")).join(r, g, "left")
-    take = (F.col("refit_status") == "ok") & (F.col("refit_converged") | F.col("stagnant"))
-    return j.select(*g, F.when(take, F.col("refit")).otherwise(F.col("train")).alias("m"), F.when(take & F.col("refit_converged"), "refit").when(take, "refit, stagnant").otherwise("train only").alias("source")).select(*g, "m.*", "source")
-
-
 def predict(df: DataFrame, models: DataFrame, g: list[str], shape: list[str], theta_of: list[str], basis: list[str], name: str = "pred") -> DataFrame:
     """H(theta) g + B d with each group's model; the models' other columns come along."""
     more = [c for c in models.columns if c not in (*g, "g", "d", "theta")]
@@ -393,51 +255,6 @@ def objective_terms(df: DataFrame, g: list[str], residual: Column, labeled: Colu
     return out.withColumn("objective", reduce(lambda a, b: a + b, [F.col(n) for n in terms]))
 
 
-def diagnostics(fits: DataFrame, keep: list[str], shape: list[str], theta_of: list[str], basis: list[str], box: tuple[float, float]) -> DataFrame:
-    """Diagnostics of fits that carry the triangles labeled, weak and test over [shape, basis, y] (shape column 0 is the
-    intercept): R-squared of the weak labels by H g alone and of the train rows, null where labels don't vary, norms of
-    both components over the test rows, norms of g by group, and whether theta is within 1e-3 of the box's ends."""
-    p, size = len(shape), len(shape) + len(basis) + 1
-    at = [shape.index(c) for c in theta_of]
-
-    def r2(m, a):
-        total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0] if m[0, 0] > 0 else 0.0
-        return float(1 - max(a @ m @ a, 0.0) / total) if total > 0 else None
-
-    def work(r):
-        weak, labeled, test = (full(x, size) if x is not None else np.zeros((size, size)) for x in (r.weak, r.labeled, r.test))
-        h, d = np.array(r.g[:p]), np.array(r.d)
-        h[at] += r.theta * np.array(r.g[p:])
-        own = np.concatenate((h, np.zeros(len(d)), [0.0]))
-        more = np.concatenate((np.zeros(p), d, [0.0]))
-        y = np.append(np.zeros(size - 1), 1.0)
-        norm = lambda a: float(np.sqrt(max(a @ test @ a, 0.0)))
-        edge = min(abs(r.theta - box[0]), abs(r.theta - box[1])) < 1e-3
-        return {
-            "weak_r2": r2(weak, own - y), "train_r2": r2(labeled, own + more - y), "shape_norm": norm(own), "basis_norm": norm(more),
-            "g_norm": float(np.linalg.norm(r.g[:p])), "theta_g_norm": float(np.linalg.norm(r.g[p:])), "at_bound": bool(edge),
-        }
-
-    return _map_rows(fits, work, "weak_r2 double; train_r2 double; shape_norm double; basis_norm double; g_norm double; theta_g_norm double; at_bound boolean", keep)
-
-
-def selection_audit(candidates: DataFrame, chosen: DataFrame, condition: list[str], weights: list[str], g: list[str], box: tuple[float, float]) -> DataFrame:
-    """By group g of conditions: how many have a choice, the mean chosen weights, the rate of thetas within 1e-3 of the box's
-    ends, mean and largest excess of the chosen validation mse over the condition's least, and the share of invalid
-    candidates (a status other than ok, or no finite validation mse).  chosen: g and weights; a condition takes the
-    candidate with the weights of its group."""
-    valid = (F.col("status") == "ok") & F.coalesce(F.abs("validation_mse") < float("inf"), F.lit(False))
-    least = candidates.groupBy(*condition).agg(F.min(F.when(valid, F.col("validation_mse"))).alias("least"), F.count(F.lit(1)).alias("tried"), F.count_if(~valid).alias("invalid"))
-    own = candidates.where(valid).join(chosen.select(*g, *weights), [*g, *weights]).select(*condition, "validation_mse", "theta", "converged", *[F.col(w).alias(f"_{w}") for w in weights])
-    gap, theta = F.col("validation_mse") - F.col("least"), F.col("theta")
-    edge = (F.abs(theta - box[0]) < 1e-3) | (F.abs(theta - box[1]) < 1e-3)
-    return least.join(own, condition, "left").groupBy(*g).agg(
-        F.count("validation_mse").alias("n"), *[F.avg(f"_{w}").alias(f"mean_{w}") for w in weights],
-        F.avg(edge.cast("double")).alias("boundary_rate"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"),
-        F.avg(F.col("converged").cast("double")).alias("convergence_rate"), (F.sum("invalid") / F.sum("tried")).alias("invalid_share"),
-    )
-
-
 # baselines of Spark ML ---------------------------------------------------------------------------
 def ml_baseline(train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str], y: str, grid: list, sizes: tuple[int, ...] = (), parallel: int = 4) -> DataFrame:
     """Test rows scored by the estimator of the grid with the least validation mse (the first of equals), refitted on both

@@ -110,11 +110,6 @@ def reg05(spark, sf):
     ALL_UNITS + ", " + solve_sql("a", "rows", "supp", ["one", "price"]) + ", " + solve_sql("b", "rows", "supp", ["one", "price", *BASIS]), "r2_h r2_hb r2_b", 5,
 )
 def reg05a(spark, sf):
-    return reg05b(spark, sf)
-
-
-@query("reg05_coverage_with_basis")
-def reg05b(spark, sf):
     g = R.gram(gram_rows(observations(spark, sf)), ["supp"], GRAM_COLUMNS)
     return R.coverage(g, ["supp"], GRAM_COLUMNS, ["one", "price"], BASIS, Y)
 
@@ -165,120 +160,6 @@ def reg09(spark, sf):
     return R.calibrate_scale(o, ["batch_id"], "price", "shift", "y", [0.9, 0.7, 0.5], log_grid(-1.0, 2.0, 13))
 
 
-def weak_grams(spark, sf, basis=BASIS):
-    """One row a batch and size with the labeled, weak, validation and refit triangles."""
-    columns = [*SHAPE, *basis, Y]
-    s = gram_rows(split(spark, sf))
-    part = lambda rows, n: R.gram(rows, ["batch_id", "n_labeled"], columns).select("batch_id", "n_labeled", F.col("xtx").alias(n), F.col("n").alias("n_validation" if n == "validation" else f"rows_{n}"))
-    train, validation, both = part(s.where("role = 'train'"), "labeled"), part(s.where("role = 'validation'"), "validation"), part(s, "refit")
-    # weak rows carry the reference score at theta 1 instead of the measured y
-    weak = gram_rows(by_role(observations(spark, sf), ["weak"])).withColumn("y", F.col("price"))
-    w = R.gram(weak, ["batch_id"], columns).select("batch_id", F.col("xtx").alias("weak"), F.col("n").alias("n_weak"))
-    return train.join(validation, ["batch_id", "n_labeled"]).join(both, ["batch_id", "n_labeled"]).join(w, "batch_id")
-
-
-def candidates(grams, weak=(0.0, 0.1), l1=(0.0, 0.01), group=(0.0, 0.01), starts=(1.0,)):
-    grid = joins.candidate_grid(grams, weak_weight=list(weak), l1=list(l1), group_weight=list(group), ridge=[1e-3], theta0=list(starts))
-    # candidates run in parallel: one Gram row each, dealt over the cluster; with a fixed number Spark doesn't
-    # join the small partitions again
-    return grid.withColumn("weak_weight", F.col("weak_weight") * F.col("n_labeled") / F.col("n_weak")).repartition(4 * grams.sparkSession.sparkContext.defaultParallelism, "batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "theta0")
-
-
-KEEP = ["batch_id", "n_labeled", "weak_weight", "l1", "group_weight", "ridge", "theta0"]
-
-
-def refit_rows(grams, best):
-    """Gram rows of train and validation rows together with the chosen candidate of their condition."""
-    again = grams.select("batch_id", "n_labeled", F.col("refit").alias("labeled"), "weak", F.lit(None).cast("array<double>").alias("validation"), F.lit(0).cast("long").alias("n_validation"))
-    return again.join(best.select(*KEEP), ["batch_id", "n_labeled"])
-
-
-def weak_fits(spark, sf, fixed=False):
-    return R.fit_weak(candidates(weak_grams(spark, sf)), KEEP, SHAPE, ["price"], BASIS, BOX, fixed)
-
-
-@query("reg10_weak_fit")
-def reg10(spark, sf):
-    return weak_fits(spark, sf).drop("history")
-
-
-@query("reg10_weak_fit_refreshed")
-def reg10r(spark, sf):
-    """Weak labels mapped to the measured scale and scored anew at the current theta in every sweep."""
-    f = R.fit_weak(candidates(weak_grams(spark, sf)), KEEP, SHAPE, ["price"], BASIS, BOX, score="price", mapped=True)
-    return f.drop("history").withColumn("drift", F.array_max("drift"))
-
-
-# without penalties and basis, and with theta fixed at 1, the fit is a linear system: the same in SQL
-WEIGHTS = (0.1, 1.0)
-WEAK_ROWS = (
-    SPLIT
-    + f""", k AS (SELECT * FROM (VALUES {", ".join(f"({w}::DOUBLE)" for w in WEIGHTS)}) v(k)),
-weak AS (SELECT batch_id, price, qty, count(*) OVER (PARTITION BY batch_id) AS n_weak FROM obs WHERE role = 'weak'),
-pooled AS (SELECT batch_id, n_labeled, k AS share, role, 1.0::DOUBLE AS one, price / 50 AS price, qty / 50 AS qty, y / 50 AS y, 1.0::DOUBLE AS w FROM split, k
-         UNION ALL SELECT batch_id, s.end_, k, 'weak', 1.0, price / 50, qty / 50, price / 50, k * s.end_ / n_weak FROM weak, sizes s, k),
-train AS (SELECT * FROM pooled WHERE role <> 'validation'), """
-    + solve_sql("c", "train", "batch_id, n_labeled, share", SHAPE, w="w")
-    + ", "
-    + solve_sql("r", "pooled", "batch_id, n_labeled, share", SHAPE, w="w")
-    + f""", v AS (SELECT batch_id, n_labeled, share, avg((y - ({line(SHAPE)})) ** 2) AS validation_mse FROM pooled JOIN c USING (batch_id, n_labeled, share) WHERE role = 'validation' GROUP BY ALL),
-o AS (SELECT batch_id, n_labeled, share, 0.5 * sum(w * (y - ({line(SHAPE)})) ** 2) AS objective FROM train JOIN c USING (batch_id, n_labeled, share) GROUP BY ALL),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, n_labeled ORDER BY validation_mse, share) AS p FROM v) WHERE p = 1)"""
-)
-LINEAR = "c_one c_price c_qty"
-
-
-def linear_grid(grams):
-    return candidates(grams, weak=WEIGHTS, l1=(0.0,), group=(0.0,))
-
-
-def linear_fits(grid):
-    return R.fit_weak(grid, KEEP, SHAPE, ["price"], [], BOX, fixed=True)
-
-
-def effective(f, *more):
-    """Coefficients of the shape columns with theta's share in them, and the weak weight as a share again."""
-    g, price = lambda i: F.element_at("g", i), F.element_at("g", 2) + F.col("theta") * F.element_at("g", 4)
-    return f.select("batch_id", "n_labeled", *more, g(1).alias("c_one"), price.alias("c_price"), g(3).alias("c_qty"))
-
-
-def share_of(grid):
-    """The shares behind the candidates' weak weights."""
-    return grid.select(*KEEP, F.round(F.col("weak_weight") * F.col("n_weak") / F.col("n_labeled"), 6).alias("share"))
-
-
-@query("reg15_fixed_theta_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, share, objective, b0 AS c_one, b1 AS c_price, b2 AS c_qty, true AS converged FROM c JOIN o USING (batch_id, n_labeled, share)", WEAK_ROWS, "objective " + LINEAR, 5)
-def reg15l(spark, sf):
-    grid = linear_grid(weak_grams(spark, sf, []))
-    return effective(linear_fits(grid).join(share_of(grid), KEEP), "share", "objective", "converged")
-
-
-@query("reg10_weak_fit_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, share, validation_mse, b0 AS c_one, b1 AS c_price, b2 AS c_qty, 'ok' AS status FROM c JOIN v USING (batch_id, n_labeled, share)", WEAK_ROWS, "validation_mse " + LINEAR, 5)
-def reg10l(spark, sf):
-    grid = linear_grid(weak_grams(spark, sf, []))
-    return effective(linear_fits(grid).join(share_of(grid), KEEP), "share", "validation_mse", "status")
-
-
-@query("reg18_search_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, share, validation_mse, b0 AS c_one, b1 AS c_price, b2 AS c_qty FROM best JOIN c USING (batch_id, n_labeled, share)", WEAK_ROWS, "validation_mse " + LINEAR, 5)
-def reg18l(spark, sf):
-    grid = linear_grid(weak_grams(spark, sf, []))
-    return effective(R.tune(linear_fits(grid), ["batch_id", "n_labeled"]).join(share_of(grid), KEEP), "share", "validation_mse")
-
-
-@query("reg20_refit_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, b0 AS c_one, b1 AS c_price, b2 AS c_qty, 'refit' AS source FROM best JOIN r USING (batch_id, n_labeled, share)", WEAK_ROWS, LINEAR, 5)
-def reg20l(spark, sf):
-    grams = weak_grams(spark, sf, [])
-    best = R.tune(linear_fits(linear_grid(grams)), ["batch_id", "n_labeled"])
-    return effective(R.choose_refit(best, linear_fits(refit_rows(grams, best)), ["batch_id", "n_labeled"]), "source")
-
-
-@query("udf03_group_function_linear", "SELECT batch_id, n_labeled::INT AS n_labeled, objective, true AS converged, 'ok' AS status FROM o WHERE share = 0.1", WEAK_ROWS, "objective", 5)
-def udf03l(spark, sf):
-    """The fit function over Gram rows, one complete group a row."""
-    f = linear_fits(candidates(weak_grams(spark, sf, []), weak=(0.1,), l1=(0.0,), group=(0.0,)))
-    return f.select("batch_id", "n_labeled", "objective", "converged", "status")
-
-
 @query("reg11_ridge_block", "SELECT supp, sum(price * disc * (y / 50 - price / 50)) / (sum((price * disc) ** 2) + 0.5) AS d FROM obs GROUP BY supp", OBS, "d")
 def reg11(spark, sf):
     o = gram_rows(observations(spark, sf))
@@ -335,11 +216,6 @@ def reg14(spark, sf):
     return R.affine_align(s, ["batch_id", "n_labeled"], "y", "score")
 
 
-@query("reg15_fixed_theta")
-def reg15(spark, sf):
-    return weak_fits(spark, sf, fixed=True).drop("history")
-
-
 @query("reg16_grouped_scoring", "SELECT ord, a + b * price AS pred FROM obs JOIN (SELECT batch_id, regr_slope(y, price) AS b, regr_intercept(y, price) AS a FROM obs WHERE role = 'labeled' GROUP BY batch_id) USING (batch_id) WHERE role = 'test'", OBS, "pred")
 def reg16(spark, sf):
     o = observations(spark, sf).withColumn("one", F.lit(1.0))
@@ -357,32 +233,6 @@ def reg17(spark, sf):
     return R.active_features(f, ["batch_id", "n_labeled"], ["a", "b"], "coef", 1.0)
 
 
-@query("reg18_search")
-def reg18(spark, sf):
-    return R.tune(weak_fits(spark, sf), ["batch_id", "n_labeled"]).drop("history")
-
-
-OSE = """SELECT n_labeled::INT AS n_labeled, weak_weight, l1, group_weight, mse FROM (
-  SELECT *, row_number() OVER (PARTITION BY n_labeled ORDER BY weak_weight DESC, l1 DESC, group_weight DESC, mse) AS p FROM (
-    SELECT *, min(mse) OVER (PARTITION BY n_labeled) AS low, arg_min(sd / sqrt(5), mse) OVER (PARTITION BY n_labeled) AS se FROM (
-      SELECT n_labeled, CASE model WHEN 'reference' THEN 1.0::DOUBLE WHEN 'affine' THEN 0.0 WHEN 'ratio' THEN 0.1 ELSE 10.0 END AS weak_weight, 0.0::DOUBLE AS l1, 0.0::DOUBLE AS group_weight, avg(mse) AS mse, stddev_samp(mse) AS sd FROM metrics GROUP BY n_labeled, model)) WHERE mse <= low + se) WHERE p = 1"""
-
-
-@query("reg19_one_standard_error", OSE, ARMS, "mse")
-def reg19(spark, sf):
-    weight = F.when(F.col("model") == "reference", 1.0).when(F.col("model") == "affine", 0.0).when(F.col("model") == "ratio", 0.1).otherwise(10.0)
-    c = arm_metrics(spark, sf).groupBy("n_labeled", weight.alias("weak_weight")).agg(F.avg("mse").alias("mse"), F.stddev_samp("mse").alias("sd"), F.count(F.lit(1)).alias("n"))
-    c = c.withColumn("l1", F.lit(0.0)).withColumn("group_weight", F.lit(0.0))
-    return R.one_standard_error(c, ["n_labeled"], "mse", "sd", "n").select("n_labeled", "weak_weight", "l1", "group_weight", "mse")
-
-
-@query("reg20_refit")
-def reg20(spark, sf):
-    g = weak_grams(spark, sf)
-    best = R.tune(R.fit_weak(candidates(g), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
-    return R.choose_refit(best, R.fit_weak(refit_rows(g, best), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
-
-
 RIDGE = ", f AS (SELECT batch_id, n_labeled, alpha, sum(price * y) / (sum(price * price) + any_value(alpha)) AS b FROM split, (VALUES (0.0::DOUBLE), (100.0), (10000.0)) a(alpha) WHERE role = 'train' GROUP BY ALL), v AS (SELECT batch_id, n_labeled, alpha, b, avg((y - b * price) ** 2) AS loss FROM split JOIN f USING (batch_id, n_labeled) WHERE role = 'validation' GROUP BY ALL)"
 
 
@@ -474,40 +324,3 @@ def reg27(spark, sf):
     s = scored(spark, sf).where("model = 'affine'").join(f, g).withColumn("part", F.col("pred") - F.col("a"))
     at = s.groupBy(*g).agg(F.sqrt(F.avg((F.col("y") - F.col("pred")) ** 2)).alias("residual"), F.bool_or((F.abs(F.col("b") - BOX[0]) < 1e-3) | (F.abs(F.col("b") - BOX[1]) < 1e-3)).alias("boundary"))
     return M.r_squared(s, g).join(M.magnitudes(s, g, "part").select(*g, F.col("l2").alias("component")), g).join(at, g)
-
-
-def held_grams(spark, sf, basis):
-    columns = [*SHAPE, *basis, Y]
-    return R.gram(gram_rows(by_role(observations(spark, sf), ["test"])), ["batch_id"], columns).select("batch_id", F.col("xtx").alias("test"))
-
-
-def diagnosed(spark, sf, grams, best, basis):
-    full = best.join(grams.select("batch_id", "n_labeled", "labeled", "weak"), ["batch_id", "n_labeled"]).join(held_grams(spark, sf, basis), "batch_id")
-    return R.diagnostics(full, ["batch_id", "n_labeled"], SHAPE, ["price"], basis, BOX)
-
-
-@query("reg27_weak_fit_diagnostics")
-def reg27w(spark, sf):
-    """Diagnostics of the selected weak fit of each condition."""
-    grams = weak_grams(spark, sf)
-    best = R.tune(R.fit_weak(candidates(grams), KEEP, SHAPE, ["price"], BASIS, BOX), ["batch_id", "n_labeled"])
-    return diagnosed(spark, sf, grams, best, BASIS)
-
-
-PARTS = (
-    WEAK_ROWS
-    + f""", chosen AS (SELECT batch_id, n_labeled, b0, b1, b2 FROM best JOIN c USING (batch_id, n_labeled, share)),
-seen AS (SELECT batch_id, n_labeled, role, y, {line(SHAPE)} AS pred FROM pooled JOIN chosen USING (batch_id, n_labeled) WHERE share = 0.1),
-held AS (SELECT batch_id, n_labeled, sqrt(sum(({line(SHAPE)}) ** 2)) AS shape_norm FROM (SELECT batch_id, 1.0::DOUBLE AS one, price / 50 AS price, qty / 50 AS qty FROM obs WHERE role = 'test') JOIN chosen USING (batch_id) GROUP BY ALL)"""
-)
-
-
-@query(
-    "reg27_weak_fit_diagnostics_linear",
-    "SELECT batch_id, n_labeled::INT AS n_labeled, 1 - sum((y - pred) ** 2) FILTER (role = 'weak') / (var_pop(y) FILTER (role = 'weak') * count(*) FILTER (role = 'weak')) AS weak_r2, 1 - sum((y - pred) ** 2) FILTER (role = 'train') / (var_pop(y) FILTER (role = 'train') * count(*) FILTER (role = 'train')) AS train_r2, any_value(shape_norm) AS shape_norm, 0.0::DOUBLE AS basis_norm, false AS at_bound FROM seen JOIN held USING (batch_id, n_labeled) GROUP BY ALL",
-    PARTS, "weak_r2 train_r2 shape_norm basis_norm", 5,
-)
-def reg27l(spark, sf):
-    grams = weak_grams(spark, sf, [])
-    best = R.tune(linear_fits(linear_grid(grams)), ["batch_id", "n_labeled"])
-    return diagnosed(spark, sf, grams, best, []).drop("g_norm", "theta_g_norm")

@@ -11,12 +11,14 @@ from plumbline.operators import gates as G
 from plumbline.operators import joins, paired, reshape, windows
 from plumbline.operators import metrics as M
 from plumbline.operators import regression as R
+from plumbline.operators import weakfit as W
 from plumbline.operators.splits import by_role
 from plumbline.plans.catalog import query
 from plumbline.plans.data_queries import BEST, PAIRS
-from plumbline.plans.fit_queries import BASIS, BOX, KEEP, SHAPE, WEAK_ROWS, WEIGHTS, candidates, line, linear_fits, linear_grid, share_of, solve_sql, weak_fits, weak_grams
+from plumbline.plans.fit_queries import BOX, SHAPE, line, solve_sql
 from plumbline.plans.stat_queries import gram_rows
 from plumbline.plans.tables import ARMS, OBS, SIZES, SPLIT, arm_metrics, fits, observations, scored, split, table
+from plumbline.plans.weak_queries import CONDITION, LIMIT, PLAIN, THETA, UNITS, WEAK_ROWS, WEIGHTS, columns, conditions, linear_conditions, linear_fits, refits, search, weak_fits
 from plumbline.sources.batches import fingerprint
 
 KEYS = ["repeat", "n_labeled"]
@@ -424,19 +426,19 @@ def qa07(spark, sf):
     return best.groupBy("n_labeled").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("model") == "affine").alias("chosen_affine"), F.avg((F.col("model") == "reference").cast("double")).alias("reference_rate"), F.avg("mse").alias("mean_loss"), F.max("mse").alias("max_loss"))
 
 
-def audited(fits, shares):
+def audited(f):
     """Choice of one weight triple a size over the batches by one standard error, and its audit."""
-    f = fits.join(shares, KEEP).drop("weak_weight").withColumnRenamed("share", "weak_weight")
     weights = ["weak_weight", "l1", "group_weight"]
-    c = f.where("status = 'ok'").groupBy("n_labeled", *weights).agg(F.avg("validation_mse").alias("loss"), F.stddev_samp("validation_mse").alias("sd"), F.count("validation_mse").alias("n"))
+    best = f.where(W.valid()).groupBy(*CONDITION, *weights).agg(F.min("validation_mse").alias("validation_mse"))
+    c = best.groupBy("n_labeled", *weights).agg(F.avg("validation_mse").alias("loss"), F.stddev_samp("validation_mse").alias("sd"), F.count("validation_mse").alias("n"))
     chosen = R.one_standard_error(c, ["n_labeled"], "loss", "sd", "n")
-    return R.selection_audit(f, chosen, ["batch_id", "n_labeled"], weights, ["n_labeled"], BOX)
+    return W.selection_audit(f, chosen, CONDITION, weights, ["n_labeled"], BOX)
 
 
 @query("qa07_weak_fit_audit")
 def qa07w(spark, sf):
     """Selection audit of the weakly supervised arm."""
-    return audited(weak_fits(spark, sf), share_of(candidates(weak_grams(spark, sf))))
+    return audited(weak_fits(spark, sf))
 
 
 AUDIT = (
@@ -454,32 +456,46 @@ low AS (SELECT batch_id, n_labeled, min(validation_mse) AS least FROM v GROUP BY
     AUDIT, "mean_weak_weight mean_l1 mean_group_weight boundary_rate mean_gap max_gap convergence_rate invalid_share",
 )
 def qa07l(spark, sf):
-    grid = linear_grid(weak_grams(spark, sf, []))
-    return audited(linear_fits(grid), share_of(grid))
+    return audited(linear_fits(linear_conditions(spark, sf)))
 
 
-def fit_gates(selected, tried):
-    """Gates on the convergence rate of the selected fits and on the share of invalid candidates."""
-    rate = F.avg(F.col("converged").cast("double"))
-    invalid = F.avg((~((F.col("status") == "ok") & F.coalesce(F.abs("validation_mse") < float("inf"), F.lit(False)))).cast("double"))
-    return G.run_gates([G.gate(selected, "convergence_rate", rate, rate >= 0.95, ">= 0.95"), G.gate(tried, "invalid_share", invalid, F.coalesce(invalid <= 0.25, F.lit(True)), "<= 0.25", "warn")])
+def fit_gates(final, tried, limit=float("inf")):
+    """Gates on the share of conditions whose final fit, after the refit, converged, and on the share of invalid candidates.  A condition without
+    a valid candidate counts as one that did not converge."""
+    rate, invalid = F.avg(F.col("converged").cast("double")), F.avg((~W.valid(limit)).cast("double"))
+    return G.run_gates([G.gate(final, "convergence_rate", rate, rate >= 0.95, ">= 0.95"), G.gate(tried, "invalid_share", invalid, invalid <= 0.25, "<= 0.25", "warn")])
 
 
 @query("qa01_fit_gates")
 def qa01f(spark, sf):
-    grams = weak_grams(spark, sf)
-    tried = R.fit_weak(candidates(grams), KEEP, SHAPE, ["price"], BASIS, BOX)
-    return fit_gates(R.tune(tried, ["batch_id", "n_labeled"]), tried)
+    c = conditions(spark, sf, UNITS)
+    tried = search(c)
+    return fit_gates(refits(c, W.select(tried, CONDITION)), tried)
 
 
-@query(
-    "qa01_fit_gates_linear",
-    " UNION ALL ".join([gate_sql("convergence_rate", "avg((validation_mse IS NOT NULL)::INT::DOUBLE)", "count(*) > 0", ">= 0.95", "best"), gate_sql("invalid_share", "avg((validation_mse IS NULL)::INT::DOUBLE)", "count(*) FILTER (validation_mse IS NULL) = 0", "<= 0.25", "v", "warn")]),
-    WEAK_ROWS, "value",
-)
+def linear_gates(spark, sf, limit=float("inf")):
+    c = linear_conditions(spark, sf)
+    tried = linear_fits(c)
+    return fit_gates(refits(c, W.select(tried, CONDITION, limit), PLAIN, fixed=True, scaled=False), tried, limit)
+
+
+def fit_gates_sql(ok):
+    every = f"(SELECT batch_id, n_labeled, bool_or({ok}) AS fitted FROM v GROUP BY ALL)"
+    return " UNION ALL ".join([
+        gate_sql("convergence_rate", "avg(fitted::INT::DOUBLE)", "avg(fitted::INT::DOUBLE) >= 0.95", ">= 0.95", every),
+        gate_sql("invalid_share", f"avg((NOT ({ok}))::INT::DOUBLE)", f"avg((NOT ({ok}))::INT::DOUBLE) <= 0.25", "<= 0.25", "v", "warn"),
+    ])
+
+
+@query("qa01_fit_gates_linear", fit_gates_sql("validation_mse IS NOT NULL"), WEAK_ROWS, "value")
 def qa01l(spark, sf):
-    tried = linear_fits(linear_grid(weak_grams(spark, sf, [])))
-    return fit_gates(R.tune(tried, ["batch_id", "n_labeled"]), tried)
+    return linear_gates(spark, sf)
+
+
+@query("qa01_fit_gates_with_limit", fit_gates_sql(f"validation_mse <= {LIMIT}"), WEAK_ROWS, "value")
+def qa01m(spark, sf):
+    """Conditions whose candidates all err too much have no fit, and the gates say so."""
+    return linear_gates(spark, sf, LIMIT)
 
 
 ABLATION = "SELECT model, avg(rmse) FILTER (n_labeled = 10) AS rmse_10, avg(rmse) FILTER (n_labeled = 120) AS rmse_120, avg(rmse) FILTER (n_labeled = 120) - (SELECT avg(rmse) FROM metrics WHERE model = 'reference' AND n_labeled = 120) AS gap, avg((mae < 2)::INT::DOUBLE) AS good_rate FROM metrics GROUP BY model"
@@ -544,25 +560,25 @@ def in_units(metrics):
     return metrics.withColumns({"mse": F.col("mse") * UNIT**2, "rmse": F.col("rmse") * UNIT, "mae": F.col("mae") * UNIT})
 
 
-def weak_arm(spark, sf, best, basis):
+def weak_arm(spark, sf, best, library):
     """Test metrics of the selected weak fits, as the arm `weak`."""
-    test = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *SHAPE, *basis, "y")
-    m = R.predict(test, best.select("batch_id", "n_labeled", "g", "d", "theta"), ["batch_id"], SHAPE, ["price"], basis)
+    test = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *columns(library))
+    m = W.score(test, best.where("coef is not null").select("batch_id", "n_labeled", "coef"), ["batch_id"], library)
     return in_units(M.regression_metrics(m, ["batch_id", "n_labeled"])).select(F.lit("weak").alias("model"), F.col("batch_id").alias("repeat"), "n_labeled", "mse", "rmse", "mae")
 
 
 OTHERS = ["affine", "mean", "ratio", "reference"]
 
 
-def weak_curve(spark, sf, best, basis):
-    m = reshape.union_parts([arm_metrics(spark, sf), weak_arm(spark, sf, best, basis)])
+def weak_curve(spark, sf, best, library):
+    m = reshape.union_parts([arm_metrics(spark, sf), weak_arm(spark, sf, best, library)])
     return paired.family(m, "weak", OTHERS, VALUES, KEYS, ["n_labeled"])
 
 
 @query("exp01_label_curve_weak_arm")
 def exp01w(spark, sf):
     """The weakly supervised arm, selected at each size, against all closed-form arms by three metrics."""
-    return weak_curve(spark, sf, R.tune(weak_fits(spark, sf), ["batch_id", "n_labeled"]), BASIS)
+    return weak_curve(spark, sf, W.select(weak_fits(spark, sf), CONDITION), UNITS)
 
 
 def weak_tests(source: str, others: list[str], g: str) -> str:
@@ -581,28 +597,26 @@ arm AS (SELECT repeat, n_labeled, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, a
 
 @query("exp01_label_curve_weak_arm_linear", "SELECT * REPLACE (n_labeled::INT AS n_labeled) FROM (" + weak_tests("arm", OTHERS, "n_labeled") + ")", CURVE_WEAK, T + " p_value_holm", 5)
 def exp01l(spark, sf):
-    best = R.tune(linear_fits(linear_grid(weak_grams(spark, sf, []))), ["batch_id", "n_labeled"])
-    return weak_curve(spark, sf, best, [])
+    return weak_curve(spark, sf, W.select(linear_fits(linear_conditions(spark, sf)), CONDITION), PLAIN)
 
 
 LEVELS, SUPERVISED, LEVEL_SIZE = [0.95, 0.8, 0.6], ["affine", "mean", "ratio"], 60
 
 
-def accuracy_levels(spark, sf, basis, weights, penalties, fixed):
+def accuracy_levels(spark, sf, library, weights, penalties, linear):
     """Per batch: reference models of three accuracies label the weak rows, a weak fit is selected at each, and the
     supervised arms stand beside them once.  `shared` says that all levels had the same measured rows."""
-    o, columns = gram_rows(observations(spark, sf)), [*SHAPE, *basis, "y"]
+    o = gram_rows(observations(spark, sf))
     shift = F.col("price") * (20 * F.col("disc") - 1)
     scales = R.calibrate_scale(o.withColumn("shift", shift), ["batch_id"], "price", "shift", "y", LEVELS, X.log_grid(-2.0, 1.0, 13))
     weak = by_role(o, ["weak"]).join(scales.select("batch_id", "target", "scale"), "batch_id").withColumn("y", F.col("price") + F.col("scale") * shift)
-    w = R.gram(weak, ["batch_id", "target"], columns).select("batch_id", "target", F.col("xtx").alias("weak"), F.col("n").alias("n_weak"))
-    g = weak_grams(spark, sf, basis).where(F.col("n_labeled") == LEVEL_SIZE).drop("weak", "n_weak").join(w, "batch_id")
-    c = candidates(g, weak=weights, l1=penalties, group=penalties)
-    c = c.withColumn("labeled_id", F.md5(F.to_json(F.array("labeled", "validation")).cast("binary")))
-    f = R.tune(R.fit_weak(c, ["target", "labeled_id", *KEEP], SHAPE, ["price"], basis, BOX, fixed), ["batch_id", "target"])
-    test = by_role(o, ["test"]).select("batch_id", "ord", *columns)
-    pred = R.predict(test, f.select("batch_id", "target", "labeled_id", "g", "d", "theta"), ["batch_id"], SHAPE, ["price"], basis)
+    w = W.moments(weak, ["batch_id", "target"], columns(library), "weak")
+    c = conditions(spark, sf, library, [1.0] if linear else None).where(F.col("n_labeled") == LEVEL_SIZE).drop("weak").join(w, "batch_id")
+    c = c.withColumn("labeled_id", F.md5(F.to_json(F.struct("labeled", "validation")).cast("binary")))
     level = ["batch_id", "target", "labeled_id"]
+    f = W.select(search(c, library, weights, penalties, penalties, 1 if linear else 2, [*level, "n_labeled"], fixed=linear, scaled=not linear), level)
+    test = by_role(o, ["test"]).select("batch_id", "ord", *columns(library))
+    pred = W.score(test, f.where("coef is not null").select(*level, "coef"), ["batch_id"], library)
     ids = fingerprint(pred, level, [F.col("ord"), F.col("y").cast("string")]).withColumn("data_id", F.concat_ws("-", "labeled_id", "dataset_id"))
     m = in_units(M.regression_metrics(pred, ["batch_id", "target"]))
     name = F.when(F.col("target") == min(LEVELS), "weak").otherwise(F.concat(F.lit("weak at "), F.col("target").cast("string")))
@@ -617,11 +631,11 @@ def level_tests(levels):
 
 
 def searched_levels(spark, sf):
-    return accuracy_levels(spark, sf, BASIS, (0.0, 0.1), (0.0, 0.01), False)
+    return accuracy_levels(spark, sf, UNITS, (0.0, 0.1), (0.0, 0.01), False)
 
 
 def linear_levels(spark, sf):
-    return accuracy_levels(spark, sf, [], WEIGHTS, (0.0,), True)
+    return accuracy_levels(spark, sf, PLAIN, WEIGHTS, (0.0,), True)
 
 
 query("exp02_accuracy_levels")(searched_levels)
@@ -640,7 +654,7 @@ grid AS (SELECT batch_id, pow(10::DOUBLE, -2 + 0.25 * k) AS scale, corr(price +
 scale AS (SELECT batch_id, target, scale FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, target ORDER BY abs(correlation - target), scale) AS p FROM grid, t) WHERE p = 1),
 weak AS (SELECT batch_id, target, price, qty, price + scale * price * (20 * disc - 1) AS y, count(*) OVER (PARTITION BY batch_id, target) AS n_weak FROM obs JOIN scale USING (batch_id) WHERE role = 'weak'),
 pooled AS (SELECT {GROUP}, role, 1.0::DOUBLE AS one, price / {UNIT} AS price, qty / {UNIT} AS qty, y / {UNIT} AS y, 1.0::DOUBLE AS w FROM split, k, t WHERE n_labeled = {LEVEL_SIZE}
-         UNION ALL SELECT {GROUP}, 'weak', 1.0, price / {UNIT}, qty / {UNIT}, y / {UNIT}, share * {LEVEL_SIZE} / n_weak FROM weak, k),
+         UNION ALL SELECT {GROUP}, 'weak', 1.0, price / {UNIT}, qty / {UNIT}, y / {UNIT}, share * n_train / n_weak FROM weak JOIN (SELECT batch_id, count(*) AS n_train FROM split WHERE n_labeled = {LEVEL_SIZE} AND role = 'train' GROUP BY ALL) USING (batch_id), k),
 train AS (SELECT * FROM pooled WHERE role <> 'validation'), """
     + solve_sql("c", "train", GROUP, SHAPE, w="w")
     + f""", v AS (SELECT {GROUP}, avg((y - ({line(SHAPE)})) ** 2) AS loss FROM pooled JOIN c USING ({GROUP}) WHERE role = 'validation' GROUP BY ALL),
@@ -683,11 +697,10 @@ def exp04(spark, sf):
 @query("exp04_batch_curve_weak_arm")
 def exp04w(spark, sf):
     """The weakly supervised arm of the batch protocol, with and without weak rows."""
-    c = candidates(weak_grams(spark, sf), weak=(0.0, 0.1), l1=(0.0,), group=(0.0,), starts=(1.0,))
-    f = R.fit_weak(c, KEEP, SHAPE, ["price"], BASIS, BOX)
-    o = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *SHAPE, *BASIS, "y")
-    m = f.select("batch_id", "n_labeled", (F.col("weak_weight") > 0).alias("with_weak"), "g", "d", "theta")
-    return M.regression_metrics(R.predict(o, m, ["batch_id"], SHAPE, ["price"], BASIS), ["batch_id", "n_labeled", "with_weak"])
+    f = W.select(weak_fits(spark, sf, l1=(0.0,), group=(0.0,)), [*CONDITION, "weak_weight"])
+    o = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *columns(UNITS))
+    m = f.where("coef is not null").select(*CONDITION, (F.col("weak_weight") > 0).alias("with_weak"), "coef")
+    return M.regression_metrics(W.score(o, m, ["batch_id"], UNITS), [*CONDITION, "with_weak"])
 
 
 @query("exp05_variant_sweep", "SELECT variant, status, rmse FROM (SELECT 'plain' AS variant, 'ok' AS status, avg(rmse) FILTER (n_labeled = 120) AS rmse FROM metrics WHERE model = 'affine' UNION ALL SELECT 'one column', 'ok', avg(rmse) FILTER (n_labeled = 120) FROM metrics WHERE model = 'ratio' UNION ALL SELECT 'absent', 'failed', avg(rmse) FROM metrics WHERE model = 'absent')", ARMS, "rmse")
@@ -703,7 +716,7 @@ def exp05(spark, sf):
 # user-defined libraries --------------------------------------------------------------------------
 @query("udf01_feature_library", "SELECT ord, 1.0::DOUBLE AS one, price * price AS square, 0.5 * (price * price) AS theta_square FROM obs", OBS)
 def udf01(spark, sf):
-    registry.register_features(registry.FeatureSpec("squares", {"one": lambda: F.lit(1.0), "square": lambda: F.col("price") * F.col("price")}, ("square",)))
+    registry.register_features(registry.ColumnLibrary("squares", {"one": lambda: F.lit(1.0), "square": lambda: F.col("price") * F.col("price")}, ("square",)))
     return registry.features_h(observations(spark, sf), "squares", 0.5, ["ord"])
 
 
@@ -711,11 +724,3 @@ def udf01(spark, sf):
 def udf02(spark, sf):
     registry.register_reference("discounted", lambda theta: theta * F.col("price") * (1 - F.col("disc")))
     return registry.score_reference(observations(spark, sf), "discounted", 1.1).select("ord", "score")
-
-
-@query("udf03_group_function")
-def udf03(spark, sf):
-    """A fit function over Gram rows, one complete group a row, candidates in parallel."""
-    f = R.fit_weak(candidates(weak_grams(spark, sf), weak=(0.1,), l1=(0.0,), group=(0.0,)), KEEP, SHAPE, ["price"], BASIS, BOX)
-    return f.select("batch_id", "n_labeled", "theta0", "theta", "objective", "converged", "status")
-

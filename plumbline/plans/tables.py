@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.registry import FeatureSpec, register_features, register_reference
+from plumbline.functions.registry import ColumnLibrary, register_features, register_reference
 from plumbline.operators.splits import nested_split, seeded_order
 
 SIZES = [10, 20, 30, 60, 120]
@@ -98,9 +98,20 @@ def arm_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("batch_id", rows.alias("r")).where("r.arm is not null").select("r.arm.model", F.col("batch_id").alias("repeat"), "r.arm.n_labeled", "r.mse", "r.rmse", "r.mae")
 
 
+# fixed values of the heated rod: length in m, temperature of its lower end in K
+ROD_LENGTH, ROD_LOW = 0.1, 293.15
+
+
+def rod_temperature(q: Column, h: Column, t_inf: Column, theta: Column) -> Column:
+    """Mean interface temperature of a heated rod with conductivity 1 / theta, flux q, convection h to t_inf: not linear in theta."""
+    half, out = ROD_LENGTH * theta / 2, 1 / h
+    flow = (q * ROD_LENGTH * (half + out) + t_inf - ROD_LOW) / (ROD_LENGTH + out / theta)
+    return F.lit(ROD_LOW) + flow * ROD_LENGTH / 2 - q * half * ROD_LENGTH / 4
+
+
 register_reference("list_price", lambda theta: theta * F.col("price"))
 register_features(
-    FeatureSpec(
+    ColumnLibrary(
         "charge",
         shape={"one": lambda: F.lit(1.0), "price": lambda: F.col("price"), "qty": lambda: F.col("qty") / 10},
         theta_of=("price",),
