@@ -1,14 +1,15 @@
 """Line dedup by content-defined chunks (operator 3).
 
-A rolling hash over two neighbouring lines names the chunk of both, and every line may open one: the chunks
-of all boundary families, of either parity, are united, so a repeated run of two lines or more is covered by
-chunks of its own lines alone, whatever stands beside it.  A line of `LONE` bytes or more is a chunk by
-itself too.  Chunks that occur again anywhere are removed except for their first occurrence (smallest id,
-then place), after the bytes of all occurrences have been compared.  A line goes if any chunk over it does;
-since an equal line then stands at an earlier place, one copy of every line stays.
-
-Defined cases: a null or empty text has no chunk and stays as it is (null becomes empty); a shorter line
-is never removed by itself; rows that share an id are compared by content and place, so repeated rows of one
+A hash rolled over two neighbouring lines' hashes puts each place between lines into one of two boundary families.  From every
+place a chunk of its family runs to the next place of the same family by which it has LEAST bytes, its first line and its last
+being those at the two places.  So both ends of a chunk, of two lines or more, are chosen by lines within it, whatever stands
+beside them, and trivial neighbours (braces, blank lines, short answers) are no chunk by themselves.  Chunks that
+occur again anywhere are removed except for their first occurrence (smallest id, then place), after the bytes of all occurrences
+have been compared.  A line goes if any chunk over it does; the spans of both families are united.
+
+Defined cases: a null or empty text has no chunk and stays as it is (null becomes empty); a line that stands alone, or a run of fewer
+than LEAST bytes, is never removed by itself; repeats that overlap in one text leave one period of it; rows that share an id are
+compared by content and place, so repeated rows of one
 id keep their first chunks alike; rows without an id come after all others, told apart by their text, and
 equal texts among them count as repeated rows of one id; an empty table gives no rows; lines end at \\n only; a group whose bytes
 differ under equal hashes is left alone; removed_chunks counts the runs of removed lines; a very long text is
@@ -17,6 +18,7 @@ read whole, as a slice of its own; other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -26,12 +28,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import ROW_KEY, U, frequent, materialize, mix, n_shuffle, numbered, range_hashes, release, row_key, salted_join, slices
 
-LONE = 200
+LEAST = 128
 
 
 def chunk(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Lines of rows of text: row, index in its row, byte start and end (without the newline).  Their chunks:
-    row, first line (of all, and its index in its row), number of lines, byte start and end, hash and second hash."""
+    row, first line (of all, and its index in its row), number of lines, byte start and end, hash."""
     row_start, row_end = off[:-1], off[1:]
     # a line starts at the start of a text and after each newline, also after one that ends the text
     newline = np.flatnonzero(data == 10)
@@ -46,16 +48,30 @@ def chunk(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray], dic
     ends = np.append(starts[1:] - 1, 0)[: len(starts)]
     ends[last] = row_end[rows[last]]
     idx = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
-    pair, lone = np.flatnonzero(~last), np.flatnonzero(ends - starts >= LONE)
-    at, n = np.concatenate((pair, lone)), np.repeat([2, 1], [len(pair), len(lone)])
-    order = np.argsort(at, kind="stable")
-    at, n = at[order], n[order]
-    a, b = starts[at], ends[at + n - 1]
-    with np.errstate(over="ignore"):
-        total = np.append(U(0), np.cumsum(mix(range_hashes(data, starts, ends) * U(3) + U(1))))
-        h2 = total[at + n] - total[at]
     lines = {"row": rows, "idx": idx, "start": starts, "end": ends}
-    return lines, {"row": rows[at], "at": at, "idx": idx[at], "n": n, "start": a, "end": b, "h": range_hashes(data, a, b).view(np.int64), "h2": h2.view(np.int64)}
+    place = np.flatnonzero(~last)
+    with np.errstate(over="ignore"):
+        line = range_hashes(data, starts, ends)
+        rolled = mix(line[place] * U(3) + line[place + 1]) if len(place) else np.zeros(0, np.uint64)
+    family = (rolled & U(1)).astype(bool)
+    at, to = [], []
+    for f in (False, True):
+        own = place[family == f]
+        if not len(own):
+            continue
+        # the first line by whose end a chunk has LEAST bytes, then the first place of the family whose second line is not before it
+        enough = np.searchsorted(ends, starts[own] + LEAST)
+        k = np.searchsorted(own, np.maximum(own, enough - 1))
+        found = k < len(own)
+        stop = own[np.minimum(k, len(own) - 1)]
+        found &= rows[stop] == rows[own]
+        at.append(own[found])
+        to.append(stop[found] + 1)
+    at, to = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, to))
+    order = np.argsort(at)
+    at, to = at[order], to[order]
+    a, b = starts[at], ends[to]
+    return lines, {"row": rows[at], "at": at, "idx": idx[at], "n": to - at + 1, "start": a, "end": b, "h": range_hashes(data, a, b).view(np.int64)}
 
 
 def _chunks(batches):
@@ -63,7 +79,7 @@ def _chunks(batches):
         for rows, data, off in slices(batch, "text"):
             _, c = chunk(data, off)
             ids = rows.column("row_key").take(pa.array(c["row"]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(c["idx"].astype(np.int32)), pa.array(c["h"]), pa.array(c["h2"])], ["row_key", "idx", "h", "h2"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(c["idx"].astype(np.int32)), pa.array(c["h"])], ["row_key", "idx", "h"])
 
 
 def _named(rows: pa.RecordBatch, c: dict[str, np.ndarray]):
@@ -77,13 +93,13 @@ def _named(rows: pa.RecordBatch, c: dict[str, np.ndarray]):
 
 
 def _bytes(batches):
-    """The text of the chunks that a row's marks name."""
+    """The text of the chunks that a row's marks name, compressed: equal bytes are compressed alike, and only they."""
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
             _, c = chunk(data, off)
             k = np.array([k for _, named in _named(rows, c) for k in named], np.int64)
-            content = [data[a:b].tobytes() for a, b in zip(c["start"][k].tolist(), c["end"][k].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c["h"][k]), pa.array(c["h2"][k]), pa.array(content, pa.binary())], ["h", "h2", "content"])
+            content = [zlib.compress(data[a:b].tobytes(), 1) for a, b in zip(c["start"][k].tolist(), c["end"][k].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c["h"][k]), pa.array(content, pa.binary())], ["h", "content"])
 
 
 def _apply(batches, names: list[str]):
@@ -91,10 +107,11 @@ def _apply(batches, names: list[str]):
         for rows, data, off in slices(batch, "text"):
             lines, c = chunk(data, off)
             bounds = np.searchsorted(lines["row"], np.arange(rows.num_rows + 1))
-            gone = np.zeros(len(lines["row"]), bool)
+            edge = np.zeros(len(lines["row"]) + 1, np.int64)
             for _, named in _named(rows, c):
-                gone[c["at"][named]] = True
-                gone[c["at"][named] + c["n"][named] - 1] = True
+                np.add.at(edge, c["at"][named], 1)
+                np.add.at(edge, c["at"][named] + c["n"][named], -1)
+            gone = np.cumsum(edge[:-1]) > 0
             texts, cut, removed = [], [], []
             for i in range(rows.num_rows):
                 lo, hi = bounds[i], bounds[i + 1]
@@ -122,21 +139,21 @@ def _deduped(docs: DataFrame) -> DataFrame:
     names = [n for n, c in zip(own.columns, docs.columns, strict=True) if c != "text"]
     doc_id, text = (own[own.columns[docs.columns.index(c)]] for c in ("doc_id", "text"))
     rows = own.select(*names, text.cast("string").alias("text"), doc_id.cast("long").alias("doc_id")).withColumn("row_key", row_key()).drop("doc_id")
-    found = rows.select("row_key", "text").mapInArrow(_chunks, f"{ROW_KEY}, idx int, h long, h2 long")
-    again = materialize(found.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "idx")).alias("keep")).where("n > 1"))
+    found = rows.select("row_key", "text").mapInArrow(_chunks, f"{ROW_KEY}, idx int, h long")
+    again = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "idx")).alias("keep")).where("n > 1"))
     release(docs.sparkSession)
-    hot = materialize(frequent(again.select("h", "h2", "n")))
-    hits = salted_join(found, again.drop("n"), ["h", "h2"], hot, "inner", ["row_key", "idx"])
-    hits = materialize(hits.select("h", "h2", "row_key", "idx", (F.struct("row_key", "idx") != F.col("keep")).alias("later")))
+    hot = materialize(frequent(again.select("h", "n")))
+    hits = salted_join(found, again.drop("n"), ["h"], hot, "inner", ["row_key", "idx"])
+    hits = materialize(hits.select("h", "row_key", "idx", (F.struct("row_key", "idx") != F.col("keep")).alias("later")))
     dealt = rows.repartition(n_shuffle(docs.sparkSession), "row_key")
 
     def marked(chosen: DataFrame) -> DataFrame:
         marks = chosen.groupBy("row_key").agg(F.collect_set(F.struct("idx", "h")).alias("marks"))
         return dealt.join(marks, "row_key", "left")
 
-    content = marked(hits).select("text", "marks").mapInArrow(_bytes, "h long, h2 long, content binary")
-    differ = content.groupBy("h", "h2").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("h", "h2")
-    gone = salted_join(hits.where("later"), differ, ["h", "h2"], hot, "left_anti", ["row_key", "idx"])
+    content = marked(hits).select("text", "marks").mapInArrow(_bytes, "h long, content binary")
+    differ = content.groupBy("h").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("h")
+    gone = salted_join(hits.where("later"), differ, ["h"], hot, "left_anti", ["row_key", "idx"])
     schema = ", ".join([*(f"{n} {own.schema[n].dataType.simpleString()}" for n in names), "text string, removed_chunks long, removed_lines long"])
     return marked(gone).select(*names, "text", "marks").mapInArrow(partial(_apply, names=names), schema)
 

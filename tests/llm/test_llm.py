@@ -175,27 +175,51 @@ def test_jaccard_blocks_and_runs(spark, monkeypatch):
         assert all(a[-1] != b[0] for a, b in zip(runs, runs[1:], strict=False))
 
 
+def chunks_by_hand(lines):
+    """(first, last) line of every chunk: from each place to the next of its family by which there are LEAST bytes."""
+    data = "\n".join(lines).encode()
+    start = np.cumsum([0] + [len(x.encode()) + 1 for x in lines[:-1]])
+    end = start + [len(x.encode()) for x in lines]
+    raw = np.frombuffer(data, np.uint8)
+    h = linededup.range_hashes(raw, start, end)
+    with np.errstate(over="ignore"):
+        family = [int(linededup.mix(np.array([h[k] * np.uint64(3) + h[k + 1]]))[0] & np.uint64(1)) for k in range(len(lines) - 1)]
+    for i in range(len(family)):
+        ends = [j for j in range(i, len(family)) if family[j] == family[i] and end[j + 1] - start[i] >= linededup.LEAST]
+        if ends:
+            yield i, ends[0] + 1
+
+
 def test_line_recall(spark):
-    """Every run of two lines or more, and every long line, that stands at an earlier place goes; nothing else does."""
+    """Chunks that stand at an earlier place go, nothing else does; passages over 50 words lose lines, of two lines all of them."""
     draw = random.Random(11)
     line = lambda n=9: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(n))
-    runs = [[line(60 if n == 1 else 9) for _ in range(n)] for n in (1, 2, 3, 4, 5) for _ in range(8)]
-    texts = ["\n".join([line(), *run, line()]) for run in runs for _ in range(2)] + ["a\na\na\na", "short\nb", "short\nc", "", None]
+    runs = [[line(-(-60 // n)) for _ in range(n)] for n in (1, 2, 3, 4, 5) for _ in range(8)]
+    texts = ["\n".join([line(), *run, line()]) for run in runs for _ in range(2)] + ["a\na\na\na", "short\nb", "short\nc", "", None, "\n".join([line(20), line(20)] * 3)]
     seen, want = set(), {}
     for i, t in enumerate(texts):
         lines = (t or "").split("\n")
         gone = [False] * len(lines)
-        for k in range(len(lines)):
-            for n in (1, 2):
-                part = tuple(lines[k : k + n])
-                if len(part) == n and (n == 2 or len(part[0].encode()) >= linededup.LONE):
-                    if part in seen:
-                        gone[k : k + n] = [True] * n
-                    seen.add(part)
+        for a, b in chunks_by_hand(lines) if t else ():
+            part = tuple(lines[a : b + 1])
+            if part in seen:
+                gone[a : b + 1] = [True] * len(part)
+            seen.add(part)
         want[i] = ("\n".join(x for x, g in zip(lines, gone, strict=True) if not g), sum(gone))
     got = {r.doc_id: (r.text, r.removed_lines) for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
-    assert all(want[2 * k + 1][1] == len(run) for k, run in enumerate(runs)) and want[80] == ("a", 3)
+    of = lambda n: [want[2 * k + 1][1] for k, run in enumerate(runs) if len(run) == n]
+    assert of(1) == [0] * 8 and of(2) == [2] * 8 and min(of(3)) >= 2 and sum(map(bool, of(4) + of(5))) >= 15
+    assert want[80] == ("a\na\na\na", 0) and want[85][0] == "\n".join(texts[85].split("\n")[:2])
+
+
+def test_line_dedup_leaves_clean_documents(spark):
+    """Braces, blank lines, answers of a list and short pairs of lines stay, in whatever documents they repeat."""
+    code = "int {0}(int x) {{\n  if (x > {1}) {{\n    return x - {1};\n  }}\n}}"
+    texts = [code.format(f"f{k}", k) for k in range(6)] + [f"question {k}\n- yes\n- no\n- maybe\nremark {k}" for k in range(6)]
+    texts += [f"alpha {k}\n\n\nbeta {k}\n\n\n\n\ngamma" for k in range(6)] + [f"A sentence of document {k}.\nAll rights reserved.\nEnd." for k in range(4)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(texts))
 
 
 @pytest.mark.parametrize("n", [43, 60, 100])
