@@ -253,36 +253,3 @@ def objective_terms(df: DataFrame, g: list[str], residual: Column, labeled: Colu
         terms["ridge_term"] = F.lit(float(0.5 * ridge * sum(c * c for c in basis)))
     out = df.groupBy(*g).agg(*[c.alias(n) for n, c in terms.items()])
     return out.withColumn("objective", reduce(lambda a, b: a + b, [F.col(n) for n in terms]))
-
-
-# baselines of Spark ML ---------------------------------------------------------------------------
-def ml_baseline(train: DataFrame, validation: DataFrame, test: DataFrame, features: list[str], y: str, grid: list, sizes: tuple[int, ...] = (), parallel: int = 4) -> DataFrame:
-    """Test rows scored by the estimator of the grid with the least validation mse (the first of equals), refitted on both
-    parts.  Train and validation rows are kept for the fits, so their source is read once and not once a job.
-
-    With sizes, the estimators are boosted trees and each is tried with so many trees: a shorter series is the start of
-    the longest one, so each is fitted once."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.storagelevel import StorageLevel
-
-    make = VectorAssembler(inputCols=features, outputCol="features").transform
-    rows = make(train.select(*features, y, F.lit(True).alias("_train")).unionByName(validation.select(*features, y, F.lit(False).alias("_train")))).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        own, other = rows.where("_train"), rows.where("not _train")
-
-        def losses(estimator):
-            if sizes:
-                series = estimator.copy({estimator.maxIter: max(sizes)}).fit(own).evaluateEachIteration(other, "squared")
-                return [(series[n - 1], estimator.copy({estimator.maxIter: n})) for n in sizes]
-            return [(estimator.fit(own).transform(other).select(F.avg((F.col(y) - F.col("prediction")) ** 2)).first()[0], estimator)]
-
-        # a few fits at a time: Spark shares its tasks out among them
-        with ThreadPoolExecutor(parallel) as pool:
-            tried = [t for part in pool.map(losses, grid) for t in part]
-        best = min(range(len(tried)), key=lambda i: (tried[i][0] is None, tried[i][0], i))
-        model = tried[best][1].fit(rows)
-    finally:
-        rows.unpersist()
-    return model.transform(make(test)).drop("features").withColumnRenamed("prediction", "pred")

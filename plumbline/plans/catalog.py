@@ -34,4 +34,4 @@ def query(name: str, sql: str | None = None, base: str = "", doubles: str = "",
     return add
 
 
-from plumbline.plans import data_queries, fit_queries, rule_queries, stat_queries, weak_queries  # noqa: E402, F401
+from plumbline.plans import data_queries, fit_queries, rule_queries, stat_queries, tree_queries, weak_queries  # noqa: E402, F401

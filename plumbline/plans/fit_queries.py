@@ -246,38 +246,6 @@ def reg21(spark, sf):
     return best.select("batch_id", "n_labeled", "x.alpha", "x.b", "x.loss")
 
 
-def tree_metrics(spark, sf, grid, target="y", sizes=(), parallel=4):
-    o = observations(spark, sf)
-    digit = F.substring("ord", 2, 1) < "c"
-    labeled = by_role(o, ["labeled"])
-    scored = R.ml_baseline(labeled.where(digit), labeled.where(~digit), by_role(o, ["test"]), ["price", "qty", "disc", "tax"], target, grid, sizes, parallel)
-    return M.regression_metrics(scored, ["batch_id"])
-
-
-DEEPEST = 30  # Spark's deepest tree stands for one without a limit
-
-
-@query("reg22_decision_tree")
-def reg22(spark, sf):
-    from pyspark.ml.regression import DecisionTreeRegressor as T
-
-    return tree_metrics(spark, sf, [T(labelCol="y", maxDepth=d, minInstancesPerNode=m, seed=1) for d in (DEEPEST, 2, 3, 5) for m in (1, 3)])
-
-
-@query("reg23_random_forest")
-def reg23(spark, sf):
-    from pyspark.ml.regression import RandomForestRegressor as T
-
-    return tree_metrics(spark, sf, [T(labelCol="y", numTrees=200, maxDepth=d, minInstancesPerNode=m, seed=1) for d in (5, 10) for m in (1, 2)])
-
-
-@query("reg24_gradient_boosting")
-def reg24(spark, sf):
-    from pyspark.ml.regression import GBTRegressor as T
-
-    return tree_metrics(spark, sf, [T(labelCol="y", stepSize=s, maxDepth=d, seed=1) for s in (0.1, 0.15, 0.2) for d in (2, 3, 5)], sizes=(30, 100, 160), parallel=9)
-
-
 TWO_STAGE = (
     OBS
     + """, grid AS (SELECT batch_id, k, sum((y - (0.8 + 0.02 * k) * price) ** 2) AS loss FROM obs, range(21) r(k) WHERE role = 'labeled' GROUP BY ALL),

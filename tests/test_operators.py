@@ -93,19 +93,6 @@ def test_query_matches_sql(spark, name):
     assert text(a) == text(b)
 
 
-def test_shorter_series_of_boosted_trees(spark):
-    """The start of a long series has the loss of a short one, and the best size is chosen."""
-    from pyspark.ml.regression import GBTRegressor
-
-    rng = np.random.default_rng(2)
-    table = lambda n: spark.createDataFrame([(float(a), float(a * a + rng.normal() / 20)) for a in rng.uniform(-1, 1, n)], "x double, y double").coalesce(1).cache()
-    train, validation, test = table(60), table(40), table(20)
-    grid = [GBTRegressor(labelCol="y", maxDepth=2, seed=1)]
-    whole = R.ml_baseline(train, validation, test, ["x"], "y", grid, sizes=(2, 6)).select("pred").collect()
-    plain = R.ml_baseline(train, validation, test, ["x"], "y", [grid[0].copy({grid[0].maxIter: n}) for n in (2, 6)]).select("pred").collect()
-    assert whole == plain
-
-
 @pytest.mark.parametrize("whole", [None, 0])
 def test_quantiles(spark, monkeypatch, whole):
     """Brackets give what sorting gives: skewed groups, heavy ties, null keys and groups without a value."""
