@@ -40,23 +40,88 @@ def plan_conditions(repeats: DataFrame, sizes: list[int], models: dict[str, list
 CELLS = 256
 
 
-def nearest(queries: DataFrame, rows: DataFrame, g: list[str], columns: list[str], query_id: str, row_id: str, salts: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, g: list[str], columns: list[str], query_id: str, row_id: str) -> DataFrame:
     """Nearest row of each query within its group: smallest Euclidean distance, ties to the smaller id.  Queries
     and rows with a null coordinate take no part.
 
-    One column: both sides are sorted and a query looks at its neighbours (nearest_on_line).  More columns: the rows of
-    a group are spread over salts and each salt keeps its best, so a large group is compared in many tasks.
+    One column: both sides are sorted and a query looks at its neighbours (nearest_on_line).  More columns: nearest_in_cells.
     """
     if len(columns) == 1:
         return nearest_on_line(queries, rows, g, columns[0], query_id, row_id)
-    full = lambda d: d.dropna(subset=columns)
-    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    r = full(rows).select(*g, F.col(row_id).alias("match"), salt.alias("salt"), *[F.col(c).cast("double").alias(f"r_{c}") for c in columns])
-    q = full(queries).select(*g, F.col(query_id), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), *[F.col(c).cast("double").alias(f"q_{c}") for c in columns])
-    d = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"q_{c}") - F.col(f"r_{c}")) ** 2 for c in columns]))
-    best = F.min(F.struct(d.alias("d"), F.col("match").alias("m")))
-    one = q.join(r, [*g, "salt"]).groupBy(*g, query_id, "salt").agg(best.alias("b"))
-    return one.groupBy(*g, query_id).agg(F.min("b").alias("b")).select(*g, query_id, F.col("b.m").alias("match"), F.col("b.d").alias("distance"))
+    return nearest_in_cells(queries, rows, g, columns, query_id, row_id)
+
+
+CUTS, CELL_ROWS = 64, 64
+
+
+def _cell(column: str, k: int) -> Column:
+    """Number of cuts of column k below a value."""
+    return F.size(F.filter(F.get("_cuts", F.lit(k)), lambda c: c < F.col(column)))
+
+
+def near_pairs(queries: DataFrame, rows: DataFrame, g: list[str], columns: list[str], query_id: str, row_id: str) -> DataFrame:
+    """Pairs among which every query's nearest row is: group, _q, _m, distance d.
+
+    Approximate quantiles cut every column of a group of n points so that a cell holds about CELL_ROWS of them.  A first bound on
+    a query's distance comes from its own cell, and from one point of each coarser cell about it (pairs of cells joined, level after
+    level, up to the whole group).  The ball of that bound lies between two cuts of every column; the cells between
+    them whose walls are no further than the bound hold the nearest row, and no others are looked at.
+    """
+    dims = range(len(columns))
+    x = [f"_x{k}" for k in dims]
+    coordinates = lambda d: [F.col(c).cast("double").alias(n) for c, n in zip(columns, x, strict=True)]  # noqa: E731, ARG005
+    # equal points count once, by their smallest id
+    r = rows.dropna(subset=columns).select(*g, F.col(row_id).alias("_m"), *coordinates(rows)).groupBy(*g, *x).agg(F.min("_m").alias("_m"))
+    q = queries.dropna(subset=columns).select(*g, F.col(query_id).alias("_q"), *coordinates(queries))
+    marks = [i / CUTS for i in range(1, CUTS)]
+    cuts = r.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.array(*[F.percentile_approx(c, marks, 20 * CUTS) for c in x]).alias("_all"))
+    many = F.greatest(F.lit(1), F.least(F.lit(CUTS), F.floor(F.pow(F.col("_n") / CELL_ROWS, 1 / len(columns))))).cast("int")
+    chosen = F.transform("_all", lambda a: F.when(F.col("_many") == 1, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), F.col("_many") - 1), lambda j: F.get(a, (j * CUTS / F.col("_many")).cast("int") - 1))))
+    cuts = cuts.withColumn("_many", many).select(*g, "_many", chosen.alias("_cuts"))
+    cell = lambda level=0: [F.shiftright(f"_c{k}", level).alias(f"_c{k}") for k in dims]
+    key = [f"_c{k}" for k in dims]
+    placed = lambda d: d.join(cuts, g).withColumns({f"_c{k}": _cell(n, k) for k, n in enumerate(x)})
+    r = placed(r).select(*g, *key, F.struct(*x).alias("_p"), "_m")
+    q = placed(q).select(*g, "_q", *x, "_many", "_cuts", *key)
+    far = lambda p: F.sqrt(reduce(lambda a, b: a + b, [(F.col(n) - p[n]) ** 2 for n in x]))
+    # one point of each coarser cell; the number of levels follows the logarithm of CUTS
+    levels = range(1, CUTS.bit_length() + 1)
+    points = r.select(*g, F.explode(F.array(*[F.struct(F.lit(v).alias("_level"), *cell(v)) for v in levels])).alias("_l"), "_p").groupBy(*g, "_l").agg(F.min("_p").alias("_p"))
+    asked = q.select(*g, "_q", *x, F.explode(F.array(*[F.struct(F.lit(v).alias("_level"), *cell(v)) for v in levels])).alias("_l"))
+    bound = asked.join(points, [*g, "_l"]).select(*g, "_q", far(F.col("_p")).alias("_d"))
+    own = q.select(*g, "_q", *x, *key).join(r, [*g, *key]).select(*g, "_q", far(F.col("_p")).alias("_d"))
+    bound = bound.unionByName(own).groupBy(*g, "_q").agg((F.min("_d") * (1 + 1e-9) + 1e-300).alias("_d"))
+    q = q.join(bound, [*g, "_q"])
+    for k, n in enumerate(x):
+        edge = lambda v, k=k: F.size(F.filter(F.get("_cuts", F.lit(k)), lambda c: c < v))
+        near = F.sequence(edge(F.col(n) - F.col("_d")), edge(F.col(n) + F.col("_d")))
+        wall = F.get("_cuts", F.lit(k))
+        # distance to the slab between cut c - 1 and cut c
+        q = q.withColumn(f"_c{k}", F.explode(near)).withColumn(
+            f"_w{k}", F.greatest(F.lit(0.0), F.coalesce(F.get(wall, F.col(f"_c{k}") - 1) - F.col(n), F.lit(0.0)), F.coalesce(F.col(n) - F.get(wall, F.col(f"_c{k}")), F.lit(0.0)))
+        )
+        q = q.where(reduce(lambda a, b: a + b, [F.col(f"_w{i}") ** 2 for i in range(k + 1)]) <= F.col("_d") ** 2 * (1 + 1e-9) + 1e-300)
+    return q.select(*g, "_q", *x, *key).join(r, [*g, *key]).select(*g, "_q", "_m", far(F.col("_p")).alias("d"))
+
+
+def nearest_in_cells(queries: DataFrame, rows: DataFrame, g: list[str], columns: list[str], query_id: str, row_id: str) -> DataFrame:
+    """nearest for several columns: exact, over the cells that can hold the nearest row (near_pairs)."""
+    pairs = near_pairs(queries, rows, g, columns, query_id, row_id)
+    best = pairs.groupBy(*g, "_q").agg(F.min(F.struct("d", "_m")).alias("b"))
+    return best.select(*g, F.col("_q").alias(query_id), F.col("b._m").alias("match"), F.col("b.d").alias("distance"))
+
+
+def coverage_shares(distances: DataFrame, g: list[str], diagonal: float, limit: float) -> DataFrame:
+    """Coverage of one set by another from nearest distances: mean and 95th percentile, both over the cube's diagonal, shares of rows within
+    10 and 15 per cent of it, and whether the percentile is under the limit."""
+    from plumbline.operators.metrics import quantiles
+
+    d = F.col("distance")
+    share = lambda x: F.avg((d < x * diagonal).cast("double"))
+    moments = distances.groupBy(*g).agg(F.avg(d).alias("mean"), share(0.10).alias("within_10"), share(0.15).alias("within_15"))
+    q = quantiles(distances, g, d, {"p95": 0.95})
+    out = moments.join(q, g) if g else moments.crossJoin(q)
+    return out.select(*g, "mean", "p95", (F.col("mean") / diagonal).alias("mean_of_diagonal"), (F.col("p95") / diagonal).alias("p95_of_diagonal"), "within_10", "within_15", (F.col("p95") < limit).alias("passed"))
 
 
 def nearest_on_line(queries: DataFrame, rows: DataFrame, g: list[str], column: str, query_id: str, row_id: str) -> DataFrame:

@@ -407,6 +407,26 @@ def qa04(spark, sf):
     return q.withColumn("passed", F.col("p95") < 0.3)
 
 
+CUBE = {"price": (0.9, 105.0), "qty": (1.0, 50.0), "size": (1.0, 50.0), "disc": (0.0, 0.1)}
+UNIT_CUBE = ", ".join(f"({n} - {a}) / ({b} - {a}) AS {n}" for n, (a, b) in CUBE.items())
+APART = " + ".join(f"(a.{n} - b.{n}) ** 2" for n in CUBE)
+
+
+@query(
+    "qa04_coverage_cube",
+    "SELECT batch_id, direction, avg(d) AS mean, quantile_cont(d, 0.95) AS p95, avg(d) / 2 AS mean_of_diagonal, quantile_cont(d, 0.95) / 2 AS p95_of_diagonal, avg((d < 0.2)::INT::DOUBLE) AS within_10, avg((d < 0.3)::INT::DOUBLE) AS within_15, quantile_cont(d, 0.95) < 0.15 AS passed FROM (SELECT a.batch_id, 'labeled to weak' AS direction, min(sqrt(" + APART + ")) AS d FROM l a JOIN w b USING (batch_id) GROUP BY a.batch_id, a.ord UNION ALL SELECT a.batch_id, 'weak to labeled', min(sqrt(" + APART + ")) FROM w a JOIN l b USING (batch_id) GROUP BY a.batch_id, a.ord) GROUP BY ALL",
+    SPLIT + f", l AS (SELECT DISTINCT batch_id, ord, {UNIT_CUBE} FROM split), w AS (SELECT batch_id, ord, {UNIT_CUBE} FROM obs WHERE role = 'weak')",
+    "mean p95 mean_of_diagonal p95_of_diagonal within_10 within_15",
+)
+def qa04c(spark, sf):
+    """Coverage of labeled and weak rows by each other over all four inputs, in the unit cube."""
+    unit = lambda d: d.select("batch_id", "ord", *[((F.col(n) - a) / (b - a)).alias(n) for n, (a, b) in CUBE.items()])
+    labeled = unit(split(spark, sf).where(F.col("n_labeled") == max(SIZES)))
+    weak = unit(by_role(observations(spark, sf), ["weak"]))
+    both = [joins.nearest(a, b, ["batch_id"], list(CUBE), "ord", "ord").withColumn("direction", F.lit(n)) for n, a, b in (("labeled to weak", labeled, weak), ("weak to labeled", weak, labeled))]
+    return joins.coverage_shares(reshape.union_parts(both), ["batch_id", "direction"], 2.0, 0.15)
+
+
 @query("qa05_weak_labels", "SELECT batch_id, max(abs(y - price * (1 - disc) * (1 + tax))) < 1e-9 AS consistent FROM obs GROUP BY batch_id", OBS)
 def qa05(spark, sf):
     again = F.col("price") * (1 - F.col("disc")) * (1 + F.col("tax"))

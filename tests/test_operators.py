@@ -121,3 +121,31 @@ def test_nearest_on_line(spark):
     got = {(t.k, t.q): (t.distance, t.match) for t in joins.nearest(q, r, ["k"], ["x"], "q", "r").collect()}
     want = {(k, i): min((abs(x - v), m) for g, m, v in rows if g == k and v is not None) for k, i, x in queries if x is not None and k != "c"}
     assert got == want
+
+
+@pytest.mark.parametrize("columns", [2, 4])
+def test_nearest_in_cells(spark, monkeypatch, columns):
+    """Cells give what all pairs give, over a few per cent of them: ties, equal points, far queries, empty cells, nulls."""
+    monkeypatch.setattr(joins, "CELL_ROWS", 8)
+    rng = np.random.default_rng(columns)
+    names = [f"x{k}" for k in range(columns)]
+    point = lambda n: np.round(np.concatenate((rng.random((n - n // 4, columns)), rng.normal(0.2, 0.02, (n // 4, columns)))), 3)
+    rows = [("a", i, *map(float, p)) for i, p in enumerate(point(4000))] + [("b", i, *map(float, p)) for i, p in enumerate(point(3))]
+    rows += [("a", 9000 + i, *r[2:]) for i, r in enumerate(rows[:50])] + [("a", 9999, *[None] * columns)]
+    queries = [("a", i, *map(float, p)) for i, p in enumerate(point(300))] + [("a", 900, *[9.0] * columns), ("a", 901, *[-5.0] * columns), ("a", 902, *[None] * columns)]
+    queries += [("b", i, *map(float, p)) for i, p in enumerate(point(9))] + [("c", 1, *[0.5] * columns)]
+    schema = lambda n: f"k string, {n} long, " + ", ".join(f"{c} double" for c in names)
+    r, q = spark.createDataFrame(rows, schema("r")), spark.createDataFrame(queries, schema("q"))
+    got = {(t.k, t.q): (t.distance, t.match) for t in joins.nearest(q, r, ["k"], names, "q", "r").collect()}
+    own = {k: [v for v in rows if v[0] == k and v[2] is not None] for k in "ab"}
+    want = {}
+    for k, i, *p in queries:
+        if p[0] is not None and k != "c":
+            d = np.zeros(len(own[k]))
+            for c in range(columns):
+                d = d + (p[c] - np.array([v[2 + c] for v in own[k]])) ** 2
+            want[k, i] = min(zip(np.sqrt(d).tolist(), [v[1] for v in own[k]], strict=True))
+    assert set(got) == set(want) and all(got[t][1] == want[t][1] and np.isclose(got[t][0], want[t][0], rtol=1e-12) for t in want)
+    pairs = joins.near_pairs(q.where("k = 'a' and q < 900"), r, ["k"], names, "q", "r").count()
+    assert pairs < (0.03 if columns == 2 else 0.12) * 300 * 4000
+    assert joins.nearest(q, r.limit(0), ["k"], names, "q", "r").count() == 0
