@@ -15,6 +15,16 @@ def gate(df: DataFrame, name: str, value: Column, passed: Column, threshold: str
     return a.select(F.lit(name).alias("check"), status.alias("status"), "value", "value_text", F.lit(threshold).alias("threshold"))
 
 
+def gates(df: DataFrame, checks: list[tuple]) -> DataFrame:
+    """Gate rows of one source from one aggregate: (name, value, passed, threshold[, status otherwise]) each; null counts as not
+    passed."""
+    rows = []
+    for name, value, passed, threshold, *otherwise in checks:
+        status = F.when(passed, "pass").otherwise(otherwise[0] if otherwise else "fail")
+        rows.append(F.struct(F.lit(name).alias("check"), status.alias("status"), value.cast("double").alias("value"), F.lit(None).cast("string").alias("value_text"), F.lit(threshold).alias("threshold")))
+    return df.agg(F.array(*rows).alias("_rows")).select(F.explode("_rows").alias("_r")).select("_r.*")
+
+
 def info(df: DataFrame, name: str, value: Column) -> DataFrame:
     return gate(df, name, value, F.lit(False), "", "info")
 

@@ -9,9 +9,23 @@ from pyspark.sql import functions as F
 
 
 def pair_arms(metrics: DataFrame, left: str, right: str, metric: str, keys: list[str]) -> DataFrame:
-    """Rows of two arms with equal keys: the metric as left and right."""
-    arm = lambda m, n: metrics.where(F.col("model") == m).select(*keys, F.col(metric).alias(n))
-    return arm(left, "left_value").join(arm(right, "right_value"), keys)
+    """Keys that both arms have, with the metric as left and right.  The metrics, a row for each arm and keys, are read once."""
+    arms = metrics.where(F.col("model").isin(left, right))
+    of = lambda m, n: F.max(F.when(F.col("model") == m, F.col(metric))).alias(n)
+    wide = arms.groupBy(*keys).agg(of(left, "left_value"), of(right, "right_value"), F.count_distinct("model").alias("_arms"))
+    return wide.where(F.col("_arms") == len({left, right})).drop("_arms")
+
+
+def against_best(metrics: DataFrame, arm: str, size: int, others: list[str], metric: str, keys: list[str]) -> DataFrame:
+    """For every key the metric of one arm at one size (left) beside that of the best of the others at the key's size (right):
+    best by its mean over the keys of the size, ties to the first name.  The metrics are read once; keys: repeat, n_labeled."""
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col(metric)))
+    wide = metrics.where(F.col("model").isin(arm, *others)).groupBy(*keys).agg(of(arm).alias("_own"), *[of(o).alias(f"_{o}") for o in others])
+    at_size = Window.partitionBy(*[k for k in keys if k != "repeat"])
+    means = F.array_min(F.array_compact(F.array(*[F.when(F.avg(f"_{o}").over(at_size).isNotNull(), F.struct(F.avg(f"_{o}").over(at_size).alias("mean"), F.lit(o).alias("model"))) for o in others])))
+    wide = wide.withColumn("left_value", F.max(F.when(F.col("n_labeled") == size, F.col("_own"))).over(Window.partitionBy("repeat"))).withColumn("_best", means["model"])
+    right = F.coalesce(*[F.when(F.col("_best") == o, F.col(f"_{o}")) for o in others])
+    return wide.select(*keys, "left_value", right.alias("right_value")).where("left_value is not null and right_value is not null")
 
 
 def suffixed_join(a: DataFrame, b: DataFrame, keys: list[str], suffixes: tuple[str, str]) -> DataFrame:
