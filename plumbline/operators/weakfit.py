@@ -770,3 +770,39 @@ def row_errors(rows: DataFrame, fits: DataFrame, condition: list[str], candidate
     mse = F.col("s2") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("s4") - F.col("n") * mse * mse, F.lit(0.0)) / (F.col("n") - 1))
     return total.select(*condition, *candidate, "n", mse.alias("mse"), F.when(F.col("n") > 1, spread).otherwise(0.0).alias("deviation"))
+
+
+# ridge baseline ------------------------------------------------------------------------------------
+def ridge(part: Part, alpha: float) -> np.ndarray:
+    """[1, columns] coefficients of y on columns scaled by their own statistics; the intercept isn't penalized."""
+    x, y = part.co[:-1, :-1], part.co[:-1, -1]
+    scale = np.sqrt(np.diag(x) / max(part.n, 1))
+    scale = np.where(scale < SMALL, 1.0, scale)
+    z = x / np.outer(scale, scale)
+    b = least_norm(z, y / scale, alpha) / scale
+    return np.concatenate(([part.mean[-1] - part.mean[:-1] @ b], b))
+
+
+def ridge_search(conditions: DataFrame, keep: list[str], alphas: list[float]) -> DataFrame:
+    """For every condition (moments labeled and validation over [columns, y]) the alpha of least validation error (ties: the first), that error, and the
+    coefficients fitted anew to both parts."""
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in conditions.schema if f.name in keep]
+    names = [*[k.split()[0] for k in kinds], "alpha", "validation_mse", "coef"]
+
+    def work(r: dict) -> dict:
+        size = len(r["labeled"]["mean"])
+        labeled, held = (Part.of(r[c], size) for c in ("labeled", "validation"))
+        products = held.raw(np.zeros(size), np.ones(size))
+        losses = []
+        for a in alphas:
+            e = np.append(ridge(labeled, a), -1.0)
+            losses.append(float(max(e @ products @ e, 0.0)) / held.n if held.n else 0.0)
+        best = int(np.argmin(losses))
+        return {**{k: r[k] for k in keep}, "alpha": float(alphas[best]), "validation_mse": losses[best] if held.n else None, "coef": ridge(labeled + held, alphas[best]).tolist()}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame([work(r) for r in pdf.to_dict("records")], columns=names)
+
+    rows = conditions.where("labeled is not null").select(*keep, "labeled", "validation")
+    return rows.mapInPandas(run, ", ".join([*kinds, "alpha double, validation_mse double, coef array<double>"]))

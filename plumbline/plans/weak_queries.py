@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.registry import ColumnLibrary, affine_parts, register_features
+from plumbline.operators import metrics as M
 from plumbline.operators import regression as R
 from plumbline.operators import weakfit as W
 from plumbline.operators.splits import by_role
@@ -388,3 +389,46 @@ def prj11t(spark, sf):
     """A slope for each of two parameters."""
     g = {"one": 2.0, "price": 0.5, "qty": -0.1, "level_price": 0.25, "load_qty": -0.5, "load_one": 0.75}
     return affine_parts(gram_rows(observations(spark, sf)), "two parameters", g, ["ord"])
+
+
+# ridge baseline ------------------------------------------------------------------------------------
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
+INPUTS = ["price", "qty", "disc", "tax"]
+RIDGE_INPUTS = register_features(ColumnLibrary("inputs", named(*INPUTS)))
+
+
+def ridge_arm(spark, sf):
+    """The standardized ridge of each condition and its test metrics."""
+    c = role_moments(split(spark, sf), CONDITION, RIDGE_INPUTS, {"train": "labeled", "validation": "validation"})
+    test = by_role(observations(spark, sf), ["test"]).select("batch_id", *INPUTS, "y")
+    return M.regression_metrics(W.score(test, W.ridge_search(c, CONDITION, list(ALPHAS)), ["batch_id"], RIDGE_INPUTS), [*CONDITION, "alpha", "validation_mse"])
+
+
+def ridge_sql(name: str, source: str, g: str, alpha: str) -> str:
+    """CTEs of the ridge of y on standardized inputs by group: {name} holds g, the scaling and b0, b1, ... of the scaled columns."""
+    scale = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-12 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in INPUTS)
+    out = f"{name}_s AS (SELECT {g}, avg(y) AS m_y, {scale} FROM {source} GROUP BY ALL), {name}_z AS (SELECT {g}, {alpha} AS alpha_, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in INPUTS) + f", y - m_y AS y FROM {source} JOIN {name}_s USING ({g})), "
+    p, cells = len(INPUTS), [(i, j) for i in range(len(INPUTS)) for j in range(len(INPUTS) + 1)]
+    column = lambda j: INPUTS[j] if j < p else "y"
+    out += f"{name}_0 AS (SELECT {g}, " + ", ".join(f"sum({INPUTS[i]} * {column(j)})" + (" + any_value(alpha_)" if i == j else "") + f" AS m{i}_{j}" for i, j in cells) + f" FROM {name}_z GROUP BY {g})"
+    for k in range(p):
+        row = {(i, j): f"m{k}_{j} / m{k}_{k}" if i == k else f"m{i}_{j} - m{i}_{k} * m{k}_{j} / m{k}_{k}" for i, j in cells}
+        out += f", {name}_{k + 1} AS (SELECT {g}, " + ", ".join(f"{row[c]} AS m{c[0]}_{c[1]}" for c in cells) + f" FROM {name}_{k})"
+    return out + f", {name} AS (SELECT * FROM {name}_s JOIN (SELECT {g}, " + ", ".join(f"m{i}_{p} AS b{i}" for i in range(p)) + f" FROM {name}_{p}) USING ({g}))"
+
+
+RIDGE_LINE = "m_y + " + " + ".join(f"b{i} * ({c} - m_{c}) / s_{c}" for i, c in enumerate(INPUTS))
+RIDGES = (
+    SPLIT
+    + f""", al AS (SELECT * FROM (VALUES {", ".join(f"({a}::DOUBLE)" for a in ALPHAS)}) v(alpha)), own AS (SELECT batch_id, n_labeled, alpha, role, {", ".join(INPUTS)}, y FROM split, al), tr AS (SELECT * FROM own WHERE role = 'train'), """
+    + ridge_sql("f", "tr", "batch_id, n_labeled, alpha", "alpha")
+    + f""", lo AS (SELECT batch_id, n_labeled, alpha, avg((y - ({RIDGE_LINE})) ** 2) AS validation_mse FROM (SELECT * FROM own WHERE role = 'validation') JOIN f USING (batch_id, n_labeled, alpha) GROUP BY ALL),
+pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, n_labeled ORDER BY validation_mse, alpha) AS p FROM lo) WHERE p = 1), """
+    + ridge_sql("r", "own", "batch_id, n_labeled, alpha", "alpha")
+)
+
+
+@query("reg21_ridge_standardized", f"SELECT batch_id, n_labeled::INT AS n_labeled, alpha, validation_mse, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM (SELECT batch_id, n_labeled, alpha, validation_mse, y - ({RIDGE_LINE}) AS e FROM pick JOIN r USING (batch_id, n_labeled, alpha) JOIN (SELECT batch_id, {', '.join(INPUTS)}, y FROM obs WHERE role = 'test') USING (batch_id)) GROUP BY ALL", RIDGES, "validation_mse mse rmse mae", 5)
+def reg21s(spark, sf):
+    """Four standardized inputs with an intercept, five alphas chosen on validation rows, fitted anew to both parts."""
+    return ridge_arm(spark, sf)
