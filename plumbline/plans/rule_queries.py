@@ -18,7 +18,8 @@ from plumbline.plans.data_queries import BEST, PAIRS
 from plumbline.plans.fit_queries import BOX, SHAPE, line, solve_sql
 from plumbline.plans.stat_queries import gram_rows
 from plumbline.plans.tables import ARMS, OBS, SIZES, SPLIT, arm_metrics, fits, observations, scored, split, table
-from plumbline.plans.weak_queries import CONDITION, LIMIT, PLAIN, THETA, UNITS, WEAK_ROWS, WEIGHTS, columns, conditions, linear_conditions, linear_fits, refits, search, weak_fits
+from plumbline.plans.tree_queries import STUMP, STUMP_TEST, TREE_GRIDS, tree_arm
+from plumbline.plans.weak_queries import CONDITION, LIMIT, PLAIN, RIDGE_TEST, RIDGES, UNITS, WEAK_ROWS, WEIGHTS, columns, conditions, linear_conditions, linear_fits, refits, ridge_arm, search, weak_fits
 from plumbline.sources.batches import fingerprint
 
 KEYS = ["repeat", "n_labeled"]
@@ -603,8 +604,8 @@ def exp01w(spark, sf):
     return weak_curve(spark, sf, W.select(weak_fits(spark, sf), CONDITION), UNITS)
 
 
-def weak_tests(source: str, others: list[str], g: str) -> str:
-    pairs = lambda o, v: f"(SELECT l.*, l.{v} AS left_value, r.{v} AS right_value FROM {source} l JOIN (SELECT * FROM metrics WHERE model = '{o}') r USING (repeat, n_labeled))"
+def weak_tests(source: str, others: list[str], g: str, table: str = "metrics") -> str:
+    pairs = lambda o, v: f"(SELECT l.*, l.{v} AS left_value, r.{v} AS right_value FROM {source} l JOIN (SELECT * FROM {table} WHERE model = '{o}') r USING (repeat, n_labeled))"
     return holm_sql(" UNION ALL ".join(f"SELECT *, 'weak vs {o}' AS comparison, '{v}' AS metric FROM ({ttest(pairs(o, v), g)})" for o in others for v in VALUES))
 
 
@@ -622,6 +623,43 @@ def exp01l(spark, sf):
     return weak_curve(spark, sf, W.select(linear_fits(linear_conditions(spark, sf)), CONDITION), PLAIN)
 
 
+def as_arm(metrics, name):
+    """Metrics by batch as rows of the metrics table."""
+    return metrics.select(F.lit(name).alias("model"), F.col("batch_id").alias("repeat"), "n_labeled", "mse", "rmse", "mae")
+
+
+def whole_protocol(spark, sf, weak, trees):
+    """The metrics table of every arm: closed forms, the weak fit, the ridge and the tree baselines."""
+    arms = [arm_metrics(spark, sf), weak, as_arm(ridge_arm(spark, sf), "ridge"), *[as_arm(tree_arm(spark, sf, kind, grid), name) for name, (kind, grid) in trees.items()]]
+    return reshape.union_parts(arms)
+
+
+@query("exp01_label_curve_all_arms")
+def exp01a(spark, sf):
+    """The selected weak fit against closed forms, the ridge, a tree, a forest and boosted trees at every size, Holm over all."""
+    weak = weak_arm(spark, sf, W.select(weak_fits(spark, sf), CONDITION), UNITS)
+    m = whole_protocol(spark, sf, weak, TREE_GRIDS)
+    return paired.family(m, "weak", [*OTHERS, "ridge", *TREE_GRIDS], VALUES, KEYS, ["n_labeled"])
+
+
+ALL_ARMS = (
+    CURVE_WEAK
+    + RIDGES.removeprefix(SPLIT)
+    + STUMP.removeprefix(SPLIT)
+    + f""", every AS (SELECT model, repeat, n_labeled, mse, rmse, mae FROM metrics
+  UNION ALL SELECT 'ridge', batch_id, n_labeled, avg(e * e), sqrt(avg(e * e)), avg(abs(e)) FROM ({RIDGE_TEST}) GROUP BY batch_id, n_labeled
+  UNION ALL SELECT 'stump', batch_id, n_labeled, avg(e * e), sqrt(avg(e * e)), avg(abs(e)) FROM ({STUMP_TEST}) GROUP BY batch_id, n_labeled)"""
+)
+
+
+@query("exp01_label_curve_all_arms_linear", "SELECT * REPLACE (n_labeled::INT AS n_labeled) FROM (" + weak_tests("arm", [*OTHERS, "ridge", "stump"], "n_labeled", "every") + ")", ALL_ARMS, T + " p_value_holm", 5)
+def exp01b(spark, sf):
+    """The linear weak arm against closed forms, the ridge and a single split."""
+    weak = weak_arm(spark, sf, W.select(linear_fits(linear_conditions(spark, sf)), CONDITION), PLAIN)
+    m = whole_protocol(spark, sf, weak, {"stump": ("tree", {"depth": [1], "leaf": [1]})})
+    return paired.family(m, "weak", [*OTHERS, "ridge", "stump"], VALUES, KEYS, ["n_labeled"])
+
+
 LEVELS, SUPERVISED, LEVEL_SIZE = [0.95, 0.8, 0.6], ["affine", "mean", "ratio"], 60
 
 

@@ -19,19 +19,26 @@ def tree_arm(spark, sf, kind, grid):
     return T.test_metrics(by_role(observations(spark, sf), ["test"]), fitted, ["batch_id"], [*CONDITION, "validation_mse", "parameters"], FEATURES, "y")
 
 
+TREE_GRIDS = {
+    "tree": ("tree", {"depth": [T.DEEP, 2, 3, 5], "leaf": [1, 3]}),
+    "forest": ("forest", {"trees": [200], "depth": [T.DEEP, 5, 10], "leaf": [1, 2]}),
+    "boosted": ("boosted", {"rate": [0.1, 0.15, 0.2], "depth": [2, 3, 5], "trees": [30, 100, 160]}),
+}
+
+
 @query("reg22_decision_tree")
 def reg22(spark, sf):
-    return tree_arm(spark, sf, "tree", {"depth": [T.DEEP, 2, 3, 5], "leaf": [1, 3]})
+    return tree_arm(spark, sf, *TREE_GRIDS["tree"])
 
 
 @query("reg23_random_forest")
 def reg23(spark, sf):
-    return tree_arm(spark, sf, "forest", {"trees": [200], "depth": [T.DEEP, 5, 10], "leaf": [1, 2]})
+    return tree_arm(spark, sf, *TREE_GRIDS["forest"])
 
 
 @query("reg24_gradient_boosting")
 def reg24(spark, sf):
-    return tree_arm(spark, sf, "boosted", {"rate": [0.1, 0.15, 0.2], "depth": [2, 3, 5], "trees": [30, 100, 160]})
+    return tree_arm(spark, sf, *TREE_GRIDS["boosted"])
 
 
 # stumps in SQL -------------------------------------------------------------------------------------
@@ -50,9 +57,10 @@ def stump_sql(name: str, source: str, target: str, g: str = "batch_id, n_labeled
 METRICS = "avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae"
 TEST = "(SELECT * FROM obs WHERE role = 'test') o"
 STUMP = SPLIT + ", " + stump_sql("s", "split", "y")
+STUMP_TEST = f"SELECT batch_id, n_labeled, y - CASE WHEN {AT} <= cut THEN lo ELSE hi END AS e FROM s JOIN {TEST} USING (batch_id)"
 
 
-@query("reg22_stump", f"SELECT batch_id, n_labeled::INT AS n_labeled, {METRICS} FROM (SELECT batch_id, n_labeled, y - CASE WHEN {AT} <= cut THEN lo ELSE hi END AS e FROM s JOIN {TEST} USING (batch_id)) GROUP BY ALL", STUMP, "mse rmse mae", 5)
+@query("reg22_stump", f"SELECT batch_id, n_labeled::INT AS n_labeled, {METRICS} FROM ({STUMP_TEST}) GROUP BY ALL", STUMP, "mse rmse mae", 5)
 def reg22s(spark, sf):
     """One split, of train and validation rows."""
     return tree_arm(spark, sf, "tree", {"depth": [1], "leaf": [1]}).drop("validation_mse", "parameters")

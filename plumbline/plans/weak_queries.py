@@ -424,11 +424,12 @@ RIDGES = (
     + ridge_sql("f", "tr", "batch_id, n_labeled, alpha", "alpha")
     + f""", lo AS (SELECT batch_id, n_labeled, alpha, avg((y - ({RIDGE_LINE})) ** 2) AS validation_mse FROM (SELECT * FROM own WHERE role = 'validation') JOIN f USING (batch_id, n_labeled, alpha) GROUP BY ALL),
 pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, n_labeled ORDER BY validation_mse, alpha) AS p FROM lo) WHERE p = 1), """
-    + ridge_sql("r", "own", "batch_id, n_labeled, alpha", "alpha")
+    + ridge_sql("rg", "own", "batch_id, n_labeled, alpha", "alpha")
 )
+RIDGE_TEST = f"SELECT batch_id, n_labeled, alpha, validation_mse, y - ({RIDGE_LINE}) AS e FROM pick JOIN rg USING (batch_id, n_labeled, alpha) JOIN (SELECT batch_id, {', '.join(INPUTS)}, y FROM obs WHERE role = 'test') USING (batch_id)"
 
 
-@query("reg21_ridge_standardized", f"SELECT batch_id, n_labeled::INT AS n_labeled, alpha, validation_mse, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM (SELECT batch_id, n_labeled, alpha, validation_mse, y - ({RIDGE_LINE}) AS e FROM pick JOIN r USING (batch_id, n_labeled, alpha) JOIN (SELECT batch_id, {', '.join(INPUTS)}, y FROM obs WHERE role = 'test') USING (batch_id)) GROUP BY ALL", RIDGES, "validation_mse mse rmse mae", 5)
+@query("reg21_ridge_standardized", f"SELECT batch_id, n_labeled::INT AS n_labeled, alpha, validation_mse, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM ({RIDGE_TEST}) GROUP BY ALL", RIDGES, "validation_mse mse rmse mae", 5)
 def reg21s(spark, sf):
     """Four standardized inputs with an intercept, five alphas chosen on validation rows, fitted anew to both parts."""
     return ridge_arm(spark, sf)
