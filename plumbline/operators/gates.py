@@ -33,6 +33,14 @@ def run_gates(gates: list[DataFrame]) -> DataFrame:
     return union_parts(gates)
 
 
+def label_consistency(df: DataFrame, g: list[str], label: str, score: str, tolerance: float) -> DataFrame:
+    """Per group the largest gap between stored labels and the reference scored again, how many labels are off (null ones too),
+    and whether none is."""
+    gap = F.abs(F.col(label) - F.col(score))
+    off = ~F.coalesce(gap <= tolerance, F.lit(False))
+    return df.groupBy(*g).agg(F.max(gap).alias("largest"), F.count_if(off).alias("wrong"), (F.count_if(off) == 0).alias("consistent"))
+
+
 def tolerance_table(found: DataFrame, expected: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """Reproduced beside expected values, their difference and PASS or FAIL."""
     j = found.join(expected, keys)

@@ -20,11 +20,27 @@ def first_rows(df: DataFrame, g: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(*g).orderBy(order))).where(F.col("pos") <= n)
 
 
+LARGE, PREFIX = 100_000, 4
+
+
+def ranked_rows(df: DataFrame, g: list[str], order: str, n: int, prefix: int = PREFIX) -> DataFrame:
+    """first_rows for an n of any size: the position of a row is the number of rows of its group whose order has a smaller
+    prefix, and its place within its own prefix.  No task sorts more than the rows of one prefix; prefixes that begin beyond n are
+    left out before the sort.  `order` is a text that is spread evenly, such as seeded_order."""
+    rows = df.withColumn("_bin", F.substring(F.col(order), 1, prefix))
+    before = Window.partitionBy(*g).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*g, "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    near = rows.join(counts.where(F.col("_start") < n).drop("_n"), [*g, "_bin"])
+    place = F.row_number().over(Window.partitionBy(*g, "_bin").orderBy(order))
+    return near.withColumn("pos", F.col("_start") + place).where(F.col("pos") <= n).drop("_bin", "_start")
+
+
 def sample_first(df: DataFrame, g: list[str], order: str, n: int, pool: int | None = None) -> DataFrame:
-    """Nested subsample: a larger n only adds rows.  n above the pool's size is an error."""
+    """Nested subsample: a larger n only adds rows.  n above the pool's size is an error; from LARGE rows on no group is
+    sorted in one task."""
     if pool is not None and n > pool:
         raise ValueError(f"{n} rows asked for of a pool of {pool}")
-    return first_rows(df, g, order, n).drop("pos")
+    return (ranked_rows if n >= LARGE else first_rows)(df, g, order, n).drop("pos")
 
 
 def nested_split(df: DataFrame, g: list[str], order: str, sizes: list[int], fraction: float) -> DataFrame:

@@ -310,6 +310,13 @@ def smp02(spark, sf):
     return splits.sample_first(observations(spark, sf).where("role = 'weak'"), ["batch_id"], "ord", 200).select("batch_id", "ord")
 
 
+@query("smp02_half_of_the_rows", "SELECT batch_id, count(*) AS n, min(pos) AS first, max(pos) AS last, sum(price) AS price, max(ord) AS last_ord FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ord) AS pos FROM obs) WHERE pos <= 5000 GROUP BY batch_id", OBS, "price", 4)
+def smp02h(spark, sf):
+    """A large subsample by counts of prefixes, no group sorted whole."""
+    s = splits.ranked_rows(observations(spark, sf), ["batch_id"], "ord", 5000)
+    return s.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.sum("price").alias("price"), F.max("ord").alias("last_ord"))
+
+
 @query("smp03_ordered_prefix", "SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate) AS p FROM lineitem) WHERE p <= 5")
 def smp03(spark, sf):
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")

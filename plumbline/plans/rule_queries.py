@@ -19,7 +19,7 @@ from plumbline.plans.fit_queries import BOX, SHAPE, line, solve_sql
 from plumbline.plans.stat_queries import gram_rows
 from plumbline.plans.tables import ARMS, OBS, SIZES, SPLIT, arm_metrics, fits, observations, scored, split, table
 from plumbline.plans.tree_queries import STUMP, STUMP_TEST, TREE_GRIDS, tree_arm
-from plumbline.plans.weak_queries import CONDITION, LIMIT, PLAIN, RIDGE_TEST, RIDGES, UNITS, WEAK_ROWS, WEIGHTS, columns, conditions, linear_conditions, linear_fits, refits, ridge_arm, search, weak_fits
+from plumbline.plans.weak_queries import CONDITION, GRID7, LIMIT, PLAIN, RIDGE_TEST, RIDGES, UNITS, WEAK_ROWS, WEIGHTS, columns, conditions, linear_conditions, linear_fits, refits, ridge_arm, search, weak_fits, weak_rows_sql
 from plumbline.sources.batches import fingerprint
 
 KEYS = ["repeat", "n_labeled"]
@@ -436,6 +436,19 @@ def qa05(spark, sf):
     return observations(spark, sf).groupBy("batch_id").agg((F.max(F.abs(F.col("y") - again)) < 1e-9).alias("consistent"))
 
 
+@query(
+    "qa05_weak_labels_by_metadata",
+    "SELECT batch_id, theta, max(abs(label - theta * price)) AS largest, count(*) FILTER (NOT abs(label - theta * price) <= 1e-9) AS wrong, coalesce(max(abs(label - theta * price)) <= 1e-9, false) AS consistent FROM (SELECT batch_id, theta, price, CASE WHEN flag = 'A' AND batch_id = 'EUROPE' THEN price * 1.01 ELSE price * theta END AS label FROM obs JOIN (SELECT r_name AS batch_id, 0.9 + 0.05 * r_regionkey AS theta FROM region) USING (batch_id) WHERE role = 'weak') GROUP BY ALL",
+    OBS, "theta largest",
+)
+def qa05m(spark, sf):
+    """Weak labels, some of one batch damaged, against the reference at the parameter its metadata names."""
+    meta = table(spark, sf, "region").select(F.col("r_name").alias("batch_id"), (0.9 + 0.05 * F.col("r_regionkey")).alias("theta"))
+    weak = joins.attach(by_role(observations(spark, sf), ["weak"]), meta, ["batch_id"])
+    weak = weak.withColumn("label", F.when((F.col("flag") == "A") & (F.col("batch_id") == "EUROPE"), F.col("price") * 1.01).otherwise(F.col("price") * F.col("theta")))
+    return G.label_consistency(registry.score_reference(weak, "list_price", F.col("theta")), ["batch_id", "theta"], "label", "score", 1e-9)
+
+
 @query("qa06_tolerance_table", "SELECT model, value, expected, value - expected AS difference, CASE WHEN abs(value - expected) <= 1 THEN 'PASS' ELSE 'FAIL' END AS result FROM (SELECT model, avg(rmse) AS value FROM metrics WHERE n_labeled = 120 GROUP BY model) JOIN (VALUES ('affine', 3.0::DOUBLE), ('reference', 2.5)) e(model, expected) USING (model)", ARMS, "value expected difference")
 def qa06(spark, sf):
     found = arm_metrics(spark, sf).where("n_labeled = 120").groupBy("model").agg(F.avg("rmse").alias("value"))
@@ -769,6 +782,29 @@ def exp05(spark, sf):
     return reshape.union_parts(parts)
 
 
+VARIANTS = {"no weak rows": (0.0,), "light": (0.01, 0.03, 0.1), "heavy": (1.0, 3.0), "all": GRID7}
+STRICT = {"strict": (GRID7, 1e-9)}  # a limit that no candidate meets: the variant stays, as failed
+SWEEP = " UNION ALL ".join(
+    f"SELECT '{n}' AS variant, avg(sqrt(mse)) AS rmse, count(*) AS n_fitted FROM (SELECT repeat, avg(e * e) AS mse FROM (SELECT batch_id AS repeat, y - {UNIT} * ({FITTED}) AS e FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY validation_mse, share) AS p FROM v WHERE n_labeled = 120 AND share IN ({', '.join(map(str, w))}) AND validation_mse <= {limit}) WHERE p = 1) JOIN c USING (batch_id, n_labeled, share) JOIN (SELECT * FROM obs WHERE role = 'test') USING (batch_id)) GROUP BY repeat)"
+    for n, (w, limit) in {**{n: (w, 1e9) for n, w in VARIANTS.items()}, **STRICT}.items()
+)
+
+
+@query("exp05_weight_sweep", f"SELECT variant, CASE WHEN n_fitted = 0 THEN 'failed' ELSE 'ok' END AS status, n_fitted, rmse FROM ({SWEEP})", weak_rows_sql(GRID7), "rmse", 5)
+def exp05w(spark, sf):
+    """The weak fit at 120 labels with its weights restricted to each variant's: one search, a selection a variant, failures kept."""
+    f = linear_fits(linear_conditions(spark, sf).where("n_labeled = 120"), GRID7)
+    allowed = [(n, w, float("inf")) for n, w in VARIANTS.items()] + [(n, w, limit) for n, (w, limit) in STRICT.items()]
+    inside = lambda w, limit: F.col("weak_weight").isin(*w) & W.valid(limit)
+    named = F.array_compact(F.array(*[F.when(inside(w, limit), F.lit(n)) for n, w, limit in allowed]))
+    best = W.select(f.withColumn("variant", F.explode(named)), ["batch_id", "variant"]).select("batch_id", "variant", "coef")
+    test = gram_rows(by_role(observations(spark, sf), ["test"])).select("batch_id", *columns(PLAIN))
+    m = in_units(M.regression_metrics(W.score(test, best, ["batch_id"], PLAIN), ["variant", "batch_id"]))
+    every = spark.createDataFrame([(n,) for n, *_ in allowed], "variant string")
+    out = every.join(m, "variant", "left").groupBy("variant").agg(F.count("rmse").alias("n_fitted"), F.avg("rmse").alias("rmse"))
+    return out.select("variant", F.when(F.col("n_fitted") == 0, "failed").otherwise("ok").alias("status"), "n_fitted", "rmse")
+
+
 # user-defined libraries --------------------------------------------------------------------------
 @query("udf01_feature_library", "SELECT ord, 1.0::DOUBLE AS one, price * price AS square, 0.5 * (price * price) AS theta_square FROM obs", OBS)
 def udf01(spark, sf):

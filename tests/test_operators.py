@@ -149,3 +149,17 @@ def test_nearest_in_cells(spark, monkeypatch, columns):
     pairs = joins.near_pairs(q.where("k = 'a' and q < 900"), r, ["k"], names, "q", "r").count()
     assert pairs < (0.03 if columns == 2 else 0.12) * 300 * 4000
     assert joins.nearest(q, r.limit(0), ["k"], names, "q", "r").count() == 0
+
+
+def test_ranked_rows_are_the_first(spark):
+    """Positions by counts of prefixes are those of one sorted group, whatever shares a prefix."""
+    rng = np.random.default_rng(8)
+    rows = [(k, "".join(rng.choice(list("0123456789abcdef"), 12)), i) for i, k in enumerate(rng.choice(["a", "b", "c"], 20000, p=[0.8, 0.19, 0.01]))]
+    rows += [("a", f"77777{i:07d}", 30000 + i) for i in range(3000)]
+    df = spark.createDataFrame([(str(k), o, int(i)) for k, o, i in rows], "k string, o string, i long").repartition(5)
+    got = {(r.k, r.pos): r.i for r in splits.ranked_rows(df, ["k"], "o", 9000, 2).collect()}
+    want = {}
+    for k in "abc":
+        for pos, (_, i) in enumerate(sorted((o, i) for g, o, i in rows if g == k)[:9000]):
+            want[k, pos + 1] = i
+    assert got == want
