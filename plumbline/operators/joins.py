@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import written
+
 
 def pair_arms(metrics: DataFrame, left: str, right: str, metric: str, keys: list[str]) -> DataFrame:
     """Keys that both arms have, with the metric as left and right.  The metrics, a row for each arm and keys, are read once."""
@@ -95,8 +97,9 @@ def near_pairs(queries: DataFrame, rows: DataFrame, g: list[str], columns: list[
     cell = lambda level=0: [F.shiftright(f"_c{k}", level).alias(f"_c{k}") for k in dims]
     key = [f"_c{k}" for k in dims]
     placed = lambda d: d.join(cuts, g).withColumns({f"_c{k}": _cell(n, k) for k, n in enumerate(x)})
-    r = placed(r).select(*g, *key, F.struct(*x).alias("_p"), "_m")
-    q = placed(q).select(*g, "_q", *x, "_many", "_cuts", *key)
+    # each side is read several times from here on, its source once
+    r, _ = written(placed(r).select(*g, *key, F.struct(*x).alias("_p"), "_m"), "near-rows")
+    q, _ = written(placed(q).select(*g, "_q", *x, "_cuts", *key), "near-queries")
     far = lambda p: F.sqrt(reduce(lambda a, b: a + b, [(F.col(n) - p[n]) ** 2 for n in x]))
     # one point of each coarser cell; the number of levels follows the logarithm of CUTS
     levels = range(1, CUTS.bit_length() + 1)

@@ -20,11 +20,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.registry import ColumnLibrary
-from plumbline.sources.shared import scratch
+from plumbline.sources.shared import forget, scratch, written
 
 SMALL = 1e-12
 MOMENTS = "struct<n:bigint,mean:array<double>,co:array<double>>"
@@ -584,18 +584,6 @@ def calibrate_box(df: DataFrame, g: list[str], y: str, score: Callable[[dict[str
 STATE = "g array<double>, d array<double>, theta array<double>, objective double, residual double, sweeps int, converged boolean, history array<double>, drift array<double>, coef array<double>"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, where its lineage ends, and the table's path."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 PARTS = 64
 
 
