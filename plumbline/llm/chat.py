@@ -8,7 +8,7 @@ masked.
 Defined cases: turns are ordered by (turn, role, text), so ties and repeated turns have one order; null
 roles and texts count as empty; rows without a conversation id are left out; a conversation without a
 partner is rendered whole with null on the other side; equal conversations have empty completions; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; a very long text is one value like others; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ the regression itself is fitted on a bounded sample (`per_language` documents of
 by a hash of id and text).  Prediction reads every whole text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no learning documents all
-are `und`; repeated rows are scored each; very long texts are read whole, one at a time; columns other
-than id, text and (for learning) lang are ignored.
+are `und`; repeated rows are scored each; rows without an id are held out and predicted; languages that
+are equally likely (ties) give the first in order; an empty text is `und`; an empty table gives no rows; very long texts are read whole, one at
+a time; columns other than id, text and (for learning) lang are ignored.
 """
 
 from __future__ import annotations
@@ -195,8 +196,8 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
 
 
 def held_out(doc_id) -> F.Column:
-    """The fifth of the documents that nothing is learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """The fifth of the documents that nothing is learned from, and those without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def identify(docs: DataFrame, per_language: int = 500) -> DataFrame:

@@ -9,7 +9,8 @@ length, however frequent, meets in one task.
 
 Defined cases: a null text is an empty document and holds its end token only; a document longer than
 the capacity is cut into pieces of the capacity, the last may be shorter; repeated rows are packed each;
-an empty table gives no rows; columns other than the id and text are ignored.
+rows without an id are packed like others; pieces of equal length (ties) take places in the order of their salted ranks; a very long
+text is tokenized whole; an empty table gives no rows; columns other than the id and text are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ turns the fitted values into probabilities.
 
 Defined cases: a null or empty text has the statistics of an empty text and gets a score too; without
 labelled rows the score is 0.5; with one class only it is that class; a document with several labels
-learns from each; columns other than the id and text are ignored, labels are read only for learning.
+learns from each; repeated rows are scored each; rows without an id are held out and scored; a very long text is read whole, as a
+slice of its own; an empty table gives no rows; columns other than the id and text are ignored, labels are read only for learning.
 """
 
 from __future__ import annotations

@@ -260,3 +260,12 @@ def test_whitening_of_few_rows(spark):
     assert {r.component: r.whitened is None for r in flat} == {1: False, 2: True, 3: True}
     far = whitening.whiten(spark.createDataFrame([(k, [2.0**40 * k, 1.0]) for k in range(3)], schema)).collect()
     assert {r.vec_id: r.deviation for r in far if r.component == 1} == {0: None, 1: 0, 2: None}
+
+
+def test_rows_without_an_id_are_held_out(spark):
+    from plumbline.llm import langid, quality
+
+    docs = spark.createDataFrame([(None if k % 7 == 0 else k, f"word {k} and more words here" * 3, "en" if k % 2 else "de") for k in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    for found in (langid.identify(docs).collect(), quality.score_documents(docs, labels).collect()):
+        assert len(found) == 60 and all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
