@@ -115,18 +115,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+#: Powers of the base and of its inverse: those below WIDE, and each WIDE-th as far as the longest data needed.
+WIDE, STEP = 1 << 12, 1 << 18
 _POW: dict[str, np.ndarray] = {}
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]], equal for equal bytes wherever they stand."""
+    """64-bit hashes of data[starts[i]:ends[i]], equal for equal bytes wherever they stand.
+
+    The bytes are summed up STEP at a time and a power is a product of two kept ones: workers live on, and a table of
+    all powers would stay with them.
+    """
     n = len(data) + 1
     with np.errstate(over="ignore"):
-        if len(_POW.get("up", ())) < n:
-            _POW["up"], _POW["down"] = _powers(0x9E3779B97F4A7C15, n), _powers(_INV, n)
+        if len(_POW.get("up", ())) * WIDE < n:
+            for name, base in (("up", 0x9E3779B97F4A7C15), ("down", _INV)):
+                _POW[name], _POW[f"{name} low"] = _powers(pow(base, WIDE, 1 << 64), -(-n // WIDE)), _powers(base, WIDE)
         prefix = np.zeros(n, np.uint64)
-        np.cumsum(_BYTE[data] * _POW["up"][: n - 1], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * _POW["down"][starts]
+        for at in range(0, n - 1, STEP):
+            part = _BYTE[data[at : at + STEP]]
+            part *= (_POW["up"][at // WIDE : -(-(at + len(part)) // WIDE), None] * _POW["up low"]).ravel()[: len(part)]
+            part[0] += prefix[at]
+            np.cumsum(part, out=prefix[at + 1 : at + 1 + len(part)])
+        h = (prefix[ends] - prefix[starts]) * (_POW["down"][starts // WIDE] * _POW["down low"][starts % WIDE])
         return mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 

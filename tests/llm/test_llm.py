@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, chat, decontam, jaccard, langid, linededup, lmscore, packing, quality, suffixdedup
+from plumbline.llm import _common, ann, chat, decontam, jaccard, langid, linededup, lmscore, packing, quality, suffixdedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, marks string"
 
@@ -514,3 +515,26 @@ def test_classifiers_on_empty_tables(spark, docs):
     assert decontam.find_leaks(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).count() == 0
     assert chat.format_preferences(chat.neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_range_hashes_keep_no_table_of_a_text():
+    """Workers live on: hashing one long text leaves nothing of its size behind, across the edges of steps too."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 4 * _common.STEP + 5).astype(np.uint8)
+    edge = np.arange(0, len(data) + 1, _common.WIDE)
+    start = np.concatenate((edge, edge[1:] - 1, [0, len(data)]))
+    end = np.minimum(start + rng.integers(0, 40, len(start)), len(data))
+    _common._POW.clear()
+    tracemalloc.start()
+    h = _common.range_hashes(data, start, end)
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert left < len(data)
+    assert peak < 16 * len(data)
+    power, plain = [1], []
+    for _ in range(40):
+        power.append(power[-1] * 0x9E3779B97F4A7C15)
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        total = sum(int(_common._BYTE[x]) * p for x, p in zip(data[a:b].tolist(), power, strict=False))
+        plain.append((total + (b - a) * 0xD6E8FEB86659FD93) & _common.MASK)
+    assert h.tolist() == _common.mix(np.array(plain, np.uint64)).tolist()
