@@ -37,10 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so that its lineage ends there."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write df as a table in the shared folder, in a part for each value of the columns `by`, and read it back, so that its
+    lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

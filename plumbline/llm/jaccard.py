@@ -28,6 +28,7 @@ from math import ceil, exp, floor, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ from plumbline.llm._common import U, components, drop, frequent, lower_ascii, ma
 
 SALT_FROM, SALTS, SMALL, LEVELS = 256, 64, 2000, 3
 KEYED = ["key", "cls", "part", "block", "blocks"]
+#: Signatures a task holds before it deals them, buckets a partition; rows on their way, and what a bucket's task makes of them.
+HELD, BUCKETS = 1 << 20, 4
+PARTS = "bucket int, doc_id long, key long, n long, cls long, sketch binary, sigs binary, owners binary, salts binary"
+MEMBERS = "kind int, doc_id long, key long, n long, cls long, sketch binary, sig long, salt int"
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 @lru_cache(4096)
@@ -64,84 +70,180 @@ def _layout(k: int, size: float) -> tuple[int, int]:
     return -(-(k + 1 + spare) // 2), spare
 
 
-def signatures(features: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
-    """Signatures of a sorted set of feature hashes: of each first-level partition, the subsets of one of its
-    two second-level cells."""
+@lru_cache(4096)
+def _cells(size: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """(band, cells, empty cells without a signature) of the bands of a set of this size."""
     out = []
-    with np.errstate(over="ignore"):
-        if seed:
-            features = np.sort(mix(features * U(2 * seed + 1) + U(seed)))
-        total = np.append(U(0), np.cumsum(mix(features + U(0x9E3779B97F4A7C15))))
-        for band, k in _band(len(features), percent):
-            first, spare = _layout(k, exp(-2 * log(percent / 100) * band))
-            cells = 2 * first if k else 1
-            edges = (np.arange(1, cells, dtype=np.float64) * (2.0**64 / cells)).astype(np.uint64)
-            at = np.concatenate(([0], np.searchsorted(features, edges), [len(features)]))
-            tag = np.arange(1, cells + 1, dtype=np.uint64) * U(0xD1B54A32D192ED03) + U((band + 1) * 0xE7037ED1A0B428DB % (1 << 64))
-            cell = mix(mix(total[at[1:]] - total[at[:-1]]) + tag)
-            full = at[1:] > at[:-1]
-            out.append(cell[full] if k and cells - int(full.sum()) <= spare else cell)
-    return np.concatenate(out)
-
-
-def _sets(rows: pa.RecordBatch, data: np.ndarray, off: np.ndarray, size: int):
+    for band, k in _band(size, percent) if size else ():
+        first, spare = _layout(k, exp(-2 * log(percent / 100) * band))
+        out.append((band, 2 * first if k else 1, spare))
+    return tuple(out)
+
+
+def signatures(features: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sorted sets of feature hashes, and the set of each: of every first-level partition, the subsets of one of
+    its two second-level cells.  Sets of any sizes are signed together; the features of a cell are neighbours."""
+    size = np.diff(bounds)
+    kinds, kind = np.unique(size, return_inverse=True)
+    plans = [_cells(int(n), percent) for n in kinds]
+    out = [np.zeros(0, np.uint64)]
+    of = [np.zeros(0, np.int64)]
+    for j in range(2):
+        rows = np.flatnonzero(np.array([len(p) > j for p in plans], bool)[kind])
+        if not len(rows):
+            continue
+        band, cells, spare = (np.array([p[j][c] if len(p) > j else 0 for p in plans])[kind[rows]] for c in range(3))
+        n = size[rows]
+        own = features[np.arange(n.sum()) + np.repeat(bounds[rows] - np.cumsum(n) + n, n)] if len(rows) < len(size) else features
+        first = np.cumsum(cells) - cells
+        count = np.bincount(np.repeat(first, n) + ((own >> U(32)) * np.repeat(cells.astype(np.uint64), n) >> U(32)).astype(np.int64), minlength=cells.sum())
+        total = np.append(U(0), np.cumsum(mix(own + U(0x9E3779B97F4A7C15))))
+        end = np.cumsum(count)
+        tag = (np.arange(len(count)) - np.repeat(first, cells) + 1).astype(np.uint64) * U(0xD1B54A32D192ED03) + np.repeat((band + 1).astype(np.uint64) * U(0xE7037ED1A0B428DB), cells)
+        full = count > 0
+        kept = full | np.repeat(cells - np.add.reduceat(full, first, dtype=np.int64) > spare, cells)
+        out.append(mix(mix(total[end] - total[end - count]) + tag)[kept])
+        of.append(np.repeat(rows, cells)[kept])
+    return np.concatenate(out), np.concatenate(of)
+
+
+def _unique(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets, sorted, of the hashes within bounds, and their bounds."""
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[bounds[bounds < len(h)]] = True
+    return h[new], np.append(0, np.cumsum(new))[bounds]
+
+
+def _sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     data = lower_ascii(data)
     h, bounds, _ = shingles(data, off, size, not_blank(data))
-    for i in range(rows.num_rows):
-        yield i, np.unique(h[bounds[i] : bounds[i + 1]])
+    return _unique(h, bounds)
 
 
-def _class(features: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(features ^ U(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) + U(len(features))], np.uint64)).view(np.int64)[0])
+def _some(features: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that are kept, and their bounds."""
+    n = np.diff(bounds)
+    return features[np.repeat(kept, n)], np.append(0, np.cumsum(n[kept]))
 
 
-def _describe(batches, size: int):
-    for batch in batches:
-        for rows, data, off in slices(batch, "text"):
-            found = [(len(f), _class(f), _sketch(f)) if len(f) else (0, None, None) for _, f in _sets(rows, data, off, size)]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), *columns], ["doc_id", "key", "n", "cls", "sketch"])
+def _classes(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.append(U(0), np.cumsum(mix(features ^ U(0x2545F4914F6CDD1D))))[bounds]
+    return mix(mix(np.diff(total) + np.diff(bounds).astype(np.uint64))).view(np.int64)
 
 
-def _salted(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    """Rows (sig, salt, cls).  Where a batch has many of one signature, later ones are spread over salts, each
+def _salted(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, salts, classes.  Where many are of one signature, later ones are spread over salts, each
     with the first of them, through which it stays joined to the others."""
+    s = np.sort(sig)
+    if not (s[SALT_FROM:] == s[:-SALT_FROM]).any():
+        return sig, np.zeros(len(sig), np.uint8), cls
     order = np.argsort(sig, kind="stable")
     s, c = sig[order], cls[order]
-    new = np.append(True, s[1:] != s[:-1])[: len(s)]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0)) if len(s) else np.zeros(0, int)
-    salt = np.where(np.arange(len(s)) - head >= SALT_FROM, 1 + np.abs(c % SALTS), 0).astype(np.int32)
-    hot = np.unique(np.column_stack((s, salt, c[head]))[salt > 0], axis=0) if (salt > 0).any() else np.zeros((0, 3), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.append(s, hot[:, 0])), pa.array(np.append(salt, hot[:, 1]).astype(np.int32)), pa.array(np.append(c, hot[:, 2]))], ["sig", "salt", "cls"])
+    new = np.append(True, s[1:] != s[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    salt = np.where(np.arange(len(s)) - head >= SALT_FROM, 1 + np.abs(c % SALTS), 0).astype(np.uint8)
+    hot = np.unique(np.column_stack((s, salt, c[head]))[salt > 0], axis=0)
+    return np.append(s, hot[:, 0]), np.append(salt, hot[:, 1].astype(np.uint8)), np.append(c, hot[:, 2])
+
+
+def _record(fields: str, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of rows with these fields, of which only the given ones are not null."""
+    n = len(next(iter(columns.values())))
+    schema = [f.split() for f in fields.split(", ")]
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, TYPES[t])) for c, t in schema], [c for c, _ in schema])
+
 
+def _dealt(sig: list[np.ndarray], cls: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Signatures and their classes as one row a bucket: 17 bytes a signature."""
+    s, salt, c = _salted(np.concatenate(sig), np.concatenate(cls))
+    at = (mix(s.view(np.uint64) + salt * U(0xA0761D6478BD642F)) >> U(32)) * U(buckets) >> U(32)
+    order = np.argsort(at.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+    s, salt, c, at = s[order], salt[order], c[order], at[order]
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
+    return _record(PARTS, bucket=pa.array(at[first].astype(np.int32)), **{n: pa.array([x[i:j].tobytes() for i, j in cuts], pa.binary()) for n, x in (("sigs", s), ("owners", c), ("salts", salt))})
 
-def _sign(batches, size: int, percent: int):
+
+def _described(batches, size: int, percent: int, buckets: int):
+    """A row of every document, and the signatures of the classes met."""
     seen: set[int] = set()
+    sig, cls, held, row = [], [], 0, 0
     for batch in batches:
         for rows, data, off in slices(batch, "text"):
-            sig, cls = [], []
-            for _, f in _sets(rows, data, off, size):
-                if len(f) and (c := _class(f)) not in seen:
+            features, bounds = _sets(data, off, size)
+            n, own = np.diff(bounds), _classes(features, bounds)
+            sketch = _sketches(features, bounds)
+            empty = n == 0
+            yield _record(
+                PARTS, bucket=pa.array(((row + np.arange(len(n))) % buckets).astype(np.int32)), doc_id=rows.column("doc_id"), key=rows.column("key"), n=pa.array(n.astype(np.int64)),
+                cls=pa.array(own, mask=empty), sketch=pa.array([None if e else x.tobytes() for e, x in zip(empty.tolist(), sketch, strict=True)], pa.binary()),
+            )
+            row += len(n)
+            fresh = np.zeros(len(n), bool)
+            for i, c in enumerate(own.tolist()):
+                if n[i] and c not in seen:
                     seen.add(c)
-                    found = signatures(f, percent)
-                    sig.append(found)
-                    cls.append(np.full(len(found), c))
-            if sig:
-                yield _salted(np.concatenate(sig).view(np.int64), np.concatenate(cls))
-
-
-def _resign(batches, percent: int, seed: int):
+                    fresh[i] = True
+            found, of = signatures(*_some(features, bounds, fresh), percent)
+            sig.append(found.view(np.int64))
+            cls.append(own[fresh][of])
+            held += len(of)
+            if held >= HELD:
+                yield _dealt(sig, cls, buckets)
+                sig, cls, held = [], [], 0
+    if held:
+        yield _dealt(sig, cls, buckets)
+
+
+def _resign(batches, percent: int, seed: int, buckets: int):
     """Further signatures of members of large groups."""
     for batch in batches:
-        sig, cls = [], []
-        for s, c, raw in zip(*(batch.column(n).to_pylist() for n in ("sig", "cls", "features")), strict=True):
-            with np.errstate(over="ignore"):
-                found = mix(signatures(np.frombuffer(raw, np.uint64), percent, seed) + U(s % (1 << 64)))
-            sig.append(found)
-            cls.append(np.full(len(found), c))
-        if sig:
-            yield _salted(np.concatenate(sig).view(np.int64), np.concatenate(cls))
+        raw = batch.column("features").to_pylist()
+        if not raw:
+            continue
+        features, bounds = np.frombuffer(b"".join(raw), np.uint64), np.append(0, np.cumsum([len(x) // 8 for x in raw]))
+        found, of = signatures(*_unique(mix(features * U(2 * seed + 1) + U(seed)), bounds), percent)
+        s, c = (batch.column(n).to_numpy() for n in ("sig", "cls"))
+        yield _dealt([mix(found + s.view(np.uint64)[of]).view(np.int64)], [c[of]], buckets)
+
+
+def _several(batches):
+    """Signatures of several classes with each of them and their number; rows of documents go on as they are."""
+    for table in runs_of(batches, "bucket"):
+        blobs = table.filter(pc.is_valid(table.column("sigs")))
+        if blobs.num_rows < table.num_rows:
+            docs = table.filter(pc.is_null(table.column("sigs"))).combine_chunks().to_batches()[0]
+            yield _record(MEMBERS, **{c: docs.column(c) for c in ("doc_id", "key", "n", "cls", "sketch")}, kind=pa.array(np.zeros(docs.num_rows, np.int32)))
+        s, c, salt = (np.frombuffer(b"".join(blobs.column(n).to_pylist()), t) for n, t in (("sigs", np.int64), ("owners", np.int64), ("salts", np.uint8)))
+        # most signatures are alone
+        order = np.argsort(s)
+        again = s[order][1:] == s[order][:-1]
+        some = order[np.append(again, False) | np.append(False, again)] if len(s) else order
+        s, c, salt = s[some], c[some], salt[some]
+        order = np.lexsort((c, salt, s))
+        s, c, salt = s[order], c[order], salt[order]
+        group = np.append(True, (s[1:] != s[:-1]) | (salt[1:] != salt[:-1]))[: len(s)]
+        once = group | np.append(True, c[1:] != c[:-1])[: len(s)]
+        s, c, salt, group = s[once], c[once], salt[once], group[once]
+        n = np.bincount(np.cumsum(group) - 1) if len(s) else np.zeros(0, np.int64)
+        n = np.repeat(n, n)
+        kept = n > 1
+        if kept.any():
+            yield _record(MEMBERS, kind=pa.array(np.ones(int(kept.sum()), np.int32)), sig=pa.array(s[kept]), salt=pa.array(salt[kept].astype(np.int32)), cls=pa.array(c[kept]), n=pa.array(n[kept].astype(np.int64)))
+
+
+def _sketches(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """_sketch of every set."""
+    out = [np.zeros((0, 128), np.uint8)]
+    for i in range(0, len(bounds) - 1, 1024):
+        of = bounds[i : i + 1025]
+        at = (mix(features[of[0] : of[-1]] * U(0xD6E8FEB86659FD93)) & U(1023)).astype(np.int64)
+        at += np.repeat(np.arange(len(of) - 1) << 10, np.diff(of))
+        out.append(np.packbits((np.bincount(at, minlength=(len(of) - 1) << 10) & 1).astype(np.uint8).reshape(-1, 1024), axis=1))
+    return np.concatenate(out)
 
 
 def _sketch(features: np.ndarray, bits: int = 10) -> bytes:
@@ -214,13 +316,32 @@ def _within(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _features(batches, size: int):
+def _features(batches, size: int, marks: np.ndarray, classes: np.ndarray):
+    """Sets of rows (mark, text) whose mark's bit and whose class's bit are set: all that are needed and few others."""
     for batch in batches:
-        for rows, data, off in slices(batch, "text"):
-            cls = rows.column("cls").to_pylist()
-            found = [(f.tobytes(), len(f), _wide(f)) if len(f) and _class(f) == cls[i] else (None, 0, None) for i, f in _sets(rows, data, off, size)]
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([rows.column("cls"), *columns], ["cls", "features", "n", "wide"])
+        for rows, data, off in slices(batch.filter(pa.array(_set_in(marks, batch.column("mark").to_numpy()))), "text"):
+            features, bounds = _sets(data, off, size)
+            own = _classes(features, bounds)
+            at = np.flatnonzero(_set_in(classes, own) & (np.diff(bounds) > 0))
+            found = [features[bounds[i] : bounds[i + 1]] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[at]), pa.array([f.tobytes() for f in found], pa.binary()), pa.array([len(f) for f in found], pa.int64()), pa.array([_wide(f) for f in found], pa.binary())],
+                ["cls", "features", "n", "wide"],
+            )
+
+
+def _bits(rows: DataFrame, column: str, n: int) -> np.ndarray:
+    """A table of at least 16 bits a row, 4 MB at most, with the bit of every hash in the column set."""
+    size = 1 << min(25, max(10, (16 * n - 1).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(size - 1))
+    words = rows.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({column} & 63))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return (bits[hashes >> 6 & len(bits) - 1] >> (hashes & 63) & 1).astype(bool)
 
 
 def _may_wide(batches, percent: int):
@@ -246,14 +367,15 @@ def _similar(batches, percent: int):
         yield batch.select(["a", "b"]).filter(pa.array(kept))
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """Members of signatures with several classes, with the signature's hub: sig, salt, cls, hub.  One
-    exchange serves both sides of the first join."""
-    dealt = signed.repartition(n_shuffle(signed.sparkSession), "sig", "salt")
-    several = dealt.groupBy("sig", "salt").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").drop("low", "high")
-    members = materialize(dealt.join(several, ["sig", "salt"]))
+def _met(parts: DataFrame, n: int) -> DataFrame:
+    """Rows MEMBERS: signatures of several classes, and the rows of documents.  A task holds a bucket's signatures at once."""
+    return parts.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(_several, MEMBERS)
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """Members of signatures with several classes, with the signature's hub: sig, salt, cls, hub."""
     degree = members.groupBy("cls").agg(F.sum(F.col("n") - 1).alias("degree"))
-    hubs = members.join(degree, "cls").groupBy("sig", "salt").agg(F.max(F.struct("degree", "cls")).alias("top")).select("sig", "salt", F.col("top.cls").alias("hub"))
+    hubs = members.join(degree, "cls").groupBy("sig", "salt").agg(F.max_by("cls", "degree").alias("hub"))
     return members.join(hubs, ["sig", "salt"]).select("sig", "salt", "cls", "hub")
 
 
@@ -264,8 +386,12 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     only leads to texts, whose class is looked at again.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
-    described = materialize(texts.mapInArrow(partial(_describe, size=size), "doc_id long, key long, n long, cls long, sketch binary"))
-    members = materialize(_shared(texts.mapInArrow(partial(_sign, size=size, percent=percent), "sig long, salt int, cls long")))
+    n_parts = n_shuffle(docs.sparkSession)
+    buckets = n_parts * BUCKETS
+    # the texts are read once for both
+    both = materialize(_met(texts.mapInArrow(partial(_described, size=size, percent=percent, buckets=buckets), PARTS), n_parts), "kind")
+    described = both.where("kind = 0").select("doc_id", "key", "n", "cls", "sketch")
+    members = materialize(_hubs(both.where("kind = 1").select("sig", "salt", "cls", "n")))
     release(docs.sparkSession)
     wanted = members.select("cls").distinct().join(described.where("cls is not null").groupBy("cls").agg(F.min("key").alias("key")), "cls")
     sketches = materialize(described.join(wanted, ["key", "cls"]).dropDuplicates(["key", "cls"]))
@@ -273,11 +399,13 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
     def features(pairs: DataFrame) -> DataFrame:
         """Sets of the classes of pairs; of rows that share an id, those of the one that has the class.
 
-        The classes grow with the input, so they are not broadcast at any size.
+        The classes grow with the input, so they are not broadcast at any size; a table of bits of bounded size tells which
+        texts may be needed, and only their sets are shuffled.
         """
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "key"), "cls")
-        found = texts.join(needed.hint("shuffle_hash"), "key").select("cls", "text").mapInArrow(partial(_features, size=size), "cls long, features binary, n long, wide binary")
-        return materialize(found.where("features is not null").dropDuplicates(["cls"]))
+        needed = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(sketches.select("cls", "key"), "cls").select("cls", F.xxhash64("key").alias("mark")))
+        n = needed.count()
+        found = texts.select(F.xxhash64("key").alias("mark"), "text").mapInArrow(partial(_features, size=size, marks=_bits(needed, "mark", n), classes=_bits(needed, "cls", n)), "cls long, features binary, n long, wide binary")
+        return materialize(found.join(needed, "cls", "left_semi").dropDuplicates(["cls"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of pairs whose sets are similar enough."""
@@ -334,7 +462,8 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
             return described, components(edges).toDF("cls", "component")
         seed += 1
         sets = features(many.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
-        members = materialize(_shared(many.join(sets.select("cls", "features"), "cls").mapInArrow(partial(_resign, percent=percent, seed=seed), "sig long, salt int, cls long")))
+        parts = many.join(sets.select("cls", "features"), "cls").mapInArrow(partial(_resign, percent=percent, seed=seed, buckets=buckets), PARTS)
+        members = materialize(_hubs(materialize(_met(parts, n_parts).select("sig", "salt", "cls", "n"))))
         edges = edges.union(star(members))
 
 

@@ -538,3 +538,50 @@ def test_range_hashes_keep_no_table_of_a_text():
         total = sum(int(_common._BYTE[x]) * p for x, p in zip(data[a:b].tolist(), power, strict=False))
         plain.append((total + (b - a) * 0xD6E8FEB86659FD93) & _common.MASK)
     assert h.tolist() == _common.mix(np.array(plain, np.uint64)).tolist()
+
+
+def test_signatures_travel_by_bucket():
+    """A slice's signatures are a row a bucket, not a row each; those of several classes are found as by hand; sets that are near share one."""
+    import random
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(draw.choice([1, 4, 30, 200]))) for _ in range(60)]
+    texts += [" ".join(w if draw.random() < 0.98 else f"x{draw.randrange(10**6)}" for w in t.split()) for t in texts] + [texts[0], "", None, "one"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "key": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    data, off = next((d, o) for _, d, o in _common.slices(batch, "text"))
+    features, bounds = jaccard._sets(data, off, 3)
+    sets = [set(features[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    words = [(t or "").split() for t in texts]
+    assert [len(s) for s in sets] == [len({tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} - {()}) for w in words]
+    found, of = jaccard.signatures(features, bounds, 80)
+    signed = [set(found[of == i].tolist()) for i in range(len(texts))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert not a or 100 * len(a & b) < 80 * len(a | b) or signed[i] & signed[j]
+    # not as before, where every signature was a row
+    parts = list(jaccard._described([batch], 3, 80, 5))
+    assert sum(p.num_rows for p in parts) <= len(texts) + 5 < len(found)
+    cls = jaccard._classes(features, bounds)
+    by_sig = defaultdict(set)
+    for s, i in zip(found.view(np.int64).tolist(), of.tolist(), strict=True):
+        by_sig[s].add(int(cls[i]))
+    wanted = {(s, c, len(cs)) for s, cs in by_sig.items() if len(cs) > 1 for c in cs}
+    rows = sorted((r for p in parts for r in p.to_pylist()), key=lambda r: r["bucket"])
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + size], parts[0].schema) for k in range(0, len(rows), size)]
+        out = [r for p in jaccard._several(batches) for r in p.to_pylist()]
+        assert {(r["sig"], r["cls"], r["n"]) for r in out if r["kind"] == 1} == wanted
+        assert sorted((r["doc_id"], r["n"]) for r in out if r["kind"] == 0) == [(i, len(s)) for i, s in enumerate(sets)]
+
+
+def test_hot_signatures_stay_joined():
+    """Classes of a frequent signature are spread over salts, each with the first class."""
+    cls = np.arange(1, 2001, dtype=np.int64)
+    s, salt, c = jaccard._salted(np.append(np.full(1999, 7), 8), cls)
+    assert len(set(salt[s == 7].tolist())) > 30 and salt[s == 8].tolist() == [0]
+    first = int(cls[0])
+    assert all(first in c[(s == 7) & (salt == k)] for k in set(salt[s == 7].tolist()))
+    assert set(c.tolist()) == set(cls.tolist())
