@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,11 +130,98 @@ def nearest_in_cells(queries: DataFrame, rows: DataFrame, g: list[str], columns:
     return best.select(*g, F.col("_q").alias(query_id), F.col("b._m").alias("match"), F.col("b.d").alias("distance"))
 
 
+#: Points that a task holds at once; rows that are held against them together, and those of a group at a time.
+FEW, HELD, PART = 20_000, 1 << 16, 1 << 13
+
+
+def _against(rows: pa.Table, k: int, points: dict[int, tuple[np.ndarray, np.ndarray]], low: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """The least distance of every row from the points of its group; `low` keeps the least square of every point."""
+    group = rows.column("_g").to_numpy()
+    order = np.argsort(group, kind="stable")
+    columns = [rows.column(f"_x{i}").to_numpy()[order] for i in range(k)]
+    group, found = group[order], np.empty(len(group))
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    for start, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)], strict=True):
+        g = int(group[start])
+        least = low.setdefault(g, np.full(len(points[g][0]), np.nan))
+        for at in range(start, stop, PART):
+            own = [x[at : min(at + PART, stop)] for x in columns]
+            best, square, term = np.full(len(own[0]), np.nan), np.empty(len(own[0])), np.empty(len(own[0]))
+            for j, point in enumerate(points[g][1]):
+                np.subtract(own[0], point[0], out=square)
+                np.multiply(square, square, out=square)
+                for x, c in zip(own[1:], point[1:], strict=True):
+                    np.subtract(x, c, out=term)
+                    np.multiply(term, term, out=term)
+                    np.add(square, term, out=square)
+                np.fmin(best, square, out=best)
+                least[j] = np.fmin(least[j], np.fmin.reduce(square))
+            found[at : at + len(best)] = best
+    out = np.empty(len(found))
+    out[order] = np.sqrt(found)
+    return pa.RecordBatch.from_arrays([rows.column("_g").combine_chunks(), pa.nulls(len(out), pa.int32()), rows.column("_id").combine_chunks(), pa.array(out)], ["_g", "_few", "_id", "_d"])
+
+
+def _both_ways(batches, k: int, points: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Least distances of rows from points, and of points from the rows of this task."""
+    low: dict[int, np.ndarray] = {}
+    held, n, schema = [], 0, None
+    for batch in batches:
+        schema = batch.schema
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            yield _against(pa.Table.from_batches(held).combine_chunks(), k, points, low)
+            held, n = [], 0
+    if n:
+        yield _against(pa.Table.from_batches(held).combine_chunks(), k, points, low)
+    for g, least in low.items():
+        codes = points[g][0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), g, np.int32)), pa.array(codes), pa.nulls(len(codes), schema.field("_id").type), pa.array(np.sqrt(least))], ["_g", "_few", "_id", "_d"])
+
+
+def nearest_both_ways(few: DataFrame, many: DataFrame, g: list[str], columns: list[str], few_id: str, many_id: str) -> DataFrame:
+    """Distance of every row of either side to the nearest row of the other within its group: g, side (few, many), few_id,
+    many_id (that of the row's side, the other is null), distance.  Rows that share an id are one; rows with a null
+    coordinate or without a row to be near to take no part.
+
+    The rows of `many`, of any number, are read once and held against up to FEW points of `few`, which pass the driver once;
+    a task keeps the least distance of each point.  More points than that: nearest() both ways.
+    """
+    a, b = ("few_id", "many_id")
+    x = [f"_x{i}" for i in range(len(columns))]
+    coordinates = [F.col(c).cast("double").alias(n) for c, n in zip(columns, x, strict=True)]
+    held = few.dropna(subset=[*g, *columns]).select(*g, F.col(few_id).alias(a), *coordinates).limit(FEW + 1).toArrow()
+    if held.num_rows > FEW:
+        there = nearest(few, many, g, columns, few_id, many_id).select(*g, F.lit("few").alias("side"), F.col(few_id).alias(a), F.lit(None).alias(b), "distance")
+        back = nearest(many, few, g, columns, many_id, few_id).select(*g, F.lit("many").alias("side"), F.lit(None).alias(a), F.col(many_id).alias(b), "distance")
+        return there.unionByName(back)
+    spark = many.sparkSession
+    groups, ids, points = {}, {}, {}
+    rows = held.to_pylist()
+    for r in rows:
+        group = groups.setdefault(tuple(r[c] for c in g), len(groups))
+        code = ids.setdefault((group, r[a]), len(ids))
+        points.setdefault(group, []).append((code, [r[n] for n in x]))
+    points = {k: (np.array([c for c, _ in v], np.int32), np.array([p for _, p in v])) for k, v in points.items()}
+    fields = {f.name: f.dataType.simpleString() for f in few.schema.fields}
+    table = lambda values, names: spark.createDataFrame(values, ", ".join(f"`{n}` {t}" for n, t in names))
+    groups_of = table([(*v, k) for v, k in groups.items()], [*[(c, fields[c]) for c in g], ("_g", "int")])
+    ids_of = table([(v[1], k) for v, k in ids.items()], [(a, fields[few_id]), ("_few", "int")])
+    own = many.dropna(subset=columns).join(F.broadcast(groups_of), g).select("_g", F.col(many_id).alias("_id"), *coordinates)
+    kind = own.schema["_id"].dataType.simpleString()
+    found = own.mapInArrow(partial(_both_ways, k=len(columns), points=points), f"_g int, _few int, _id {kind}, _d double")
+    least = found.groupBy("_g", "_few", "_id").agg(F.min("_d").alias("distance"))
+    named = least.join(F.broadcast(groups_of), "_g").join(F.broadcast(ids_of), "_few", "left")
+    return named.select(*g, F.when(F.col("_few").isNull(), "many").otherwise("few").alias("side"), a, F.col("_id").alias(b), "distance")
+
+
 def coverage_shares(distances: DataFrame, g: list[str], diagonal: float, limit: float) -> DataFrame:
     """Coverage of one set by another from nearest distances: mean and 95th percentile, both over the cube's diagonal, shares of rows within
-    10 and 15 per cent of it, and whether the percentile is under the limit."""
+    10 and 15 per cent of it, and whether the percentile is under the limit.  The distances are read several times, their source once."""
     from plumbline.operators.metrics import quantiles
 
+    distances, _ = written(distances.select(*g, "distance"), "distances")
     d = F.col("distance")
     share = lambda x: F.avg((d < x * diagonal).cast("double"))
     moments = distances.groupBy(*g).agg(F.avg(d).alias("mean"), share(0.10).alias("within_10"), share(0.15).alias("within_15"))

@@ -163,3 +163,48 @@ def test_ranked_rows_are_the_first(spark):
         for pos, (_, i) in enumerate(sorted((o, i) for g, o, i in rows if g == k)[:9000]):
             want[k, pos + 1] = i
     assert got == want
+
+
+def test_nearest_both_ways_by_hand(spark, monkeypatch):
+    """Distances of both sides equal brute force: shared ids, nulls, groups without a partner; in one task or as pairs of cells."""
+    import random
+
+    draw = random.Random(11)
+    point = lambda: tuple(None if draw.random() < 0.03 else draw.choice([0.0, 0.25, draw.random()]) for _ in range(3))
+    few = [(draw.choice(["a", "b", "only few", None]), draw.randrange(15), *point()) for _ in range(40)]
+    many = [(draw.choice(["a", "b", "only many", None]), f"m{draw.randrange(700)}", *point()) for _ in range(900)]
+    whole = lambda rows: [r for r in rows if r[0] is not None and None not in r[2:]]
+
+    def least(own, other, side):
+        out = {}
+        for k, i, *p in whole(own):
+            for l, _, *q in whole(other):  # noqa: E741
+                if k == l:
+                    d = math.sqrt(sum((x - y) ** 2 for x, y in zip(p, q, strict=True)))
+                    out[k, side, i] = min(d, out.get((k, side, i), d))
+        return out
+
+    wanted = least(few, many, "few") | least(many, few, "many")
+    f = spark.createDataFrame(few, "k string, f long, x double, y double, z double")
+    m = spark.createDataFrame(many, "k string, m string, x double, y double, z double").repartition(5)
+    for limit, held, part in ((20_000, 1 << 16, 1 << 13), (40, 100, 7), (10, 1 << 16, 1 << 13)):
+        monkeypatch.setattr(joins, "FEW", limit)
+        monkeypatch.setattr(joins, "HELD", held)
+        monkeypatch.setattr(joins, "PART", part)
+        got = joins.nearest_both_ways(f, m, ["k"], ["x", "y", "z"], "f", "m").collect()
+        assert len(got) == len(wanted)
+        assert {(r.k, r.side, r.few_id if r.side == "few" else r.many_id): r.distance for r in got} == pytest.approx(wanted, abs=1e-15)
+    monkeypatch.setattr(joins, "FEW", 20_000)
+    assert joins.nearest_both_ways(f.limit(0), m, ["k"], ["x", "y", "z"], "f", "m").count() == 0
+    assert joins.nearest_both_ways(f, m.limit(0), ["k"], ["x", "y", "z"], "f", "m").count() == 0
+
+
+def test_coverage_of_the_cube_makes_no_pairs(spark, monkeypatch):
+    """Every weak row has all labeled rows of its batch in few cells, so pairs of rows were as many as all pairs."""
+    import __spark_entry__ as e
+
+    def pairs(*_):
+        raise AssertionError("pairs of rows are made")
+
+    monkeypatch.setattr(joins, "near_pairs", pairs)
+    assert len(e.queries()["qa04_coverage_cube"](spark, "/root/testdata/sf0.001").collect()) == 10
